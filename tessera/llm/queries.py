@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import token_counts as _tokens
+from tessera.llm import topk as _topk
 
 #: The vocabulary of op3, one of the public tokenizers' files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,5 +24,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), token_limit=512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_counts": op3_token_counts}
-ORACLE: dict[str, str] = {}
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op9_exact_topk)}
+ORACLE: dict[str, str] = {
+    "op9_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+}
