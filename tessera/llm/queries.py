@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
+from tessera.llm import toxicity as _toxicity
 
 #: The vocabulary of op3, one of the public tokenizers' files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,11 +25,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), token_limit=512)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op9_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op9_exact_topk)}
 ORACLE: dict[str, str] = {
     "op9_exact_topk": """
 WITH v AS (
