@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
 from tessera.llm import toxicity as _toxicity
+from tessera.llm import warc as _warc
 
 #: The vocabulary of op3, one of the public tokenizers' files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,12 +30,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op9_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op6_warc, op9_exact_topk)}
 ORACLE: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, count(*) AS c, max(page_id) AS m FROM p WHERE n >= 0 GROUP BY h),
+b AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> s) & 31) + 1, 1), '' ORDER BY k, s DESC) AS d
+  FROM g, range(8) AS t(k), (VALUES (0), (5), (10), (15)) AS u(s) GROUP BY h)
+SELECT p.page_id, p.n AS payload_bytes, b.d AS payload_digest,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM g.m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM g.m THEN g.m END AS refers_to
+FROM p JOIN g USING (h) JOIN b USING (h)
+""",
     "op9_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

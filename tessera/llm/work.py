@@ -35,6 +35,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str, pattern: str) -> bool:
+    """Whether a file in ``path`` fits ``pattern``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: later steps survive lost executors
     and see one fixed version of it."""
