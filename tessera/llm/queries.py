@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import mixing as _mixing
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
 from tessera.llm import toxicity as _toxicity
@@ -34,12 +35,44 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op6_warc, op9_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk)}
 ORACLE: dict[str, str] = {
+    "op8_mixing": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, place % 3 + 1 AS w, source_size * 3 AS cap FROM r),
+f AS (
+  SELECT cap, w, row_number() OVER (ORDER BY cap / w, place) AS i,
+         (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+         sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bys
+  FROM w),
+l AS (SELECT lft, bys FROM f WHERE lft / bys <= cap / w ORDER BY i LIMIT 1),
+t AS (SELECT source, source_size, place, least(CAST(cap AS DOUBLE), CAST(lft * w AS DOUBLE) / CAST(bys AS DOUBLE)) AS target FROM w, l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, (ARRAY[0.5, 0.0, -0.5])[CAST(place % 3 + 1 AS INTEGER)]::DOUBLE AS a,
+         CAST(round(t.target) AS BIGINT) AS due,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, greatest(0, least(size, due - start)) AS p0,
+         greatest(0, least(size, due - start - source_size)) AS p1, greatest(0, least(size, due - start - 2 * source_size)) AS p2 FROM p),
+x AS (SELECT *, (start + p0 / 2) / target AS x FROM q)
+SELECT doc_id, size, source_size, target, CAST(p0 + p1 + p2 AS BIGINT) AS taken,
+       CASE WHEN p0 > 0 THEN CASE WHEN a = 0 THEN x ELSE (sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a) END END AS position
+FROM x
+""",
     "op6_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, count(*) AS c, max(page_id) AS m FROM p WHERE n >= 0 GROUP BY h),
