@@ -21,6 +21,10 @@ _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space, and with it ASCII punctuation: what words may be cut at.
+SPACE = _IS_SPACE
+PUNCTUATION = _IS_SPACE.copy()
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _SAME = np.arange(256, dtype=np.uint8)
@@ -103,13 +107,13 @@ class Words:
         return mix(h + (high - low).astype(_U))
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
-    """The words of each text; ``lower`` maps A-Z only."""
+def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Words:
+    """The words of each text, cut at the bytes of ``space``; ``lower`` maps A-Z only."""
     data, offsets = text_bytes(column)
     n = len(data)
     if not n:
         return Words(data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64))
-    dark = ~_IS_SPACE[data]
+    dark = ~space[data]
     edge = np.ones(n + 1, bool)  # edge[i]: no word goes on from i-1 to i
     np.logical_not(dark[:-1] & dark[1:], out=edge[1:-1])
     edge[offsets] = True

@@ -31,10 +31,6 @@ DECAY = 2e-4
 REMEMBERED = 400_000
 
 _U = np.uint64
-# Characters that words are cut at besides white space, so that "word," and "word" are one.
-_EDGE = np.zeros(256, bool)
-_EDGE[list(b"\t\n\x0b\x0c\r !\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~")] = True
-
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, first): the hashed features of each word are bucket[first[i]:first[i+1]]: the word
@@ -65,17 +61,7 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct lower-cased words of a block of texts, the number of each word in it, and the first
     word of each text."""
     lowered = pa.compute.utf8_lower(texts.fill_null("") if texts.null_count else texts)
-    data, at = kernel.text_bytes(lowered)
-    dark = ~_EDGE[data]
-    n = len(data)
-    if not n:
-        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    edge = np.ones(n + 1, bool)
-    np.logical_not(dark[:-1] & dark[1:], out=edge[1:-1])
-    edge[at] = True
-    starts = np.flatnonzero(dark & edge[:-1])
-    ends = np.flatnonzero(dark & edge[1:]) + 1
-    w = kernel.Words(data[dark], np.r_[0, np.cumsum(ends - starts)].astype(np.int64), np.searchsorted(starts, at))
+    w = kernel.words(lowered, lower=False, space=kernel.PUNCTUATION)
     coded = w.arrow().dictionary_encode()
     return coded.dictionary.cast(pa.string()), np.asarray(coded.indices), w.first
 
