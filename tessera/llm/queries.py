@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as _decontaminate
+from tessera.llm import line_dedup as _line_dedup
 from tessera.llm import mixing as _mixing
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "removed_lines", "removed_words", "n_links", "owner", "text")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +54,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk)}
 ORACLE: dict[str, str] = {
     "op8_mixing": """
 WITH d AS (
