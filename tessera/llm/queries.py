@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as _decontaminate
 from tessera.llm import line_dedup as _line_dedup
+from tessera.llm import minhash as _minhash
 from tessera.llm import mixing as _mixing
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
@@ -54,7 +55,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk, op10_minhash)}
 ORACLE: dict[str, str] = {
     "op8_mixing": """
 WITH d AS (
