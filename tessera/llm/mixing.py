@@ -87,4 +87,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     a = F.col("ramp")
     time = F.when(a == 0, x).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a))
     out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.when(passes[0] > 0, time).alias("position"))
-    return out.orderBy("position")
+    return out.orderBy("position", id_col)  # the id deals out rows that are not taken
