@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as _decontaminate
 from tessera.llm import line_dedup as _line_dedup
+from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
 from tessera.llm import mixing as _mixing
 from tessera.llm import token_counts as _tokens
@@ -47,6 +48,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op8_mixing, op9_exact_topk, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash)}
 ORACLE: dict[str, str] = {
     "op8_mixing": """
 WITH d AS (
