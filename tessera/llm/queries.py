@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as _decontaminate
+from tessera.llm import licenses as _licenses
 from tessera.llm import line_dedup as _line_dedup
 from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
@@ -44,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts have no paths of their own: a source is a tree, a language a directory in it."""
+    return _licenses.scan(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -64,8 +70,45 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op5_licenses, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash)}
+def _license_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(_licenses.ALL_TEMPLATES))
+    trigger, end, term = _licenses.TRIGGER, _licenses.SENTENCE_END, _licenses.TERM
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS v(template, license, notice)),
+tt AS (SELECT template, license, term, CAST(count(*) AS DOUBLE) AS tf
+       FROM (SELECT template, license, unnest(regexp_extract_all(lower(notice), '{term}')) AS term FROM t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS uid, doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+l AS (SELECT uid, regexp_split_to_array(text, '{end}') AS s FROM d WHERE regexp_matches(text, '{trigger}')),
+s AS (SELECT uid, unnest(s) AS sentence, unnest(generate_series(0, len(s) - 1)) AS pos FROM l),
+w AS (SELECT uid, pos, term, CAST(count(*) AS DOUBLE) AS tf
+      FROM (SELECT uid, pos, unnest(regexp_extract_all(lower(sentence), '{term}')) AS term FROM s WHERE regexp_matches(sentence, '{trigger}')) GROUP BY ALL),
+n AS (SELECT count(*) + {len(_licenses.ALL_TEMPLATES)} AS n FROM (SELECT DISTINCT uid, pos FROM w)),
+i AS (SELECT v.term, ln((1.0 + n) / (1.0 + t_df + coalesce(df, 0))) + 1 AS idf
+      FROM (SELECT term, count(*) AS t_df FROM tt GROUP BY 1) v
+      LEFT JOIN (SELECT term, count(*) AS df FROM w GROUP BY 1) f ON v.term = f.term, n),
+tw AS (SELECT template, license, tt.term, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN i USING (term)),
+m AS (SELECT uid, pos, w.term, tf, tf * coalesce(idf, ln((1.0 + n) / 2.0) + 1) AS w FROM w LEFT JOIN i USING (term), n),
+g AS (SELECT uid, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n FROM m GROUP BY 1, 2),
+c AS (SELECT m.uid, m.pos, template, license, g.n, round(sum(w * tw) / (norm * t_norm), 6) AS cosine
+      FROM m JOIN tw USING (term) JOIN g ON g.uid = m.uid AND g.pos = m.pos GROUP BY m.uid, m.pos, template, license, g.n, norm, t_norm),
+b AS (SELECT *, row_number() OVER (PARTITION BY uid, pos ORDER BY cosine DESC, template) AS r FROM c WHERE cosine >= {_licenses.LEAST_COSINE}),
+o AS (SELECT *, sum(n) OVER (PARTITION BY uid) AS told, row_number() OVER (PARTITION BY uid ORDER BY cosine DESC, pos) AS q FROM b WHERE r = 1),
+k AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, o.license, o.cosine AS score,
+             coalesce(told >= {_licenses.FILE_SHARE} * len(regexp_extract_all(lower(text), '{term}')), false) AS is_file
+      FROM d LEFT JOIN o ON o.uid = d.uid AND o.q = 1),
+u AS (SELECT dir, license, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) AS r FROM k WHERE is_file),
+h AS (SELECT x.dir, u.license, u.score, row_number() OVER (PARTITION BY x.dir ORDER BY length(u.dir) DESC) AS r
+      FROM (SELECT DISTINCT dir FROM k) x JOIN u ON u.r = 1 AND (u.dir = x.dir OR u.dir = '' OR starts_with(x.dir, u.dir || '/')))
+SELECT doc_id, path, coalesce(k.license, h.license) AS license,
+       CASE WHEN is_file THEN 'file' WHEN k.license IS NOT NULL THEN 'header' WHEN h.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
+       coalesce(k.score, h.score) AS score
+FROM k LEFT JOIN h ON h.dir = k.dir AND h.r = 1
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op5_licenses": _license_sql(),
     "op8_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
