@@ -186,7 +186,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*more)
     text = F.col(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False))), "\n")
-    joined = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
+    # always a merge join: what is shuffled then follows the input alike at every size
+    joined = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_id"), "left")
     return joined.select(
         *[F.when(F.col("_mask").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"),
