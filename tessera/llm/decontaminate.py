@@ -20,6 +20,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
 #: Bits of the filter that most n-grams of a text stop at.
 FILTER_BITS = 24
+#: Ids of leaking texts up to which they are broadcast (about 20 bytes each).
+BROADCAST_ROWS = 500_000
 #: Pairs aligned at once.
 ALIGN_BATCH = 256
 
@@ -223,6 +225,16 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str, threshold:
     return scored.groupBy("text_no", "item_no").agg(best).select("m.*")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
+    """The rows of ``docs`` in whose text no benchmark item is found.  A found leak takes all rows of
+    its id with it; rows with a null id stay."""
+    found = leaks(docs, benchmark, id_col, **limits).select(F.col(id_col).alias("_leak")).where(F.col("_leak").isNotNull()).distinct()
+    found = work.written(found, "leaks")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
+
+
 def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:
     """For each (n-gram, holder) pair whether the n-gram is a seed of that item: held by no more texts
     than the item's median n-gram."""

@@ -196,3 +196,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("removed_words", "n_links")],
         "owner",
     )
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **limits) -> DataFrame:
+    """``line_dedup`` with the columns of ``docs`` only; ``length_col``, where there is one, follows the
+    text of the rows that lost lines."""
+    done = line_dedup(docs, id_col, text_col, **limits)
+    if length_col not in docs.columns:
+        return done.select(*docs.columns)
+    length = F.when(F.col("removed_lines") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return done.select(*[length.alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])

@@ -19,6 +19,8 @@ BANDS, BAND_ROWS = 32, 5
 #: and in more than this many less than once in 10**8 (6 standard deviations).
 MOST_DIFFERENT = 70
 SKETCH_WORDS = BANDS * BAND_ROWS * 2 // 64
+#: Ids of documents to drop up to which they are broadcast (about 20 bytes each).
+LOOSE_ROWS = 500_000
 #: Text keys up to which the table of texts to verify is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 100_000
 #: Bits that bound how many dyadic intervals a weight's axis is cut into.
@@ -257,5 +259,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows that repeat that id, one).  Rows with a null id or null text all stay."""
     classes = near_duplicates(docs, id_col, text_col, **limits)
     loose = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_loose")).distinct()
-    kept = docs.join(loose, F.col(id_col) == F.col("_loose"), "left_anti")
-    return kept
+    loose = work.written(loose, "loose")
+    if loose.count() <= LOOSE_ROWS:
+        loose = F.broadcast(loose)
+    return docs.join(loose, F.col(id_col) == F.col("_loose"), "left_anti")

@@ -245,3 +245,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col, label_col)
     done = score(docs, model, id_col, text_col, threshold=threshold)
     return done.select(id_col, F.coalesce(~learns(id_col), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """The rows and columns of ``docs`` that score below ``threshold``."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # so that no column clashes with the score's
+    scored = score(docs.toDF(*plain), model, text_col=plain[names.index(text_col)], keep=plain, threshold=threshold)
+    return scored.where("predicted = 0").select(*[F.col(p).alias(n) for p, n in zip(plain, names)])
