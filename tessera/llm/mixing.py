@@ -16,8 +16,6 @@ from tessera.llm import work
 #: Rows of one source that a bucket of the running sums holds on average, and the most hex digits of
 #: the order key that name a bucket.
 BUCKET_ROWS, MOST_DIGITS = 256, 5
-#: Rows of the table of buckets up to which it is broadcast (about 60 bytes each).
-BROADCAST_ROWS = 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -73,12 +71,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = per.select("source", "bucket", offset.alias("offset")).alias("p").join(plan.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source")))
     at = at.select(F.col("p.source").alias("b_source"), F.col("bucket").alias("b_bucket"), "offset", "source_size", "target", ramp.alias("ramp"))
-    if per.count() <= BROADCAST_ROWS:
-        at = F.broadcast(at)
 
     running = Window.partitionBy("source", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    placed = placed.join(at, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    placed = placed.join(at.hint("merge"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     start = F.col("offset") + F.col("inside")
     due = F.round("target").cast("long")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), due - start - F.col("source_size") * p)) for p in range(most_times)]
