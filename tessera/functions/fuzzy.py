@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,19 +26,25 @@ def greedy_distinct(values: list[str], threshold: float = 0.8) -> list[str]:
     return kept
 
 
-@F.pandas_udf("array<string>")
-def near_distinct(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: [] if x is None else greedy_distinct([v for v in x if v is not None]))
+def near_distinct(lists: Column | str) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [] if v is None else greedy_distinct([w for w in v if w is not None]))
 
+    return F.pandas_udf(run, "array<string>")(lists)
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
+def similarity(a: Column | str, b: Column | str) -> Column:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or w is None else ratio(v, w) for v, w in zip(x, y)], dtype="float64")
 
-@F.pandas_udf("string")
-def unescape(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else _unescape(t))
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def unescape(text: Column | str) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else _unescape(v))
+
+    return F.pandas_udf(run, "string")(text)
 
 
 class _Text(HTMLParser):
@@ -67,9 +74,11 @@ def page_text(html: str | None) -> str:
     return " ".join(" ".join(parser.parts).split())
 
 
-@F.pandas_udf("string")
-def html_text(pages: pd.Series) -> pd.Series:
-    return pages.map(page_text)
+def html_text(pages: Column | str) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(page_text)
+
+    return F.pandas_udf(run, "string")(pages)
 
 
 def mmr(query: np.ndarray, candidates: np.ndarray, k: int, diversity: float = 0.8) -> list[int]:

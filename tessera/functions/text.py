@@ -146,8 +146,12 @@ def experience_mentions(x: Text, patterns: Sequence[str] = EXPERIENCE) -> Column
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), 0) for p in patterns])))
 
 
+def grams(words: Text, n: int) -> Column:
+    """All runs of n words, in order, repeats included."""
+    w = col(words)
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(words: Text, low: int = 1, high: int = 3) -> Column:
     """Distinct n-grams of an array of words, sorted; they bridge words removed before."""
-    w = col(words)
-    parts = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in range(low, high + 1)]))))

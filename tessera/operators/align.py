@@ -40,6 +40,11 @@ class Weights:
 LEGACY = Weights(0.35, 0.35, 0.30, gain=0.0, loss=0.20, clamped=False)
 
 
+def rounded(x: Column | str, places: int = 4) -> Column:
+    """Rounded after dropping the last bits, which depend on the order of a sum."""
+    return F.round(F.round(x, 10), places)
+
+
 def family_profiles(jobs: DataFrame, code: str | Column = "code", title: str | Column = "title", good: str = "is_good_job", skills: str = "skills", distinct: bool = False) -> tuple[DataFrame, DataFrame]:
     """(families, skills): one row per family, and one per family and skill.
 
@@ -102,7 +107,7 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     that order: its first ``n + matches`` rows hold enough of them whatever the module matched.
     """
     scored = pair_scores(mine, theirs, key, k, weights)
-    scored = scored.select(key, "code", "overlap_count", "overlap", *[F.round(c, 4).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], F.round("score", 4).alias("score"), F.col("score").alias("raw"))
+    scored = scored.select(key, "code", "overlap_count", "overlap", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
     order = [F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), F.asc("code")]
     best = scored.join(families, "code").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     matched = best.where(F.col("rank") <= n)
@@ -120,7 +125,7 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     if not weights.clamped:
         # without clamping a weak overlap can score below 0 but never below no overlap at all
         both = both.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return both.withColumn("quality", F.round(F.col("raw") * F.col("good_job_pct"), 4)).drop("raw")
+    return both.withColumn("quality", rounded(F.col("raw") * F.col("good_job_pct"))).drop("raw")
 
 
 def module_metrics(modules: DataFrame, matches: DataFrame, key: str = "module_id", n: int = 3) -> DataFrame:
@@ -130,12 +135,12 @@ def module_metrics(modules: DataFrame, matches: DataFrame, key: str = "module_id
         F.sum(F.when(F.col("rank") <= n, F.col("score") * F.col("good_job_pct"))).alias("weighted"),
         F.sum(F.when(F.col("rank") <= n, F.col("score"))).alias("weight"),
     )
-    pct = F.when(F.col("weight") > 0, F.round(F.col("weighted") / F.col("weight"), 4)).otherwise(0.0)
+    pct = F.when(F.col("weight") > 0, rounded(F.col("weighted") / F.col("weight"))).otherwise(0.0)
     return modules.join(top, key, "left").withColumn("top3_pct", F.when(F.col("weight").isNotNull(), pct)).drop("weighted", "weight")
 
 
 def _rates(denominator: Column) -> list[Column]:
-    mean = lambda c: F.coalesce(F.round(F.sum(c) / F.nullif(denominator, F.lit(0)), 4), F.lit(0.0))
+    mean = lambda c: F.coalesce(rounded(F.sum(c) / F.nullif(denominator, F.lit(0))), F.lit(0.0))
     return [mean("top1_score").alias("average_top1_score"), mean("top1_good_job_pct").alias("average_top1_good_job_pct"), mean("top1_quality").alias("average_top1_quality"), mean("top3_pct").alias("average_top3_pct")]
 
 
@@ -174,7 +179,7 @@ def rerank_listings(matches: DataFrame, mine: DataFrame, listings: DataFrame, ke
     theirs = weighted(jobs.select(F.col("job_id").alias("code"), F.explode(F.array_distinct("skills")).alias("skill")).groupBy("code", "skill").agg(F.count("*").alias("cnt")), "code")
     scored = pair_scores(mine, theirs, key, k, weights).withColumnRenamed("code", "job_id")
     scored = scored.join(jobs.select("job_id", F.col("code").alias("family")), "job_id").join(inside, [key, "family"], "left_semi")
-    scored = scored.select(key, "family", "job_id", "overlap_count", F.round("score", 4).alias("score"))
+    scored = scored.select(key, "family", "job_id", "overlap_count", rounded("score").alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), "job_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

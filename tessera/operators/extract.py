@@ -62,7 +62,7 @@ def merged(*lists: Column | str, n: int = 10) -> Column:
 def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = text.STOP_WORDS, most_chars: int = 2500) -> DataFrame:
     """n-grams of 1 to 3 words of a text's first ``most_chars`` characters, stop words left out before."""
     words = F.filter(F.split(text.search_key(F.left(F.col(body), F.lit(most_chars))), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
-    return rows.select(key, text.ngrams(words).alias("candidates"))
+    return rows.select(key, words.alias("_words")).select(key, text.ngrams("_words").alias("candidates"))
 
 
 def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedder: Embedder, n: int = 30, diversity: float | None = None) -> DataFrame:
@@ -127,4 +127,4 @@ def phrase_clusters(phrases: DataFrame, phrase: str, weight: str, vector: str, l
         return pd.DataFrame({"cluster": label.astype("int64"), phrase: pdf[phrase].to_numpy(), "support": pd.Series(pdf[weight].to_numpy()).groupby(label).transform("sum").astype("int64")})
 
     kind = phrases.schema[phrase].dataType.simpleString()
-    return phrases.select(phrase, weight, vector).groupBy(F.lit(1)).applyInPandas(run, f"cluster bigint, `{phrase}` {kind}, support bigint")
+    return phrases.select(phrase, weight, vector).withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, f"cluster bigint, `{phrase}` {kind}, support bigint")

@@ -24,8 +24,8 @@ def valid_phrase(x: Column | str, stop: Sequence[str] = text.STOP_WORDS, actions
 
 def phrase_counts(rows: DataFrame, key: str, words: Column | str, low: int = 1, high: int = 3) -> DataFrame:
     """(phrase, freq, docs) of all n-grams of a text's words."""
-    w = text.col(words)
-    grams = F.flatten(F.array(*[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
+    rows = rows.select(key, text.col(words).alias("_words"))  # inside a lambda it would be made anew for every n-gram
+    grams = F.flatten(F.array(*[text.grams("_words", n) for n in range(low, high + 1)]))
     each = rows.select(key, F.explode(grams).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
     return each.groupBy("phrase").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"))
 

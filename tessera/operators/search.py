@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators.align import Weights, pair_scores, weighted
+from tessera.operators.align import Weights, pair_scores, rounded, weighted
 
 # Names of schools, hints of little experience, single words too general to be a skill.
 SCHOOLS: Mapping[str, tuple[str, ...]] = {"NUS": ("nus", "national university of singapore"), "NTU": ("ntu", "nanyang technological university"), "SUTD": ("sutd", "singapore university of technology and design")}
@@ -157,7 +157,7 @@ def recommend(modules: DataFrame, profile: DataFrame, intent: Intent, key: str =
     told = lambda s: F.exists(F.lit([s, *ALIASES.get(s, ())]), lambda a: F.contains(body, a))
     cover = sum((told(s).cast("int") for s in intent.skills), F.lit(0)) / len(intent.skills) if intent.skills else none
     relevance = cover * 0.5 + overlap * 0.35 + F.when(overlap == 1.0, 0.15).otherwise(0.0)
-    out = scored.select(key, "source", F.round("score", 4).alias("alignment_score"), F.round(F.col("score") * 0.7 + relevance * 0.3, 4).alias("recommendation_score"), F.round(relevance, 4).alias("query_relevance_score"), *[F.round(c, 4).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], F.slice("overlap", 1, 6).alias("matched_skills"), met.alias("matched_title_terms"))
+    out = scored.select(key, "source", rounded("score").alias("alignment_score"), rounded(F.col("score") * 0.7 + relevance * 0.3).alias("recommendation_score"), rounded(relevance).alias("query_relevance_score"), *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], F.slice("overlap", 1, 6).alias("matched_skills"), met.alias("matched_title_terms"))
     if intent.plain or intent.skills:
         out = out.where((F.col("query_relevance_score") > 0) | (F.col("coverage") >= 0.3))
     return out.orderBy(F.desc("recommendation_score"), F.desc("alignment_score"), F.desc("coverage"), F.desc("jaccard"), key).limit(n)
