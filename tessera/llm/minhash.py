@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel, work
@@ -15,10 +16,8 @@ from tessera.llm import kernel, work
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
-#: Sketches have two bits of each register.  A pair at the threshold differs in 32 of 320 on average,
-#: and in more than this many less than once in 10**8 (6 standard deviations).
-MOST_DIFFERENT = 70
-SKETCH_WORDS = BANDS * BAND_ROWS * 2 // 64
+#: Members of a bucket that one task compares with as many others at once.
+CHUNK = 1024
 #: Ids of documents to drop up to which they are broadcast (about 20 bytes each).
 LOOSE_ROWS = 500_000
 #: Text keys up to which the table of texts to verify is broadcast (about 60 bytes each).
@@ -95,15 +94,6 @@ def bag_minhash(text: np.ndarray, gram: np.ndarray, times: np.ndarray, n_texts:
     return out.reshape(n_texts, m)
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets, each (sorted shingles, times)."""
-    at = np.searchsorted(b[0], a[0])
-    at[at == len(b[0])] = 0
-    same = b[0][at] == a[0]
-    low = np.minimum(a[1][same], b[1][at[same]]).sum()
-    return float(low / (a[1].sum() + b[1].sum() - low))
-
-
 def _sign(bands: int, rows: int, shingle: int):
     m = bands * rows
 
@@ -116,43 +106,40 @@ def _sign(bands: int, rows: int, shingle: int):
                 band = np.zeros((b - a, bands), _U)
                 for r in range(rows):
                     band = kernel.mix(band * _U(31) + mixed[:, r::rows] + _U(r))
-                two = np.stack([mixed & _U(1), mixed >> _U(1) & _U(1)], axis=2).reshape(b - a, -1).astype(np.uint8)
-                two = np.pad(two, ((0, 0), (0, -two.shape[1] % 64)))
-                sketch = np.packbits(two, axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
-                size = np.bincount(text, times, b - a).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), lists, *(pa.array(np.ascontiguousarray(x)) for x in sketch.T)], ["text_key", "size", "bands", *(f"s{i}" for i in range(sketch.shape[1]))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["text_key", "bands"])
 
     return sign
 
 
-def _verify(shingle: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(shingle: int):
+    """Texts to their multisets as sets: each repeat of a shingle is an element of its own, so the size
+    of an intersection is the sum of the lesser counts."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            left, right = batch.column(2), batch.column(3)
-            la, ra = kernel.text_bytes(left)[1], kernel.text_bytes(right)[1]
-            low = 0
-            while low < batch.num_rows:  # as many pairs at once as a block of text holds
-                high = max(low + 1, min(int(np.searchsorted(la + ra, (la + ra)[low] + kernel.BLOCK_BYTES, "right")) - 1, batch.num_rows))
-                sides = []
-                for column in (left, right):
-                    text, gram, times = shingles(column.slice(low, high - low), shingle)
-                    first = np.searchsorted(text, np.arange(high - low + 1))
-                    sides.append([(gram[i:j], times[i:j]) for i, j in zip(first[:-1], first[1:])])
-                out[low:high] = [jaccard(x, y) for x, y in zip(*sides)]
-                low = high
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
-
-    return verify
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+            for a, b in kernel.blocks(batch.column(1)):
+                text, gram, times = shingles(batch.column(1).slice(a, b - a), shingle)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                element = kernel.mix(np.repeat(gram, times) + nth.astype(_U) * _U(0x9E3779B97F4A7C15))
+                first = np.r_[0, np.cumsum(np.bincount(text, times, b - a))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first), pa.array(element.view(np.int64)))], ["text_key", "grams"])
+
+    return grams
+
+
+def _overlap(a: str, b: str, least: float) -> Column:
+    """Whether two multisets have a weighted Jaccard similarity of ``least`` or more."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both) >= least
+
+
+def _similar(pairs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     """(a, b, similar) for pairs of text keys, by the exact weighted Jaccard of their texts."""
-    one = texts.select(F.col("text_key").alias("ka"), F.col("text").alias("ta"))
-    two = texts.select(F.col("text_key").alias("kb"), F.col("text").alias("tb"))
-    both = pairs.join(two, F.col("b") == F.col("kb")).select("a", "b", "tb").join(one, F.col("a") == F.col("ka")).select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(shingle), "a string, b string, similarity double").select("a", "b", (F.col("similarity") >= least).alias("similar"))
+    one = wanted.select(F.col("text_key").alias("ka"), F.col("grams").alias("ga"))
+    two = wanted.select(F.col("text_key").alias("kb"), F.col("grams").alias("gb"))
+    both = pairs.join(two, F.col("b") == F.col("kb")).select("a", "b", "gb").join(one, F.col("a") == F.col("ka"))
+    return both.select("a", "b", _overlap("ga", "gb", least).alias("similar"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,15 +175,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every pair of nodes that shares a band is compared, or connected already: first each member of a
     bucket with the bucket's least member, then those that differ from it with all other members.
-    Pairs are never made from a bucket as a whole, nor for exact copies.
+    The second comparison gives a row only for a link between different components, so no bucket is
+    ever emitted as pairs; its time is members that differ times members.
     """
     key = F.md5(F.col(text_col).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("text_key"))
     texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("text_key"), F.col(text_col).alias("text"))
-    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
 
-    signed = texts.mapInArrow(_sign(BANDS, BAND_ROWS, shingle), "text_key string, size bigint, bands array<bigint>, " + ", ".join(f"{x} bigint" for x in bits))
-    signed = work.written(signed.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("size", "bands", *bits)]), "signatures")
+    signed = texts.mapInArrow(_sign(BANDS, BAND_ROWS, shingle), "text_key string, bands array<bigint>")
+    signed = work.written(signed.groupBy("text_key").agg(F.first("bands").alias("bands")), "signatures")
     nodes = signed.select("text_key", F.posexplode("bands").alias("band", "h"))
     buckets = nodes.groupBy("band", "h").agg(F.min("text_key").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("hb"), F.col("h").alias("hh"), "head")
     members = work.written(nodes.join(buckets, (F.col("band") == F.col("hb")) & (F.col("h") == F.col("hh"))).select("text_key", "band", "h", "head"), "members")
@@ -209,33 +196,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = one(texts.join(F.broadcast(busy), is_busy, "left_semi"))
     else:
         wanted = one(texts).join(busy, is_busy, "left_semi")
-    wanted = work.written(wanted, "texts")
+    wanted = work.written(wanted.select("text_key", "text").mapInArrow(_grams(shingle), "text_key string, grams array<bigint>"), "grams")
 
     # each member with the least head of its buckets
-    done = work.written(_similar(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), wanted, least, shingle), "verified")
+    done = work.written(_similar(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), wanted, least), "verified")
     roots = components(done.where("similar").select("a", "b"))
     # the other heads, as far as they are not connected yet
     rest = stars.join(done.select(F.col("a").alias("da"), F.col("b").alias("db")), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
-    rest = work.written(_similar(_apart(rest, roots), wanted, least, shingle), "verified")
+    rest = work.written(_similar(_apart(rest, roots), wanted, least), "verified")
     done = done.unionAll(rest)
     roots = components(done.where("similar").select("a", "b"))
     # members that differ from a head meet the other members of that bucket
     failed = work.written(_apart(done.where("not similar").select("a", "b"), roots), "failed")
     if not failed.isEmpty():
-        label = roots.select(F.col("node").alias("l_key"), "root")
-        rooted = signed.join(label, F.col("text_key") == F.col("l_key"), "left").select(F.col("text_key").alias("key"), "size", F.coalesce("root", "text_key").alias("root"), *bits)
-        odd = members.join(failed, (F.col("head") == F.col("a")) & (F.col("text_key") == F.col("b"))).select("text_key", F.col("band").alias("xb"), F.col("h").alias("xh"))
-        odd = odd.join(rooted, F.col("text_key") == F.col("key")).select("xb", "xh", *[F.col(c).alias(f"x_{c}") for c in ("key", "size", "root", *bits)])
-        odd = work.written(odd, "odd")
-        cold = members.join(odd.select("xb", "xh").distinct(), (F.col("band") == F.col("xb")) & (F.col("h") == F.col("xh")), "left_semi").select("text_key", "band", "h")
-        cold = cold.join(rooted, F.col("text_key") == F.col("key")).select("band", "h", *[F.col(c).alias(f"y_{c}") for c in ("key", "size", "root", *bits)])
-        differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits[1:]), F.bit_count(F.col(f"x_{bits[0]}").bitwiseXOR(F.col(f"y_{bits[0]}"))))
-        fits = (F.col("x_root") != F.col("y_root")) & (F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * least) & (differ <= MOST_DIFFERENT)
-        met = odd.join(cold, (F.col("xb") == F.col("band")) & (F.col("xh") == F.col("h")) & fits)
-        met = met.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
-        met = met.join(done.select(F.col("a").alias("da"), F.col("b").alias("db")), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
-        done = done.unionAll(work.written(_similar(met, wanted, least, shingle), "verified"))
-        roots = components(done.where("similar").select("a", "b"))
+        met = work.written(_meet(members, failed, roots, wanted, least), "met")
+        if not met.isEmpty():
+            roots = components(done.where("similar").select("a", "b").unionAll(met))
 
     copies = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("id").alias("least_id"))
     classed = copies.join(roots, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("c_key"), "n_copies", "least_id", F.coalesce("root", "text_key").alias("root"))
@@ -246,6 +222,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.when(F.col("text_key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
+def _meet(members: DataFrame, failed: DataFrame, roots: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components that a failed pair's member has inside the bucket it failed in.
+
+    Every such member is compared with every other member of the bucket, exactly.  Large buckets fall
+    into chunks on both sides, one task's work being a chunk against a chunk; of all links that a chunk
+    pair holds between two components one comes out.
+    """
+    odd = members.join(failed, (F.col("head") == F.col("a")) & (F.col("text_key") == F.col("b"))).select("text_key", "band", "h")
+    odd = work.written(odd, "odd")
+    size = odd.groupBy(F.col("band").alias("zb"), F.col("h").alias("zh")).agg(F.count("*").alias("n_odd"))
+    here = (F.col("band") == F.col("zb")) & (F.col("h") == F.col("zh"))
+    full = members.join(size, here).groupBy("zb", "zh").agg(F.count("*").alias("n_all"), F.first("n_odd").alias("n_odd"))
+    full = work.written(full.select("zb", "zh", F.ceil(F.col("n_odd") / CHUNK).cast("int").alias("cx"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("cy")), "buckets")
+
+    def side(rows: DataFrame, own: str, other: str, is_odd: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("text_key"), F.col(own))
+        spread = rows.join(full, here).select("text_key", "zb", "zh", mine.alias("m"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("o"))
+        x, y = ("m", "o") if is_odd else ("o", "m")
+        return spread.select(F.xxhash64("zb", "zh", x, y).alias("group"), F.lit(is_odd).alias("odd"), F.col("text_key").alias("key"))
+
+    rows = side(odd, "cx", "cy", True).unionAll(side(members.select("text_key", "band", "h"), "cy", "cx", False))
+    rows = rows.join(wanted, F.col("key") == F.col("text_key")).drop("text_key").join(roots, F.col("key") == F.col("node"), "left")
+    rows = rows.select("group", "odd", "key", F.coalesce("root", "key").alias("root"), "grams")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            group = np.asarray(batch.column(0))
+            if held and len(group) and held[-1]["group"][-1].as_py() != group[0]:
+                yield from _links(pa.concat_tables(held), least)
+                held = []
+            cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+            for i, j in zip([0, *cut], [*cut, len(group)]):
+                held.append(table.slice(i, j - i))
+                if j < len(group):
+                    yield from _links(pa.concat_tables(held), least)
+                    held = []
+        if held:
+            yield from _links(pa.concat_tables(held), least)
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a string, b string").distinct()
+
+
+def _links(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """One link for each two components that a row marked odd and another row of the table join."""
+    odd = np.asarray(table["odd"].combine_chunks())
+    root, label = np.unique(np.asarray(table["root"].to_pylist(), object).astype(str), return_inverse=True)
+    if len(root) < 2 or not odd.any():
+        return
+    lists = table["grams"].combine_chunks()
+    sizes = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+    flat = np.asarray(lists.flatten())
+    first = np.r_[0, np.cumsum(sizes)]
+    theirs = np.flatnonzero(~odd)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    keep = ~odd[owner]
+    order = np.argsort(flat[keep], kind="stable")
+    gram, holder = flat[keep][order], owner[keep][order]
+    found = set()
+    for x in np.flatnonzero(odd):
+        mine = flat[first[x] : first[x + 1]]
+        low, high = np.searchsorted(gram, mine, "left"), np.searchsorted(gram, mine, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(holder[at], minlength=len(sizes))[theirs]
+        hit = theirs[(both / (sizes[x] + sizes[theirs] - both) >= least) & (label[theirs] != label[x])]
+        found |= {(int(min(label[x], r)), int(max(label[x], r))) for r in np.unique(label[hit])}
+    if found:
+        a, b = zip(*sorted(found))
+        yield pa.RecordBatch.from_arrays([pa.array(root[list(a)].astype(str).tolist(), pa.string()), pa.array(root[list(b)].astype(str).tolist(), pa.string())], ["a", "b"])
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose two sides are not in one component yet."""
     left = roots.select(F.col("node").alias("na"), F.col("root").alias("ra"))
