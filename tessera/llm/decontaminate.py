@@ -15,6 +15,8 @@ from tessera.llm import kernel, work
 
 #: Words of a seed; words of benchmark items in one pass over the texts (broadcast: 8 bytes each).
 SEED_WORDS, BLOCK_WORDS = 4, 1 << 20
+#: An n-gram in more texts than this many times the item's median n-gram is a common phrase, no seed.
+RARE = 4
 #: Smith-Waterman scores, and the share of an item's best possible score that marks a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
@@ -127,8 +129,8 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = LEAK, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item, score, begin, end): a row for each text and benchmark item found in it.
 
-    Seeds are an item's n-grams that are held by no more texts than its median n-gram is, so an item
-    keeps half of its n-grams at least, however common the item itself is.  A text that holds a seed is
+    Seeds are an item's n-grams that are held by at most ``RARE`` times as many texts as its median
+    n-gram is, so an item keeps half of its n-grams at least, however common the item itself is.  A text that holds a seed is
     aligned around it with the item; ``score`` is the Smith-Waterman score over the best possible for
     the item, a leak from ``threshold``; ``begin`` and ``end`` are word places of the best match.
 
@@ -236,8 +238,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
 
 
 def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:
-    """For each (n-gram, holder) pair whether the n-gram is a seed of that item: held by no more texts
-    than the item's median n-gram."""
+    """For each (n-gram, holder) pair whether the n-gram is a seed of that item: held by at most RARE
+    times as many texts as the item's median n-gram."""
     gram = np.repeat(np.arange(len(items.seed)), np.diff(items.first))
     value = often[gram]
     out = np.zeros(len(gram), bool)
@@ -246,7 +248,7 @@ def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:
     for i in range(len(items.words)):
         own = order[start[i] : start[i + 1]]
         if len(own):
-            out[own] = value[own] <= value[own[(len(own) - 1) // 2]]
+            out[own] = value[own] <= RARE * value[own[(len(own) - 1) // 2]]
     return out
 
 

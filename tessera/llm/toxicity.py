@@ -44,7 +44,8 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashed, who = [], []
     rolling = np.zeros(len(codes), _U)
     for k in range(max(GRAMS)):
-        rolling[: len(codes) - k] = rolling[: len(codes) - k] * _U(1_000_003) + codes[k:] + _U(1)
+        m = max(0, len(codes) - k)
+        rolling[:m] = rolling[:m] * _U(1_000_003) + codes[k:] + _U(1)
         if k + 1 in GRAMS:
             ok = left > k
             hashed.append(rolling[ok] + _U(k + 1))
