@@ -240,7 +240,7 @@ def _meet(members: DataFrame, failed: DataFrame, roots: DataFrame, wanted: DataF
         mine = F.pmod(F.xxhash64("text_key"), F.col(own))
         spread = rows.join(full, here).select("text_key", "zb", "zh", mine.alias("m"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("o"))
         x, y = ("m", "o") if is_odd else ("o", "m")
-        return spread.select(F.xxhash64("zb", "zh", x, y).alias("group"), F.lit(is_odd).alias("odd"), F.col("text_key").alias("key"))
+        return spread.select(F.xxhash64("zb", "zh", F.col(x).cast("long"), F.col(y).cast("long")).alias("group"), F.lit(is_odd).alias("odd"), F.col("text_key").alias("key"))
 
     rows = side(odd, "cx", "cy", True).unionAll(side(members.select("text_key", "band", "h"), "cy", "cx", False))
     rows = rows.join(wanted, F.col("key") == F.col("text_key")).drop("text_key").join(roots, F.col("key") == F.col("node"), "left")
