@@ -28,7 +28,7 @@ WINDOW, PADDING = 128, 200
 #: Pull of every seen feature towards 0.
 DECAY = 2e-4
 #: Distinct words whose margins a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 60_000
 
 _U = np.uint64
 
@@ -213,21 +213,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        known: dict[str, tuple[float, int]] = {}
+        known: dict[str, int] = {}  # place in the remembered table
+        held = np.zeros((REMEMBERED, 2))
         for batch in batches:
             column = batch.column(len(keep))
             out = np.zeros(batch.num_rows)
             for a, b in kernel.blocks(column):
                 words, codes, first = split(column.slice(a, b - a))
                 texts = words.to_pylist()
-                new = [w for w in texts if w not in known]
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = texts
-                    m, f = model.word_margins(pa.array(new, pa.string()))
-                    known.update(zip(new, zip(m.tolist(), f.tolist())))
-                table = np.array([known[w] for w in texts], np.float64).reshape(-1, 2)
+                place = np.array([known.get(w, -1) for w in texts], np.int64)
+                table = held[place]
+                new = np.flatnonzero(place < 0)
+                if len(new):
+                    table[new] = np.stack(model.word_margins(words.take(pa.array(new))), axis=1)
+                    more = new[: REMEMBERED - len(known)]
+                    held[len(known) : len(known) + len(more)] = table[more]
+                    low = len(known)
+                    known.update((texts[i], low + k) for k, i in enumerate(more))
                 out[a:b] = logits(table, codes, first) + model.bias
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
