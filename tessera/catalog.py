@@ -586,14 +586,14 @@ def phrase_clusters(t):
 
 # ---------------------------------------------------------------- scope
 
-_PATTERNS = {"strong": ("\\bthe\\b", "\\bund\\b"), "weak": ("\\bthat\\b", "\\bwith\\b"), "blocked": ("\\bclown\\b",), "against": ("\\bof\\b",)}
+_PATTERNS = {"strong": ("(^|[^a-z0-9_])the([^a-z0-9_]|$)", "(^|[^a-z0-9_])und([^a-z0-9_]|$)"), "weak": ("(^|[^a-z0-9_])that([^a-z0-9_]|$)", "(^|[^a-z0-9_])with([^a-z0-9_]|$)"), "blocked": ("(^|[^a-z0-9_])clown([^a-z0-9_]|$)",), "against": ("(^|[^a-z0-9_])of([^a-z0-9_]|$)",)}
 
 
 def _signal_sql(x: str = "lower(coalesce(text, ''))") -> str:
-    return f"CASE WHEN regexp_matches({x}, '\\bclown\\b') THEN 0 ELSE 2 * (regexp_matches({x}, '\\bthe\\b')::INT + regexp_matches({x}, '\\bund\\b')::INT) + regexp_matches({x}, '\\bthat\\b')::INT + regexp_matches({x}, '\\bwith\\b')::INT END"
+    return f"CASE WHEN regexp_matches({x}, '(^|[^a-z0-9_])clown([^a-z0-9_]|$)') THEN 0 ELSE 2 * (regexp_matches({x}, '(^|[^a-z0-9_])the([^a-z0-9_]|$)')::INT + regexp_matches({x}, '(^|[^a-z0-9_])und([^a-z0-9_]|$)')::INT) + regexp_matches({x}, '(^|[^a-z0-9_])that([^a-z0-9_]|$)')::INT + regexp_matches({x}, '(^|[^a-z0-9_])with([^a-z0-9_]|$)')::INT END"
 
 
-_STEM_SQL = f"({_signal_sql()} >= 3 AND NOT (regexp_matches(lower(text), '\\bthe\\b')::INT + regexp_matches(lower(text), '\\bund\\b')::INT <= 1 AND regexp_matches(lower(text), '\\bof\\b')))"
+_STEM_SQL = f"({_signal_sql()} >= 3 AND NOT (regexp_matches(lower(text), '(^|[^a-z0-9_])the([^a-z0-9_]|$)')::INT + regexp_matches(lower(text), '(^|[^a-z0-9_])und([^a-z0-9_]|$)')::INT <= 1 AND regexp_matches(lower(text), '(^|[^a-z0-9_])of([^a-z0-9_]|$)')))"
 
 
 @query(f"SELECT doc_id, {_signal_sql()} AS signal, {_STEM_SQL} AS stem FROM documents")
@@ -746,7 +746,7 @@ def benchmark_join(t):
     return out.select("doc_id", benchmark.domain("text", buckets).alias("domain_bucket"), "description_snippet", F.array_join("label_skills", ",").alias("label_skills"), "review_notes", "review_skills")
 
 
-_EXP = ["[0-9]+\\s+", "the\\s+[a-z]{2}\\b", "fresh"]
+_EXP = ["[0-9]+\\s+", "the\\s+[a-z]{2}", "fresh"]
 
 
 @query("SELECT conv_id, turn, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), '|') AS mentions FROM (SELECT conv_id, turn, list_concat(" + ", ".join(f"regexp_extract_all(lower(coalesce(text, '')), '{p}')" for p in _EXP) + ") AS x FROM conversations)")
