@@ -73,14 +73,21 @@ def module_skills(modules: DataFrame, key: str = "module_id", skills: str = "ski
     return weighted(modules.select(key, F.explode(skills).alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("cnt")), key)
 
 
-def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, weights: Weights = Weights()) -> DataFrame:
+def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, weights: Weights = Weights(), inside: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """Scores, unrounded, of the pairs that share a skill: coverage of the family's k top skills,
-    weighted Jaccard, cosine, gap and the combined score."""
+    weighted Jaccard, cosine, gap and the combined score.
+
+    ``inside`` (key, within) restricts the pairs to those of which ``theirs`` has the same ``within``;
+    it is part of the join's key, so other pairs are never made.
+    """
     norm = lambda d, by, name: d.groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias(name))
     left = mine.join(norm(mine, key, "m_norm"), key).select(key, "skill", F.col("w").alias("mw"), "m_norm")
     top = theirs.groupBy("code").agg(F.sum(F.col("w") * F.col("w")).alias("f_norm"), F.least(F.count("*"), F.lit(k)).alias("top_n"), F.sum(F.when(F.col("rk") <= k, F.col("cnt"))).alias("top_cnt"))
-    right = theirs.join(top, "code").select("code", "skill", F.col("w").alias("fw"), "cnt", "rk", "f_norm", "top_n", "top_cnt")
-    pairs = left.join(right, "skill").groupBy(key, "code").agg(
+    also = [within] if within else []
+    right = theirs.join(top, "code").select("code", "skill", *also, F.col("w").alias("fw"), "cnt", "rk", "f_norm", "top_n", "top_cnt")
+    if inside is not None:
+        left = left.join(inside, key)
+    pairs = left.join(right, ["skill", *also]).groupBy(key, *also, "code").agg(
         F.count("*").alias("overlap_count"),
         F.array_sort(F.collect_list("skill")).alias("overlap"),
         F.sum(F.least("mw", "fw")).alias("shared"),
@@ -96,36 +103,37 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
     jaccard = F.col("shared") / (2 - F.col("shared"))  # both sides' weights sum to 1
     cosine = F.col("dot") / F.sqrt(F.col("m_norm") * F.col("f_norm"))
     gap = 1 - F.col("hit_cnt") / F.col("top_cnt")
-    return pairs.select(key, "code", "overlap_count", "overlap", coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
+    return pairs.select(key, *also, "code", "overlap_count", "overlap", coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
 
 
 def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights()) -> DataFrame:
     """The n best families of every module, by rounded score, overlap, job count and code.
 
-    A family without overlap scores 0 (with clamped weights), as every family does for a module
-    without skills; such families follow by job count and code.  They come from the families' list of
-    that order: its first ``n + matches`` rows hold enough of them whatever the module matched.
+    A family without overlap scores 0 (with clamped weights, else minus ``loss``, and no overlap scores
+    below that), as every family does for a module without skills; such families follow by job count
+    and code.
     """
     scored = pair_scores(mine, theirs, key, k, weights)
     scored = scored.select(key, "code", "overlap_count", "overlap", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
-    order = [F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), F.asc("code")]
-    best = scored.join(families, "code").withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    matched = best.where(F.col("rank") <= n)
-
-    # modules with fewer than n matches are filled from the largest families they do not match
-    have = scored.groupBy(key).agg(F.count("*").alias("have"), F.collect_set("code").alias("codes"))
-    short = modules.select(key).distinct().join(have, key, "left").where(F.coalesce("have", F.lit(0)) < n)
-    largest = families.orderBy(F.desc("job_count"), "code").limit(2 * n - 1)  # n - 1 matches at most are among them
-    fill = short.crossJoin(F.broadcast(largest)).where(~F.coalesce(F.array_contains("codes", F.col("code")), F.lit(False)))
-    zero = lambda v: F.lit(v).cast("double")
-    fill = fill.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("job_count"), "code")) + F.coalesce("have", F.lit(0))).where(F.col("rank") <= n)
-    columns = [key, "rank", "code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
-    filled = fill.select(key, "rank", "code", "title", "job_count", "good_job_count", "good_job_pct", F.lit(0).cast("long").alias("overlap_count"), F.array().cast("array<string>").alias("overlap"), zero(0).alias("coverage"), zero(0).alias("jaccard"), zero(0).alias("cosine"), zero(1).alias("gap"), zero(0 if weights.clamped or not weights.loss else -weights.loss).alias("score"), zero(0 if weights.clamped or not weights.loss else -weights.loss).alias("raw"))
-    both = matched.select(*columns).unionByName(filled)
-    if not weights.clamped:
-        # without clamping a weak overlap can score below 0 but never below no overlap at all
-        both = both.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return both.withColumn("quality", rounded(F.col("raw") * F.col("good_job_pct"))).drop("raw")
+    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), "code")
+    columns = ["code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
+    best = scored.join(families, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    matched = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("m")))), lambda s: s["m"]).alias("m"))
+
+    # what is missing to n comes from the largest families; n - 1 of them at most are matched already
+    zero = 0.0 if weights.clamped else -weights.loss
+    low = F.lit(zero).cast("double")
+    none = {"overlap_count": F.lit(0).cast("long"), "overlap": F.array().cast("array<string>"), **{c: F.lit(0.0) for c in ("coverage", "jaccard", "cosine")}, "gap": F.lit(1.0), "score": low, "raw": low}
+    empty = F.struct(*[none[c].alias(c) if c in none else F.col(c) for c in columns])
+    largest = families.orderBy(F.desc("job_count"), "code").limit(2 * n - 1).select(F.struct(-F.col("job_count"), "code").alias("o"), empty.alias("m"))
+    largest = largest.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda s: s["m"]).alias("fill"))
+    rows = modules.select(key).distinct().join(matched, key, "left").crossJoin(F.broadcast(largest))
+    have = F.coalesce(F.transform("m", lambda x: x["code"]), F.array().cast("array<string>"))
+    rows = rows.withColumn("have", have).select(key, "m", F.filter("fill", lambda x: ~F.array_contains("have", x["code"])).alias("fill"), F.size("have").alias("n_have"))
+    rest = F.slice("fill", 1, F.lit(n) - F.col("n_have"))
+    out = rows.select(key, F.posexplode(F.when(F.col("m").isNull(), rest).otherwise(F.concat("m", rest))).alias("pos", "x"))
+    out = out.select(key, (F.col("pos") + 1).alias("rank"), "x.*")
+    return out.withColumn("quality", rounded(F.col("raw") * F.col("good_job_pct"))).drop("raw")
 
 
 def module_metrics(modules: DataFrame, matches: DataFrame, key: str = "module_id", n: int = 3) -> DataFrame:
@@ -176,9 +184,9 @@ def rerank_listings(matches: DataFrame, mine: DataFrame, listings: DataFrame, ke
     """
     inside = matches.where(F.col("rank") <= families).select(key, F.col("code").alias("family"))
     jobs = listings.where(F.size("skills") > 0)
-    theirs = weighted(jobs.select(F.col("job_id").alias("code"), F.explode(F.array_distinct("skills")).alias("skill")).groupBy("code", "skill").agg(F.count("*").alias("cnt")), "code")
-    scored = pair_scores(mine, theirs, key, k, weights).withColumnRenamed("code", "job_id")
-    scored = scored.join(jobs.select("job_id", F.col("code").alias("family")), "job_id").join(inside, [key, "family"], "left_semi")
+    each = jobs.select(F.col("job_id").alias("code"), F.col("code").alias("family"), F.explode(F.array_distinct("skills")).alias("skill"))
+    theirs = weighted(each.groupBy("code", "skill").agg(F.count("*").alias("cnt"), F.first("family").alias("family")), "code")
+    scored = pair_scores(mine, theirs, key, k, weights, inside, "family").withColumnRenamed("code", "job_id")
     scored = scored.select(key, "family", "job_id", "overlap_count", rounded("score").alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), "job_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,8 +29,8 @@ def keyword_hits(rows: DataFrame, key: str, body: str, vocabulary: Sequence[str]
     """(key, skill, hits, rank): the chunks of a text that name each skill; the n best by hits, words
     and length.  Vocabularies are lists of fixed size, held as a literal."""
     parts = rows.select(key, F.explode(text.chunks(F.lower(body))).alias("chunk"))
-    words = F.lit(sorted(set(v.lower() for v in vocabulary)))
-    found = parts.select(key, F.explode(F.filter(words, lambda v: F.regexp_instr("chunk", F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace(v, "([^a-z0-9 ])", "\\\\$1"), F.lit("([^a-z0-9]|$)"))) > 0)).alias("skill"))
+    named = [F.when(F.col("chunk").rlike(f"(^|[^a-z0-9]){re.escape(v)}([^a-z0-9]|$)"), F.lit(v)) for v in sorted({v.lower() for v in vocabulary})]  # patterns compiled once
+    found = parts.select(key, F.explode(F.array_compact(F.array(*named))).alias("skill"))
     counts = found.groupBy(key, "skill").agg(F.count("*").alias("hits"))
     order = Window.partitionBy(key).orderBy(F.desc("hits"), F.desc(F.size(F.split("skill", " "))), F.desc(F.length("skill")), "skill")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
