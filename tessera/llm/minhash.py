@@ -149,13 +149,16 @@ def components(links: DataFrame) -> DataFrame:
     a written table, and only the number of changes reaches the driver.
     """
     both = work.written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = work.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("near", "root")).alias("next"), "root")
-        jump = spread.select(F.col("node").alias("j"), F.col("next").alias("jump"))
-        moved = spread.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("root"), F.col("root").alias("was"))
-        moved = work.written(moved, "labels")
+        start = labels
+        for _ in range(2):  # two steps to a table
+            near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+            spread = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("near", "root")).alias("next"))
+            jump = spread.select(F.col("node").alias("j"), F.col("next").alias("jump"))
+            labels = spread.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("root"))
+        was = start.select(F.col("node").alias("w"), F.col("root").alias("was"))
+        moved = work.written(labels.join(was, F.col("node") == F.col("w")).select("node", "root", "was"), "labels")
         labels = moved.select("node", "root")
         if moved.where(F.col("root") != F.col("was")).isEmpty():
             return labels
@@ -173,8 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose ids are all null has a null class_id.  Repeated rows fall into one class; other columns are
     not read.
 
-    Every pair of nodes that shares a band is compared, or connected already: first each member of a
-    bucket with the bucket's least member, then those that differ from it with all other members.
+    Every pair of nodes that shares a band is compared, or connected already: each member of a bucket
+    with the bucket's least member, then those that differ from it with all other members.
     The second comparison gives a row only for a link between different components, so no bucket is
     ever emitted as pairs; its time is members that differ times members.
     """
@@ -198,20 +201,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = one(texts).join(busy, is_busy, "left_semi")
     wanted = work.written(wanted.select("text_key", "text").mapInArrow(_grams(shingle), "text_key string, grams array<bigint>"), "grams")
 
-    # each member with the least head of its buckets
-    done = work.written(_similar(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), wanted, least), "verified")
-    roots = components(done.where("similar").select("a", "b"))
-    # the other heads, as far as they are not connected yet
-    rest = stars.join(done.select(F.col("a").alias("da"), F.col("b").alias("db")), (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
-    rest = work.written(_similar(_apart(rest, roots), wanted, least), "verified")
-    done = done.unionAll(rest)
-    roots = components(done.where("similar").select("a", "b"))
+    done = work.written(_similar(stars, wanted, least), "verified")
+    links = done.where("similar").select("a", "b")
+    roots = components(links)
     # members that differ from a head meet the other members of that bucket
     failed = work.written(_apart(done.where("not similar").select("a", "b"), roots), "failed")
     if not failed.isEmpty():
         met = work.written(_meet(members, failed, roots, wanted, least), "met")
         if not met.isEmpty():
-            roots = components(done.where("similar").select("a", "b").unionAll(met))
+            roots = components(links.unionAll(met))
 
     copies = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("id").alias("least_id"))
     classed = copies.join(roots, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("c_key"), "n_copies", "least_id", F.coalesce("root", "text_key").alias("root"))
