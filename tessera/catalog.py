@@ -66,9 +66,10 @@ def modules(t: Tables) -> DataFrame:
 
 
 def _aligned(t: Tables, digits: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    m = modules(t)
-    families, theirs = align.family_profiles(postings(t), F.left("code5", F.lit(digits)))
-    mine = align.module_skills(m)
+    # profiles and modules' skills are read several times in one plan, which Spark does not share by itself
+    m = modules(t).persist()
+    families, theirs = (x.persist() for x in align.family_profiles(postings(t), F.left("code5", F.lit(digits))))
+    mine = align.module_skills(m).persist()
     return m, mine, families, theirs, align.top_matches(m, mine, families, theirs, **how)
 
 

@@ -73,12 +73,12 @@ def module_skills(modules: DataFrame, key: str = "module_id", skills: str = "ski
     return weighted(modules.select(key, F.explode(skills).alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("cnt")), key)
 
 
-def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, weights: Weights = Weights(), inside: DataFrame | None = None, within: str | None = None) -> DataFrame:
+def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, weights: Weights = Weights(), inside: DataFrame | None = None, within: str | None = None, lists: bool = False) -> DataFrame:
     """Scores, unrounded, of the pairs that share a skill: coverage of the family's k top skills,
     weighted Jaccard, cosine, gap and the combined score.
 
     ``inside`` (key, within) restricts the pairs to those of which ``theirs`` has the same ``within``;
-    it is part of the join's key, so other pairs are never made.
+    it is part of the join's key, so other pairs are never made.  ``lists`` adds the shared skills.
     """
     norm = lambda d, by, name: d.groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias(name))
     left = mine.join(norm(mine, key, "m_norm"), key).select(key, "skill", F.col("w").alias("mw"), "m_norm")
@@ -89,7 +89,7 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
         left = left.join(inside, key)
     pairs = left.join(right, ["skill", *also]).groupBy(key, *also, "code").agg(
         F.count("*").alias("overlap_count"),
-        F.array_sort(F.collect_list("skill")).alias("overlap"),
+        *([F.array_sort(F.collect_list("skill")).alias("overlap")] if lists else []),
         F.sum(F.least("mw", "fw")).alias("shared"),
         F.sum(F.col("mw") * F.col("fw")).alias("dot"),
         F.sum(F.when(F.col("rk") <= k, 1).otherwise(0)).alias("hits"),
@@ -103,7 +103,7 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
     jaccard = F.col("shared") / (2 - F.col("shared"))  # both sides' weights sum to 1
     cosine = F.col("dot") / F.sqrt(F.col("m_norm") * F.col("f_norm"))
     gap = 1 - F.col("hit_cnt") / F.col("top_cnt")
-    return pairs.select(key, *also, "code", "overlap_count", "overlap", coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
+    return pairs.select(key, *also, "code", "overlap_count", *(["overlap"] if lists else []), coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
 
 
 def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights()) -> DataFrame:
@@ -114,10 +114,13 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     and code.
     """
     scored = pair_scores(mine, theirs, key, k, weights)
-    scored = scored.select(key, "code", "overlap_count", "overlap", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
+    scored = scored.select(key, "code", "overlap_count", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), "code")
     columns = ["code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
     best = scored.join(families, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # shared skills are listed for the matches only, not for every pair that was scored
+    shared = best.select(key, "code").join(mine.select(key, "skill"), key).join(theirs.select("code", "skill"), ["code", "skill"]).groupBy(key, "code").agg(F.array_sort(F.collect_list("skill")).alias("overlap"))
+    best = best.join(shared, [key, "code"])
     matched = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("m")))), lambda s: s["m"]).alias("m"))
 
     # what is missing to n comes from the largest families; n - 1 of them at most are matched already

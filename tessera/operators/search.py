@@ -149,7 +149,7 @@ def recommend(modules: DataFrame, profile: DataFrame, intent: Intent, key: str =
         modules = modules.where(F.col("source") == intent.school)
     mine = weighted(modules.select(key, F.explode("skills").alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("cnt")), key)
     theirs = weighted(profile.select(F.lit("query").alias("code"), "skill", "cnt"), "code")
-    scored = pair_scores(mine, theirs, key, k, Weights()).where(F.col("score") > 0).join(modules.select(key, "source", "title_tokens", "skills"), key)
+    scored = pair_scores(mine, theirs, key, k, Weights(), lists=True).where(F.col("score") > 0).join(modules.select(key, "source", "title_tokens", "skills"), key)
     none = F.lit(0.0)
     met = F.filter(F.lit(intent.plain), lambda q: F.exists("title_tokens", lambda t: text.soft_equal(q, t))) if intent.plain else F.array().cast("array<string>")
     overlap = F.size(met) / len(intent.plain) if intent.plain else none
