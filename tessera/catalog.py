@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import arrays, fuzzy, numeric, text
+from tessera.functions import arrays, fuzzy, numeric, serial, text
 from tessera.operators import align, benchmark, clean_courses, clean_jobs, embed, enrich, explore, extract, mapping, rules, scope, search
 from tessera.sources import readers
 from tessera.streaming import families as streaming
@@ -367,10 +367,7 @@ def seeded_sample(t):
 def union_sources(t):
     s = t.supplier.select(F.lit("S").alias("university"), F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
     c = t.customer.select(F.lit("C").alias("university"), F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    from pyspark.sql import Window
-
-    both = s.unionByName(c, allowMissingColumns=True)
-    return both.select(F.row_number().over(Window.orderBy("university", "code")).alias("serial"), "university", "code", "name", "segment")
+    return serial.numbered(s.unionByName(c, allowMissingColumns=True), "university", "code")
 
 
 @query("SELECT s_suppkey, s_name, n_name AS department FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.fuzzy import html_text
+from tessera.functions.serial import numbered
 
 # Course codes of undergraduate levels, and words of postgraduate courses.
 CODE = "^[A-Z]+[0-4]"
@@ -35,7 +36,7 @@ def clean(courses: DataFrame, least_words: int = 10, html: bool = True) -> DataF
     """description_clean, description_chunks and a serial number by university and code."""
     out = courses.where(undergraduate("title", "description")).withColumn("description_clean", cleaned("description", html))
     out = out.where(text.n_words("description_clean") >= least_words).withColumn("description_chunks", text.chunks("description_clean"))
-    return out.withColumn("serial", F.row_number().over(Window.orderBy("university", "code")))
+    return numbered(out, "university", "code")
 
 
 def portable_modules(courses: DataFrame, least_words: int = 10) -> DataFrame:

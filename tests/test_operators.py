@@ -198,3 +198,22 @@ def test_samples(spark):
     got = explore.stratified(df, "b", F.col("id"), 30)
     assert got.count() == 30 and got.groupBy("b").count().agg(F.min("count")).first()[0] >= 4
     assert explore.sampled(df, "id", 10).collect() == explore.sampled(df, "id", 10).collect()
+
+
+def test_serial_numbers(spark):
+    from tessera.functions.serial import numbered
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = numbered(df, "k").collect()
+    assert sorted((r.serial, r.k) for r in got) == [(i + 1, i) for i in range(1000)]
+
+
+def test_courses(spark):
+    nus = spark.createDataFrame([("CS1010", "T", "D", "F", "<p>one two three four five six seven eight nine ten</p>"), ("CS5000", "T", "D", "F", "x " * 12)], "moduleCode string, title string, department string, faculty string, description string")
+    ntu = spark.createDataFrame([("CZ1", "T", "one " * 12, "CSE"), ("CZ2", "T", "Graduate students only " * 5, "CSE")], "code string, title string, description string, departmentMaintaining string")
+    dims = spark.createDataFrame([("CSE", "Computing")], "short string, department string")
+    from tessera.operators import clean_courses
+
+    got = clean_courses.clean(readers.courses(nus, ntu, departments=dims)).orderBy("serial").collect()
+    assert [(r.serial, r.university, r.code, r.department) for r in got] == [(1, "NTU", "CZ1", "Computing"), (2, "NUS", "CS1010", "D")]
+    assert got[1].description_clean == "one two three four five six seven eight nine ten"
