@@ -302,8 +302,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the row with the least id stays (of
-    rows that repeat that id, one).  Rows with a null id or null text all stay."""
+    """The rows of ``docs`` without near-duplicates: of each class the row with the least id stays (rows
+    that repeat that id stay as they are).  Rows with a null id or null text all stay."""
     classes = near_duplicates(docs, id_col, text_col, **limits)
     loose = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_loose")).distinct()
     loose = work.written(loose, "loose")
