@@ -662,6 +662,33 @@ def scope_flow_edges(t):
     return scope.flow_edges(_cascade(t))
 
 
+@query(_CASCADE_SQL + """ SELECT count(*) AS total, count(*) FILTER (path = 'metadata_stem') AS metadata_stem, count(*) FILTER (path = 'excluded_non_stem') AS excluded_non_stem, count(*) FILTER (path = 'paragraph_stem') AS paragraph_stem, count(*) FILTER (path = 'paragraph_non_stem') AS paragraph_non_stem, count(*) FILTER (path = 'sentence_stem') AS sentence_stem, count(*) FILTER (path = 'keyword_stem') AS keyword_stem, count(*) FILTER (path = 'keyword_remainder') AS keyword_remainder,
+count(*) FILTER (path NOT IN ('metadata_stem', 'excluded_non_stem')) AS semantic_entry, count(*) FILTER (path IN ('sentence_stem', 'keyword_stem', 'keyword_remainder')) AS sentence_entry, count(*) FILTER (path IN ('keyword_stem', 'keyword_remainder')) AS keyword_entry, count(*) FILTER (scope_bucket = 'clear_stem') AS final_stem, count(*) FILTER (scope_bucket <> 'clear_stem') AS final_non_stem FROM o""")
+def scope_path_counts(t):
+    return scope.path_counts(_cascade(t))
+
+
+@query(f"""WITH b AS (SELECT doc_id, text, lang, CASE WHEN source IN ('src0', 'src1') THEN 'clear_stem' WHEN source = 'src2' THEN 'clear_non_stem' ELSE 'unclear_or_mixed' END AS base, CASE lang WHEN 'de' THEN 'Computing' WHEN 'fr' THEN 'Law School' ELSE 'Other' END AS dept FROM documents),
+f AS (SELECT doc_id, text, CASE WHEN base = 'unclear_or_mixed' AND dept = 'Computing' THEN 'clear_stem' WHEN base = 'unclear_or_mixed' AND dept = 'Law School' THEN 'clear_non_stem' ELSE base END AS first, base FROM b)
+SELECT doc_id, CASE WHEN first <> 'clear_stem' AND {_signal_sql()} >= 3 THEN 'quant_non_stem' ELSE first END AS scope_bucket FROM f""")
+def scope_earlier(t):
+    dept = F.when(F.col("lang") == "de", "Computing").when(F.col("lang") == "fr", "Law School").otherwise("Other")
+    signal = {k: _PATTERNS[k] for k in ("strong", "weak", "blocked")}
+    got, _ = scope.earlier_cascade(scope.bucket("source", ["src0", "src1"], ["src2"]), F.lit("metadata"), dept, "text", 3, **signal)
+    return t.documents.select("doc_id", got.alias("scope_bucket"))
+
+
+@query("SELECT DISTINCT source AS value, CASE WHEN source IN ('src0', 'src1') THEN 'clear_stem' ELSE 'unclear_or_mixed' END AS bucket FROM documents")
+def scope_reference_lists(t):
+    return scope.reference_lists(t.documents, "source", ["src0", "src1"], ["src2"])
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN false WHEN 1 THEN false ELSE true END AS named FROM part")
+def skill_drop_patterns(t):
+    k = F.col("p_partkey") % 4
+    return t.part.select("p_partkey", text.named_skill(F.when(k == 0, "Etc").when(k == 1, "x").otherwise(F.col("p_name"))).alias("named"))
+
+
 # ---------------------------------------------------------------- search
 
 _QUERY = "full time green metal the and that role above 3k"

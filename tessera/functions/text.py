@@ -53,6 +53,16 @@ def job_skill(x: Text, soft: Sequence[str] = SOFT_SKILLS, kept: Sequence[str] =
     return out.otherwise(F.nullif(plain, F.lit("")))
 
 
+# Entries of skill lists that name no skill.
+NO_SKILLS = "^(etc|others?|n/?a|skills?|knowledge)$"
+
+
+def named_skill(x: Text, low: int = 2, high: int = 60) -> Column:
+    """Whether a list entry names a skill at all."""
+    s = F.lower(F.trim(col(x)))
+    return F.coalesce(F.length(s).between(low, high) & ~s.rlike(NO_SKILLS), F.lit(False))
+
+
 def strip_tags(x: Text) -> Column:
     """Tags to spaces, white space collapsed; entities stay (see ``html.unescape``)."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), "<[^>]+>", " "), "\\s+", " "))

@@ -64,3 +64,14 @@ def fresh_graduate(level: Column | str, years: Column | str, body: Column | str,
     by_years = F.coalesce(text.col(years) <= most, F.lit(False))
     by_text = F.coalesce(F.lower(text.col(body)).rlike("fresh\\s+grad|entry[ -]level|no\\s+experience"), F.lit(False))
     return by_level, by_years, by_text, (by_level | by_text) & F.coalesce(text.col(years) >= 3, F.lit(False))
+
+
+def portable_jobs(jobs: DataFrame) -> DataFrame:
+    """The earlier export: jobs with id and occupation, their cleaned skills or else the raw ones."""
+    skills = F.coalesce("skills_clean", "skills") if "skills_clean" in jobs.columns else F.col("skills")
+    return jobs.where(F.col("uuid").isNotNull() & F.col("ssoc_code").isNotNull()).select("uuid", "title", "description", "ssoc_code", skills.alias("skills"))
+
+
+def fresh_only(rows: DataFrame, flag: str = "is_freshgrad") -> DataFrame:
+    """Rows whose flag holds or is missing; all rows where there is no such column."""
+    return rows.where(F.coalesce(F.col(flag), F.lit(True))) if flag in rows.columns else rows

@@ -57,3 +57,8 @@ def stratified(rows: DataFrame, bucket: str, order: Column | str, n: int) -> Dat
     quota = rows.agg(F.greatest(F.lit(1), F.floor(F.lit(n) / F.countDistinct(bucket))).alias("_quota"))
     marked = rows.withColumn("_place", place).crossJoin(F.broadcast(quota)).withColumn("picked", F.when(F.col("_place") <= F.col("_quota"), "quota").otherwise("fill"))
     return marked.orderBy(F.desc("picked"), order).limit(n).drop("_place", "_quota")
+
+
+def looks_sampled(rows: DataFrame, least: int = 2000) -> bool:
+    """Whether a table is too short to be a full export; counts no further than it must."""
+    return rows.limit(least).count() < least

@@ -38,6 +38,33 @@ def keyword_stem(x: Column | str, least: int = 2, strong: Sequence[str] = STRONG
     return (keyword_signal(x, strong, weak, blocked) >= least) & ~((_hits(t, strong) <= 1) & _any(t, against))
 
 
+# What the earlier classifier shut out at once, and department words it went by.
+EXCLUDED = ("\\binternship\\b", "\\bthesis\\b", "\\bexchange programme\\b")
+STEM_DEPARTMENTS, OTHER_DEPARTMENTS = ("comput", "engineer", "mathemat", "physic", "chemi", "biolog", "statistic"), ("history", "music", "literature", "philosophy", "language", "law")
+
+
+def reference_lists(rows: DataFrame, column: str, stem: Sequence[str], other: Sequence[str] = (), with_other: bool = False) -> DataFrame:
+    """(value, bucket): the distinct values of a string or list column against curated sets.  Values in
+    neither are mixed, and so are those listed against unless ``with_other``."""
+    values = rows.select(F.explode(column) if rows.schema[column].dataType.typeName() == "array" else F.col(column)).toDF("value")
+    return values.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().select("value", bucket("value", stem, other if with_other else ()).alias("bucket"))
+
+
+def earlier_cascade(base: Column | str, base_reason: Column | str, department: Column | str, body: Column | str, least: int = 3, **patterns: Sequence[str]) -> tuple[Column, Column]:
+    """(bucket, reason) of the classifier without vectors: exclusions first, metadata, department words
+    where metadata says nothing, then ``quant_non_stem`` for texts outside the scope whose keyword
+    signal reaches ``least``.  Its keep rule is clear_stem or quant_non_stem."""
+    base, why = text.col(base), text.col(base_reason)
+    t, d = F.lower(F.coalesce(text.col(body), F.lit(""))), F.lower(F.coalesce(text.col(department), F.lit("")))
+    open_ = base == "unclear_or_mixed"
+    stem, other = open_ & _any(d, STEM_DEPARTMENTS), open_ & _any(d, OTHER_DEPARTMENTS)
+    first = F.when(stem, "clear_stem").when(other, "clear_non_stem").otherwise(base)
+    reason = F.when(stem, "department_text_heuristic_stem").when(other, "department_text_heuristic_non_stem").otherwise(why)
+    out, quant = _any(t, EXCLUDED), (first != "clear_stem") & (keyword_signal(body, **patterns) >= least)
+    note = F.when(first == "clear_non_stem", "quant_semantic_override_non_stem").otherwise("quant_semantic_override_unclear")
+    return F.when(out, "clear_non_stem").when(quant, "quant_non_stem").otherwise(first), F.when(out, "excluded_pattern").when(quant, note).otherwise(reason)
+
+
 @dataclass(frozen=True)
 class Limits:
     keep: float = 0.02
@@ -126,3 +153,18 @@ def flow_edges(rows: DataFrame, step: str = "path") -> DataFrame:
     route = F.element_at(routes, F.col(step))
     edges = F.transform(F.sequence(F.lit(1), F.size(route) - 1), lambda i: F.struct(F.element_at(route, i).alias("source"), F.element_at(route, i + 1).alias("target")))
     return counts.select("n", F.inline(edges)).groupBy("source", "target").agg(F.sum("n").alias("value"))
+
+
+def path_counts(rows: DataFrame, step: str = "path") -> DataFrame:
+    """One row: modules at every step, and those that enter the later ones."""
+    n = lambda *paths: F.count_if(F.col(step).isin(*paths))
+    later = ("paragraph_stem", "paragraph_non_stem", "sentence_stem", "keyword_stem", "keyword_remainder")
+    return rows.agg(
+        F.count("*").alias("total"),
+        *[n(p).alias(p) for p in _ROUTES],
+        n(*later).alias("semantic_entry"),
+        n(*later[2:]).alias("sentence_entry"),
+        n(*later[3:]).alias("keyword_entry"),
+        n(*_TAKEN).alias("final_stem"),
+        (F.count("*") - n(*_TAKEN)).alias("final_non_stem"),
+    )
