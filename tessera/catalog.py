@@ -806,4 +806,4 @@ def stream_family_counts(t):
     name = f"families_{uuid.uuid4().hex}"
     run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.table(name)
+    return t.spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
