@@ -190,6 +190,7 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str, threshold:
                     ],
                     ["id", "text_no", "low", "words", "seeds", "places"],
                 )
+            kernel.release()
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).mapInArrow(windows, f"id {kind}, text_no bigint, low bigint, words array<bigint>, seeds array<int>, places array<int>")
     found = work.written(found, "windows")

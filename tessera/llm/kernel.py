@@ -7,6 +7,7 @@ so memory is bounded by the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,15 @@ def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Hands freed memory back to the system, as long-lived workers and drivers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser over uint64 (the splitmix64 steps): every input bit reaches every output bit."""
     x = x ^ (x >> _U(30))

@@ -108,6 +108,7 @@ def _sign(bands: int, rows: int, shingle: int):
                     band = kernel.mix(band * _U(31) + mixed[:, r::rows] + _U(r))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["text_key", "bands"])
+            kernel.release()
 
     return sign
 
@@ -124,6 +125,7 @@ def _grams(shingle: int):
                 element = kernel.mix(np.repeat(gram, times) + nth.astype(_U) * _U(0x9E3779B97F4A7C15))
                 first = np.r_[0, np.cumsum(np.bincount(text, times, b - a))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first), pa.array(element.view(np.int64)))], ["text_key", "grams"])
+            kernel.release()
 
     return grams
 
@@ -260,6 +262,8 @@ def _meet(members: DataFrame, failed: DataFrame, roots: DataFrame, wanted: DataF
                     held = []
         if held:
             yield from _links(pa.concat_tables(held), least)
+        held = []
+        kernel.release()
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "a string, b string").distinct()
 

@@ -200,7 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         both = texts.join(F.broadcast(ids), "k")
     rows = both.select("k", "y", "x").limit(2 * sample_rows).toArrow()
     rows = rows.sort_by([("k", "ascending"), ("x", "ascending")])
-    return train(rows["x"].to_pylist(), np.asarray(rows["y"].combine_chunks() if rows.num_rows else [], np.float64))
+    labels, texts = np.asarray(rows["y"].combine_chunks() if rows.num_rows else [], np.float64), rows["x"].to_pylist()
+    del rows
+    model = train(texts, labels)
+    del texts
+    kernel.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -233,6 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out[a:b] = logits(table, codes, first) + model.bias
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            kernel.release()
 
     chosen = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
