@@ -15,7 +15,8 @@ from tessera.llm import kernel, work
 
 #: Words of a seed; words of benchmark items in one pass over the texts (broadcast: 8 bytes each).
 SEED_WORDS, BLOCK_WORDS = 4, 1 << 20
-#: An n-gram in more texts than this many times the item's median n-gram is a common phrase, no seed.
+#: An n-gram in more texts than this many times the item's median n-gram is a common phrase: texts that
+#: hold no rarer one are aligned only if they have enough of the item's words at all.
 RARE = 4
 #: Smith-Waterman scores, and the share of an item's best possible score that marks a leak.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -129,9 +130,9 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = LEAK, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item, score, begin, end): a row for each text and benchmark item found in it.
 
-    Seeds are an item's n-grams that are held by at most ``RARE`` times as many texts as its median
-    n-gram is, so an item keeps half of its n-grams at least, however common the item itself is.  A text that holds a seed is
-    aligned around it with the item; ``score`` is the Smith-Waterman score over the best possible for
+    Seeds are an item's n-grams.  A text that holds one is aligned around it with the item, at once if
+    one of them is rare (see ``rare_pairs``), else if the words it shares with the item can reach
+    ``threshold``, which loses nothing; ``score`` is the Smith-Waterman score over the best possible for
     the item, a leak from ``threshold``; ``begin`` and ``end`` are word places of the best match.
 
     Null or empty texts and items match nothing.  Repeated items each give a row under their own id,
@@ -209,10 +210,12 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str, threshold:
             rows: list[tuple] = []
             for i in range(batch.num_rows):
                 size = len(words[i])
-                for item, at in candidates(np.asarray(seeds[i].values), np.asarray(places[i].values), items, is_rare):
-                    reach = len(items.words[item])
-                    for lo, hi in spans(at, reach, size):
-                        pending.append((i, item, lo, hi))
+                text = np.asarray(words[i].values).view(_U)
+                for item, at, sure in candidates(np.asarray(seeds[i].values), np.asarray(places[i].values), items, is_rare):
+                    own = items.words[item]
+                    for lo, hi in spans(at, len(own), size):
+                        if sure[(at >= lo) & (at < hi)].any() or shared_words(own, text[lo:hi]) >= threshold * len(own):
+                            pending.append((i, item, lo, hi))
                 if len(pending) >= ALIGN_BATCH or i + 1 == batch.num_rows:
                     rows += _aligned(pending, words, batch.column(2), items)
                     pending = []
@@ -239,12 +242,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **
 
 
 def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:
-    """For each (n-gram, holder) pair whether the n-gram is a seed of that item: held by at most RARE
-    times as many texts as the item's median n-gram."""
+    """For each (n-gram, holder) pair whether the n-gram is rare for that item: held by at most RARE
+    times as many texts as the median of those of the item's n-grams that a text holds at all."""
     gram = np.repeat(np.arange(len(items.seed)), np.diff(items.first))
     value = often[gram]
     out = np.zeros(len(gram), bool)
-    order = np.lexsort((value, items.holder))
+    held = np.flatnonzero(value)
+    order = held[np.lexsort((value[held], items.holder[held]))]
     start = np.searchsorted(items.holder[order], np.arange(len(items.words) + 1))
     for i in range(len(items.words)):
         own = order[start[i] : start[i + 1]]
@@ -253,16 +257,22 @@ def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(seeds: np.ndarray, places: np.ndarray, items: Items, is_rare: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The items that a window holds a seed of, with the places of those seeds."""
+def candidates(seeds: np.ndarray, places: np.ndarray, items: Items, is_rare: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The items that a window holds a seed of, with the places of those seeds and which are rare."""
     size = items.first[seeds + 1] - items.first[seeds]
     flat = np.repeat(items.first[seeds], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    keep = is_rare[flat]
-    item, at = items.holder[flat[keep]], np.repeat(places, size)[keep]
+    item, at, sure = items.holder[flat], np.repeat(places, size), is_rare[flat]
     order = np.lexsort((at, item))
-    item, at = item[order], at[order]
+    item, at, sure = item[order], at[order], sure[order]
     cut = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else []
-    return [(int(item[i]), at[i:j]) for i, j in zip(cut, [*cut[1:], len(item)])]
+    return [(int(item[i]), at[i:j], sure[i:j]) for i, j in zip(cut, [*cut[1:], len(item)])]
+
+
+def shared_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of ``a`` that ``b`` has as well, repeats counted; an alignment matches no more."""
+    x, n = np.unique(a, return_counts=True)
+    at = np.minimum(np.searchsorted(x, b), len(x) - 1)
+    return int(np.minimum(n, np.bincount(at[x[at] == b], minlength=len(x))).sum())
 
 
 def spans(at: np.ndarray, reach: int, size: int) -> list[tuple[int, int]]:

@@ -181,6 +181,24 @@ def test_decontamination(spark, edge):
     assert kept.columns == docs(spark, rows).columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} - {i for i, _ in want}
 
 
+def test_edited_copies_leak(spark):
+    """Sole copies with every 5th word replaced, and texts whose only seeds are common phrases."""
+    rng = random.Random(3)
+    texts = [prose(rng, 40, 99999).split() for _ in range(8)]
+    rows = []
+    for i, w in enumerate(texts):
+        copy = [f"new{k}" if k % 5 == 4 else x for k, x in enumerate(w)]
+        rows.append((i, " ".join([*prose(rng, 30, 99999).split(), *copy]), "s"))
+    # half of item 8 stands in many texts, all of it in one
+    both = prose(rng, 41, 99999).split()
+    rows += [(100 + i, f"x{i} " + " ".join(both[:21]) + f" y{i}", "s") for i in range(30)] + [(200, " ".join(both), "s")]
+    # a common phrase of item 8, and no more of it, is no leak
+    rows += [(300 + i, f"x{i} " + " ".join(both[:4]) + f" y{i}", "s") for i in range(5)]
+    items = [(i, " ".join(w)) for i, w in enumerate([*texts, both])]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i) for i in range(8)} | {(100 + i, 8) for i in range(30)} | {(200, 8)}
+
+
 # ---------------------------------------------------------------- 3 token counts
 
 
