@@ -571,8 +571,7 @@ def rule_build(t):
 
 @query()
 def mmr_phrases(t):
-    listed = extract.candidates(t.documents, "doc_id", "text", most_chars=200)
-    rows = t.documents.join(listed, "doc_id")
+    rows = extract.candidates(t.documents, "doc_id", "text", most_chars=None, keep=("text",))
     return extract.ranked_candidates(rows, "doc_id", "text", "candidates", embed.HashingEmbedder(128), n=5, diversity=0.8)
 
 

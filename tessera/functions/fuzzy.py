@@ -85,12 +85,14 @@ def mmr(query: np.ndarray, candidates: np.ndarray, k: int, diversity: float = 0.
     """Maximal marginal relevance: picks weigh likeness to the query against likeness to earlier picks."""
     if not len(candidates):
         return []
-    to_query, among = candidates @ query, candidates @ candidates.T
+    to_query = candidates @ query
     picked = [int(np.argmax(to_query))]
+    near = candidates @ candidates[picked[0]]  # to the nearest picked one: linear in the candidates
     while len(picked) < min(k, len(candidates)):
-        left = [i for i in range(len(candidates)) if i not in picked]
-        score = (1 - diversity) * to_query[left] - diversity * among[left][:, picked].max(axis=1)
-        picked.append(left[int(np.argmax(score))])
+        score = (1 - diversity) * to_query - diversity * near
+        score[picked] = -np.inf
+        picked.append(int(np.argmax(score)))
+        near = np.maximum(near, candidates @ candidates[picked[-1]])
     return picked
 
 

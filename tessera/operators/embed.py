@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 TARGET_BLOCK = 50_000
 
 
+#: CRC-32 (that of zlib) of each byte.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
 class Embedder(Protocol):
     """Turns texts into rows of unit length.  Any model fits that is loaded inside ``__call__``."""
 
@@ -31,15 +37,40 @@ class HashingEmbedder:
         from zlib import crc32
 
         out = np.zeros((len(texts), self.width))
-        for row, text in zip(out, texts):
+        plain = [i for i, text in enumerate(texts) if text.isascii()]
+        step = 8192
+        for low in range(0, len(plain), step):
+            part = plain[low : low + step]
+            out[part] = self._plain([texts[i] for i in part])
+        for i, text in enumerate(texts):
+            if text.isascii():
+                continue
             padded = f" {text} "
             for n in self.grams:
-                for i in range(len(padded) - n + 1):
-                    h = crc32(padded[i : i + n].encode())
-                    row[h % self.width] += 1 if h >> 16 & 1 else -1
+                for k in range(len(padded) - n + 1):
+                    h = crc32(padded[k : k + n].encode())
+                    out[i, h % self.width] += 1 if h >> 16 & 1 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
+    def _plain(self, texts: list[str]) -> np.ndarray:
+        """Sums of ASCII texts' grams, where a character is a byte: CRC-32 of all grams at once."""
+        data = np.frombuffer("".join(f" {t} " for t in texts).encode(), np.uint8)
+        row = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+        out = np.zeros(len(texts) * self.width)
+        for n in self.grams:
+            size = len(data) - n + 1
+            if size <= 0:
+                continue
+            h = np.full(size, 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                h = _CRC[(h ^ data[k : k + size]) & 0xFF] ^ (h >> 8)
+            h = ~h
+            inside = row[:size] == row[n - 1 :]
+            sign = np.where(h >> 16 & 1, 1.0, -1.0)[inside]
+            out += np.bincount(row[:size][inside] * self.width + (h % self.width)[inside], sign, len(out))
+        return out.reshape(len(texts), self.width)
+
 
 def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector") -> DataFrame:
     @F.pandas_udf("array<float>")

@@ -60,10 +60,12 @@ def merged(*lists: Column | str, n: int = 10) -> Column:
     return F.slice(first_by_key(*lists), 1, n)
 
 
-def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = text.STOP_WORDS, most_chars: int = 2500) -> DataFrame:
-    """n-grams of 1 to 3 words of a text's first ``most_chars`` characters, stop words left out before."""
-    words = F.filter(F.split(text.search_key(F.left(F.col(body), F.lit(most_chars))), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
-    return rows.select(key, words.alias("_words")).select(key, text.ngrams("_words").alias("candidates"))
+def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = text.STOP_WORDS, most_chars: int | None = 2500, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, kept columns, candidates): n-grams of 1 to 3 words of a text's first ``most_chars``
+    characters (None: all of them), stop words left out before."""
+    part = F.col(body) if most_chars is None else F.left(F.col(body), F.lit(most_chars))
+    words = F.filter(F.split(text.search_key(part), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+    return rows.select(key, *keep, words.alias("_words")).select(key, *keep, text.ngrams("_words").alias("candidates"))
 
 
 def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedder: Embedder, n: int = 30, diversity: float | None = None) -> DataFrame:

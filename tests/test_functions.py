@@ -91,3 +91,13 @@ def test_fuzzy(spark):
     assert [r.x for r in df.select(fuzzy.near_distinct("v").alias("x")).collect()] == [["ab", "xyz"], []]
     assert list(fuzzy.clusters(np.array([[1, 0], [0.99, 0.1], [0, 1]]))) == [0, 0, 1]
     assert fuzzy.mmr(np.array([1.0, 0]), np.array([[1.0, 0], [0.99, 0.14], [0.6, 0.8]]), 2, 0.8) == [0, 2]
+
+
+def test_mmr_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    v, q = rng.standard_normal((60, 8)), rng.standard_normal(8)
+    picked = [int(np.argmax(v @ q))]
+    while len(picked) < 10:
+        left = [i for i in range(60) if i not in picked]
+        picked.append(max(left, key=lambda i: 0.2 * (v[i] @ q) - 0.8 * max(v[i] @ v[j] for j in picked)))
+    assert fuzzy.mmr(q, v, 10, 0.8) == picked and fuzzy.mmr(q, v[:2], 5) in ([0, 1], [1, 0])

@@ -217,3 +217,25 @@ def test_courses(spark):
     got = clean_courses.clean(readers.courses(nus, ntu, departments=dims)).orderBy("serial").collect()
     assert [(r.serial, r.university, r.code, r.department) for r in got] == [(1, "NTU", "CZ1", "Computing"), (2, "NUS", "CS1010", "D")]
     assert got[1].description_clean == "one two three four five six seven eight nine ten"
+
+
+def test_phrases_of_whole_texts(spark, tmp_path):
+    from tessera import catalog
+
+    rows = [(1, "a " * 2000 + "copper kettle"), (2, "é " * 150 + "red fox"), (3, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: set(r.phrases) for r in catalog.QUERIES["mmr_phrases"](spark, str(tmp_path)).collect()}
+    assert got[1] == {"copper", "kettle", "copper kettle"} and got[2] == {"red", "fox", "red fox"}
+
+
+def test_hashed_grams_are_those_of_crc32():
+    from zlib import crc32
+
+    for s in ["", "x", "two words", "naïve café"]:
+        want = [0.0] * 64
+        for n in (2, 3, 4):
+            for i in range(len(s) + 3 - n):
+                h = crc32(f" {s} "[i : i + n].encode())
+                want[h % 64] += 1 if h >> 16 & 1 else -1
+        size = math.sqrt(sum(x * x for x in want)) or 1
+        assert embed.HashingEmbedder(64)([s, "y"])[0].tolist() == pytest.approx([x / size for x in want])
