@@ -23,8 +23,6 @@ from tessera.llm import kernel, work
 SYMBOLS, CLASSES, CONTEXT, WIDTH = 768, 96, 2, 24
 #: Noise samples for each word, words in a step, and the step size.
 NOISE, STEP, RATE, SEED = 8, 512, 0.25, 11
-#: One word in TRAIN_EVERY of every training text is a target, whatever the corpus's size.
-TRAIN_EVERY = 16
 #: Words with counts that the scorer is sent; the rest are joined.  Both are exact.
 SENT_WORDS = 1 << 16
 #: Smoothing of the base model and inside classes.
@@ -112,8 +110,14 @@ def initial(vocabulary: Vocabulary, seed: int = SEED) -> Model:
     return Model(draw(n + 1, WIDTH), draw(n, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), np.log(p).astype(np.float32))
 
 
-def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.ndarray, seed: int, rate: float = RATE) -> Model:
+def squares(model: Model) -> list[np.ndarray]:
+    """Adagrad's sums of squares at the start."""
+    return [np.full(x.shape, 0.1, np.float32) for x in (model.r, model.q, model.c, model.b)]
+
+
+def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.ndarray, seed: int, rate: float = RATE, seen: list[np.ndarray] | None = None) -> Model:
     """One pass of noise-contrastive estimation by Adagrad over (context, target) rows, in their order.
+    ``seen`` carries Adagrad's sums from one block of rows to the next.
 
     Noise follows the unigram counts; every step shares its noise words among its targets.  The data's
     word is told from noise by sigmoid(score - log(NOISE * p_noise)); scores are meant to be
@@ -124,12 +128,12 @@ def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.
     log_kp = np.log(NOISE * p).astype(np.float32)
     edges = np.cumsum(p)
     m = Model(model.r.copy(), model.q.copy(), model.c.copy(), model.b.copy())
-    seen = [np.full(x.shape, 0.1, np.float32) for x in (m.r, m.q, m.c, m.b)]
+    seen = squares(m) if seen is None else seen
     shared = NOISE * 16
 
-    def update(k: int, value: np.ndarray, at, g: np.ndarray) -> None:
-        seen[k][at] += g * g
-        value[at] -= rate * g / np.sqrt(seen[k][at])
+    def update(k: int, value: np.ndarray, g: np.ndarray) -> None:
+        seen[k] += g * g
+        value -= rate * g / np.sqrt(seen[k])
 
     for low in range(0, len(target), STEP):
         ctx, tgt = context[low : low + STEP], target[low : low + STEP]
@@ -142,21 +146,23 @@ def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.
         e_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * (NOISE / shared)
         g_hidden = e_true[:, None] * m.q[tgt] + e_false @ m.q[noise]
         both = np.r_[tgt, noise]
-        used, back = np.unique(both, return_inverse=True)
         g_rows = np.concatenate([e_true[:, None] * hidden, e_false.T @ hidden])
-        update(1, m.q, used, _sums(g_rows, back, len(used)))
-        update(3, m.b, used, np.bincount(back, np.r_[e_true, e_false.sum(axis=0)], len(used)).astype(np.float32))
+        update(1, m.q, _sums(g_rows, both, len(m.q)))
+        update(3, m.b, np.bincount(both, np.r_[e_true, e_false.sum(axis=0)], len(m.b)).astype(np.float32))
+        g_c = np.empty_like(m.c)
         g_context = [g_hidden * m.c[k] for k in range(CONTEXT)]
         for k in range(CONTEXT):
-            update(2, m.c, k, (g_hidden * rows[k]).sum(axis=0))
-        used, back = np.unique(ctx.T.ravel(), return_inverse=True)
-        update(0, m.r, used, _sums(np.concatenate(g_context), back, len(used)))
+            g_c[k] = (g_hidden * rows[k]).sum(axis=0)
+        update(2, m.c, g_c)
+        update(0, m.r, _sums(np.concatenate(g_context), ctx.T.ravel(), len(m.r)))
     return m
 
 
 def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(group, kind="stable")
-    return np.add.reduceat(rows[order], np.searchsorted(group[order], np.arange(n)))
+    """Sums of the rows of each group; groups of no rows are 0."""
+    width = rows.shape[1]
+    at = group.astype(np.int64)[:, None] * width + np.arange(width)
+    return np.bincount(at.ravel(), rows.ravel(), n * width).astype(np.float32).reshape(n, width)
 
 
 def contexts(symbol: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
@@ -224,9 +230,10 @@ def vocabulary_of(counts: DataFrame, symbols: int = SYMBOLS, sent: int = SENT_WO
     return vocabulary, top_words, top_counts, int(n), int(v)
 
 
-def fit(docs: DataFrame, text_col: str, training: Column, vocabulary: Vocabulary, rounds: int = 2, every: int = TRAIN_EVERY) -> Model:
-    """Trains on all training texts: in each round every task starts from the same model, runs over
-    its own texts, and the tasks' models are averaged by the words they learnt from."""
+def fit(docs: DataFrame, text_col: str, training: Column, vocabulary: Vocabulary, rounds: int = 2) -> Model:
+    """Trains on every token of all training texts: in each round every task starts from the same
+    model, runs over its own texts block by block, and the tasks' models are averaged by the tokens
+    they learnt from."""
     model = initial(vocabulary)
     shapes = [x.shape for x in (model.r, model.q, model.c, model.b)]
     chunk = 64
@@ -235,23 +242,22 @@ def fit(docs: DataFrame, text_col: str, training: Column, vocabulary: Vocabulary
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r) -> Iterator[pa.RecordBatch]:
             model, vocabulary = sent.value
-            held_c, held_t = [], []
+            rng = np.random.default_rng(SEED + r)
+            done, seen, total = model, squares(model), 0
             for batch in batches:
                 for a, b in kernel.blocks(batch.column(0), 2 * kernel.BLOCK_BYTES):
                     symbol, first, _, _, _ = encode(batch.column(0).slice(a, b - a), vocabulary)
-                    at = np.arange((7 * r + a) % every, len(symbol), every)
-                    held_c.append(contexts(symbol, first, vocabulary.size)[at])
-                    held_t.append(symbol[at])
-            if not held_c or not sum(map(len, held_t)):
+                    order = rng.permutation(len(symbol))
+                    context = contexts(symbol, first, vocabulary.size)
+                    done = train(done, vocabulary, context[order], symbol[order], int(rng.integers(1 << 31)), RATE / (1 + r), seen)
+                    total += len(symbol)
+            if not total:
                 return
-            context, target = np.concatenate(held_c), np.concatenate(held_t)
-            order = np.random.default_rng(SEED + r).permutation(len(target))
-            done = train(model, vocabulary, context[order], target[order], SEED + 100 * r, RATE / (1 + r))
-            flat = np.concatenate([x.ravel() for x in (done.r, done.q, done.c, done.b)]).astype(np.float64) * len(target)
+            flat = np.concatenate([x.ravel() for x in (done.r, done.q, done.c, done.b)]).astype(np.float64) * total
             flat = np.pad(flat, (0, -len(flat) % chunk))
             n = len(flat) // chunk
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * chunk), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, len(target), np.int64)), lists], ["i", "n", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, total, np.int64)), lists], ["i", "n", "x"])
 
         parts = docs.where(training).select(text_col).mapInArrow(learn, "i bigint, n bigint, x array<double>")
         mean = parts.groupBy("i").agg(F.array(*[F.sum(F.get("x", F.lit(k))) / F.sum("n") for k in range(chunk)]).alias("x")).orderBy("i").toArrow()

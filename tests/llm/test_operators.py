@@ -338,6 +338,18 @@ def test_lm_scores(spark, edge, sf):
     assert lm_score.lm_scores(edge.limit(0)).count() == 0
 
 
+def test_lm_learns_every_token(spark):
+    """What follows what at places that no stride of 16 from 0 or 7 meets."""
+    line = " ".join("x" if k in (0, 7) else f"u{k}" for k in range(16))
+    table = docs(spark, [(0, " ".join([line] * 4000), "s")])
+    vocabulary, *_ = lm_score.vocabulary_of(lm_score.word_counts(table, "text", F.lit(True)))
+    model = lm_score.fit(table, "text", F.lit(True), vocabulary)
+    symbol, first, *_ = lm_score.encode(pa.array([" ".join([line] * 20)]), vocabulary)
+    log_p = model.token_log_probs(lm_score.contexts(symbol, first, vocabulary.size), symbol)[2:-1]
+    other = [k for k in range(len(log_p)) if (k + 2) % 16 not in (0, 7)]
+    assert log_p[other].mean() > -0.5
+
+
 def test_lm_probabilities_sum_to_one():
     words = [f"w{i}" for i in range(50)]
     vocabulary = lm_score.Vocabulary(words, np.ones(50 + lm_score.CLASSES + 1), np.full(lm_score.CLASSES, 7.0))
