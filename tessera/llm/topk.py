@@ -1,4 +1,4 @@
-"""Exact top-k search (operator 9): exhaustive term-at-a-time accumulation over whole blocks."""
+"""Exact top-k search (operator 9): exhaustive term-at-a-time accumulation, block by block."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one pass over the candidates; the pass's rows are the only ones that reach the driver.
+from tessera.llm import work
+
+#: Queries in one pass over the candidates; a pass's queries are the only rows that reach the driver.
 QUERY_BLOCK = 8192
-#: Candidates scored at once, and queries scored at once against them.
-ROW_BLOCK, SCORE_ROWS = 4096, 256
-#: Terms whose postings fill at least this share of a block are kept as whole rows of weights.
-DENSE_FILL = 0.5
+#: Candidates scored at once, and queries scored at once against them: their score arrays fit a core's cache.
+ROW_BLOCK, SCORE_ROWS = 1024, 128
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -39,46 +39,47 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 
 class Postings:
-    """A block of candidates, by term: rows and weights of the sparse terms, weight rows of the dense."""
+    """A block of candidates by term: for each term the rows that have it, ascending, and their weights."""
 
     def __init__(self, vectors: np.ndarray):
         self.n, width = vectors.shape
-        filled = vectors != 0
-        share = filled.mean(axis=0) if self.n else np.zeros(width)
-        self.dense = np.flatnonzero(share >= DENSE_FILL)
-        self.weights = np.ascontiguousarray(vectors[:, self.dense].T)
         self.most = int(np.abs(vectors).max(initial=0))
-        self.sparse = [(t, at := np.flatnonzero(filled[:, t]), vectors[at, t]) for t in range(width) if 0 < share[t] < DENSE_FILL]
+        rows = [np.flatnonzero(vectors[:, t]) for t in range(width)]
+        self.lists = [(t, at, vectors[at, t]) for t, at in enumerate(rows) if len(at)]
 
     def scores(self, queries: np.ndarray) -> np.ndarray:
-        """Dense score arrays, one per query row.  Terms with nearly full postings are accumulated
-        together by one matrix product (in floats only where every sum stays exact); the others are
-        scattered term by term."""
+        """Dense score arrays, one per query row.  Term at a time: the term's postings are scattered,
+        weighted by each query that has the term, into the score arrays of those queries.  Sums are kept
+        in the narrowest kind of number in which all of them are exact."""
         most = int(np.abs(queries).max(initial=0)) * self.most * max(1, queries.shape[1])
         kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-        out = (queries[:, self.dense].astype(kind) @ self.weights.astype(kind)).astype(np.int64)
-        for t, at, weight in self.sparse:
+        out = np.zeros((self.n, len(queries)), kind)
+        for t, at, weight in self.lists:
             hit = np.flatnonzero(queries[:, t])
             if len(hit):
-                out[np.ix_(hit, at)] += queries[hit, t, None] * weight
-        return out
+                add = weight.astype(kind)[:, None] * queries[hit, t].astype(kind)
+                if len(hit) == len(queries):
+                    out[at] += add
+                else:
+                    out[np.ix_(at, hit)] += add
+        return np.ascontiguousarray(out.T)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each row's k best; ``ids`` ascend, so ties go to the smaller place."""
+    """(query row, id, score) of each row's k best, by partition; ``ids`` ascend, and of the scores equal
+    to the k-th those at the first places are taken."""
     n = scores.shape[1]
-    low = int(scores.min(initial=0))
-    key = (scores - low) * n + (n - 1 - np.arange(n))
-    key[own[:, None] == ids[None, :]] = -1
+    mine = own[:, None] == ids[None, :]
+    least = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    scores = np.where(mine, scores.dtype.type(least), scores)
     if n > k:
-        place = np.argpartition(key, n - k, axis=1)[:, n - k :]
+        kth = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        above, tied = scores > kth, (scores == kth) & ~mine
+        keep = above | (tied & (tied.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
     else:
-        place = np.broadcast_to(np.arange(n), scores.shape)
-    row = np.repeat(np.arange(len(own)), place.shape[1])
-    place = place.ravel()
-    keep = key[row, place] >= 0
-    row, place = row[keep], place[keep]
-    return row, ids[place], scores[row, place]
+        keep = ~mine
+    row, place = np.nonzero(keep)
+    return row, ids[place], scores[row, place].astype(np.int64)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -88,21 +89,24 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     that bear the query's own id.  Ties go to the smaller id.  Repeated ids: as queries, the vector
     that sorts first counts; as candidates, each row counts.  Vectors of other lengths than the
     longest are filled with zeros.  With no rows or queries the result is empty.  Other columns are not
-    read.  Queries go out in blocks of ``query_block``, each one pass over all candidates, so what is
-    broadcast never grows with the data.
+    read.  Queries go out in blocks of about ``query_block``, each one pass over all candidates whose
+    partial results are added to a table, so neither what is broadcast nor any plan grows with the data.
+    Scores are 64-bit integers; larger ones wrap.
     """
     spark = rows.sparkSession
     vectors = integer_vectors(rows, id_col, vector_col, scale)
     asked = integer_vectors(rows.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    total = asked.count()
-    n_blocks = -(-total // query_block)
-    if n_blocks > 1:
-        asked = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks * 2)))
-    out = None
-    for b in range(n_blocks * 2 if n_blocks > 1 else 1):
-        block = asked.where(F.col("b") == b).select("id", "v") if n_blocks > 1 else asked
-        part = _pass(vectors, block.toArrow(), k)
-        out = part if out is None else out.unionAll(part)
+    asked = work.written(asked, "queries")
+    n_blocks = -(-asked.count() // query_block)
+    if n_blocks <= 1:
+        out = _pass(vectors, asked.toArrow(), k)
+    else:
+        path = work.new_path(spark, "partial")
+        block = F.pmod(F.xxhash64("id"), F.lit(2 * n_blocks))
+        for b in range(2 * n_blocks):
+            part = _pass(vectors, asked.where(block == b).toArrow(), k)
+            part.write.mode("append").parquet(path)
+        out = spark.read.schema(part.schema).parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -446,6 +446,9 @@ def test_scattered_postings_equal_products():
     for fill_share in (0.1, 0.9):
         a, b = (rng.integers(-50, 50, (30, 12)) * (rng.random((30, 12)) < fill_share) for _ in range(2))
         assert (topk.Postings(a).scores(b) == b @ a.T).all()
+    far = np.array([[3 * 10**15, -3 * 10**15, 5, 5, 3 * 10**15]])
+    row, at, score = topk.best(far, np.arange(5), np.array([9]), 3)
+    assert (at.tolist(), score.tolist()) == ([0, 2, 4], [3 * 10**15, 5, 3 * 10**15])
     huge = np.full((2, 3), 1 << 40)
     assert (topk.Postings(huge).scores(np.full((1, 3), 1 << 20)) == 3 << 60).all()
 
