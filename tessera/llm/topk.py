@@ -15,7 +15,7 @@ from tessera.llm import work
 #: Queries in one pass over the candidates; a pass's queries are the only rows that reach the driver.
 QUERY_BLOCK = 8192
 #: Candidates scored at once, and queries scored at once against them: their score arrays fit a core's cache.
-ROW_BLOCK, SCORE_ROWS = 1024, 128
+ROW_BLOCK, SCORE_ROWS = 512, 256
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -48,38 +48,40 @@ class Postings:
         self.lists = [(t, at, vectors[at, t]) for t, at in enumerate(rows) if len(at)]
 
     def scores(self, queries: np.ndarray) -> np.ndarray:
-        """Dense score arrays, one per query row.  Term at a time: the term's postings are scattered,
-        weighted by each query that has the term, into the score arrays of those queries.  Sums are kept
-        in the narrowest kind of number in which all of them are exact."""
+        """Dense score arrays, one column per query.  Term at a time: the term's postings are scattered,
+        weighted by every query's component, into the scores of their rows; where few queries have the
+        term, into those queries' only.  Sums are kept in the narrowest kind of number in which all of
+        them are exact."""
         most = int(np.abs(queries).max(initial=0)) * self.most * max(1, queries.shape[1])
         kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
         out = np.zeros((self.n, len(queries)), kind)
+        room = np.empty_like(out)
+        by_term = np.ascontiguousarray(queries.T.astype(kind))
         for t, at, weight in self.lists:
-            hit = np.flatnonzero(queries[:, t])
-            if len(hit):
-                add = weight.astype(kind)[:, None] * queries[hit, t].astype(kind)
-                if len(hit) == len(queries):
-                    out[at] += add
-                else:
-                    out[np.ix_(at, hit)] += add
-        return np.ascontiguousarray(out.T)
-
-
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each row's k best, by partition; ``ids`` ascend, and of the scores equal
-    to the k-th those at the first places are taken."""
-    n = scores.shape[1]
-    mine = own[:, None] == ids[None, :]
-    least = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
-    scores = np.where(mine, scores.dtype.type(least), scores)
-    if n > k:
-        kth = np.partition(scores, n - k, axis=1)[:, n - k, None]
-        above, tied = scores > kth, (scores == kth) & ~mine
-        keep = above | (tied & (tied.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
-    else:
-        keep = ~mine
-    row, place = np.nonzero(keep)
-    return row, ids[place], scores[row, place].astype(np.int64)
+            hit = np.flatnonzero(by_term[t])
+            weight = weight.astype(kind)[:, None]
+            if 8 * len(hit) < len(queries):
+                out[np.ix_(at, hit)] += weight * by_term[t, hit]
+            else:
+                add = np.multiply(weight, by_term[t], out=room[: len(at)])
+                add += out.take(at, axis=0)
+                out[at] = add
+        return out
+
+
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of what may be among each query's k best: scores, one column per query, that
+    reach the k-th best of this block, found by partition, and ``least``, the k-th best so far."""
+    n = len(scores)
+    mine = own[None, :] == ids[:, None]
+    lowest = scores.dtype.type(-np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min)
+    scores[mine] = lowest
+    if least is None:
+        least = np.partition(scores, n - k, axis=0)[n - k] if n > k else lowest
+    place, row = np.nonzero(scores >= least)
+    there = ~mine[place, row]
+    place, row = place[there], row[there]
+    return row, ids[place], scores[place, row].astype(np.int64)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -120,22 +122,25 @@ def _pass(vectors: DataFrame, asked: pa.Table, k: int) -> DataFrame:
         ids, own = sent.value
         if not len(ids):
             return
-        held: tuple[np.ndarray, ...] | None = None
+        parts = range(0, len(ids), SCORE_ROWS)
+        held = {s: tuple(np.zeros(0, np.int64) for _ in range(3)) for s in parts}
+        least: dict[int, np.ndarray | None] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(low, ROW_BLOCK)
                 at = np.asarray(part.column(0))
-                order = np.argsort(at, kind="stable")
-                block = matrix(part.column(1), own.shape[1])[order]
+                block = matrix(part.column(1), own.shape[1])
                 queries = np.pad(own, ((0, 0), (0, block.shape[1] - own.shape[1]))) if block.shape[1] > own.shape[1] else own
                 postings = Postings(block)
-                found = [best(postings.scores(queries[s : s + SCORE_ROWS]), at[order], ids[s : s + SCORE_ROWS], k) for s in range(0, len(ids), SCORE_ROWS)]
-                new = np.concatenate([r + i * SCORE_ROWS for i, (r, _, _) in enumerate(found)]), *(np.concatenate([f[j] for f in found]) for j in (1, 2))
-                held = new if held is None else merged(tuple(np.concatenate(x) for x in zip(held, new)), k)
-        if held is not None:
-            for low in range(0, len(held[0]), 100_000):
-                row, at, score = (x[low : low + 100_000] for x in held)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at), pa.array(score)], ["query_id", "vec_id", "score"])
+                for s in parts:
+                    mine = ids[s : s + SCORE_ROWS]
+                    new = best(postings.scores(queries[s : s + SCORE_ROWS]), at, mine, k, least.get(s))
+                    if len(new[0]):
+                        held[s] = merged(tuple(np.concatenate(x) for x in zip(held[s], new)), k)
+                        least[s] = kth_scores(held[s], len(mine), k)
+        for s in parts:
+            row, at, score = held[s]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s + row]), pa.array(at), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
 
@@ -149,3 +154,12 @@ def merged(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
     keep = place < k
     return row[keep], at[order][keep], score[order][keep]
+
+
+def kth_scores(rows: tuple[np.ndarray, ...], n: int, k: int) -> np.ndarray | None:
+    """The k-th best score of each of n queries among merged results; none if one has fewer than k."""
+    row, _, score = rows
+    ends = np.searchsorted(row, np.arange(n), "right")
+    if (np.diff(np.r_[0, ends]) < k).any():
+        return None
+    return score[ends - 1]
