@@ -1,8 +1,11 @@
-"""Line dedup (operator 1): pairwise patience alignment of documents that share lines.
+"""Line dedup (operator 1): pairwise patience alignment of documents that share rare line hashes.
 
-A line's owner is the first document that has it.  A document is aligned with the owner of each of its
-repeated lines, and the aligned common blocks are deleted from the later document of the pair.  The
-pairs are a star around each owner, at most one for each line of the input, whatever a line's group size.
+Short lines are common, so a line alone says little.  The seeds are the hashes of runs of lines: from each
+line on, and up to each line, the shortest run that reaches BLOCK_WORDS words.  Such a run is rare, and a
+passage that could be deleted holds at least one.  The first document that has a run owns it; every later
+document that has it is linked with the owner, line by line, so no group of documents is ever paired
+with itself and none is too common to be linked.  Linked documents are aligned by patience diff, and
+aligned common blocks are deleted from the later one.
 """
 
 from __future__ import annotations
@@ -12,20 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import work
+from tessera.llm import kernel, work
 
-#: A line that occurs at most RARE_LINES times is rare.  Common lines still link their documents, to
-#: the owner all the same, if they have SEED_WORDS words; only short common lines never do.
-RARE_LINES, SEED_WORDS = 64, 5
-#: Words that a block must have to be deleted.
+#: Words that a block must have to be deleted, and that a run of lines needs to be a seed.
 BLOCK_WORDS = 20
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
 
 
 def _words(line: Column) -> Column:
@@ -93,79 +94,141 @@ def _increasing(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def deleted(later: np.ndarray, sizes: np.ndarray, owner: np.ndarray, block_words: int = BLOCK_WORDS) -> np.ndarray:
-    """Places of ``later`` in aligned blocks of at least ``block_words`` words.
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start .. start + length - 1 of each span, one span after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
-    A block is a run of places aligned to a run of the owner's places (lines of no words belong to the
-    run).  What is left is aligned again until nothing more is deleted, so moved blocks go as well.
+
+def runs(h: np.ndarray, words: np.ndarray, first: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, ...]:
+    """(document, hash, place, lines) of every shortest run of ``block_words`` words that begins or ends at
+    a line; document i has the lines first[i] .. first[i + 1], and places count from its first line."""
+    total = np.r_[0, np.cumsum(words)]
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.arange(len(h))
+    end = np.searchsorted(total, total[:-1] + block_words)  # runs that begin at a line
+    begins = end <= first[text + 1]
+    start = np.searchsorted(total, total[1:] - block_words, "right") - 1  # runs that end at a line
+    ends = start >= first[text]
+    ends[ends] &= end[start[ends]] != at[ends] + 1
+    low, high = np.r_[at[begins], start[ends]], np.r_[end[begins], at[ends] + 1]
+    text = np.r_[text[begins], text[ends]]
+    power, inverse = (kernel._power(base, len(h) + 1, key) for base, key in ((kernel._BASE, "up"), (kernel._BASE_INV, "down")))
+    prefix = np.r_[np.uint64(0), np.cumsum(kernel.mix(h.view(np.uint64)) * power[: len(h)], dtype=np.uint64)]
+    code = kernel.mix((prefix[high] - prefix[low]) * inverse[low] + (high - low).astype(np.uint64))
+    return text, code.view(np.int64), low - first[text], high - low
+
+
+def deleted(lines: np.ndarray, words: np.ndarray, at: np.ndarray, seat: np.ndarray, length: np.ndarray, block_words: int = BLOCK_WORDS) -> np.ndarray:
+    """Flags of the ``lines`` in blocks aligned with one earlier document.
+
+    Shared run k stands at the places at[k] .. at[k] + length[k] of the lines and at the same number of
+    seats from seat[k] of the other document.  The lines in shared runs are aligned with the seats; a
+    block is a stretch of lines aligned to a stretch of seats, and goes if it has ``block_words`` words.
+    Runs still whole are aligned again, so moved blocks go as well; runs whose lines recur so often that
+    no line anchors them go as they are.
     """
-    gone = np.zeros(len(later), bool)
+    gone = np.zeros(len(lines), bool)
     while True:
-        left = np.flatnonzero(~gone & (sizes > 0))
-        mine = later[left]
-        # lines that the owner does not have only stand between blocks: one mark stands for a run of them
-        known = np.isin(mine, owner)
-        theirs = owner[np.isin(owner, mine)]
-        seats = np.flatnonzero(np.isin(owner, mine))
-        own = left[known]
-        pairs = patience(mine[known], theirs)
-        before = int(gone.sum())
-        rank = np.cumsum(sizes > 0)  # places count lines that have words
-        k = 0
-        while k < len(pairs):
-            e = k + 1
-            while e < len(pairs) and rank[own[pairs[e][0]]] == rank[own[pairs[e - 1][0]]] + 1 and seats[pairs[e][1]] == seats[pairs[e - 1][1]] + 1:
-                e += 1
-            places = own[[p for p, _ in pairs[k:e]]]
-            if sizes[places].sum() >= block_words:
-                gone[places] = True
-            k = e
-        if int(gone.sum()) == before:
-            return np.flatnonzero(gone)
-
-
-def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_lines: int = RARE_LINES, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, owner, places): the lines of ``id`` that alignment with the earlier ``owner`` deletes, as
-    place << 32 | words of the line."""
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _lines(F.col(text_col)).alias("lines"))
-    seqs = work.written(known.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("n")), "lines")
-    lines = seqs.select("id", F.explode(F.arrays_zip("h", "n")).alias("l")).select("id", "l.h", "l.n").where("n > 0")
-    owners = lines.groupBy("h").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("times"), F.max("n").alias("n"))
-    owners = owners.where((F.col("last") > F.col("owner")) & ((F.col("times") <= rare_lines) | (F.col("n") >= seed_words))).select(F.col("h").alias("oh"), "owner")
-    owners = work.written(owners, "owners")  # a join of two plain exchanges, so that Spark splits common lines
-    links = lines.join(owners, F.col("h") == F.col("oh")).where(F.col("id") > F.col("owner")).groupBy("id", "owner").agg(F.count("*").alias("shared"))
-    links = work.written(links, "links")
-
-    owner_ids = links.select(F.col("owner").alias("oid")).distinct()
-    theirs = seqs.join(owner_ids, F.col("id") == F.col("oid"), "left_semi").select(F.col("id").alias("o_id"), F.transform(F.filter(F.arrays_zip("h", "n"), lambda x: x["n"] > 0), lambda x: x["h"]).alias("o_h"))
-    mine = seqs.select(F.col("id").alias("m_id"), "h", "n")
-    pairs = links.join(theirs, F.col("owner") == F.col("o_id")).select("id", "owner", "o_h").join(mine, F.col("id") == F.col("m_id")).select("id", "owner", "h", "n", "o_h")
+        before = np.r_[0, np.cumsum(gone)]
+        whole = before[at + length] == before[at]
+        if not whole.any():
+            return gone
+        at, seat, length = at[whole], seat[whole], length[whole]
+        places = spans(at, length)
+        mine = np.unique(places)
+        seats, one = np.unique(spans(seat, length), return_index=True)
+        pairs = np.array(patience(lines[mine], lines[places[one]]), np.int64).reshape(-1, 2)
+        i, j = mine[pairs[:, 0]], seats[pairs[:, 1]]
+        cut = np.flatnonzero(np.r_[len(i) > 0, (np.diff(i) != 1) | (np.diff(j) != 1)])
+        size = np.diff(np.r_[cut, len(i)])
+        enough = np.add.reduceat(words[i], cut) >= block_words if len(i) else np.zeros(0, bool)
+        if not enough.any():
+            gone[mine] = True
+            return gone
+        gone[i[np.repeat(enough, size)]] = True
 
+
+def _align(block_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n, o = (batch.column(i) for i in (2, 3, 4))
-            places = []
-            for i in range(batch.num_rows):
-                sizes = np.asarray(n[i].values).astype(np.int64)
-                at = deleted(np.asarray(h[i].values), sizes, np.asarray(o[i].values), block_words)
-                places.append(at << 32 | sizes[at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64()))], ["id", "owner", "places"])
+            links = batch.column(4).flatten()
+            ids, t, at, seat, length = (links.field(k) for k in range(5))
+            rank = np.asarray(pa.compute.rank(ids, tiebreaker="dense")).astype(np.int64)
+            t, at, seat, length = (np.asarray(x) for x in (t, at, seat, length))
+            first = np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(4))))]
+            masks, words, n_links, owners = [], [], [], []
+            for row in range(batch.num_rows):
+                h, n = (np.asarray(batch.column(c)[row].values) for c in (2, 3))
+                told = np.flatnonzero(n > 0)
+                lines, sizes = h[told], n[told]
+                gone, n_owners, owner = np.zeros(len(told), bool), 0, 0
+                some = np.arange(first[row], first[row + 1])
+                some = some[np.lexsort((t[some], rank[some]))]
+                key = np.stack([rank[some], t[some]])
+                for part in np.split(some, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1):
+                    found = deleted(lines, sizes, at[part], seat[part], length[part], block_words)
+                    owner = owner if n_owners else int(part[0])
+                    n_owners += 1
+                    gone |= found
+                mask = np.zeros(len(n), bool)
+                mask[told[gone]] = True
+                masks.append(mask)
+                words.append(int(sizes[gone].sum()))
+                n_links.append(n_owners)
+                owners.append(owner)
+            owners = ids.take(pa.array(owners, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.bool_())), pa.array(words, pa.int64()), pa.array(n_links, pa.int64()), owners], ["id", "t", "mask", "words", "links", "owner"])
+
+    return align
+
 
+def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, t, mask, words, links, owner) of the documents that lose lines: flags by line, words lost, how
+    many earlier documents they were aligned with, and the first of those.  A document is an id and its
+    text's hash ``t``, and documents come in that order."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return pairs.mapInArrow(align, f"id {kind}, owner {kind}, places array<bigint>").where("size(places) > 0")
+    text = F.col(f"`{text_col}`")
+    known = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t"), _lines(text).alias("lines"))
+    seqs = known.select("id", "t", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("n"))
+    seqs = work.written(seqs.where(F.aggregate("n", F.lit(0), lambda a, x: a + x) >= block_words), "lines")
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(pa.compute.list_value_length(batch.column(2)))
+            h, n = (np.asarray(batch.column(k).flatten()) for k in (2, 3))
+            told = n > 0
+            first = np.r_[0, np.cumsum(told)][np.r_[0, np.cumsum(size)]]
+            row, code, at, length = runs(h[told], n[told].astype(np.int64), first, block_words)
+            for a in range(0, len(row), 100_000):
+                i = slice(a, a + 100_000)
+                own = pa.array(row[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(code[i]), pa.array(at[i].astype(np.int32)), pa.array(length[i].astype(np.int32))], ["id", "t", "run", "at", "length"])
+
+    shared = work.written(seqs.mapInArrow(seeds, f"id {kind}, t bigint, run bigint, at int, length int"), "runs")
+    owners = shared.groupBy("run").agg(F.min(F.struct("id", "t", "at")).alias("f"), F.max(F.struct("id", "t")).alias("l"))
+    owners = owners.where(F.struct("f.id", "f.t") < F.col("l")).select(F.col("run").alias("o_run"), F.col("f.id").alias("o_id"), F.col("f.t").alias("o_t"), F.col("f.at").alias("seat"))
+    owners = work.written(owners, "owners")  # a join of two plain exchanges, so that Spark splits common runs
+    links = shared.join(owners, F.col("run") == F.col("o_run")).where(F.struct("id", "t") > F.struct("o_id", "o_t"))
+    links = links.groupBy(F.col("id").alias("l_id"), F.col("t").alias("l_t")).agg(F.collect_list(F.struct("o_id", "o_t", "at", "seat", "length")).alias("links"))
+    mine = seqs.groupBy("id", "t").agg(F.first("h").alias("h"), F.first("n").alias("n"))
+    both = mine.join(links.hint("merge"), (F.col("id") == F.col("l_id")) & (F.col("t") == F.col("l_t"))).select("id", "t", "h", "n", "links")
+    return both.mapInArrow(_align(block_words), f"id {kind}, t bigint, mask array<boolean>, words bigint, links bigint, owner {kind}")
 
 
-def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places as flags by line, so that rows are cut in time linear in their lines."""
-    for batch in batches:
-        masks, words = [], []
-        for places in batch.column(1):
-            code = np.unique(np.asarray(places.values))
-            mask = np.zeros(int(code[-1] >> 32) + 1, bool)
-            mask[code >> 32] = True
-            masks.append(mask)
-            words.append(int((code & 0xFFFFFFFF).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.list_(pa.bool_())), pa.array(words, pa.int64()), batch.column(2), batch.column(3)], ["_id", "_mask", "removed_words", "n_links", "owner"])
+def _cut(docs: DataFrame, id_col: str, text_col: str, limits: dict) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its texts cut and the columns of ``overlaps`` beside, under names that it has not."""
+    names = {c: work.free_name(docs, f"line_dedup_{c}") for c in ("id", "t", "mask", "words", "links", "owner")}
+    gone = work.written(overlaps(docs, id_col, text_col, **limits), "gone").toDF(*names.values())
+    text = F.col(f"`{text_col}`")
+    # always a merge join: what is shuffled then follows the input alike at every size
+    joined = docs.join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col(names["id"])) & (F.xxhash64(text) == F.col(names["t"])), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get(names["mask"], i), F.lit(False))), "\n")
+    cut = F.when(F.col(names["mask"]).isNull(), text).otherwise(kept)
+    # what counts lines needs the text as it was
+    size = work.free_name(docs, "line_dedup_lines")
+    rows = joined.select("*", F.greatest(F.size(F.split(text, "\n")), F.lit(0)).alias(size))
+    return rows.withColumn(text_col, cut), names | {"lines": size}
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -173,36 +236,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more: n_lines, removed_lines, removed_words, n_links and owner (how many earlier documents lines
     were deleted for, and the first of them).
 
-    Documents come in the order of their ids.  Rows with a null id are never touched; a null text stays
-    null (0 lines); a text of which all is deleted becomes empty.  Ids ought to be unique: rows that
-    repeat one are cut alike, at the places found for the id.  Lines are equal if they are so without
-    blanks at their ends.  Where ``docs`` has columns of those five names already, they are replaced.
+    Documents come in the order of their ids; rows that share an id but not the text are documents of
+    their own, in the order of their texts' hashes; rows that share both are one document, kept or cut
+    alike.  Rows with a null id are never touched; a null text stays null (0 lines); a text of which all
+    is deleted becomes empty.  Lines are equal if they are so without blanks at their ends; a line's words
+    are its blanks and one.  Where ``docs`` has columns of those five names already, they are replaced;
+    columns of any other names stay as they are.
     """
-    found = overlaps(docs, id_col, text_col, **limits)
-    kind = docs.schema[id_col].dataType.simpleString()
-    gone = found.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.count("*").alias("n_links"), F.min("owner").alias("owner"))
-    gone = gone.mapInArrow(_masks, f"_id {kind}, _mask array<boolean>, removed_words bigint, n_links bigint, owner {kind}")
-    gone = work.written(gone, "gone")
-    more = ["n_lines", "removed_lines", "removed_words", "n_links", "owner"]
-    docs = docs.drop(*more)
-    text = F.col(text_col)
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("_mask", i), F.lit(False))), "\n")
-    # always a merge join: what is shuffled then follows the input alike at every size
-    joined = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_id"), "left")
-    return joined.select(
-        *[F.when(F.col("_mask").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(F.filter("_mask", lambda x: x)), F.lit(0)).alias("removed_lines"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("removed_words", "n_links")],
-        "owner",
-    )
+    rows, names = _cut(docs, id_col, text_col, limits)
+    more = {
+        "n_lines": F.col(names["lines"]),
+        "removed_lines": F.coalesce(F.size(F.filter(names["mask"], lambda x: x)), F.lit(0)),
+        "removed_words": F.coalesce(names["words"], F.lit(0).cast("long")),
+        "n_links": F.coalesce(names["links"], F.lit(0).cast("long")),
+        "owner": F.col(names["owner"]),
+    }
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in more]
+    return rows.select(*kept, *[c.alias(k) for k, c in more.items()])
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **limits) -> DataFrame:
-    """``line_dedup`` with the columns of ``docs`` only; ``length_col``, where there is one, follows the
-    text of the rows that lost lines."""
-    done = line_dedup(docs, id_col, text_col, **limits)
-    if length_col not in docs.columns:
-        return done.select(*docs.columns)
-    length = F.when(F.col("removed_lines") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
-    return done.select(*[length.alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns])
+    """``line_dedup`` with the columns of ``docs`` only, all of them; ``length_col``, where there is one,
+    follows the text of the rows that lost lines."""
+    rows, names = _cut(docs, id_col, text_col, limits)
+    length = {}
+    if length_col in docs.columns:
+        length[length_col] = F.when(F.col(names["mask"]).isNotNull(), F.length(f"`{text_col}`")).otherwise(F.col(f"`{length_col}`")).cast(docs.schema[length_col].dataType)
+    return rows.select(*[length[c].alias(c) if c in length else F.col(f"`{c}`") for c in docs.columns])

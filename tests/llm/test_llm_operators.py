@@ -68,32 +68,34 @@ def test_ngrams():
 # ---------------------------------------------------------------- 1 line dedup
 
 
-def lines_brute(rows, seed=line_dedup.SEED_WORDS, rare=line_dedup.RARE_LINES):
-    """Owners and deletions in plain Python; the alignment itself is tested below."""
-    ls = {i: [x.strip(" ") for x in (t or "").split("\n")] for i, t, _ in rows if i is not None}
-    first, last, times = {}, {}, collections.Counter()
-    for i in sorted(ls):
-        for x in ls[i]:
-            if x:
-                first.setdefault(x, i)
-                last[x] = i
-                times[x] += 1
-    out = {}
-    for i, own in ls.items():
-        n = np.array([len(x.split(" ")) if x else 0 for x in own])
-        ids = {x: k for k, x in enumerate(sorted(first))}
-        code = lambda a: np.array([ids.get(x, -1) for x in a], np.int64)
-        owners = {first[x] for x in own if x and first[x] < i and last[x] > first[x] and (times[x] <= rare or len(x.split(" ")) >= seed)}
-        gone = set()
-        for o in owners:
-            gone |= set(line_dedup.deleted(code(own), n, code([x for x in ls[o] if x])).tolist())
-        out[i] = gone
-    return ls, out
+def shared_places(mine, earlier, least=line_dedup.BLOCK_WORDS):
+    """Places of ``mine`` in stretches of at least ``least`` words that an earlier text has: every pair of
+    documents, every pair of places."""
+    ls = [(k, x.strip(" ")) for k, x in enumerate((mine or "").split("\n")) if x.strip(" ")]
+    out = set()
+    for other in earlier:
+        theirs = [x.strip(" ") for x in (other or "").split("\n") if x.strip(" ")]
+        for i in range(len(ls)):
+            for j in range(len(theirs)):
+                if i and j and ls[i - 1][1] == theirs[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(ls) and j + n < len(theirs) and ls[i + n][1] == theirs[j + n]:
+                    n += 1
+                if sum(len(x.split(" ")) for _, x in ls[i : i + n]) >= least:
+                    out |= {k for k, _ in ls[i : i + n]}
+    return out
+
+
+def uncut(t, places):
+    return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in places)
 
 
 def test_line_dedup(spark, edge):
     rng = random.Random(5)
     passage = [prose(rng, 30, 9999), prose(rng, 25, 9999)]
+    single = [prose(rng, 8, 9999) for _ in range(5)]
+    verse = [prose(rng, 4, 9999) for _ in range(15)]
     rows = []
     for i in range(60):
         own = [prose(rng, rng.randint(3, 12), 9999) for _ in range(rng.randint(1, 6))]
@@ -101,21 +103,65 @@ def test_line_dedup(spark, edge):
             own[len(own) // 2 : len(own) // 2] = passage
         if i % 7 == 0:
             own = passage[::-1] + own
+        if i < 5:  # the lines of a later passage, each in a document of its own
+            own.insert(0, single[i])
+        if i in (10, 11, 12):
+            own[1:1] = [*single[:3], "", *single[3:]]
         rows.append((i, "\n".join(own), "s"))
     rows += [(100 + i, rows[1][1], "s") for i in range(5)] + [(200, "short one", "s"), (201, "short one", "s")]
+    # a passage of short lines in more documents than any limit of rarity
+    rows += [(1000 + i, "\n".join([f"own {i}", *verse, f"end {i}"]), "s") for i in range(90)]
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
-    ls, gone = lines_brute(rows)
     for i, t, _ in rows:
-        assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), i
-        assert got[i].removed_lines == len(gone[i])
+        want = shared_places(t, [x for k, x, _ in rows if k < i])
+        assert got[i].text == uncut(t, want) and got[i].removed_lines == len(want), i
+        assert got[i].n_lines == len(t.split("\n")) and (got[i].owner is None) == (not want)
     assert sum(passage[0] in r.text for r in got.values()) == 1 and got[201].text == "short one"
+    assert got[11].removed_lines == 5 and sum(verse[7] in r.text for r in got.values()) == 1
     same = {(r.doc_id, r.text) for r in line_dedup.line_dedup(edge).collect()}
     assert same == {(i, t) for i, t, _ in EDGE}
     cut = line_dedup.cut(docs(spark, rows))
-    assert cut.columns == docs(spark, rows).columns and cut.where("n_chars <> length(text)").count() == 0
+    assert cut.columns == docs(spark, rows).columns and cut.where("n_chars <> length(text) OR owner <> 'x'").count() == 0
     assert line_dedup.line_dedup(edge.limit(0)).count() == 0
 
 
+def test_line_dedup_repeated_ids_and_names(spark):
+    """Rows that share an id are cut each by its own places; columns named like the operator's stay."""
+    rng = random.Random(6)
+    long = [prose(rng, 9, 9999) for _ in range(5)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["x", *long])), (2, "alpha\nbeta\ngamma\ndelta\nepsilon\nzeta"), (2, "\n".join(["x", *long])), (None, "\n".join(long))]
+    table = spark.createDataFrame([(i, t, "m", "i", "k", "w") for i, t in rows], "doc_id bigint, text string, _mask string, _id string, line_dedup_mask string, `a b` string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.line_dedup(table).collect())
+    assert got == sorted([(0, "\n".join(long)), (1, "\n".join(long)), (2, "x"), (2, "x"), (2, rows[2][1])])
+    assert line_dedup.cut(table).columns == table.columns
+    assert {(r["_mask"], r["_id"], r["line_dedup_mask"], r["a b"]) for r in line_dedup.line_dedup(table).collect()} == {("m", "i", "k", "w")}
+    named = spark.createDataFrame([("a", "\n".join(long)), ("b", "\n".join(long[::-1]))], "doc_id string, text string")
+    assert {(r.doc_id, r.removed_words) for r in line_dedup.line_dedup(named).collect()} == {("a", 0), ("b", 0)}
+    twice = spark.createDataFrame([("a", "\n".join(long)), ("b", "\n".join(long))], "doc_id string, text string")
+    assert {(r.doc_id, r.removed_words, r.owner) for r in line_dedup.line_dedup(twice).collect()} == {("a", 0, None), ("b", 45, "a")}
+
+
+def test_line_dedup_of_few_lines_that_recur(spark):
+    """Where lines recur in any order: nothing unshared goes, and no shared stretch stays whole."""
+    rng = random.Random(7)
+    alphabet = [prose(rng, 7, 9999) for _ in range(6)]
+    rows = [(i, "\n".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))), "s") for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    masks = {r.id: r.mask for r in line_dedup.overlaps(docs(spark, rows)).collect()}
+    lost = 0
+    for i, t, _ in rows:
+        earlier = [x for k, x, _ in rows if k < i]
+        gone = {k for k, x in enumerate(masks.get(i, [])) if x}
+        assert gone <= shared_places(t, earlier) and got[i].text == uncut(t, gone)
+        lost += len(gone)
+        lines = t.split("\n")
+        for a in range(len(lines) - 2):
+            run = lines[a : a + 3]
+            if not gone & {a, a + 1, a + 2}:
+                assert not any(x.split("\n")[k : k + 3] == run for x in earlier for k in range(len(x.split("\n")) - 2))
+    assert lost > 100
+
+
 def test_patience():
     a, b = np.array([1, 2, 3, 4, 9, 5]), np.array([7, 1, 2, 8, 4, 9, 5])
     assert line_dedup.patience(a, b) == [(0, 1), (1, 2), (3, 4), (4, 5), (5, 6)]
@@ -445,10 +491,10 @@ def test_scattered_postings_equal_products():
     rng = np.random.default_rng(3)
     for fill_share in (0.1, 0.9):
         a, b = (rng.integers(-50, 50, (30, 12)) * (rng.random((30, 12)) < fill_share) for _ in range(2))
-        assert (topk.Postings(a).scores(b) == b @ a.T).all()
-    far = np.array([[3 * 10**15, -3 * 10**15, 5, 5, 3 * 10**15]])
-    row, at, score = topk.best(far, np.arange(5), np.array([9]), 3)
-    assert (at.tolist(), score.tolist()) == ([0, 2, 4], [3 * 10**15, 5, 3 * 10**15])
+        assert (topk.Postings(a).scores(b) == a @ b.T).all()
+    far = np.array([[3 * 10**15, -3 * 10**15, 5, 5, 3 * 10**15, 7]]).T
+    row, at, score = topk.merged(topk.best(far, np.arange(6), np.array([5]), 3), 3)
+    assert (at.tolist(), score.tolist()) == ([0, 4, 2], [3 * 10**15, 3 * 10**15, 5])
     huge = np.full((2, 3), 1 << 40)
     assert (topk.Postings(huge).scores(np.full((1, 3), 1 << 20)) == 3 << 60).all()
 
