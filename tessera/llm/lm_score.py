@@ -21,8 +21,10 @@ from tessera.llm import kernel, work
 
 #: Words that are symbols, classes of the other words, words of context, width of the vectors.
 SYMBOLS, CLASSES, CONTEXT, WIDTH = 768, 96, 2, 24
-#: Noise samples for each word, words in a step, and the step size.
-NOISE, STEP, RATE, SEED = 8, 512, 0.25, 11
+#: Noise samples for each word and those that the words of a step share, words in a step, and the step size.
+NOISE, SHARED, STEP, RATE, SEED = 8, 64, 1024, 0.25, 11
+#: Training tokens of a shard, about: a shard's texts are learnt from one after the other.
+SHARD_TOKENS = 4_000_000
 #: Words with counts that the scorer is sent; the rest are joined.  Both are exact.
 SENT_WORDS = 1 << 16
 #: Smoothing of the base model and inside classes.
@@ -129,7 +131,6 @@ def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.
     edges = np.cumsum(p)
     m = Model(model.r.copy(), model.q.copy(), model.c.copy(), model.b.copy())
     seen = squares(m) if seen is None else seen
-    shared = NOISE * 16
 
     def update(k: int, value: np.ndarray, g: np.ndarray) -> None:
         seen[k] += g * g
@@ -137,13 +138,13 @@ def train(model: Model, vocabulary: Vocabulary, context: np.ndarray, target: np.
 
     for low in range(0, len(target), STEP):
         ctx, tgt = context[low : low + STEP], target[low : low + STEP]
-        noise = np.minimum(np.searchsorted(edges, rng.random(shared)), len(p) - 1)
+        noise = np.minimum(np.searchsorted(edges, rng.random(SHARED)), len(p) - 1)
         rows = [m.r[ctx[:, k]] for k in range(CONTEXT)]
         hidden = sum(x * m.c[k] for k, x in enumerate(rows))
         true = (hidden * m.q[tgt]).sum(axis=1) + m.b[tgt] - log_kp[tgt]
         false = hidden @ m.q[noise].T + m.b[noise] - log_kp[noise]
         e_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1).astype(np.float32)
-        e_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * (NOISE / shared)
+        e_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * (NOISE / SHARED)
         g_hidden = e_true[:, None] * m.q[tgt] + e_false @ m.q[noise]
         both = np.r_[tgt, noise]
         g_rows = np.concatenate([e_true[:, None] * hidden, e_false.T @ hidden])
@@ -230,40 +231,77 @@ def vocabulary_of(counts: DataFrame, symbols: int = SYMBOLS, sent: int = SENT_WO
     return vocabulary, top_words, top_counts, int(n), int(v)
 
 
-def fit(docs: DataFrame, text_col: str, training: Column, vocabulary: Vocabulary, rounds: int = 2) -> Model:
-    """Trains on every token of all training texts: in each round every task starts from the same
-    model, runs over its own texts block by block, and the tasks' models are averaged by the tokens
-    they learnt from."""
+def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Array]]:
+    """(shard, texts) of blocks of about ``most`` bytes; where blocks end depends on a shard's texts
+    alone, not on the batches they come in."""
+    shard, held = None, pa.array([], pa.string())
+    for batch in batches:
+        shards = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True]) if len(shards) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if shard is not None and shards[a] != shard and len(held):
+                yield shard, held
+                held = held[:0]
+            shard = int(shards[a])
+            held = pa.concat_arrays([held, batch.column(1).slice(a, b - a).cast(pa.string())])
+            done = 0
+            for low, high in kernel.blocks(held, most):
+                if high < len(held):
+                    yield shard, held.slice(low, high - low)
+                    done = high
+            held = held.slice(done)
+    if shard is not None and len(held):
+        yield shard, held
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, vocabulary: Vocabulary, tokens: int, rounds: int = 1) -> Model:
+    """Trains on every token of all training texts.
+
+    Texts are dealt to shards by a hash of id and text, in as many shards as the training ``tokens``
+    need; equal texts of many rows are so spread too.  In each round every shard starts from the same
+    model and runs over its texts in the order of their hashes, and the shards' models are averaged.
+    Sums are kept in whole numbers, so the model is a function of the rows and not of their partitions.
+    """
     model = initial(vocabulary)
     shapes = [x.shape for x in (model.r, model.q, model.c, model.b)]
-    chunk = 64
+    chunk, unit = 64, float(1 << 32)
+    n_shards = max(1, -(-tokens // SHARD_TOKENS))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(training).select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("t"))
+    rows = rows.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "h", "t")
+    rows = rows.repartition(2 * n_shards, "shard").sortWithinPartitions("shard", "h", "t").select("shard", "t")
     for r in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((model, vocabulary))
 
         def learn(batches: Iterator[pa.RecordBatch], r: int = r) -> Iterator[pa.RecordBatch]:
             model, vocabulary = sent.value
-            rng = np.random.default_rng(SEED + r)
-            done, seen, total = model, squares(model), 0
-            for batch in batches:
-                for a, b in kernel.blocks(batch.column(0), 2 * kernel.BLOCK_BYTES):
-                    symbol, first, _, _, _ = encode(batch.column(0).slice(a, b - a), vocabulary)
-                    order = rng.permutation(len(symbol))
-                    context = contexts(symbol, first, vocabulary.size)
-                    done = train(done, vocabulary, context[order], symbol[order], int(rng.integers(1 << 31)), RATE / (1 + r), seen)
-                    total += len(symbol)
-            if not total:
-                return
-            flat = np.concatenate([x.ravel() for x in (done.r, done.q, done.c, done.b)]).astype(np.float64) * total
-            flat = np.pad(flat, (0, -len(flat) % chunk))
-            n = len(flat) // chunk
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * chunk), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.full(n, total, np.int64)), lists], ["i", "n", "x"])
-
-        parts = docs.where(training).select(text_col).mapInArrow(learn, "i bigint, n bigint, x array<double>")
-        mean = parts.groupBy("i").agg(F.array(*[F.sum(F.get("x", F.lit(k))) / F.sum("n") for k in range(chunk)]).alias("x")).orderBy("i").toArrow()
+            now, done, seen, rng = None, model, [], np.random.default_rng(0)
+
+            def parts() -> pa.RecordBatch:
+                flat = np.concatenate([x.ravel() for x in (done.r, done.q, done.c, done.b)]).astype(np.float64)
+                flat = np.rint(np.pad(flat, (0, -len(flat) % chunk)) * unit).astype(np.int64)
+                n = len(flat) // chunk
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * chunk), pa.array(flat))
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists], ["i", "x"])
+
+            for shard, texts in _texts(batches, 2 * kernel.BLOCK_BYTES):
+                if shard != now:
+                    if now is not None:
+                        yield parts()
+                    now, done, seen, rng = shard, model, squares(model), np.random.default_rng([SEED, r, shard])
+                symbol, first, _, _, _ = encode(texts, vocabulary)
+                order = rng.permutation(len(symbol))
+                context = contexts(symbol, first, vocabulary.size)
+                done = train(done, vocabulary, context[order], symbol[order], int(rng.integers(1 << 31)), RATE / (1 + r), seen)
+            if now is not None:
+                yield parts()
+
+        models = rows.mapInArrow(learn, "i bigint, x array<bigint>")
+        mean = models.groupBy("i").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("x", F.lit(k))) for k in range(chunk)]).alias("x")).orderBy("i").toArrow()
+        sent.unpersist()
         if not mean.num_rows:
             return model
-        flat = np.asarray(mean["x"].combine_chunks().flatten())
+        flat = np.asarray(mean["x"].combine_chunks().flatten()) / unit / np.asarray(mean["n"])[0]
         parts_of, at = [], 0
         for shape in shapes:
             size = int(np.prod(shape))
@@ -273,19 +311,20 @@ def fit(docs: DataFrame, text_col: str, training: Column, vocabulary: Vocabulary
     return model
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``.
 
     Tokens: the text's words with A-Z lower-cased, then one end.  A null text counts as empty: one
     token, its end.  Rows with a null id are training rows.  Scores are sums of log10 probabilities;
     with no training rows the base model gives every token the probability 1.  Repeated rows repeat
-    their results; other columns are not read.
+    their results; other columns are not read.  Results depend on the rows alone, not on how they are
+    partitioned, up to the last digits of sums.
     """
     spark = docs.sparkSession
     training = ~held_out(id_col)
     counts = work.written(word_counts(docs, text_col, training), "counts")
     vocabulary, top_words, top_counts, n, v = vocabulary_of(counts)
-    model = fit(docs, text_col, training, vocabulary, rounds)
+    model = fit(docs, id_col, text_col, training, vocabulary, n, rounds)
     sent = spark.sparkContext.broadcast((model, vocabulary, pa.array(top_words, pa.large_string()), top_counts))
     log_all = float(np.log10(n + ALPHA * (v + 1)))
 

@@ -389,13 +389,24 @@ def test_lm_learns_every_token(spark):
     line = " ".join("x" if k in (0, 7) else f"u{k}" for k in range(16))
     table = docs(spark, [(0, " ".join([line] * 4000), "s")])
     vocabulary, *_ = lm_score.vocabulary_of(lm_score.word_counts(table, "text", F.lit(True)))
-    model = lm_score.fit(table, "text", F.lit(True), vocabulary)
+    model = lm_score.fit(table, "doc_id", "text", F.lit(True), vocabulary, 64000)
     symbol, first, *_ = lm_score.encode(pa.array([" ".join([line] * 20)]), vocabulary)
     log_p = model.token_log_probs(lm_score.contexts(symbol, first, vocabulary.size), symbol)[2:-1]
     other = [k for k in range(len(log_p)) if (k + 2) % 16 not in (0, 7)]
     assert log_p[other].mean() > -0.5
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 30_000)
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300)
+    one, other = ({r.doc_id: r.score for r in lm_score.lm_scores(t).collect()} for t in (table.coalesce(1), table.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one == pytest.approx(other, rel=1e-5)
+    texts = pa.array(["a" * k for k in range(1, 60)])
+    whole = [(0, b.to_pylist()) for _, b in lm_score._texts(iter([pa.RecordBatch.from_arrays([pa.array([0] * 59), texts], ["s", "t"])]), 100)]
+    parts = [pa.RecordBatch.from_arrays([pa.array([0] * 7), texts.slice(k, 7)], ["s", "t"]) if k + 7 <= 59 else pa.RecordBatch.from_arrays([pa.array([0] * (59 - k)), texts.slice(k)], ["s", "t"]) for k in range(0, 59, 7)]
+    assert [(s, b.to_pylist()) for s, b in lm_score._texts(iter(parts), 100)] == whole and sum((b for _, b in whole), []) == texts.to_pylist()
+
+
 def test_lm_probabilities_sum_to_one():
     words = [f"w{i}" for i in range(50)]
     vocabulary = lm_score.Vocabulary(words, np.ones(50 + lm_score.CLASSES + 1), np.full(lm_score.CLASSES, 7.0))
