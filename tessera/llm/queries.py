@@ -71,32 +71,43 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op5_licenses, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash)}
+
+
 def _license_sql() -> str:
-    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(_licenses.ALL_TEMPLATES))
-    trigger, end, term = _licenses.TRIGGER, _licenses.SENTENCE_END, _licenses.TERM
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    told = [("false", *t) for t in _licenses.ALL_TEMPLATES] + [("true", *t) for t in _licenses.FULL_TEXTS]
+    rows = ", ".join(f"({i}, {whole}, {quoted(name)}, {quoted(text)})" for i, (whole, name, text) in enumerate(told))
+    trigger, end, wrapped, term = _licenses.TRIGGER, _licenses.SENTENCE_END, _licenses.WRAPPED_END, _licenses.TERM
+    cosine = """
+     SELECT m.uid, m.pos, template, license, g.n, round(sum(w * tw) / (norm * t_norm), 6) AS cosine
+     FROM {0} m JOIN (SELECT uid, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n FROM {0} GROUP BY 1, 2) g ON g.uid = m.uid AND g.pos = m.pos
+     JOIN tw ON tw.term = m.term AND {1} GROUP BY m.uid, m.pos, template, license, g.n, norm, t_norm"""
     return f"""
-WITH t AS (SELECT * FROM (VALUES {rows}) AS v(template, license, notice)),
-tt AS (SELECT template, license, term, CAST(count(*) AS DOUBLE) AS tf
-       FROM (SELECT template, license, unnest(regexp_extract_all(lower(notice), '{term}')) AS term FROM t) GROUP BY ALL),
+WITH t AS (SELECT * FROM (VALUES {rows}) AS v(template, is_whole, license, notice)),
+tt AS (SELECT template, is_whole, license, term, CAST(count(*) AS DOUBLE) AS tf
+       FROM (SELECT template, is_whole, license, unnest(regexp_extract_all(lower(notice), '{term}')) AS term FROM t) GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS uid, doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
-l AS (SELECT uid, regexp_split_to_array(text, '{end}') AS s FROM d WHERE regexp_matches(text, '{trigger}')),
-s AS (SELECT uid, unnest(s) AS sentence, unnest(generate_series(0, len(s) - 1)) AS pos FROM l),
-w AS (SELECT uid, pos, term, CAST(count(*) AS DOUBLE) AS tf
-      FROM (SELECT uid, pos, unnest(regexp_extract_all(lower(sentence), '{term}')) AS term FROM s WHERE regexp_matches(sentence, '{trigger}')) GROUP BY ALL),
-n AS (SELECT count(*) + {len(_licenses.ALL_TEMPLATES)} AS n FROM (SELECT DISTINCT uid, pos FROM w)),
+l AS (SELECT uid, text, regexp_split_to_array(text, '{end}') AS s, list_filter(regexp_split_to_array(text, '{wrapped}'), lambda x: contains(x, chr(10))) AS r FROM d WHERE regexp_matches(text, '{trigger}')),
+s AS (SELECT uid, len(s) AS n_plain, unnest(list_concat(s, r)) AS sentence, unnest(generate_series(0, len(s) + len(r) - 1)) AS pos FROM l),
+w AS (SELECT uid, pos, wrapped, term, CAST(count(*) AS DOUBLE) AS tf
+      FROM (SELECT uid, pos, pos >= n_plain AS wrapped, unnest(regexp_extract_all(lower(sentence), '{term}')) AS term FROM s WHERE regexp_matches(sentence, '{trigger}')) GROUP BY ALL),
+a AS (SELECT uid, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM l),
+x AS (SELECT uid FROM a GROUP BY 1 HAVING count(*) FILTER (term IN (SELECT term FROM tt WHERE is_whole)) >= {_licenses.VOCABULARY_SHARE} * count(*)),
+y AS (SELECT uid, 0 AS pos, term, CAST(count(*) AS DOUBLE) AS tf FROM a WHERE uid IN (SELECT uid FROM x) GROUP BY ALL),
+n AS (SELECT count(*) + {len(told)} AS n FROM (SELECT DISTINCT uid, pos FROM w)),
 i AS (SELECT v.term, ln((1.0 + n) / (1.0 + t_df + coalesce(df, 0))) + 1 AS idf
       FROM (SELECT term, count(*) AS t_df FROM tt GROUP BY 1) v
       LEFT JOIN (SELECT term, count(*) AS df FROM w GROUP BY 1) f ON v.term = f.term, n),
-tw AS (SELECT template, license, tt.term, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN i USING (term)),
+tw AS (SELECT template, is_whole, license, tt.term, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS t_norm FROM tt JOIN i USING (term)),
 m AS (SELECT uid, pos, w.term, tf, tf * coalesce(idf, ln((1.0 + n) / 2.0) + 1) AS w FROM w LEFT JOIN i USING (term), n),
-g AS (SELECT uid, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n FROM m GROUP BY 1, 2),
-c AS (SELECT m.uid, m.pos, template, license, g.n, round(sum(w * tw) / (norm * t_norm), 6) AS cosine
-      FROM m JOIN tw USING (term) JOIN g ON g.uid = m.uid AND g.pos = m.pos GROUP BY m.uid, m.pos, template, license, g.n, norm, t_norm),
-b AS (SELECT *, row_number() OVER (PARTITION BY uid, pos ORDER BY cosine DESC, template) AS r FROM c WHERE cosine >= {_licenses.LEAST_COSINE}),
-o AS (SELECT *, sum(n) OVER (PARTITION BY uid) AS told, row_number() OVER (PARTITION BY uid ORDER BY cosine DESC, pos) AS q FROM b WHERE r = 1),
-k AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, o.license, o.cosine AS score,
-             coalesce(told >= {_licenses.FILE_SHARE} * len(regexp_extract_all(lower(text), '{term}')), false) AS is_file
-      FROM d LEFT JOIN o ON o.uid = d.uid AND o.q = 1),
+my AS (SELECT uid, pos, y.term, tf, tf * coalesce(idf, ln((1.0 + n) / 2.0) + 1) AS w FROM y LEFT JOIN i USING (term), n),
+c AS ({cosine.format("m", "NOT is_whole")}),
+b AS (SELECT c.*, (SELECT any_value(wrapped) FROM w WHERE w.uid = c.uid AND w.pos = c.pos) AS wrapped, row_number() OVER (PARTITION BY uid, pos ORDER BY cosine DESC, template) AS r FROM c WHERE cosine >= {_licenses.LEAST_COSINE}),
+o AS (SELECT *, greatest(coalesce(sum(n) FILTER (NOT wrapped) OVER (PARTITION BY uid), 0), coalesce(sum(n) FILTER (wrapped) OVER (PARTITION BY uid), 0)) AS told, row_number() OVER (PARTITION BY uid ORDER BY cosine DESC, pos) AS q FROM b WHERE r = 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY cosine DESC, template) AS r FROM ({cosine.format("my", "is_whole")}) WHERE cosine >= {_licenses.LEAST_WHOLE}),
+k AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, coalesce(e.license, o.license) AS license, coalesce(e.cosine, o.cosine) AS score,
+             e.license IS NOT NULL OR coalesce(told >= {_licenses.FILE_SHARE} * len(regexp_extract_all(lower(text), '{term}')), false) AS is_file
+      FROM d LEFT JOIN o ON o.uid = d.uid AND o.q = 1 LEFT JOIN e ON e.uid = d.uid AND e.r = 1),
 u AS (SELECT dir, license, score, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) AS r FROM k WHERE is_file),
 h AS (SELECT x.dir, u.license, u.score, row_number() OVER (PARTITION BY x.dir ORDER BY length(u.dir) DESC) AS r
       FROM (SELECT DISTINCT dir FROM k) x JOIN u ON u.r = 1 AND (u.dir = x.dir OR u.dir = '' OR starts_with(x.dir, u.dir || '/')))

@@ -326,6 +326,25 @@ def test_licenses(spark, edge, sf):
     assert licenses.scan(edge.limit(0), F.lit("a/b")).count() == 0
 
 
+def test_license_files(spark):
+    """Full texts, wrapped and with other names and years, are files and govern the nested paths."""
+    texts = dict(licenses.FULL_TEXTS)
+    rewrap = lambda t, n: re.sub(r"((?:\S+\s+){%d})" % n, lambda m: " ".join(m[1].split()) + "\n", t)
+    rows, want, k = [], {}, 0
+    for name, text in texts.items():
+        if name == "AGPL-3.0":
+            continue
+        for body in (text, f"Copyright (c) 2019 Ada Example and contributors\n\n{rewrap(text, 9)}"):
+            rows += [(10 * k, body, f"r{k}/LICENSE"), (10 * k + 1, "code only", f"r{k}/src/deep/a.py"), (10 * k + 2, "no path above", f"s{k}/a.py")]
+            want |= {10 * k: (name, "file"), 10 * k + 1: (name, "inherited"), 10 * k + 2: (None, "none")}
+            k += 1
+    rows += [(9000, "# Released under the\n# MIT License.\n\nimport os", "t/a.py"), (9001, "x = 1\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n\n" + "value of code " * 300, "t/b.py"), (9002, texts["MIT"] + " unrelated words about gardens and weather" * 400, "t/c.py")]
+    want |= {9000: ("MIT", "file"), 9001: ("Apache-2.0", "header")}
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, where string")
+    got = {r.doc_id: (r.license, r.found) for r in licenses.scan(table, F.col("where")).collect()}
+    assert {i: x for i, x in got.items() if i != 9002} == want and got[9002][1] == "header"
+
+
 # ---------------------------------------------------------------- 6 WARC
 
 
