@@ -219,7 +219,8 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 def _cut(docs: DataFrame, id_col: str, text_col: str, limits: dict) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its texts cut and the columns of ``overlaps`` beside, under names that it has not."""
     names = {c: work.free_name(docs, f"line_dedup_{c}") for c in ("id", "t", "mask", "words", "links", "owner")}
-    gone = work.written(overlaps(docs, id_col, text_col, **limits), "gone").toDF(*names.values())
+    with work.scratch():
+        gone = work.written(overlaps(docs, id_col, text_col, **limits), "gone", keep=True).toDF(*names.values())
     text = F.col(f"`{text_col}`")
     # always a merge join: what is shuffled then follows the input alike at every size
     joined = docs.join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col(names["id"])) & (F.xxhash64(text) == F.col(names["t"])), "left")

@@ -185,6 +185,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     key = F.md5(F.col(text_col).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("text_key"))
+    with work.scratch():
+        classed = _classes(docs, rows, key, text_col, least, shingle)
+    out = rows.join(classed, F.col("text_key") == F.col("c_key"), "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("text_key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def _classes(docs: DataFrame, rows: DataFrame, key: Column, text_col: str, least: float, shingle: int) -> DataFrame:
+    """(c_key, n_copies, class_id): the class of each text key."""
     texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("text_key"), F.col(text_col).alias("text"))
 
     signed = texts.mapInArrow(_sign(BANDS, BAND_ROWS, shingle), "text_key string, bands array<bigint>")
@@ -217,9 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = copies.join(roots, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("c_key"), "n_copies", "least_id", F.coalesce("root", "text_key").alias("root"))
     classed = work.written(classed, "classes")
     names = classed.groupBy("root").agg(F.min("least_id").alias("class_id")).withColumnRenamed("root", "n_root")
-    classed = classed.join(names, F.col("root") == F.col("n_root")).select("c_key", "n_copies", "class_id")
-    out = rows.join(classed, F.col("text_key") == F.col("c_key"), "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("text_key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return work.written(classed.join(names, F.col("root") == F.col("n_root")).select("c_key", "n_copies", "class_id"), "classed", keep=True)
 
 
 def _meet(members: DataFrame, failed: DataFrame, roots: DataFrame, wanted: DataFrame, least: float) -> DataFrame:

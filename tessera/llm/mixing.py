@@ -41,20 +41,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most_times: in
     return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", "place", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), ramps: Sequence[float] = (0.5, 0.0, -0.5), most_times: int = 3) -> DataFrame:
-    """One row per row of ``docs``, sorted by training position: id, size, source_size, target, taken,
-    position.
-
-    ``size``: words of the text (null: 0).  ``taken``: words the mix takes, repeats counted.  A source
-    is a stream of its documents in the order of a hash of id and text, begun again when it ends; the
-    mix takes the first round(target) words of the stream, so only the last document taken can be
-    taken in part.  ``ramps``: a source's weight at time t of 0 to 1 is its target times
-    1 + ramp * (2t - 1), ramps taken in turn as the weights are; ``position`` is the time at which
-    the middle of the document's first taken pass is due, null if nothing of it is taken.
-
-    A null source is a source; a null id orders as empty text; repeated rows are documents of their
-    own; an empty table gives no rows; other columns are not read.
-    """
+def _placed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), ramps: Sequence[float] = (0.5, 0.0, -0.5), most_times: int = 3) -> DataFrame:
+    """(id, size, source_size, target, passes), ``passes`` being an array of (taken, position)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
@@ -78,9 +66,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     start = F.col("offset") + F.col("inside")
     due = F.round("target").cast("long")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), due - start - F.col("source_size") * p)) for p in range(most_times)]
-    taken = sum(passes[1:], passes[0])
-    x = (start + passes[0] / 2) / F.col("target")  # share of the source's demand that is met by then
     a = F.col("ramp")
-    time = F.when(a == 0, x).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a))
-    out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.when(passes[0] > 0, time).alias("position"))
+
+    def time(p: int):  # when the middle of what pass p takes is due, by the share of the demand met by then
+        x = (start + F.col("source_size") * p + passes[p] / 2) / F.col("target")
+        at = F.when(a == 0, x).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a))
+        return F.when(passes[p] > 0, at)
+
+    taken = F.array(*[F.struct(passes[p].alias("taken"), time(p).alias("position")) for p in range(most_times)])
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("passes"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), ramps: Sequence[float] = (0.5, 0.0, -0.5), most_times: int = 3) -> DataFrame:
+    """One row per row of ``docs``, sorted by training position: id, size, source_size, target, taken,
+    position, and position_2, position_3, ... of the document's repeats.
+
+    ``size``: words of the text (null: 0).  ``taken``: words the mix takes, repeats counted.  A source
+    is a stream of its documents in the order of a hash of id and text, begun again when it ends; the
+    mix takes the first round(target) words of the stream, so only the last document taken can be
+    taken in part.  ``ramps``: a source's weight at time t of 0 to 1 is its target times
+    1 + ramp * (2t - 1), ramps taken in turn as the weights are; a position is the time at which the
+    middle of what that pass takes of the document is due, null if it takes nothing.
+
+    A null source is a source; a null id orders as empty text; repeated rows are documents of their
+    own; an empty table gives no rows; other columns are not read.
+    """
+    rows = _placed(docs, id_col, source_col, text_col, weights, ramps, most_times)
+    nth = lambda p: F.get("passes", F.lit(p))
+    taken = sum((nth(p)["taken"] for p in range(1, most_times)), nth(0)["taken"])
+    positions = [nth(p)["position"].alias(f"position_{p + 1}" if p else "position") for p in range(most_times)]
+    out = rows.select(id_col, "size", "source_size", "target", taken.alias("taken"), *positions)
     return out.orderBy("position", id_col)  # the id deals out rows that are not taken
+
+
+def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), ramps: Sequence[float] = (0.5, 0.0, -0.5), most_times: int = 3) -> DataFrame:
+    """The order of training itself: (id, pass, taken, position), one row for every time that a document
+    is taken, range-sorted by position.  ``mix`` says what the columns mean and how rows are treated."""
+    rows = _placed(docs, id_col, source_col, text_col, weights, ramps, most_times)
+    each = rows.select(id_col, F.posexplode("passes").alias("p", "x")).where(F.col("x.taken") > 0)
+    return each.select(id_col, (F.col("p") + 1).alias("pass"), "x.taken", "x.position").orderBy("position", id_col, "pass")

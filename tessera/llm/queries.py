@@ -143,9 +143,11 @@ p AS (
 q AS (
   SELECT *, greatest(0, least(size, due - start)) AS p0,
          greatest(0, least(size, due - start - source_size)) AS p1, greatest(0, least(size, due - start - 2 * source_size)) AS p2 FROM p),
-x AS (SELECT *, (start + p0 / 2) / target AS x FROM q)
+x AS (SELECT *, (start + p0 / 2) / target AS x0, (start + source_size + p1 / 2) / target AS x1, (start + 2 * source_size + p2 / 2) / target AS x2 FROM q)
 SELECT doc_id, size, source_size, target, CAST(p0 + p1 + p2 AS BIGINT) AS taken,
-       CASE WHEN p0 > 0 THEN CASE WHEN a = 0 THEN x ELSE (sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * a) END END AS position
+       CASE WHEN p0 > 0 THEN CASE WHEN a = 0 THEN x0 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * x0) - (1 - a)) / (2 * a) END END AS position,
+       CASE WHEN p1 > 0 THEN CASE WHEN a = 0 THEN x1 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * x1) - (1 - a)) / (2 * a) END END AS position_2,
+       CASE WHEN p2 > 0 THEN CASE WHEN a = 0 THEN x2 ELSE (sqrt((1 - a) * (1 - a) + 4 * a * x2) - (1 - a)) / (2 * a) END END AS position_3
 FROM x
 """,
     "op6_warc": """

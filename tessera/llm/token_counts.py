@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from tessera.llm import kernel
+
 #: Bytes of text handed to the library at once, and the length from which a text is split.
 BATCH_BYTES = 1 << 18
 SPLIT_BYTES = 1 << 16
@@ -56,7 +58,7 @@ def pieces(text: str, most: int = SPLIT_BYTES) -> Iterator[str]:
 
 
 def _sizes(texts: list[str], tokenizer, splits: bool, batch_bytes: int, split_bytes: int) -> np.ndarray:
-    """Tokens of each text; pieces go to the library in batches of about equal bytes, not of equal rows."""
+    """Tokens of each text; pieces go to the library in batches of about ``batch_bytes`` bytes."""
     out = np.zeros(len(texts), np.int64)
     held: list[str] = []
     owner: list[int] = []
@@ -74,7 +76,7 @@ def _sizes(texts: list[str], tokenizer, splits: bool, batch_bytes: int, split_by
         for piece in pieces(text, split_bytes) if splits and len(text) > split_bytes else (text,):
             held.append(piece)
             owner.append(i)
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode())
             if size >= batch_bytes:
                 flush()
     if held:
@@ -87,7 +89,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     A null text counts as empty (0 bytes, 0 tokens); a null id stays null; repeated rows give repeated
     results; other columns are not read.  The tokenizer file is read on the driver and broadcast (a
-    file of fixed size), so executors need no copy of it.  No shuffle: each scan task counts its rows.
+    file of fixed size), so executors need no copy of it.  No shuffle: each scan task counts its rows,
+    in blocks of as many rows as have ``batch_bytes`` bytes of text; a longer text is a block of its own
+    and goes to the library in pieces.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -98,10 +102,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             texts = batch.column(1)
             size = np.zeros(len(texts), np.int64)
             tokens = np.zeros(len(texts), np.int64)
-            for low in range(0, len(texts), 256):
-                part = texts.slice(low, 256)
-                size[low : low + len(part)] = np.asarray(pa.compute.fill_null(pa.compute.binary_length(part), 0))
-                tokens[low : low + len(part)] = _sizes([x or "" for x in part.to_pylist()], tokenizer, splits, batch_bytes, split_bytes)
+            for low, high in kernel.blocks(texts, batch_bytes):
+                part = texts.slice(low, high - low)
+                size[low:high] = np.asarray(pa.compute.fill_null(pa.compute.binary_length(part), 0))
+                tokens[low:high] = _sizes([x or "" for x in part.to_pylist()], tokenizer, splits, batch_bytes, split_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(tokens), pa.array(tokens > token_limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()

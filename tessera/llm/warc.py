@@ -2,8 +2,9 @@
 
 Each archive starts with a skippable frame that embeds a Zstandard dictionary built from the archive's
 own records; then comes one independent frame per record.  Spark's text sink writes the archives
-through its commit protocol to any file system Spark can reach: a row is one frame, and the line
-separator is an empty skippable frame, which decoders pass over.
+through its commit protocol to any file system Spark can reach: a row is a few frames, and the line
+separator is an empty skippable frame, which decoders pass over.  Archives are rolled after so many
+rows, and each begins with the dictionary.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ FRAME_MAGIC = 0xFD2FB528
 #: Records of an archive that its dictionary is built from, in bytes, and the dictionary's size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 32 << 10
 LEVEL = 3
+#: Compressed bytes that fill a row (a longer record is a row of its own) and rows of an archive.
+ROW_BYTES, ARCHIVE_ROWS = 1 << 20, 256
 #: Rows of the table of repeated payloads up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 50_000
 
@@ -112,8 +115,8 @@ def frames(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = LEVEL) -> None:
-    """Writes one record per row of ``pages`` under ``path``, one archive per partition.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = LEVEL, row_bytes: int = ROW_BYTES, archive_rows: int = ARCHIVE_ROWS) -> None:
+    """Writes one record per row of ``pages`` under ``path``, in archives of about ``archive_rows`` MB.
 
     Of the rows with equal payloads of at least ``min_bytes`` bytes, that with the largest id is a
     response and the others revisit it; all smaller ones are responses.  A null payload is empty, a
@@ -152,20 +155,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         trained = build_dictionary(held)
         body = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
         packer = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True, write_content_size=True)
-        out = [struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body]
-        size = 0
+        lead = struct.pack("<II", DICTIONARY_MAGIC, len(body)) + body
+        out, size, n_rows = [lead], 0, 0
         for part in (held, stream):
             for r in part:
                 out.append(packer.compress(r))
                 size += len(out[-1])
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                if size >= row_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
+                    n_rows += 1
+                    out, size = [lead] if n_rows % archive_rows == 0 else [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["value"])
 
     packed = rows.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+    packed.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", archive_rows).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: list[tuple[SparkSession, str]] = []
+_KEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,15 +53,33 @@ def exists(spark: SparkSession, path: str, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: later steps survive lost executors
-    and see one fixed version of it."""
+    and see one fixed version of it.  ``keep`` lets it outlive the scratch it is written in."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if keep:
+        _KEPT.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are removed at the end, but for those to keep: whatever is still to be read
+    then must be computed from those alone."""
+    before = len(_PATHS)
+    yield
+    mine = _PATHS[before:]
+    del _PATHS[before:]
+    for spark, path in mine:
+        if path in _KEPT:
+            _KEPT.discard(path)
+            _PATHS.append((spark, path))
+        else:
+            remove(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _PATHS:

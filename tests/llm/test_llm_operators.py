@@ -65,6 +65,15 @@ def test_ngrams():
     assert collections.Counter(text.tolist()) == {0: 3, 1: 1, 2: 1} and len(set(gram.tolist())) == 5
 
 
+def test_scratch_tables_go(spark):
+    with work.scratch():
+        gone = work.written(spark.range(3), "a")
+        kept = work.written(gone.where("id > 0"), "b", keep=True)
+        folder = gone.inputFiles()[0].rsplit("/", 1)[0]
+        assert work.exists(spark, folder, "part-*")
+    assert kept.count() == 2 and not work.exists(spark, folder, "part-*")
+
+
 # ---------------------------------------------------------------- 1 line dedup
 
 
@@ -360,6 +369,10 @@ def test_warc(spark):
     assert got == want
     path = work.new_path(spark, "warc")
     warc.write_archives(pages, path, min_bytes=5)
+    many = work.new_path(spark, "warc")
+    warc.write_archives(pages.coalesce(1), many, row_bytes=100, archive_rows=2)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(many).collect()
+    assert len(files) > 2 and all(bytes(f.content[:4]) == bytes.fromhex("5d2a4d18") for f in files) and warc.read_archives(spark, many).count() == len(rows)
     back = warc.read_archives(spark, path)
     assert {r.page: bytes(r.payload).decode() for r in back.where("record_type = 'response' AND page <> '7'").collect()} == {"2": "<p>é</p>", "3": "", "4": "", "5": "z" * 300_000}
     assert back.where("record_type = 'revisit'").count() == 2
@@ -487,6 +500,11 @@ def test_mixing(spark, edge):
             s = "b"
         taken[s] += r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    order = mixing.schedule(d).collect()
+    assert [r.position for r in order] == sorted(r.position for r in order) and sum(r.taken for r in order) == sum(r.taken for r in got)
+    assert sorted(r.position for r in order) == sorted(x for r in got for x in (r.position, r.position_2, r.position_3) if x is not None)
+    assert all((r.position_3 is None or r.position_2 < r.position_3) and (r.position_2 is None or r.position < r.position_2) for r in got)
+    assert any(r.position_2 is not None for r in got)
     at = [r.position for r in got if r.position is not None]
     assert at == sorted(at) and all(0 <= x <= 1 for x in at)
     again = mixing.mix(d.repartition(7)).collect()
