@@ -1,45 +1,20 @@
 """The query catalogue over the test tables: every query beside the SQL that gives the same rows.
 
-Role mapping: a posting is an order of status F, a module an order of status O whose key ends in 0, a
-skill is brand and type of a line's part, a code is nation, priority digit and customer suffix; texts
+Role mapping: a posting is an order of status F, a module an order of status O, a skill is brand and type of a line's part, a code is nation, priority digit and customer suffix; texts
 are documents, web pages are pages, vectors are embeddings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, fuzzy, numeric, serial, text
 from tessera.operators import align, benchmark, clean_courses, clean_jobs, embed, enrich, explore, extract, mapping, rules, scope, search
-from tessera.sources import readers
+from tessera.registry import ORACLE, QUERIES, Tables, query  # noqa: F401
+from tessera.sources import readers, shared
 from tessera.streaming import families as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        name = f.__name__.strip("_")
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- alignment
 
 
@@ -61,15 +36,15 @@ def postings(t: Tables) -> DataFrame:
 
 
 def modules(t: Tables) -> DataFrame:
-    rows = _owned(t).where("o_orderstatus = 'O' AND o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("module_id"), F.col("n_name").alias("source"), F.col("c_mktsegment").alias("department"))
+    rows = _owned(t).where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("module_id"), F.col("n_name").alias("source"), F.col("c_mktsegment").alias("department"))
     return rows.join(order_skills(t), F.col("module_id") == F.col("k"), "left").drop("k")
 
 
 def _aligned(t: Tables, digits: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     # profiles and modules' skills are read several times in one plan, which Spark does not share by itself
-    m = modules(t).persist()
-    families, theirs = (x.persist() for x in align.family_profiles(postings(t), F.left("code5", F.lit(digits))))
-    mine = align.module_skills(m).persist()
+    m = shared.kept(modules(t))
+    families, theirs = (shared.kept(x) for x in align.family_profiles(postings(t), F.left("code5", F.lit(digits))))
+    mine = shared.kept(align.module_skills(m))
     return m, mine, families, theirs, align.top_matches(m, mine, families, theirs, **how)
 
 
@@ -83,7 +58,7 @@ own AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation
 post AS (SELECT o_orderkey AS job_id, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || left(o_orderpriority, 1) || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS code5, n_name AS title,
   CAST(o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.7) FROM orders WHERE o_orderstatus = 'F') AS INT) AS good
   FROM own WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT k FROM sk)),
-mods AS (SELECT o_orderkey AS module_id, n_name AS source, c_mktsegment AS department FROM own WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 0),
+mods AS (SELECT o_orderkey AS module_id, n_name AS source, c_mktsegment AS department FROM own WHERE o_orderstatus = 'O'),
 fam AS (SELECT left(code5, {digits}) AS code, max(title) AS title, count(*) AS job_count, sum(good) AS good_job_count, round(sum(good) / count(*), 4) AS good_job_pct FROM post GROUP BY 1),
 fs AS (SELECT left(code5, {digits}) AS code, skill, count(*) AS cnt FROM post JOIN sk ON job_id = k GROUP BY 1, 2),
 fw AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY code) AS w, row_number() OVER (PARTITION BY code ORDER BY cnt DESC, skill) AS rk FROM fs),
@@ -91,10 +66,11 @@ ft AS (SELECT code, sum(w * w) AS fn, least(count(*), {k}) AS tn, sum(cnt) FILTE
 mw AS (SELECT module_id, skill, 1.0::DOUBLE / count(*) OVER (PARTITION BY module_id) AS w FROM mods JOIN sk ON module_id = k),
 mn AS (SELECT module_id, sum(w * w) AS mn FROM mw GROUP BY 1),
 pr AS (SELECT module_id, code, count(*) AS overlap_count, list_sort(list(skill)) AS overlap, sum(least(mw.w, fw.w)) AS s, sum(mw.w * fw.w) AS d, count(*) FILTER (rk <= {k}) AS h, coalesce(sum(cnt) FILTER (rk <= {k}), 0) AS hc FROM mw JOIN fw USING (skill) GROUP BY 1, 2),
+cand AS (SELECT module_id, code FROM pr UNION SELECT module_id, code FROM mods, (SELECT code, row_number() OVER (ORDER BY job_count DESC, code) AS i FROM fam) WHERE i <= {n} + (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM pr GROUP BY module_id))),
 sc AS (SELECT m.module_id, m.source, m.department, fam.*, coalesce(overlap_count, 0) AS overlap_count, coalesce(overlap, []) AS overlap, coalesce(h / tn, 0) AS cov, coalesce(s / (2 - s), 0) AS wj, coalesce(d / sqrt(mn * fn), 0) AS cs, coalesce(1 - hc / tc, 1) AS gap
-  FROM mods m CROSS JOIN fam LEFT JOIN pr ON pr.module_id = m.module_id AND pr.code = fam.code LEFT JOIN ft ON ft.code = fam.code LEFT JOIN mn ON mn.module_id = m.module_id),
+  FROM mods m JOIN cand ON cand.module_id = m.module_id JOIN fam ON fam.code = cand.code LEFT JOIN pr ON pr.module_id = m.module_id AND pr.code = fam.code LEFT JOIN ft ON ft.code = fam.code LEFT JOIN mn ON mn.module_id = m.module_id),
 al AS (SELECT *, {score} AS raw FROM sc),
-rk AS (SELECT *, round(round(raw, 10), 4) AS score, round(round(raw * good_job_pct, 10), 4) AS quality, row_number() OVER (PARTITION BY module_id ORDER BY round(round(raw, 10), 4) DESC, overlap_count DESC, job_count DESC, code) AS rank FROM al),
+rk AS (SELECT *, round(round(raw, 10), 4) AS score, round(round(raw * good_job_pct, 10), 4) + 0 AS quality, row_number() OVER (PARTITION BY module_id ORDER BY round(round(raw, 10), 4) DESC, overlap_count DESC, job_count DESC, code) AS rank FROM al),
 top AS (SELECT * FROM rk WHERE rank <= {n}),
 one AS (SELECT module_id, any_value(source) AS source, any_value(department) AS department, count(*) FILTER (rank = 1) AS has, max(overlap_count) FILTER (rank = 1) AS o1, max(score) FILTER (rank = 1) AS s1, max(good_job_pct) FILTER (rank = 1) AS g1, max(quality) FILTER (rank = 1) AS q1,
   CASE WHEN sum(score) FILTER (rank <= 3) > 0 THEN round(round(sum(score * good_job_pct) FILTER (rank <= 3) / sum(score) FILTER (rank <= 3), 10), 4) ELSE 0 END AS p3,
@@ -173,7 +149,7 @@ def align_missing_skills(t):
     return align.missing_skills(top, mine, theirs).withColumn("missing", F.array_join("missing", ", "))
 
 
-@query(f"WITH {_SKILLS}, m AS (SELECT o_orderkey AS k, c_mktsegment AS a, n_name AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 0) SELECT tag, skill, count(*) AS cnt FROM (SELECT k, a AS tag FROM m UNION SELECT k, b FROM m) JOIN sk USING (k) GROUP BY 1, 2")
+@query(f"WITH {_SKILLS}, m AS (SELECT o_orderkey AS k, c_mktsegment AS a, n_name AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O') SELECT tag, skill, count(*) AS cnt FROM (SELECT k, a AS tag FROM m UNION SELECT k, b FROM m) JOIN sk USING (k) GROUP BY 1, 2")
 def programme_rollup(t):
     return align.rollup_counts(modules(t).withColumn("tags", F.array("department", "source")), "tags")
 
@@ -191,13 +167,13 @@ _OCC = "lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || left(o_orderpriority, 1)"
 
 
 @query(f"""WITH j AS (SELECT o_orderkey AS job_id, {_OCC} || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS ssoc_5d_code, CAST(o_totalprice > 200000 AS INT) AS good FROM orders JOIN customer ON o_custkey = c_custkey),
-d AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || p AS code, n_name || ' ' || p AS title FROM nation, (VALUES ('1'), ('2'), ('3')) v(p)),
-e AS (SELECT job_id, ssoc_5d_code, left(ssoc_5d_code, 4) AS ssoc_4d_code, left(ssoc_5d_code, 3) AS ssoc_3d_code, good, title FROM j JOIN d ON left(ssoc_5d_code, 3) = code)
-SELECT job_id, ssoc_3d_code, title AS ssoc_3d_title, ssoc_4d_code, '' AS ssoc_4d_title, ssoc_5d_code, '' AS ssoc_5d_title, count(*) OVER (PARTITION BY ssoc_3d_code) AS ssoc_3d_total_jobs, sum(good) OVER (PARTITION BY ssoc_3d_code) AS ssoc_3d_good_jobs, round(sum(good) OVER (PARTITION BY ssoc_3d_code) / count(*) OVER (PARTITION BY ssoc_3d_code), 4) AS ssoc_3d_good_job_pct FROM e""")
+d AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || p AS code, n_name || ' ' || p AS title FROM nation, (VALUES ('1'), ('2'), ('3'), ('10'), ('21'), ('211'), ('305')) v(p)),
+e AS (SELECT job_id, ssoc_5d_code, left(ssoc_5d_code, 4) AS ssoc_4d_code, left(ssoc_5d_code, 3) AS ssoc_3d_code, good, d.title, coalesce(f.title, '') AS four, coalesce(g.title, '') AS five FROM j JOIN d ON left(ssoc_5d_code, 3) = d.code LEFT JOIN d f ON f.code = left(ssoc_5d_code, 4) LEFT JOIN d g ON g.code = ssoc_5d_code)
+SELECT job_id, ssoc_3d_code, title AS ssoc_3d_title, ssoc_4d_code, four AS ssoc_4d_title, ssoc_5d_code, five AS ssoc_5d_title, count(*) OVER (PARTITION BY ssoc_3d_code) AS ssoc_3d_total_jobs, sum(good) OVER (PARTITION BY ssoc_3d_code) AS ssoc_3d_good_jobs, round(sum(good) OVER (PARTITION BY ssoc_3d_code) / count(*) OVER (PARTITION BY ssoc_3d_code), 4) AS ssoc_3d_good_job_pct FROM e""")
 def ssoc_enrich(t):
     code = F.concat(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.left("o_orderpriority", F.lit(1)), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
     jobs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("job_id"), code.alias("ssoc_code"), (F.col("o_totalprice") > 200000).cast("int").alias("is_good_job"))
-    titles = t.nation.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("c"), "n_name", F.explode(F.array(*map(F.lit, "123"))).alias("p")).select(F.concat("c", "p").alias("code"), F.concat_ws(" ", "n_name", "p").alias("title"))
+    titles = t.nation.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("c"), "n_name", F.explode(F.lit(["1", "2", "3", "10", "21", "211", "305"])).alias("p")).select(F.concat("c", "p").alias("code"), F.concat_ws(" ", "n_name", "p").alias("title"))
     return enrich.with_occupation(jobs, titles).drop("ssoc_code", "is_good_job")
 
 
@@ -257,12 +233,21 @@ def contract_type_priority(t):
     return clean_jobs.types_of_work(listed).drop("employment_types")
 
 
-@query("""WITH d AS (SELECT *, doc_id % 4 AS y, lower(source) AS ti, lower(text) AS de FROM documents), f AS (SELECT coalesce(y IN (0, 1), false) AS a, source IS NOT NULL AND text IS NOT NULL AND len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 10 AND trim(text) <> '' AS b,
-  NOT coalesce(regexp_matches(ti || '|' || de, '\\bintern(?:ship)?s?\\b'), false) AS c FROM d)
+_POSTS = ["Intern, kitchen", "Internal auditor", "Research Fellow", "Professor of law", "Clerk", "Sales internships"]
+_NEEDS = ["", " PhD required", " Requirements: a strong record and a Master's degree.", " master plan", " A doctorate is no requirement"]
+
+
+@query(f"""WITH d AS (SELECT doc_id % 4 AS y, lower(source || ' ' || {_POSTS!r}[CAST(doc_id % 6 AS INT) + 1]) AS ti, lower(text || ' ' || {str(_NEEDS).replace(chr(34) + ' Requirements', chr(39) + ' Requirements').replace('degree.' + chr(34), 'degree.' + chr(39)).replace("Master's", "Master''s")}[CAST(doc_id % 5 AS INT) + 1]) AS de, [lang, CASE WHEN doc_id % 9 = 0 THEN 'Internship/Attachment' END] AS ty, text FROM documents),
+f AS (SELECT coalesce(y IN (0, 1), false) AS a, ti IS NOT NULL AND text IS NOT NULL AND trim(de) <> '' AND len(regexp_split_to_array(trim(regexp_replace(de, '\\s+', ' ', 'g')), ' ')) >= 10 AS b,
+  NOT coalesce(regexp_matches(ti, '\\bintern(?:ship)?s?\\b') OR regexp_matches(de, '\\bintern(?:ship)?s?\\b') OR len(list_filter(ty, lambda v: contains(lower(v), 'intern'))) > 0
+    OR regexp_matches(ti, '\\b(?:postdoc(?:toral)?|research fellow|senior research fellow|assistant professor|associate professor|professor|lecturer|medical doctor)\\b')
+    OR regexp_matches(de, '(?:require(?:ment|s|d)?|minimum|preferred|qualification|qualifications|possess|holding|hold|must have|with|degree in).{{0,120}}\\b(?:ph\\.?d|doctor(?:al|ate)|master(?:''s)? degree|masters degree|master degree|postgraduate|graduate diploma|graduate certificate)\\b'), false) AS c FROM d)
 SELECT count(*) AS raw, count(*) FILTER (a) AS after_experience, count(*) FILTER (a AND b) AS after_description, count(*) FILTER (a AND b AND c) AS after_undergraduate FROM f""")
 def jobs_filter_chain(t):
-    rows = t.documents.withColumn("years", (F.col("doc_id") % 4).cast("int"))
-    return clean_jobs.attrition(rows, clean_jobs.filters("source", "text", "years", None))
+    pick = lambda values: F.element_at(F.lit(values), (F.col("doc_id") % len(values) + 1).cast("int"))
+    types = F.array("lang", F.when(F.col("doc_id") % 9 == 0, "Internship/Attachment"))
+    rows = t.documents.select(F.concat_ws(" ", "source", pick(_POSTS)).alias("title"), F.concat("text", F.lit(" "), pick(_NEEDS)).alias("description"), (F.col("doc_id") % 4).cast("int").alias("minimum_years_experience"), types.alias("employment_types"))
+    return clean_jobs.attrition(rows, clean_jobs.filters())
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -339,20 +324,25 @@ def top_titles_top_skills(t):
     return explore.top_within_top(rows.select("n_name", "p_name"), "n_name", "p_name")
 
 
-@query("SELECT n_name, o_orderpriority, count(*) AS cnt, count(*) < 10 AS rare FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2")
+@query("SELECT n_name, o_orderpriority, count(*) AS cnt, count(*) < 10 AS rare FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def rare_combo(t):
-    return explore.rare_pairs(_owned(t).where("o_orderkey % 7 = 0"), "n_name", "o_orderpriority")
+    return explore.rare_pairs(_owned(t), "n_name", "o_orderpriority")
+
+
+_TITLES = ["Senior Data Analyst", "Database Clerk", "Head of Business Intelligence", "ML Engineer (green)", "Research Analysts", "Analytics lead", "BI Developer", "Waiter"]
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'green|red')")
+@query(f"""WITH t AS (SELECT p_partkey, p_name || ' ' || {_TITLES!r}[CAST(p_partkey % 8 AS INT) + 1] AS title FROM part)
+SELECT * FROM t WHERE regexp_matches(lower(title), 'data analyst|data analytics|data scientist|data science|data engineer|business analyst|business intelligence|bi analyst|bi developer|machine learning|ml engineer|ai engineer|artificial intelligence|analytics engineer|research analyst')""")
 def keyword_subset(t):
-    return explore.having_keyword(t.part.select("p_partkey", "p_name"), "p_name", ["green", "red"])
+    named = F.concat_ws(" ", "p_name", F.element_at(F.lit(_TITLES), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return explore.having_keyword(t.part.select("p_partkey", named.alias("title")), "title")
 
 
-@query("""WITH b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS p FROM documents), q AS (SELECT greatest(1, floor(36 / count(DISTINCT lang))) AS q FROM documents)
-SELECT doc_id, lang, CASE WHEN p <= q THEN 'quota' ELSE 'fill' END AS picked FROM b, q ORDER BY 3 DESC, doc_id LIMIT 36""")
+@query("""WITH b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42')) AS p FROM documents), q AS (SELECT greatest(1, floor(36 / count(DISTINCT lang))) AS q FROM documents)
+SELECT doc_id, lang, CASE WHEN p <= q THEN 'quota' ELSE 'fill' END AS picked FROM b, q ORDER BY 3 DESC, md5(doc_id || ':42') LIMIT 36""")
 def stratified_sample(t):
-    return explore.stratified(t.documents.select("doc_id", "lang"), "lang", F.col("doc_id"), 36)
+    return explore.stratified(t.documents.select("doc_id", "lang"), "lang", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42")).cast("binary")), 36)
 
 
 @query()
@@ -391,14 +381,19 @@ def undergrad_code_filter(t):
 
 
 def _spelling_sql(x: str) -> str:
-    for a, b in text.SPELLINGS:
-        x = f"replace({x}, '{a}', '{b}')"
+    for a in ("optimisation/optimization", "organisation/organization", "behaviour/behavior", "labour/labor", "analyse/analyze", "analysing/analyzing", "modelling/modeling", "colour/color", "favour/favor", "centre/center", "theatre/theater", "programme/program"):
+        x = f"replace({x}, '{a.split('/')[0]}', '{a.split('/')[1]}')"
     return x
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(" + _spelling_sql("trim(regexp_replace(text, '\\s+', ' ', 'g'))") + ", '[\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F]', ' ', 'g'), '\\s+', ' ', 'g'))) AS clean_md5 FROM documents")
+_BRITISH = "CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN ' Analysing colour and labour: an exercise.' WHEN 1 THEN ' Optimisation programme of the organisation, modelling behaviour' WHEN 2 THEN ' A favour at the theatre centre; promise to analyse' ELSE '' END"
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(" + _spelling_sql(f"trim(regexp_replace(text || {_BRITISH}, '\\s+', ' ', 'g'))") + ", '[\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F]', ' ', 'g'), '\\s+', ' ', 'g'))) AS clean_md5 FROM documents")
 def text_clean_course(t):
-    return t.documents.select("doc_id", F.md5(clean_courses.cleaned("text").cast("binary")).alias("clean_md5"))
+    k = F.col("doc_id") % 4
+    more = F.when(k == 0, " Analysing colour and labour: an exercise.").when(k == 1, " Optimisation programme of the organisation, modelling behaviour").when(k == 2, " A favour at the theatre centre; promise to analyse").otherwise("")
+    return t.documents.select("doc_id", F.md5(clean_courses.cleaned(F.concat("text", more)).cast("binary")).alias("clean_md5"))
 
 
 @query("SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '[.;:]\\s+|\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS n_chunks, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS n_sentences FROM documents")
@@ -459,14 +454,14 @@ def merge_topk(t):
     return t.documents.select("doc_id", F.array_join(extract.merged(F.array(F.upper("lang"), "lang", "source"), extract.rule_hits("text", _RULES), n=4), ",").alias("skills"))
 
 
-_STOP_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_STOP_SQL = "'a', 'abilities', 'ability', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'course', 'courses', 'entry', 'find', 'for', 'from', 'full', 'i', 'in', 'into', 'is', 'job', 'jobs', 'level', 'looking', 'me', 'module', 'modules', 'more', 'most', 'of', 'on', 'or', 'over', 'part', 'pay', 'paying', 'please', 'relevant', 'role', 'roles', 'salary', 'show', 'skill', 'skills', 'that', 'the', 'than', 'time', 'to', 'under', 'use', 'used', 'uses', 'using', 'want', 'what', 'which', 'with'"
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(left(text, 300)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_STOP_SQL})) AS w FROM documents),
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND w NOT IN ({_STOP_SQL})) AS w FROM documents),
 g AS (SELECT doc_id, w, unnest(generate_series(1, 3)) AS n FROM w), e AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS c FROM g WHERE len(w) >= n)
 SELECT doc_id, count(DISTINCT c) AS n, md5(string_agg(DISTINCT c, '|' ORDER BY c)) AS c_md5 FROM e GROUP BY 1""")
 def ngram_candidates(t):
-    out = extract.candidates(t.documents, "doc_id", "text", most_chars=300)
+    out = extract.candidates(t.documents, "doc_id", "text", most_chars=None)
     return out.where(F.size("candidates") > 0).select("doc_id", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join("candidates", "|").cast("binary")).alias("c_md5"))
 
 
@@ -507,10 +502,19 @@ def alias_map_batch(t):
     return mapping.map_phrases(_phrases(t), *framework().tables(t.spark), exclusion="batch_compat")
 
 
-@query("SELECT * FROM (VALUES ('standard', 'Regression'), ('brass', 'Brass Work')) AS v(key, canonical_skill)")
+@query("""WITH p AS (SELECT DISTINCT lower(unnest([p_type, p_brand, split_part(p_name, ' ', 1)])) AS key FROM part),
+a AS (SELECT * FROM (VALUES ('economy', 'Alpha'), ('standard', 'Alpha'), ('standard', 'Beta'), ('economy', 'Gamma'), ('promo', 'Gamma')) AS v(alias, skill))
+SELECT key, max(skill) AS canonical_skill, count(*) AS n_skills FROM p JOIN a ON key = alias GROUP BY 1""")
 def alias_collision(t):
-    phrases = t.spark.createDataFrame([("Standard",), ("  brass!",)], "phrase string")
-    return mapping.map_phrases(phrases, *framework().tables(t.spark)).select("key", "canonical_skill")
+    """An alias of several skills means the last of them by name."""
+    f = mapping.Framework()
+    for skill, aliases in {"Alpha": ["economy", "standard"], "Beta": ["standard"], "Gamma": ["economy", "promo"]}.items():
+        f.add(skill, "hard", aliases)
+    skills, aliases, excluded = f.tables(t.spark)
+    phrases = t.part.select(F.explode(F.array("p_type", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("phrase"))
+    mapped = mapping.map_phrases(phrases, skills, aliases, excluded).where("match_type = 'exact'")
+    n = aliases.groupBy("alias").agg(F.count("*").alias("n_skills"))
+    return mapped.join(n, F.col("key") == F.col("alias")).select("key", "canonical_skill", "n_skills")
 
 
 @query()
@@ -536,19 +540,17 @@ def semantic_argmax(t):
 def _votes(t: Tables) -> DataFrame:
     words = F.filter(F.split(text.search_key("text"), " "), lambda w: F.length(w) > 3)
     part = lambda name, x: t.documents.select("doc_id", F.lit(name).alias("extractor"), F.posexplode(x).alias("pos", "skill"))
-    first = part("first", F.slice(F.array_distinct(words), 1, 20))
-    last = part("last", F.slice(F.array_distinct(F.reverse(words)), 1, 20))
-    long = part("long", F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) > 6)), 1, 20))
+    first = part("first", F.array_distinct(words))
+    last = part("last", F.array_distinct(F.reverse(words)))
+    long = part("long", F.array_distinct(F.filter(words, lambda w: F.length(w) > 6)))
     return first.unionAll(last).unionAll(long)
 
 
-_UNIQ = "list_slice(list_filter({0}, lambda v, i: list_position({0}, v) = i), 1, 20)"
-
-
 @query(f"""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 3) AS w FROM documents),
 p AS (SELECT doc_id, w, list_reverse(w) AS r, list_filter(w, lambda v: length(v) > 6) AS l FROM w),
-v AS (SELECT doc_id, 'a' AS e, {_UNIQ.format('w')} AS s FROM p UNION ALL SELECT doc_id, 'b', {_UNIQ.format('r')} FROM p UNION ALL SELECT doc_id, 'c', {_UNIQ.format('l')} FROM p),
-u AS (SELECT doc_id, e, unnest(s) AS skill, unnest(generate_series(0, len(s) - 1)) AS pos FROM v), c AS (SELECT doc_id, skill, count(DISTINCT e) AS support, min(pos) AS place FROM u GROUP BY 1, 2 HAVING count(DISTINCT e) >= 2),
+a AS (SELECT doc_id, 'a' AS e, w AS s FROM p UNION ALL SELECT doc_id, 'b', r FROM p UNION ALL SELECT doc_id, 'c', l FROM p),
+f AS (SELECT doc_id, e, skill, min(i) AS i FROM (SELECT doc_id, e, unnest(s) AS skill, unnest(generate_series(1, len(s))) AS i FROM a) GROUP BY 1, 2, 3),
+u AS (SELECT doc_id, e, skill, row_number() OVER (PARTITION BY doc_id, e ORDER BY i) - 1 AS pos FROM f), c AS (SELECT doc_id, skill, count(DISTINCT e) AS support, min(pos) AS place FROM u GROUP BY 1, 2 HAVING count(DISTINCT e) >= 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY support DESC, place, skill) AS rank FROM c) SELECT doc_id, skill, support, rank FROM k WHERE rank <= 10""")
 def consensus_merge(t):
     return extract.consensus(_votes(t), "doc_id")
@@ -682,10 +684,12 @@ def scope_reference_lists(t):
     return scope.reference_lists(t.documents, "source", ["src0", "src1"], ["src2"])
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN false WHEN 1 THEN false ELSE true END AS named FROM part")
+@query("""WITH x AS (SELECT p_partkey, lower(trim(CASE CAST(p_partkey % 8 AS INT) WHEN 0 THEN 'Etc' WHEN 1 THEN ' N/A ' WHEN 2 THEN 'Others' WHEN 3 THEN left(p_name, 1) WHEN 4 THEN 'skilled ' || p_name WHEN 5 THEN repeat(p_type, 12) WHEN 6 THEN NULL ELSE p_name END)) AS s FROM part)
+SELECT p_partkey, coalesce(length(s) >= 2 AND length(s) <= 60 AND s NOT IN ('etc', 'other', 'others', 'n/a', 'na', 'skill', 'skills', 'knowledge'), false) AS named FROM x""")
 def skill_drop_patterns(t):
-    k = F.col("p_partkey") % 4
-    return t.part.select("p_partkey", text.named_skill(F.when(k == 0, "Etc").when(k == 1, "x").otherwise(F.col("p_name"))).alias("named"))
+    k = F.col("p_partkey") % 8
+    raw = F.when(k == 0, "Etc").when(k == 1, " N/A ").when(k == 2, "Others").when(k == 3, F.left("p_name", F.lit(1))).when(k == 4, F.concat(F.lit("skilled "), "p_name")).when(k == 5, F.repeat("p_type", F.lit(12))).when(k != 6, F.col("p_name"))
+    return t.part.select("p_partkey", text.named_skill(raw).alias("named"))
 
 
 # ---------------------------------------------------------------- search
@@ -740,7 +744,7 @@ def search_profile(t):
 
 
 @query(_SEARCH_SQL + _PROFILE_SQL + f""", fw AS (SELECT *, cnt / sum(cnt) OVER () AS w, row_number() OVER (ORDER BY cnt DESC, skill) AS rk FROM pf), ft AS (SELECT sum(w * w) AS fn, least(count(*), 10) AS tn, sum(cnt) FILTER (rk <= 10) AS tc FROM fw),
-mo AS (SELECT p_partkey AS module_id, p_name, list_distinct(list_value({_NORM.format('p_type')}, {_NORM.format('p_brand')})) AS sk FROM part WHERE p_partkey % 5 = 0), ms AS (SELECT module_id, p_name, unnest(sk) AS skill, 1.0::DOUBLE / len(sk) AS w, 1.0::DOUBLE / len(sk) AS mn FROM mo),
+mo AS (SELECT p_partkey AS module_id, p_name, list_distinct(list_value({_NORM.format('p_type')}, {_NORM.format('p_brand')})) AS sk FROM part), ms AS (SELECT module_id, p_name, unnest(sk) AS skill, 1.0::DOUBLE / len(sk) AS w, 1.0::DOUBLE / len(sk) AS mn FROM mo),
 pr AS (SELECT module_id, any_value(p_name) AS p_name, count(*) AS o, sum(least(ms.w, fw.w)) AS s, sum(ms.w * fw.w) AS d, any_value(mn) AS mn, count(*) FILTER (rk <= 10) AS h, coalesce(sum(cnt) FILTER (rk <= 10), 0) AS hc, list_sort(list(skill)) AS sk FROM ms JOIN fw USING (skill) GROUP BY 1),
 a AS (SELECT m.module_id, h / tn AS cov, s / (2 - s) AS wj, d / sqrt(mn * fn) AS cs, 1 - hc / tc AS gap, (list_contains(m.sk, 'economy')::INT + list_contains(m.sk, 'brand 3')::INT + 0) AS q0, {_TOK.format(_NORM.format('mo.p_name'))} AS tt, mo.sk AS ms FROM pr m, ft, mo WHERE mo.module_id = m.module_id),
 z AS (SELECT *, greatest(0, least(1, cov * 0.4 + wj * 0.25 + cs * 0.2 + (1 - gap) * 0.15)) AS score, (contains(array_to_string(list_concat(tt, ms), ' '), 'economy')::INT + contains(array_to_string(list_concat(tt, ms), ' '), 'brand 3')::INT) / 2 AS qc, len(list_filter(tt, lambda u: u = '{_TITLE}' OR (length(u) >= 5 AND left(u, 6) = left('{_TITLE}', 6)))) > 0 AS hit FROM a),
@@ -749,7 +753,7 @@ SELECT module_id, alignment_score, round(round(score * 0.7 + rel * 0.3, 10), 4)
 def search_modules(t):
     intent, found = _found(t)
     profile = search.skill_profile(search.ranked(found, 25), "skill_set")
-    mods = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("module_id"), F.lit("NUS").alias("source"), text.tokens("p_name").alias("title_tokens"), F.array_distinct(F.array(text.search_key("p_type"), text.search_key("p_brand"))).alias("skills"))
+    mods = t.part.select(F.col("p_partkey").alias("module_id"), F.lit("NUS").alias("source"), text.tokens("p_name").alias("title_tokens"), F.array_distinct(F.array(text.search_key("p_type"), text.search_key("p_brand"))).alias("skills"))
     return search.recommend(mods, profile, intent, n=20).select("module_id", "alignment_score", "recommendation_score", "query_relevance_score", "coverage")
 
 
@@ -770,39 +774,52 @@ def benchmark_join(t):
     return out.select("doc_id", benchmark.domain("text", buckets).alias("domain_bucket"), "description_snippet", F.array_join("label_skills", ",").alias("label_skills"), "review_notes", "review_skills")
 
 
-_EXP = ["[0-9]+\\s+", "the\\s+[a-z]{2}", "fresh"]
+_MENTION = "CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN ' Minimum 3 years; 2+ yrs of experience, MINIMUM 3 YEARS' WHEN 1 THEN ' 2 - 4 years of experience or over 10 yrs' WHEN 2 THEN ' Entry-level candidates welcome, no experience needed. No Experience Needed!' WHEN 3 THEN ' years of service' ELSE '' END"
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), '|') AS mentions FROM (SELECT conv_id, turn, list_concat(" + ", ".join(f"regexp_extract_all(lower(coalesce(text, '')), '{p}')" for p in _EXP) + ") AS x FROM conversations)")
+@query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') || {_MENTION} AS t FROM conversations),
+x AS (SELECT conv_id, turn, list_concat(regexp_extract_all(t, '(?:minimum|min\\.?|at least|more than|over)\\s+\\d+\\+?\\s*(?:years?|yrs?)', 0, 'i'), regexp_extract_all(t, '\\d+\\+?\\s*(?:years?|yrs?)\\s+of\\s+experience', 0, 'i'),
+  regexp_extract_all(t, '\\d+\\s*[-/to]+\\s*\\d+\\s*(?:years?|yrs?)\\s+of\\s+experience', 0, 'i'), regexp_extract_all(t, 'entry-level candidates welcome', 0, 'i'), regexp_extract_all(t, 'no experience (?:needed|required)', 0, 'i')) AS x FROM t)
+SELECT conv_id, turn, array_to_string(list_filter(x, lambda v, i: list_position(list_transform(x, lambda y: lower(y)), lower(v)) = i), '|') AS mentions FROM x""")
 def experience_mentions(t):
-    return t.conversations.select("conv_id", "turn", F.array_join(text.experience_mentions("text", _EXP), "|").alias("mentions"))
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    more = F.when(k == 0, " Minimum 3 years; 2+ yrs of experience, MINIMUM 3 YEARS").when(k == 1, " 2 - 4 years of experience or over 10 yrs").when(k == 2, " Entry-level candidates welcome, no experience needed. No Experience Needed!").when(k == 3, " years of service").otherwise("")
+    return t.conversations.select("conv_id", "turn", F.array_join(text.experience_mentions(F.concat(F.coalesce("text", F.lit("")), more)), "|").alias("mentions"))
+
 
+_FRESH = "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'Fresh graduates may apply' WHEN 1 THEN 'ENTRY - LEVEL post' WHEN 2 THEN 'Training provided' WHEN 3 THEN 'refresh gradually, no experienced staff' WHEN 4 THEN NULL ELSE o_orderpriority END"
 
-@query("""SELECT o_orderkey, l, y, x, (l OR x) AND coalesce(o_orderkey % 5 >= 3, false) AS conflict FROM (SELECT o_orderkey, coalesce(regexp_matches(lower(o_orderpriority), 'fresh|entry|junior|low'), false) AND o_orderpriority NOT LIKE '%LOW%' AS l, coalesce(o_orderkey % 5 <= 1, false) AS y, false AS x FROM orders)""")
+
+@query(f"""WITH r AS (SELECT o_orderkey, [o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN 'Fresh/Entry Level' ELSE 'Manager' END] AS levels, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 5 END AS years, lower({_FRESH}) AS t FROM orders),
+s AS (SELECT o_orderkey, years, len(list_filter(levels, lambda v: contains(lower(v), 'fresh/entry level'))) > 0 AS l, coalesce(years <= 1, false) AS y, coalesce(regexp_matches(t, '\\bfresh grads?\\b|\\bfresh graduates?\\b|\\bentry\\s*-?\\s*level\\b|\\bno experience\\b|\\btraining (?:will be )?provided\\b|\\bwelcome fresh\\b'), false) AS x FROM r)
+SELECT o_orderkey, l, y, x, (l OR y OR x) AND coalesce(years >= 3, false) AS conflict FROM s""")
 def freshgrad_signals(t):
-    l, y, x, c = clean_courses.fresh_graduate("o_orderpriority", F.col("o_orderkey") % 5, F.col("o_orderstatus"))
+    k = F.col("o_orderkey") % 7
+    body = F.when(k == 0, "Fresh graduates may apply").when(k == 1, "ENTRY - LEVEL post").when(k == 2, "Training provided").when(k == 3, "refresh gradually, no experienced staff").when(k != 4, F.col("o_orderpriority"))
+    levels = F.array("o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", "Fresh/Entry Level").otherwise("Manager"))
+    l, y, x, c = clean_courses.fresh_graduate(levels, F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 5), body)
     return t.orders.select("o_orderkey", l.alias("l"), y.alias("y"), x.alias("x"), c.alias("conflict"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size <= 0 THEN '0' WHEN p_size <= 1 THEN '0-1' WHEN p_size <= 2 THEN '1-2' WHEN p_size <= 5 THEN '3-5' ELSE '5+' END AS bucket, CAST(p_size * 1000 AS BIGINT) AS pay FROM part")
+@query("""SELECT p_partkey, CASE WHEN p_size IS NULL OR p_size % 6 = 0 THEN 'unknown' WHEN p_size <= 1 THEN '0-1' WHEN p_size <= 2 THEN '1-2' ELSE '2+' END AS bucket,
+CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN CAST(p_size * 1000 AS BIGINT) WHEN 1 THEN CAST(p_size * 1000 + 500 AS BIGINT) WHEN 2 THEN CAST(p_size * 1000 + 250 AS BIGINT) WHEN 3 THEN CAST(p_size AS BIGINT) END AS pay FROM part""")
 def numeric_parsing(t):
-    return t.part.select("p_partkey", numeric.experience_bucket("p_size").alias("bucket"), numeric.money(F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit("k"))).alias("pay"))
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    said = F.when(k == 0, F.concat(F.lit("$"), n, F.lit("k"))).when(k == 1, F.concat(n, F.lit(".5K "))).when(k == 2, F.concat(F.lit(" $"), n, F.lit(",250"))).when(k == 3, n).when(k == 4, F.concat(n, F.lit(" a year")))
+    years = F.when(F.col("p_size") % 6 != 0, F.col("p_size"))
+    return t.part.select("p_partkey", numeric.experience_bucket(years).alias("bucket"), numeric.money(said).alias("pay"))
 
 
-@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), z AS (SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) AS s FROM v) SELECT vec_id, round(s, 4) AS squared, round(s / s, 4) AS unit_squared FROM z")
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), z AS (SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) AS s FROM v) SELECT vec_id, round(s, 4) AS squared, round(list_sum(list_transform(v, lambda x: (x / sqrt(s)) * (x / sqrt(s)))), 4) AS unit_squared FROM z JOIN v USING (vec_id)")
 def vector_norms(t):
     return t.embeddings.select("vec_id", F.round(arrays.dot("embedding", "embedding"), 4).alias("squared"), F.round(arrays.dot(arrays.unit("embedding"), arrays.unit("embedding")), 4).alias("unit_squared"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type AS code, count(*) AS job_count, sum((value >= 50)::INT)::BIGINT AS good_job_count FROM events GROUP BY 1, 2")
 def stream_family_counts(t):
-    """The stream runs over the table once to its end, into a table of the session's memory."""
-    import uuid
-
+    """The stream runs over the table once to its end; its closed windows are appended to a table."""
     events = t.spark.read.parquet(f"{t.dir}/events.parquet")
     stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(t.dir if not t.dir.endswith("/") else t.dir[:-1])
-    counts = streaming.family_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("good", (F.col("value") >= 50).cast("int")), "event_type", "good", "ts").withColumnRenamed("event_type", "code")
-    name = f"families_{uuid.uuid4().hex}"
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("good", (F.col("value") >= 50).cast("int"))
+    counts = streaming.table_of(streaming.family_counts(rows, "event_type", "good", "ts"), shared.new_path(t.spark, "stream"), "window_start", "event_type")
+    return counts.withColumnRenamed("event_type", "code").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

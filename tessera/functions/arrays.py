@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions.text import col
 
 Array = Column | str
@@ -51,10 +52,11 @@ def split_members(x: Array, members: Sequence[str]) -> tuple[Column, Column]:
     return F.filter(col(x), inside), F.filter(col(x), lambda v: ~inside(v))
 
 
-def split_hints(x: Array, hints: Sequence[str]) -> tuple[Column, Column]:
-    """(values that hold one of ``hints``, the others)."""
-    hit = lambda v: F.exists(F.lit(list(hints)), lambda h: F.contains(F.lower(v), h))
-    return F.filter(col(x), hit), F.filter(col(x), lambda v: ~hit(v))
+def split_hints(x: Array, hints: Sequence[str] = values.SOFT_HINTS, words: Sequence[str] = values.SOFT_WORDS) -> tuple[Column, Column]:
+    """(values that hold one of ``hints`` or are one of ``words``, the others), each without repeats
+    whatever their case."""
+    hit = lambda v: F.exists(F.lit(list(hints)), lambda h: F.contains(F.lower(v), h)) | F.lower(v).isin(*words)
+    return first_by_key(F.filter(col(x), hit)), first_by_key(F.filter(col(x), lambda v: ~hit(v)))
 
 
 def kept_skills(skills: Array, text: Array) -> Column:
@@ -65,6 +67,12 @@ def kept_skills(skills: Array, text: Array) -> Column:
     return F.transform(keep, lambda s: s["skill"])
 
 
+def as_list(x: Array) -> Column:
+    """One value as a list of it, trimmed; null and blank as an empty list."""
+    v = F.trim(col(x).cast("string"))
+    return F.when(v.isNull() | (v == ""), F.array().cast("array<string>")).otherwise(F.array(v))
+
+
 def list_cell(x: Array) -> Column:
     """A cell that holds a list literal, or else one value, as an array."""
     text = F.trim(col(x))

@@ -47,6 +47,14 @@ def unescape(text: Column | str) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def tagless_text(text: Column | str) -> Column:
+    """Tags to spaces, entities decoded, no-break spaces and other white space collapsed: the text of
+    a page without parsing it."""
+    from tessera.functions.text import col, display
+
+    return display(unescape(F.regexp_replace(F.coalesce(col(text), F.lit("")), "<[^>]+>", " ")))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -55,7 +55,7 @@ def specificity(freq: Number, phrase: Number) -> Column:
 
 def experience_bucket(years: Number) -> Column:
     y = col(years)
-    return F.when(y.isNull(), "unknown").when(y <= 0, "0").when(y <= 1, "0-1").when(y <= 2, "1-2").when(y <= 5, "3-5").otherwise("5+")
+    return F.when(y.isNull(), "unknown").when(y <= 1, "0-1").when(y <= 2, "1-2").otherwise("2+")
 
 
 def occupation_code(x: Number, digits: int = 5) -> Column:

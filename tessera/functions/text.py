@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera import values
+
 Text = Column | str
 
 
@@ -35,13 +37,7 @@ def skill_label(x: Text) -> Column:
     return F.regexp_replace(F.regexp_replace(display(x), "^[^A-Za-z0-9]+", ""), "[^A-Za-z0-9+#/]+$", "")
 
 
-# Fixed values of the job-skill vocabulary.
-SOFT_SKILLS = ("communication", "leadership", "presentation", "interpersonal", "customer service", "problem solving", "analytical", "teamwork", "independence")
-KEPT_SKILLS = ("project management", "management accounting", "financial management", "risk management", "data management")
-JUNK_SKILLS = ("team player", "able to work independently", "physically fit")
-
-
-def job_skill(x: Text, soft: Sequence[str] = SOFT_SKILLS, kept: Sequence[str] = KEPT_SKILLS, junk: Sequence[str] = JUNK_SKILLS) -> Column:
+def job_skill(x: Text, soft: Sequence[str] = values.SOFT_SKILLS, kept: Sequence[str] = values.KEPT_SKILLS, junk: Sequence[str] = values.JUNK_SKILLS) -> Column:
     """A job's skill as its key: ``&`` spelt out, punctuation gone, junk null, kept phrases as they
     are, any phrase holding a soft skill (first in list order) as that skill, the word "skills" gone."""
     s = F.regexp_replace(F.replace(F.lower(F.trim(col(x))), F.lit("&"), F.lit("and")), "(?U)[^\\w\\s]", "")
@@ -53,14 +49,10 @@ def job_skill(x: Text, soft: Sequence[str] = SOFT_SKILLS, kept: Sequence[str] =
     return out.otherwise(F.nullif(plain, F.lit("")))
 
 
-# Entries of skill lists that name no skill.
-NO_SKILLS = "^(etc|others?|n/?a|skills?|knowledge)$"
-
-
 def named_skill(x: Text, low: int = 2, high: int = 60) -> Column:
     """Whether a list entry names a skill at all."""
     s = F.lower(F.trim(col(x)))
-    return F.coalesce(F.length(s).between(low, high) & ~s.rlike(NO_SKILLS), F.lit(False))
+    return F.coalesce(F.length(s).between(low, high) & ~s.rlike("|".join(values.NO_SKILLS)), F.lit(False))
 
 
 def strip_tags(x: Text) -> Column:
@@ -68,11 +60,7 @@ def strip_tags(x: Text) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), "<[^>]+>", " "), "\\s+", " "))
 
 
-# British spellings and their American ones.
-SPELLINGS = (("isation", "ization"), ("ise ", "ize "), ("ising", "izing"), ("analyse", "analyze"), ("colour", "color"), ("behaviour", "behavior"), ("modelling", "modeling"), ("programme", "program"), ("centre", "center"), ("organis", "organiz"))
-
-
-def american(x: Text, pairs: Sequence[tuple[str, str]] = SPELLINGS) -> Column:
+def american(x: Text, pairs: Sequence[tuple[str, str]] = values.SPELLINGS) -> Column:
     """Spellings replaced in turn, as substrings."""
     out = col(x)
     for a, b in pairs:
@@ -85,7 +73,8 @@ def no_controls(x: Text) -> Column:
 
 
 def _parts(x: Text, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), pattern), F.trim), lambda s: s != "")
+    # a lambda, as F.trim itself would be given the place in the list as the characters to trim
+    return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), pattern), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def chunks(x: Text) -> Column:
@@ -103,13 +92,7 @@ def n_words(x: Text) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
-# Words that queries are cleaned of.
-STOP_WORDS = tuple(
-    "a an and any are as at be by can do for from get give has have how i in into is it its like me my of on or please role roles show some that the their them there these they this those to want was we what which who will with would you job jobs".split()
-)
-
-
-def tokens(x: Text, stop: Sequence[str] = STOP_WORDS) -> Column:
+def tokens(x: Text, stop: Sequence[str] = values.STOP_WORDS) -> Column:
     """``search_key`` words without stop words, single characters and numbers."""
     return F.filter(F.split(search_key(x), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$"))
 
@@ -121,16 +104,21 @@ def contains_phrase(text: Text, phrase: str, compat: bool = False) -> Column:
     return col(text).rlike(f"\\b{p}\\b" if compat else f"(?<!\\w){p}(?!\\w)")
 
 
+def any_phrase(text: Text, phrases: Sequence[str]) -> Column:
+    """Whether one of ``phrases`` stands in the text between word bounds."""
+    return col(text).rlike("(?<!\\w)(?:" + "|".join(re.escape(p) for p in phrases) + ")(?!\\w)")
+
+
 def soft_equal(a: Text, b: Text, least: int = 5, prefix: int = 6) -> Column:
     """Equal, or both at least ``least`` long with the same first ``prefix`` characters."""
     a, b = col(a), col(b)
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= least) & (F.left(a, F.lit(prefix)) == F.left(b, F.lit(prefix))))
 
 
-def titled(x: Text, small: Sequence[str] = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")) -> Column:
-    """Words capitalised, but for small words after the first."""
+def titled(x: Text, small: Sequence[str] = values.SMALL_WORDS) -> Column:
+    """Words capitalised, the rest of them in lower case, but for small words after the first."""
     words = F.split(display(x), " ")
-    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*small), F.lower(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000)))), " ")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*small), F.lower(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000))))), " ")
 
 
 def shortened(x: Text, most: int = 420) -> Column:
@@ -146,22 +134,24 @@ def slug(x: Text) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.replace(col(x), F.lit("&"), F.lit(" and "))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-# How experience is mentioned.
-EXPERIENCE = ("[0-9]+\\s*\\+?\\s*years?", "[0-9]+\\s*-\\s*[0-9]+\\s*years?", "fresh\\s+grad(?:uate)?s?", "entry[ -]level", "no\\s+experience")
-
+def experience_mentions(x: Text, patterns: Sequence[str] = values.EXPERIENCE_MENTIONS) -> Column:
+    """All mentions as they stand, in pattern order, without repeats whatever their case."""
+    from tessera.functions.arrays import first_by_key
 
-def experience_mentions(x: Text, patterns: Sequence[str] = EXPERIENCE) -> Column:
-    """All mentions in pattern order, without repeats whatever their case."""
-    t = F.lower(F.coalesce(col(x), F.lit("")))
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), 0) for p in patterns])))
+    t = F.coalesce(col(x), F.lit(""))
+    return first_by_key(*[F.regexp_extract_all(t, F.lit(f"(?i){p}"), 0) for p in patterns])
 
 
 def grams(words: Text, n: int) -> Column:
-    """All runs of n words, in order, repeats included."""
+    """All runs of n words, in order, repeats included: the runs of n - 1 words, each with the next."""
     w = col(words)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    out = w
+    for k in range(1, n):
+        rest = F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0)))
+        out = F.zip_with(F.slice(out, F.lit(1), F.size(rest)), rest, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) >= n, out).otherwise(F.array().cast("array<string>"))
 
 
 def ngrams(words: Text, low: int = 1, high: int = 3) -> Column:
     """Distinct n-grams of an array of words, sorted; they bridge words removed before."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in range(low, high + 1)]))))
+    return F.sort_array(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in range(low, high + 1)]))))

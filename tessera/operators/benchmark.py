@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions.text import col, shortened
 
 
-def domain(x: Column | str, buckets: Mapping[str, Sequence[str]], default: str = "other") -> Column:
+def domain(x: Column | str, buckets: Mapping[str, Sequence[str]] = values.DOMAINS, default: str = "other") -> Column:
     """The first bucket of which a keyword is in the text."""
     t = F.lower(F.coalesce(col(x), F.lit("")))
     out = F.when(F.lit(False), "")
@@ -19,6 +20,13 @@ def domain(x: Column | str, buckets: Mapping[str, Sequence[str]], default: str =
     return out.otherwise(default)
 
 
+def match_summary(matches: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """(key, matches): a row's n best matches as one text, code, title and score of each."""
+    shown = F.concat("code", F.lit(" "), "title", F.lit(" ("), F.col("score").cast("string"), F.lit(")"))
+    lists = matches.where(F.col("rank") <= n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("s")))).alias("m"))
+    return lists.select(key, F.array_join(F.transform("m", lambda m: m["s"]), " | ").alias("matches"))
+
+
 def side_by_side(rows: DataFrame, key: str, sources: Mapping[str, DataFrame], skills: str = "skills", description: str = "description") -> DataFrame:
     """Rows with the skills of each source beside each other (empty where it has none), a snippet, and
     blank review columns."""

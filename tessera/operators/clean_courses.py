@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions import text
 from tessera.functions.fuzzy import html_text
 from tessera.functions.serial import numbered
 
-# Course codes of undergraduate levels, and words of postgraduate courses.
+# Fixed value: course codes of undergraduate levels.
 CODE = "^[A-Z]+[0-4]"
-POSTGRADUATE = "(?i)\\b(?:postgraduate|graduate (?:level|students?|course)|master(?:'s)?|ph\\.?d|doctoral)\\b"
 
 
 def undergraduate_code(code: Column | str) -> Column:
     return F.coalesce(F.upper(F.trim(text.col(code))).rlike(CODE), F.lit(False))
 
 
-def undergraduate(*texts: Column | str) -> Column:
-    """No text speaks of postgraduate study; nulls do not."""
+def undergraduate(title: Column | str = "title", description: Column | str | None = "description", course_type: Column | str | None = None) -> Column:
+    """Neither title nor course type names postgraduate study, and the description does not list the
+    course as a graduate's; nulls do not."""
     hit = F.lit(False)
-    for t in texts:
-        hit = hit | F.coalesce(text.col(t).rlike(POSTGRADUATE), F.lit(False))
+    for x, pattern in ((title, values.POSTGRADUATE_TITLE), (description, values.POSTGRADUATE_DESCRIPTION), (course_type, values.POSTGRADUATE_TITLE)):
+        if x is not None:
+            hit = hit | F.coalesce(text.col(x).rlike(pattern), F.lit(False))
     return ~hit
 
 
+def reuse_skills(courses: DataFrame, saved: Sequence[DataFrame], skills: str = "skills_embedding", keys: Sequence[str] = ("code", "title", "department", "description", "university")) -> DataFrame:
+    """Courses with the skills saved for the same keys, from the first of ``saved`` that has all columns
+    and matches any course; null where there are none.  Saved rows that repeat a key: the first by
+    their skills.  Null keys are equal, as the tables hold them."""
+    rows = courses.drop(skills)
+    for table in saved:
+        if not {*keys, skills} <= set(table.columns):
+            continue
+        once = table.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(skills).alias(skills))
+        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        found = rows.join(once, on, "left").drop(*[f"_{k}" for k in keys])
+        if not found.where(F.col(skills).isNotNull()).isEmpty():
+            return found
+    return rows.withColumn(skills, F.lit(None).cast("array<string>"))
+
+
 def cleaned(x: Column | str, html: bool = False) -> Column:
     """Spelling made American and control characters gone; with ``html`` tags and entities too."""
     t = html_text(text.col(x)) if html else text.display(x)
@@ -34,7 +54,7 @@ def cleaned(x: Column | str, html: bool = False) -> Column:
 
 def clean(courses: DataFrame, least_words: int = 10, html: bool = True) -> DataFrame:
     """description_clean, description_chunks and a serial number by university and code."""
-    out = courses.where(undergraduate("title", "description")).withColumn("description_clean", cleaned("description", html))
+    out = courses.where(undergraduate("title", "description", "course_type" if "course_type" in courses.columns else None)).withColumn("description_clean", cleaned("description", html))
     out = out.where(text.n_words("description_clean") >= least_words).withColumn("description_chunks", text.chunks("description_clean"))
     return numbered(out, "university", "code")
 
@@ -58,12 +78,12 @@ def job_rows(jobs: DataFrame, least_chars: int = 80) -> DataFrame:
     return out.select(F.col("uuid").alias("id"), F.lit("jobs").alias("source"), text.display("title").alias("title"), text.display("description").alias("description"), "ssoc_code", "ssoc_3d", "contract_type", "work_type", "avg_salary", F.col("skills_clean").alias("skills"), F.col("skills_clean").alias("all_relevant_skills"), F.lit(True).alias("is_freshgrad"), "is_good_job")
 
 
-def fresh_graduate(level: Column | str, years: Column | str, body: Column | str, most: int = 1) -> tuple[Column, Column, Column, Column]:
-    """(by level, by years, by text, conflict with three years or more)."""
-    by_level = F.coalesce(F.lower(text.col(level)).rlike("fresh|entry|junior"), F.lit(False))
+def fresh_graduate(levels: Column | str, years: Column | str, body: Column | str, most: float = 1, texts: Sequence[str] = values.FRESH_TEXTS) -> tuple[Column, Column, Column, Column]:
+    """(by one of the levels, by years, by text, conflict of any of these with three years or more)."""
+    by_level = F.coalesce(F.exists(text.col(levels), lambda x: F.contains(F.lower(x), F.lit(values.FRESH_LEVEL))), F.lit(False))
     by_years = F.coalesce(text.col(years) <= most, F.lit(False))
-    by_text = F.coalesce(F.lower(text.col(body)).rlike("fresh\\s+grad|entry[ -]level|no\\s+experience"), F.lit(False))
-    return by_level, by_years, by_text, (by_level | by_text) & F.coalesce(text.col(years) >= 3, F.lit(False))
+    by_text = F.coalesce(F.lower(text.col(body)).rlike("|".join(texts)), F.lit(False))
+    return by_level, by_years, by_text, (by_level | by_years | by_text) & F.coalesce(text.col(years) >= 3, F.lit(False))
 
 
 def portable_jobs(jobs: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def job_score(rows: DataFrame, pay: str = "avg_salary", flexible: str = "has_fle
 
 def clean_skills(jobs: DataFrame, skills: str = "skills") -> DataFrame:
     """skills_clean: keyed, sorted, distinct, and without near-duplicates."""
-    keyed = sorted_set(F.transform(skills, text.job_skill))
+    keyed = sorted_set(F.transform(skills, lambda s: text.job_skill(s)))
     return jobs.withColumn("skills_clean", near_distinct(F.coalesce(keyed, F.array().cast("array<string>"))))
 
 

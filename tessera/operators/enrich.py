@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import occupation_code, ratio
@@ -10,7 +10,8 @@ from tessera.functions.numeric import occupation_code, ratio
 
 def with_occupation(jobs: DataFrame, titles: DataFrame, code: str = "ssoc_code", good: str = "is_good_job") -> DataFrame:
     """Codes and titles at 5, 4 and 3 digits; rows whose 3-digit title is unknown go.  The family's
-    jobs, good jobs and good share (4 places) are annotated by one window, not by a join back."""
+    jobs, good jobs and good share (4 places) are counted once per family and broadcast, so a family of a
+    third of all jobs is no single task."""
     out = jobs
     for digits, how in ((3, "inner"), (4, "left"), (5, "left")):
         name = f"ssoc_{digits}d"
@@ -19,9 +20,10 @@ def with_occupation(jobs: DataFrame, titles: DataFrame, code: str = "ssoc_code",
         out = out.join(dim, f"{name}_code", how)
         if how == "left":
             out = out.withColumn(f"{name}_title", F.coalesce(f"{name}_title", F.lit("")))
-    family = Window.partitionBy("ssoc_3d_code")
-    total, fine = F.count("*").over(family), F.sum(good).over(family)
-    return out.select("*", total.alias("ssoc_3d_total_jobs"), fine.cast("long").alias("ssoc_3d_good_jobs"), F.round(ratio(fine, total), 4).alias("ssoc_3d_good_job_pct"))
+    family = out.groupBy(F.col("ssoc_3d_code").alias("_f")).agg(F.count("*").alias("ssoc_3d_total_jobs"), F.sum(good).cast("long").alias("ssoc_3d_good_jobs"))
+    family = family.withColumn("ssoc_3d_good_job_pct", F.round(ratio("ssoc_3d_good_jobs", "ssoc_3d_total_jobs"), 4))
+    # three digits make a thousand families at most
+    return out.join(F.broadcast(family), F.col("ssoc_3d_code") == F.col("_f")).drop("_f")
 
 
 def hierarchy_counts(jobs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import values
+
 
 def value_counts(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("cnt"))
@@ -42,7 +46,7 @@ def top_within_top(rows: DataFrame, by: str, item: str, groups: int = 10, items:
     return inner.withColumn("item_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cnt"), item))).where(F.col("item_rank") <= items)
 
 
-def having_keyword(rows: DataFrame, title: str, keywords: list[str]) -> DataFrame:
+def having_keyword(rows: DataFrame, title: str, keywords: Sequence[str] = values.DATA_TITLES) -> DataFrame:
     return rows.where(F.lower(title).rlike("|".join(keywords)))
 
 
@@ -51,6 +55,12 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def dominant(rows: DataFrame, column: str) -> DataFrame:
+    """(column, cnt) of the most frequent value that is not null or blank, of equals the least."""
+    known = rows.where(F.col(column).isNotNull() & (F.trim(F.col(column).cast("string")) != ""))
+    return value_counts(known, column).orderBy(F.desc("cnt"), column).limit(1)
+
+
 def stratified(rows: DataFrame, bucket: str, order: Column | str, n: int) -> DataFrame:
     """n rows: an equal quota of each bucket by ``order``, filled up from the rest by ``order``."""
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(order))
@@ -59,6 +69,6 @@ def stratified(rows: DataFrame, bucket: str, order: Column | str, n: int) -> Dat
     return marked.orderBy(F.desc("picked"), order).limit(n).drop("_place", "_quota")
 
 
-def looks_sampled(rows: DataFrame, least: int = 2000) -> bool:
+def looks_sampled(rows: DataFrame, least: int = values.FULL_JOBS) -> bool:
     """Whether a table is too short to be a full export; counts no further than it must."""
     return rows.limit(least).count() < least

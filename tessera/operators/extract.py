@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions import text
 from tessera.functions.arrays import first_by_key
 from tessera.functions.fuzzy import clusters, mmr
 from tessera.operators.embed import Embedder, nearest
 
-# Labels of subjects that are no skills, and parts of words that betray course talk.
-ACADEMIC = ("arts", "business", "economics", "education", "engineering", "history", "humanities", "law", "mathematics", "philosophy", "physics", "psychology", "science", "sociology")
-COURSE_TALK = ("course", "lecture", "module", "semester", "student", "syllabus", "tutorial")
 
-
-def skill_like(x: Column | str, labels: Sequence[str] = ACADEMIC, talk: Sequence[str] = COURSE_TALK) -> Column:
-    s = F.lower(text.col(x))
+def skill_like(x: Column | str, labels: Sequence[str] = values.ACADEMIC_LABELS, talk: Sequence[str] = values.COURSE_TALK) -> Column:
+    """Whether a phrase may be a skill: 2 to 80 characters, no subject's label, no course talk in it."""
+    s = F.trim(F.lower(text.col(x)))
     return F.length(s).between(2, 80) & ~s.isin(*labels) & ~F.exists(F.lit(list(talk)), lambda t: F.contains(s, t))
 
 
@@ -36,7 +34,7 @@ def keyword_hits(rows: DataFrame, key: str, body: str, vocabulary: Sequence[str]
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def rule_hits(body: Column | str, rules: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
+def rule_hits(body: Column | str, rules: Sequence[tuple[Sequence[str], Sequence[str]]] = values.MODULE_RULES) -> Column:
     """Skills of the rules of which a pattern is in the text, in rule order, without repeats."""
     t = F.lower(F.coalesce(text.col(body), F.lit("")))
     none = F.array().cast("array<string>")
@@ -49,10 +47,22 @@ def rule_hits(body: Column | str, rules: Sequence[tuple[Sequence[str], Sequence[
     return F.array_distinct(F.flatten(F.array(*parts))) if parts else none
 
 
-def practical_phrases(phrases: Column | str, body: Column | str, anchors: Sequence[str], blocked: Sequence[str] = ()) -> Column:
-    """Phrases of two words or more that hold an anchor word, stand literally in the text and are not blocked."""
+def _stands_in(body: Column, phrase: Column) -> Column:
+    """Whether ``phrase`` stands in ``body`` between word bounds; both may be columns."""
+    return F.rlike(body, F.concat(F.lit("(?<!\\w)\\Q"), phrase, F.lit("\\E(?!\\w)")))
+
+
+def practical_phrases(phrases: Column | str, body: Column | str, anchors: Sequence[str] = values.ANCHORS, blocked: Sequence[str] = values.BLOCKED_PHRASES) -> Column:
+    """Phrases of two words or more that are like skills, hold an anchor, stand in the text and are not
+    blocked; each once."""
     t = F.lower(F.coalesce(text.col(body), F.lit("")))
-    return F.filter(text.col(phrases), lambda p: (F.size(F.split(p, " ")) >= 2) & F.arrays_overlap(F.split(F.lower(p), " "), F.lit(list(anchors))) & F.contains(t, F.lower(p)) & ~F.lower(p).isin("", *blocked))
+    anchor = "|".join(re.escape(a) for a in anchors)
+
+    def fits(p: Column) -> Column:
+        low = F.lower(p)
+        return skill_like(p) & ~low.isin("", *blocked) & (F.size(F.split(F.trim(low), "\\s+")) >= 2) & low.rlike(f"(?<!\\w)(?:{anchor})(?!\\w)") & _stands_in(t, low)
+
+    return F.array_distinct(F.filter(text.col(phrases), fits))
 
 
 def merged(*lists: Column | str, n: int = 10) -> Column:
@@ -60,7 +70,7 @@ def merged(*lists: Column | str, n: int = 10) -> Column:
     return F.slice(first_by_key(*lists), 1, n)
 
 
-def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = text.STOP_WORDS, most_chars: int | None = 2500, keep: Sequence[str] = ()) -> DataFrame:
+def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = values.STOP_WORDS, most_chars: int | None = 2500, keep: Sequence[str] = ()) -> DataFrame:
     """(key, kept columns, candidates): n-grams of 1 to 3 words of a text's first ``most_chars``
     characters (None: all of them), stop words left out before."""
     part = F.col(body) if most_chars is None else F.left(F.col(body), F.lit(most_chars))
@@ -68,18 +78,32 @@ def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = text.
     return rows.select(key, *keep, words.alias("_words")).select(key, *keep, text.ngrams("_words").alias("candidates"))
 
 
+def _parts(pdf: pd.DataFrame, listed: str, most: int = 4096) -> Iterator[pd.DataFrame]:
+    """Rows in order, cut so that a part's lists hold about ``most`` values; a longer list is a part."""
+    size = pdf[listed].map(lambda x: 0 if x is None else len(x)).to_numpy().cumsum()
+    low = 0
+    while low < len(pdf):
+        high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + most, "right")))
+        yield pdf.iloc[low:high]
+        low = high
+
+
 def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedder: Embedder, n: int = 30, diversity: float | None = None) -> DataFrame:
     """(key, phrases): the candidates most like the text; with ``diversity`` picked by marginal relevance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        # rows of a few thousand phrases at a time, whose distinct phrases are embedded at once
+        for pdf in (part for batch in batches for part in _parts(batch, listed)):
             out = []
-            for body_text, phrases in zip(pdf[body], pdf[listed]):
+            seen = {p: i for i, p in enumerate(dict.fromkeys(p for ps in pdf[listed] if ps is not None for p in ps))}
+            known = embedder(list(seen)) if seen else np.zeros((0, 0))
+            bodies = embedder([b or "" for b in pdf[body]])
+            for query, phrases in zip(bodies, pdf[listed]):
                 phrases = list(phrases) if phrases is not None else []
                 if not phrases:
                     out.append([])
                     continue
-                vectors, query = embedder(phrases), embedder([body_text or ""])[0]
+                vectors = known[[seen[p] for p in phrases]]
                 order = np.argsort(-(vectors @ query), kind="stable")[:n] if diversity is None else mmr(query, vectors, n, diversity)
                 out.append([phrases[i] for i in order])
             yield pd.DataFrame({key: pdf[key], "phrases": out})
@@ -106,6 +130,48 @@ def near_skills(phrases: DataFrame, key: str, phrase: str, vocabulary: DataFrame
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def normalised_skills(rows: DataFrame, key: str, body: str, phrases: str, vocabulary: DataFrame, embedder: Embedder, least: float = 0.62, n: int = 3, evidence: Mapping[str, Sequence[str]] = values.STRICT_EVIDENCE, blocked: Sequence[str] = values.BLOCKED_PHRASES) -> DataFrame:
+    """(key, skill, near, rank): the skill nearest to each usable phrase of a row, the n best.
+
+    A skill of ``evidence`` counts only where one of its terms stands in the row's text or in a usable
+    phrase.  Distinct phrases are embedded once.
+    """
+    usable = F.filter(text.col(phrases), lambda p: skill_like(p) & ~F.lower(p).isin("", *blocked))
+    told = rows.select(key, usable.alias("_p"), F.lower(F.concat_ws(" ", F.coalesce(text.col(body), F.lit("")), F.array_join(usable, " "))).alias("_t"))
+    shown = F.create_map(*[x for s, terms in evidence.items() for x in (F.lit(s), text.any_phrase("_t", terms))]) if evidence else None
+    told = told.select(key, F.explode("_p").alias("_phrase"), *([shown.alias("_e")] if evidence else []))
+    found = nearest(told.select("_phrase").distinct(), vocabulary.select(F.col("skill").alias("v"), "skill"), embedder, "_phrase", "v", "skill")
+    best = told.join(found.where(F.col("near") >= least), "_phrase")
+    if evidence:
+        best = best.where(F.coalesce(F.try_element_at("_e", F.col("skill")), F.lit(True)))
+    best = best.groupBy(key, "skill").agg(F.max("near").alias("near"))
+    order = Window.partitionBy(key).orderBy(F.desc("near"), "skill")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def direct_skills(rows: DataFrame, key: str, body: str, vocabulary: DataFrame, embedder: Embedder, least: float = 0.33, n: int = 10, over: int = 4) -> DataFrame:
+    """(key, skill, near, rank): the vocabulary's skills nearest to the whole text.  ``over`` times n are
+    fetched, as spellings that differ by case alone count once."""
+    texts = rows.select(key, F.trim(F.coalesce(text.col(body), F.lit(""))).alias("_t")).where("_t <> ''")
+    found = nearest(texts.select("_t").distinct(), vocabulary.select(F.col("skill").alias("v"), "skill"), embedder, "_t", "v", "skill", k=over * n)
+    near = texts.join(found.where(F.col("near") >= least), "_t").groupBy(key, F.lower("skill").alias("_s")).agg(F.max_by("skill", F.struct("near", "skill")).alias("skill"), F.max("near").alias("near"))
+    order = Window.partitionBy(key).orderBy(F.desc("near"), "skill")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_s")
+
+
+def gated_skills(rows: DataFrame, key: str, body: str, phrases: str, vocabulary: DataFrame, embedder: Embedder, least_map: float = 0.46, least_text: float = 0.36, top: int = 300, n: int = 10) -> DataFrame:
+    """(key, skill, near, rank): the skill nearest to each of a row's phrases, if it is near enough to the
+    phrase and among the ``top`` skills nearest to the whole text, and near enough to that."""
+    named = vocabulary.select(F.col("skill").alias("v"), "skill")
+    each = rows.select(key, F.trim(F.coalesce(text.col(body), F.lit(""))).alias("_t"), F.explode(phrases).alias("_phrase"))
+    mapped = nearest(each.select("_phrase").distinct(), named, embedder, "_phrase", "v", "skill").where(F.col("near") >= least_map)
+    direct = nearest(each.select("_t").distinct(), named, embedder, "_t", "v", "skill", k=top).where(F.col("near") >= least_text)
+    both = each.join(mapped, "_phrase").join(direct.select("_t", "skill"), ["_t", "skill"], "left_semi")
+    best = both.groupBy(key, "skill").agg(F.max("near").alias("near"))
+    order = Window.partitionBy(key).orderBy(F.desc("near"), "skill")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def first_source(*lists: Column | str) -> Column:
     """The first list that has a value."""
     none = F.array().cast("array<string>")

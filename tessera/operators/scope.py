@@ -8,16 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions import text
 from tessera.functions.arrays import dot
 
-# Keywords of science and engineering, weaker ones, contexts that speak against.
-STRONG = ("\\bcomput(?:er|ing|ational)\\b", "\\bengineering\\b", "\\bpython\\b", "\\bprogramming\\b", "\\balgorithms?\\b", "\\bstatistic(?:s|al)\\b", "\\bmachine learning\\b", "\\bcalculus\\b", "\\bphysics\\b", "\\bchemistry\\b", "\\bbiolog(?:y|ical)\\b", "\\brobotics?\\b")
-WEAK = ("\\bmodels?\\b", "\\banalytics\\b", "\\bquantitative\\b", "\\btechnology\\b", "\\bsystems?\\b")
-BLOCKED = ("\\bliterary\\b", "\\bpoetry\\b", "\\bphilosoph(?:y|ical)\\b", "\\btheology\\b")
-AGAINST = ("\\bhistory of\\b", "\\bpolicy\\b", "\\blaw\\b", "\\bculture\\b", "\\bethics\\b", "\\bsociety\\b")
-
-
 def _hits(t: Column, patterns: Sequence[str]) -> Column:
     return sum((t.rlike(p).cast("int") for p in patterns[1:]), t.rlike(patterns[0]).cast("int")) if patterns else F.lit(0)
 
@@ -26,23 +20,18 @@ def _any(t: Column, patterns: Sequence[str]) -> Column:
     return t.rlike("|".join(patterns)) if patterns else F.lit(False)
 
 
-def keyword_signal(x: Column | str, strong: Sequence[str] = STRONG, weak: Sequence[str] = WEAK, blocked: Sequence[str] = BLOCKED) -> Column:
+def keyword_signal(x: Column | str, strong: Sequence[str] = values.STEM_STRONG, weak: Sequence[str] = values.STEM_WEAK, blocked: Sequence[str] = values.STEM_BLOCKED) -> Column:
     """2 for each strong pattern, 1 for each weak one, 0 if a blocked one is there."""
     t = F.lower(F.coalesce(text.col(x), F.lit("")))
     return F.when(_any(t, blocked), 0).otherwise(_hits(t, strong) * 2 + _hits(t, weak))
 
 
-def keyword_stem(x: Column | str, least: int = 2, strong: Sequence[str] = STRONG, weak: Sequence[str] = WEAK, blocked: Sequence[str] = BLOCKED, against: Sequence[str] = AGAINST) -> Column:
+def keyword_stem(x: Column | str, least: int = 2, strong: Sequence[str] = values.STEM_STRONG, weak: Sequence[str] = values.STEM_WEAK, blocked: Sequence[str] = values.STEM_BLOCKED, against: Sequence[str] = values.STEM_AGAINST) -> Column:
     """Whether the signal reaches ``least``; with one strong hit at most a context against vetoes it."""
     t = F.lower(F.coalesce(text.col(x), F.lit("")))
     return (keyword_signal(x, strong, weak, blocked) >= least) & ~((_hits(t, strong) <= 1) & _any(t, against))
 
 
-# What the earlier classifier shut out at once, and department words it went by.
-EXCLUDED = ("\\binternship\\b", "\\bthesis\\b", "\\bexchange programme\\b")
-STEM_DEPARTMENTS, OTHER_DEPARTMENTS = ("comput", "engineer", "mathemat", "physic", "chemi", "biolog", "statistic"), ("history", "music", "literature", "philosophy", "language", "law")
-
-
 def reference_lists(rows: DataFrame, column: str, stem: Sequence[str], other: Sequence[str] = (), with_other: bool = False) -> DataFrame:
     """(value, bucket): the distinct values of a string or list column against curated sets.  Values in
     neither are mixed, and so are those listed against unless ``with_other``."""
@@ -50,19 +39,44 @@ def reference_lists(rows: DataFrame, column: str, stem: Sequence[str], other: Se
     return values.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().select("value", bucket("value", stem, other if with_other else ()).alias("bucket"))
 
 
-def earlier_cascade(base: Column | str, base_reason: Column | str, department: Column | str, body: Column | str, least: int = 3, **patterns: Sequence[str]) -> tuple[Column, Column]:
+def earlier_cascade(
+    base: Column | str,
+    base_reason: Column | str,
+    department: Column | str,
+    body: Column | str,
+    least: int = 3,
+    strong: Sequence[str] = values.EARLIER_STRONG,
+    weak: Sequence[str] = values.EARLIER_WEAK,
+    blocked: Sequence[str] = values.STEM_BLOCKED,
+    excluded: Sequence[tuple[str, str]] = values.EXCLUDED_MODULES,
+    stem: Sequence[str] = values.STEM_DEPARTMENTS,
+    other: Sequence[str] = values.OTHER_DEPARTMENTS,
+) -> tuple[Column, Column]:
     """(bucket, reason) of the classifier without vectors: exclusions first, metadata, department words
     where metadata says nothing, then ``quant_non_stem`` for texts outside the scope whose keyword
-    signal reaches ``least``.  Its keep rule is clear_stem or quant_non_stem."""
+    signal reaches ``least``.  ``department`` may be department and faculty together; exclusions look at
+    it and at the text.  Its keep rule is clear_stem or quant_non_stem."""
     base, why = text.col(base), text.col(base_reason)
     t, d = F.lower(F.coalesce(text.col(body), F.lit(""))), F.lower(F.coalesce(text.col(department), F.lit("")))
     open_ = base == "unclear_or_mixed"
-    stem, other = open_ & _any(d, STEM_DEPARTMENTS), open_ & _any(d, OTHER_DEPARTMENTS)
-    first = F.when(stem, "clear_stem").when(other, "clear_non_stem").otherwise(base)
-    reason = F.when(stem, "department_text_heuristic_stem").when(other, "department_text_heuristic_non_stem").otherwise(why)
-    out, quant = _any(t, EXCLUDED), (first != "clear_stem") & (keyword_signal(body, **patterns) >= least)
+    is_stem, is_other = open_ & _any(d, stem), open_ & _any(d, other)
+    first = F.when(is_stem, "clear_stem").when(is_other, "clear_non_stem").otherwise(base)
+    reason = F.when(is_stem, "department_text_heuristic_stem").when(is_other, "department_text_heuristic_non_stem").otherwise(why)
+    quant = (first != "clear_stem") & (keyword_signal(body, strong, weak, blocked) >= least)
     note = F.when(first == "clear_non_stem", "quant_semantic_override_non_stem").otherwise("quant_semantic_override_unclear")
-    return F.when(out, "clear_non_stem").when(quant, "quant_non_stem").otherwise(first), F.when(out, "excluded_pattern").when(quant, note).otherwise(reason)
+    whole, out, left_out = F.concat_ws(" ", t, d), F.lit(False), F.lit(None).cast("string")
+    for name, pattern in reversed(excluded):
+        out, left_out = out | whole.rlike(pattern), F.when(whole.rlike(pattern), name).otherwise(left_out)
+    return F.when(out, "clear_non_stem").when(quant, "quant_non_stem").otherwise(first), F.when(out, left_out).when(quant, note).otherwise(reason)
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows whose ``columns`` come from the metadata of their key, or where that has none, or only
+    blanks, from the row itself.  Metadata that repeat a key: the last in the order of the values."""
+    at = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    known = metadata.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_m")).agg(*[F.max(at(c)).alias(f"_{c}") for c in columns])
+    both = rows.join(known, F.trim(F.col(key)) == F.col("_m"), "left")
+    return both.select(*[F.coalesce(f"_{c}", F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 @dataclass(frozen=True)

@@ -6,21 +6,21 @@ tables with prepared token arrays.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions import text
+from tessera.functions.arrays import sorted_set
+from tessera.operators import explore
 from tessera.operators.align import Weights, pair_scores, rounded, weighted
 
-# Names of schools, hints of little experience, single words too general to be a skill.
-SCHOOLS: Mapping[str, tuple[str, ...]] = {"NUS": ("nus", "national university of singapore"), "NTU": ("ntu", "nanyang technological university"), "SUTD": ("sutd", "singapore university of technology and design")}
-JUNIOR = ("entry level", "fresh grad", "fresh grads", "fresh graduate", "fresh graduates", "junior", "no experience")
-GENERAL = ("analysis", "business", "data", "design", "development", "engineering", "management", "research", "software", "strategies", "support", "systems", "technology")
-ALIASES: Mapping[str, tuple[str, ...]] = {"sql": ("database", "databases", "relational database")}
 _AMOUNT = r"\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?\s*k?)\b"
 _ABOVE, _BELOW = r"(?:above|over|at least|min(?:imum)?|more than)", r"(?:below|under|up to|less than|max(?:imum)?)"
 
@@ -30,7 +30,7 @@ def normal(value: str) -> str:
 
 
 def words(value: str) -> list[str]:
-    return [w for w in normal(value).split() if len(w) > 1 and w not in text.STOP_WORDS and not w.isdigit()]
+    return [w for w in normal(value).split() if len(w) > 1 and w not in values.STOP_WORDS and not w.isdigit()]
 
 
 def money(value: str) -> int | None:
@@ -64,14 +64,14 @@ def interpret(query: str, vocabulary: Iterable[str] = (), strict_compat: bool =
     high = re.search(rf"{_BELOW}\s*{_AMOUNT}", source)
     core = re.sub(rf"(?:\b(?:salary|pay)\s+)?(?:{_ABOVE}|{_BELOW})\s*{_AMOUNT}|\b(?:salary|pay)\s+{_AMOUNT}", " ", query.lower())
     core = re.sub(r"\b(?:full|part) time\b", " ", normal(core))
-    for names in SCHOOLS.values():
+    for names in values.SCHOOLS.values():
         for name in sorted(names, key=len, reverse=True):
             core = re.sub(rf"\b{name}\b", " ", core)
     core = " ".join(re.sub(r"\b(?:only|from)\b", " ", core).split())
     found = []
     for skill in sorted({normal(v) for v in vocabulary} - {""}):
         parts = words(skill)
-        if f" {skill} " in f" {core} " and not (len(parts) == 1 and parts[0] in GENERAL):
+        if f" {skill} " in f" {core} " and not (len(parts) == 1 and parts[0] in values.GENERAL_SKILLS):
             found.append(skill)
     own = {t for s in found for t in words(s)}
     tokens = words(core)
@@ -81,11 +81,11 @@ def interpret(query: str, vocabulary: Iterable[str] = (), strict_compat: bool =
         tokens=tokens,
         plain=[t for t in tokens if t not in own],
         skills=found,
-        school=next((s for s, names in SCHOOLS.items() if any(f" {n} " in f" {flat} " for n in names)), None),
+        school=next((s for s, names in values.SCHOOLS.items() if any(f" {n} " in f" {flat} " for n in names)), None),
         work_type="Part Time" if "part time" in flat else "Full Time" if "full time" in flat else None,
         salary_min=money(low[1]) if low else None,
         salary_max=money(high[1]) if high else None,
-        experience_max=1 if any(h in flat for h in JUNIOR) else None,
+        experience_max=1 if any(h in flat for h in values.EXPERIENCE_HINTS) else None,
     )
 
 
@@ -94,7 +94,7 @@ def query_skills(vocabulary: DataFrame, query: str, skill: str = "skill") -> Dat
     core = interpret(query).core
     s = text.search_key(skill)
     parts = text.tokens(skill)
-    general = (F.size(parts) == 1) & F.get(parts, F.lit(0)).isin(*GENERAL)
+    general = (F.size(parts) == 1) & F.get(parts, F.lit(0)).isin(*values.GENERAL_SKILLS)
     return vocabulary.where((s != "") & F.contains(F.lit(f" {core} "), F.concat(F.lit(" "), s, F.lit(" "))) & ~general).select(s.alias("skill")).distinct()
 
 
@@ -139,6 +139,51 @@ def skill_profile(best: DataFrame, skills: str = "skills") -> DataFrame:
     return best.select(F.explode(F.array_distinct(skills)).alias("skill"), (F.greatest(F.col("search_score"), F.lit(0.1)) / F.sqrt("rank")).alias("v")).groupBy("skill").agg(F.sum("v").alias("cnt"))
 
 
+def canonical_rows(rows: DataFrame, skills: str = "canonical_skills", title: str = "title") -> DataFrame:
+    """Canonical outputs as search takes them: ``skills`` as search keys, sorted and distinct, and the
+    title's key and tokens beside the other columns."""
+    keys = sorted_set(F.transform(F.coalesce(skills, F.array().cast("array<string>")), lambda s: text.search_key(s)))
+    out = rows.withColumn("skills", keys)
+    return out.withColumns({"title_norm": text.search_key(title), "title_tokens": text.tokens(title)}) if title in rows.columns else out
+
+
+def load_canonical(spark: SparkSession, modules: str, jobs: str) -> tuple[DataFrame | None, DataFrame | None, dict]:
+    """(modules, jobs, status) from two Parquet paths; an input that is missing makes both absent and is
+    named in the status, and tables too short to be full exports are flagged as sampled."""
+    found, missing = [], []
+    for path in (modules, jobs):
+        try:
+            found.append(spark.read.parquet(path))
+        except AnalysisException:
+            missing.append(path)
+    if missing:
+        return None, None, {"available": False, "message": f"missing canonical outputs: {', '.join(missing)}", "missing_paths": missing}
+    short = any(explore.looks_sampled(t) for t in found)
+    note = "canonical outputs are loaded" + ("; they look sampled, so recommendations may be weaker" if short else "")
+    return canonical_rows(found[0]), canonical_rows(found[1]), {"available": True, "message": note, "missing_paths": [], "is_sampled": short}
+
+
+def vocabulary(*tables: tuple[DataFrame, str]) -> DataFrame:
+    """(skill): the distinct skills of the tables' list columns, without blanks."""
+    out = None
+    for rows, column in tables:
+        part = rows.select(F.explode(column).alias("skill"))
+        out = part if out is None else out.unionAll(part)
+    return out.where(F.col("skill").isNotNull() & (F.col("skill") != "")).distinct()
+
+
+def canonical_profile(best: DataFrame, canonical_jobs: DataFrame, key: str = "uuid", post: str = "post_id") -> DataFrame:
+    """(skill, cnt): the profile of ranked jobs by their canonical rows; jobs without one do not count.
+    Canonical rows that repeat a post: the one whose skills sort last."""
+    rows = canonical_jobs.groupBy(F.col(post).alias("_post")).agg(F.max("skills").alias("_canonical"))
+    return skill_profile(best.join(rows, F.col(key) == F.col("_post")), "_canonical")
+
+
+def supports(skills: str, said: str, skill: str) -> Column:
+    """Whether a module has a queried skill: as one of its skills, or, itself or an alias, in its words."""
+    return F.coalesce(F.array_contains(skills, skill), F.lit(False)) | F.exists(F.lit([skill, *values.SKILL_ALIASES.get(skill, ())]), lambda a: F.contains(said, a))
+
+
 def recommend(modules: DataFrame, profile: DataFrame, intent: Intent, key: str = "module_id", k: int = 10, n: int = 5) -> DataFrame:
     """The n best modules for a job profile: 0.7 alignment and 0.3 relevance to the query.
 
@@ -149,35 +194,84 @@ def recommend(modules: DataFrame, profile: DataFrame, intent: Intent, key: str =
         modules = modules.where(F.col("source") == intent.school)
     mine = weighted(modules.select(key, F.explode("skills").alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("cnt")), key)
     theirs = weighted(profile.select(F.lit("query").alias("code"), "skill", "cnt"), "code")
-    scored = pair_scores(mine, theirs, key, k, Weights(), lists=True).where(F.col("score") > 0).join(modules.select(key, "source", "title_tokens", "skills"), key)
+    said = F.array_join(F.concat("title_tokens", "skills"), " ") if "title_norm" not in modules.columns else F.concat_ws(" ", "title_norm", F.array_join("skills", " "))
+    scored = pair_scores(mine, theirs, key, k, Weights(), lists=True).where(F.col("score") > 0).join(modules.select(key, "source", "title_tokens", "skills", said.alias("_said")), key)
+    top = profile.orderBy(F.desc("cnt"), "skill").limit(k).agg(F.transform(F.sort_array(F.collect_list(F.struct("cnt", F.col("skill"))), asc=False), lambda t: t["skill"]).alias("_top"))
+    scored = scored.crossJoin(F.broadcast(top))  # one row of k skills
     none = F.lit(0.0)
     met = F.filter(F.lit(intent.plain), lambda q: F.exists("title_tokens", lambda t: text.soft_equal(q, t))) if intent.plain else F.array().cast("array<string>")
     overlap = F.size(met) / len(intent.plain) if intent.plain else none
-    body = F.array_join(F.concat("title_tokens", "skills"), " ")
-    told = lambda s: F.exists(F.lit([s, *ALIASES.get(s, ())]), lambda a: F.contains(body, a))
-    cover = sum((told(s).cast("int") for s in intent.skills), F.lit(0)) / len(intent.skills) if intent.skills else none
+    listed = F.array_compact(F.array(*[F.when(supports("skills", "_said", s), F.lit(s)) for s in intent.skills])) if intent.skills else F.array().cast("array<string>")
+    cover = F.size(listed) / len(intent.skills) if intent.skills else none
     relevance = cover * 0.5 + overlap * 0.35 + F.when(overlap == 1.0, 0.15).otherwise(0.0)
-    out = scored.select(key, "source", rounded("score").alias("alignment_score"), rounded(F.col("score") * 0.7 + relevance * 0.3).alias("recommendation_score"), rounded(relevance).alias("query_relevance_score"), *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], F.slice("overlap", 1, 6).alias("matched_skills"), met.alias("matched_title_terms"))
+    out = scored.select(key, "source", rounded("score").alias("alignment_score"), rounded(F.col("score") * 0.7 + relevance * 0.3).alias("recommendation_score"), rounded(relevance).alias("query_relevance_score"), *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], F.slice("overlap", 1, 6).alias("matched_skills"), met.alias("matched_title_terms"), listed.alias("supported_query_skills"), F.slice(F.array_except("_top", "skills"), 1, 5).alias("missing_skills"))
     if intent.plain or intent.skills:
         out = out.where((F.col("query_relevance_score") > 0) | (F.col("coverage") >= 0.3))
     return out.orderBy(F.desc("recommendation_score"), F.desc("alignment_score"), F.desc("coverage"), F.desc("jaccard"), key).limit(n)
 
 
-def answer(jobs: DataFrame, modules: DataFrame, query: str, vocabulary: Iterable[str] = (), n: int = 5) -> dict:
-    """A response document for one query: its intent, best jobs and modules, and a sentence."""
+def statistics(found: DataFrame, best: DataFrame, n: int = 5) -> dict:
+    """What a response says of its jobs: how many matched, mean pay of the n best, their most frequent
+    work type, and the skills that weigh most among the 8 best.  All are small results."""
+    top = best.where(F.col("rank") <= n)
+    mean = top.agg(F.count("*").alias("n"), F.sum(F.when(F.col("avg_salary") != 0, F.col("avg_salary"))).alias("pay")).first()
+    work = explore.dominant(top, "work_type").collect()
+    skills = skill_profile(best.where("rank <= 8"), "skills" if "skills" in best.columns else "skill_set").orderBy(F.desc("cnt"), "skill").limit(10).collect()
+    return {
+        "matched_job_count": found.count(),
+        "returned_job_count": mean["n"],
+        "average_salary": int((mean["pay"] or 0) / max(1, mean["n"])),
+        "dominant_work_type": work[0]["work_type"] if work else "mixed",
+        "top_skill_profile": [{"skill": r["skill"], "weight": round(r["cnt"], 3)} for r in skills],
+    }
+
+
+def summary(intent: Intent, stats: dict, modules: list[dict], status: dict | None = None) -> str:
+    """The sentence of a response, from its statistics and its best module's reasons."""
+    if not stats["returned_job_count"]:
+        return f'Nothing matches "{intent.raw.strip()}" well; a job family, skill, work type or salary range may help.'
+    about = ", ".join(s["skill"] for s in stats["top_skill_profile"][:5])
+    out = f'"{intent.raw.strip()}" matches {stats["matched_job_count"]} job postings' + (f", most of them about {about}" if about else "")
+    out += f'. The best pay SGD {stats["average_salary"]:,} on average and are mostly {stats["dominant_work_type"].lower()}.'
+    if modules:
+        m = modules[0]
+        reasons = [f"{what} {', '.join(m[c][:most])}" for c, what, most in (("supported_query_skills", "it supports", 3), ("matched_title_terms", "its title has", 3), ("matched_skills", "it shares", 4)) if m[c]]
+        out += f" The best module is {m['module_id']}" + (f": {'; '.join(reasons)}." if reasons else ".")
+        if intent.school:
+            out += f" Only modules of {intent.school} were considered."
+    elif status is not None and not status["available"]:
+        out += f" {status['message']}."
+    return out
+
+
+def answer(jobs: DataFrame, modules: DataFrame | None, query: str, vocabulary: Iterable[str] = (), n: int = 5, canonical_jobs: DataFrame | None = None, status: dict | None = None) -> dict:
+    """A response document for one query: intent, statistics, best jobs and modules, and a sentence.
+
+    With ``canonical_jobs`` modules are matched with the canonical rows of the jobs found, else with the
+    jobs' own skills.  Without modules, or where no job found has a canonical row, ``status`` says so.
+    """
     if not query.strip():
         raise ValueError("the query is empty")
     intent = interpret(query, vocabulary)
     found = search_jobs(jobs, intent)
     best = ranked(found, 25).persist()
+    status = dict(status or {"available": modules is not None, "message": "" if modules is not None else "no module table is given"})
     try:
-        total = found.count()
-        listed = recommend(modules, skill_profile(best), intent, n=n).collect()
+        stats = statistics(found, best, n)
+        profile = skill_profile(best, "skills" if "skills" in best.columns else "skill_set") if canonical_jobs is None else canonical_profile(best, canonical_jobs)
+        listed: list[dict] = []
+        if modules is not None:
+            if canonical_jobs is not None and profile.isEmpty():
+                status |= {"available": False, "message": "none of the jobs found has a canonical row"}
+            else:
+                listed = [r.asDict(recursive=True) for r in recommend(modules, profile, intent, n=n).collect()]
         top = [r.asDict(recursive=True) for r in best.where(F.col("rank") <= n).orderBy("rank").collect()]
-        skills = [r["skill"] for r in skill_profile(best.where("rank <= 8")).orderBy(F.desc("cnt"), "skill").limit(5).collect()]
     finally:
         best.unpersist()
-    sentence = f'"{query.strip()}" matches {total} job postings' + (f", most of them about {', '.join(skills)}" if skills else "") + "."
-    if listed:
-        sentence += f" The best module is {listed[0]['module_id']}."
-    return {"intent": intent.__dict__, "jobs": top, "modules": [r.asDict(recursive=True) for r in listed], "summary": sentence}
+    stats["returned_module_count"] = len(listed)
+    return {"query": query, "intent": dict(intent.__dict__), "summary": summary(intent, stats, listed, status), "stats": stats, "recommendation_status": status, "jobs": top, "modules": listed}
+
+
+def response(document: dict) -> str:
+    """The document as JSON text."""
+    return json.dumps(document, ensure_ascii=False, default=str)

@@ -6,15 +6,16 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera import schemas
+from tessera import schemas, values
 from tessera.functions import text
 from tessera.functions.arrays import mapped_first, named_values
-from tessera.operators.clean_courses import undergraduate_code
+from tessera.operators.clean_courses import undergraduate, undergraduate_code
 
 
 def job_files(spark: SparkSession, path: str, pattern: str = "MCF-*.json", strict: bool = True) -> DataFrame:
@@ -47,18 +48,52 @@ def flatten_jobs(rows: DataFrame) -> DataFrame:
     )
 
 
+def json_document(spark: SparkSession, path: str, schema: str, fetch: Callable[[], str] | None = None) -> DataFrame:
+    """One JSON document, an object or an array of them, as rows.  ``fetch`` gets the document first and
+    its text is kept at ``path``; where it fails, what ``path`` holds already is read."""
+    if fetch is not None:
+        try:
+            got = fetch()
+        except Exception as e:  # as a download that fails: said, and the kept copy is used
+            print(f"not fetched: {e}")
+        else:
+            spark.createDataFrame([(got,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def json_rows(spark: SparkSession, path: str, schema: str, array: bool = False) -> DataFrame:
     """JSON lines, or one array; rows that are no objects of the schema are in ``_corrupt``."""
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", array).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1 in each file.  Files are read in blocks; a
+    line's number is its place in its block and the lines of the blocks before, so no file is one task."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("id"))
+    both = rows.withColumn("place", place).join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return both.select("file", (F.col("before") + F.col("place")).alias("line"), "value")
+
+
+def checked_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of JSON lines: blank lines are skipped, and a line that is no object of ``schema``
+    becomes (file, line, value) in errors.  A file that is no text, such as a pickle, errs in every line."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~F.trim("value").startswith("{")
+    return parsed.where(~bad).select("line", "row.*").drop("_corrupt"), parsed.where(bad).select("file", "line", "value")
+
+
 def lookup(spark: SparkSession, path: str) -> DataFrame:
     """A code table (CSV or Parquet): codes of 3 to 5 digits."""
     rows = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).schema(schemas.OCCUPATION).csv(path)
     return rows.select(F.trim(F.col("code").cast("string")).alias("code"), text.display("title").alias("title")).where(F.col("code").rlike("^[0-9]{3,5}$"))
 
 
-def courses(nus: DataFrame | None = None, ntu: DataFrame | None = None, sutd: DataFrame | None = None, departments: DataFrame | None = None, pillars: dict[str, str] | None = None, excluded_faculties: tuple[str, ...] = (), least_words: int = 10) -> DataFrame:
+def courses(nus: DataFrame | None = None, ntu: DataFrame | None = None, sutd: DataFrame | None = None, departments: DataFrame | None = None, pillars: dict[str, str] | None = values.PILLARS, excluded_faculties: tuple[str, ...] = (), least_words: int = 10) -> DataFrame:
     """The three course lists in one schema: undergraduate codes, texts long enough."""
     common = ["code", "title", "department", "faculty", "description", "course_type", "university"]
     parts = []
@@ -81,7 +116,13 @@ def courses(nus: DataFrame | None = None, ntu: DataFrame | None = None, sutd: Da
     for c in common:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
-    return out.where(text.n_words("description") >= least_words).select(*common)
+    out = out.where((text.n_words("description") >= least_words) & undergraduate("title", "description", "course_type"))
+    return out.select(*common)
+
+
+def unseen(rows: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys no row of ``seen`` has."""
+    return rows.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def course_blocks(lines: DataFrame, doc: str, no: str, line: str, head: str = "^([0-9]{2}\\.[0-9]{3})\\s+(.+)$") -> DataFrame:
@@ -100,10 +141,10 @@ def course_blocks(lines: DataFrame, doc: str, no: str, line: str, head: str = "^
     ).drop("_block")
 
 
-def paged(fetch: Callable[[int], dict | None], key: str = "code", most_pages: int = 10_000) -> list[dict]:
+def paged(fetch: Callable[[int], dict | None], key: str = "code") -> list[dict]:
     """Pages 1, 2, ... until one has no results or no next; the first record of each key, in key order."""
     found: dict = {}
-    for page in range(1, most_pages + 1):
+    for page in count(1):
         got = fetch(page)
         if not got or not got.get("results"):
             break
@@ -114,10 +155,10 @@ def paged(fetch: Callable[[int], dict | None], key: str = "code", most_pages: in
     return [found[k] for k in sorted(found, key=str)]
 
 
-def until_known(fetch: Callable[[int], list[dict]], key: str = "code", most_pages: int = 10_000) -> list[dict]:
+def until_known(fetch: Callable[[int], list[dict]], key: str = "code") -> list[dict]:
     """Pages until one adds no new key."""
     found: dict = {}
-    for page in range(1, most_pages + 1):
+    for page in count(1):
         new = [r for r in fetch(page) if r.get(key) not in found]
         if not new:
             break

@@ -139,7 +139,7 @@ def test_scope(spark):
     assert outof["All Modules"] == 6 == into["Final STEM"] + into["Final non-STEM"]
     assert into["Final STEM"] == out.where("b = 'clear_stem'").count()
     assert all(outof[n] == into[n] for n in into if not n.startswith("Final"))
-    signal = df.select(scope.keyword_signal(F.lit("Python programming")).alias("a"), scope.keyword_signal(F.lit("Literary programming")).alias("b")).first()
+    signal = df.select(scope.keyword_signal(F.lit("Python programming")).alias("a"), scope.keyword_signal(F.lit("Literary analysis by programming")).alias("b")).first()
     assert (signal.a, signal.b) == (4, 0)
 
 
@@ -210,7 +210,7 @@ def test_serial_numbers(spark):
 
 def test_courses(spark):
     nus = spark.createDataFrame([("CS1010", "T", "D", "F", "<p>one two three four five six seven eight nine ten</p>"), ("CS5000", "T", "D", "F", "x " * 12)], "moduleCode string, title string, department string, faculty string, description string")
-    ntu = spark.createDataFrame([("CZ1", "T", "one " * 12, "CSE"), ("CZ2", "T", "Graduate students only " * 5, "CSE")], "code string, title string, description string, departmentMaintaining string")
+    ntu = spark.createDataFrame([("CZ1", "T", "one " * 12, "CSE"), ("CZ2", "T", "Offered as a graduate level course " * 3, "CSE")], "code string, title string, description string, departmentMaintaining string")
     dims = spark.createDataFrame([("CSE", "Computing")], "short string, department string")
     from tessera.operators import clean_courses
 
