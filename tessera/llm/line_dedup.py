@@ -179,6 +179,7 @@ def _align(block_words: int):
                 owners.append(owner)
             owners = ids.take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks, pa.list_(pa.bool_())), pa.array(words, pa.int64()), pa.array(n_links, pa.int64()), owners], ["id", "t", "mask", "words", "links", "owner"])
+        kernel.release()
 
     return align
 
@@ -204,6 +205,7 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
                 i = slice(a, a + 100_000)
                 own = pa.array(row[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(code[i]), pa.array(at[i].astype(np.int32)), pa.array(length[i].astype(np.int32))], ["id", "t", "run", "at", "length"])
+        kernel.release()
 
     shared = work.written(seqs.mapInArrow(seeds, f"id {kind}, t bigint, run bigint, at int, length int"), "runs")
     owners = shared.groupBy("run").agg(F.min(F.struct("id", "t", "at")).alias("f"), F.max(F.struct("id", "t")).alias("l"))

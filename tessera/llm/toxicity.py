@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             column = batch.column(len(keep))
             out = np.zeros(batch.num_rows)
-            for a, b in kernel.blocks(column):
+            for a, b in kernel.blocks(column, kernel.BLOCK_BYTES // 2):
                 words, codes, first = split(column.slice(a, b - a))
                 texts = words.to_pylist()
                 place = np.array([known.get(w, -1) for w in texts], np.int64)

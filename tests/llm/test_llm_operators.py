@@ -314,6 +314,38 @@ def test_toxicity(marked):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted == 0}
 
 
+def grams_of(word):
+    """A word's features as text: itself and the 3- to 5-grams of it between its ends' marks."""
+    marked = f"<{word}>"
+    return [word] + [marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
+
+
+def test_toxicity_scores(marked):
+    """Every score from the model's table in plain Python: the highest average over windows of words."""
+    d, labels, _ = marked
+    model = toxicity.fit(d, labels)
+    known = {}
+
+    def features(word):
+        if word not in known:
+            bucket, first = toxicity.word_features(pa.array([word]))
+            assert len(bucket) == len(grams_of(word)) == first[1]
+            known[word] = bucket.tolist()
+        return known[word]
+
+    mine = {r.doc_id: r.score for r in toxicity.toxicity(d, labels).collect()}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for i in [*range(0, 900, 9), 2000, 2001, 2002, 2003]:
+        w = re.findall(r"[^\s!-/:-@\[-`{-~]+", (texts[i] or "").lower())
+        parts = max(1, round(len(w) / toxicity.WINDOW))
+        averages = []
+        for k in range(parts):
+            bag = {x for j, x in enumerate(w) if j * parts // len(w) == k}
+            held = [b for x in bag for b in features(x)]
+            averages.append(sum(float(model.margin[b]) for b in held) / (len(held) + toxicity.PADDING))
+        assert mine[i] == pytest.approx(1 / (1 + math.exp(-max(averages) - model.bias)), abs=1e-5), i
+
+
 def test_toxicity_edges(spark, edge):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.toxicity(edge, none).collect()
@@ -416,6 +448,38 @@ def test_lm_scores(spark, edge, sf):
     assert lm_score.lm_scores(edge.limit(0)).count() == 0
 
 
+def test_lm_scores_are_those_of_the_model(spark, sf):
+    """Scores of texts in plain Python: a softmax over all symbols for each token, and inside a class the
+    word's share of its smoothed counts."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(150)
+    training = ~lm_score.held_out("doc_id")
+    rows = table.collect()
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(table).collect()}
+    vocabulary, _, _, n, _ = lm_score.vocabulary_of(lm_score.word_counts(table, "text", training))
+    model = lm_score.fit(table, "doc_id", "text", training, vocabulary, n)
+    counts = collections.Counter(w for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10 for w in split(r.text))
+    place = {w: i for i, w in enumerate(vocabulary.words)}
+    own = {w.encode(): i for w, i in place.items()}
+    classes = lambda w: int(lm_score.ending_class(pa.array([w.decode()], pa.large_string()))[0])
+    mass = np.zeros(lm_score.CLASSES)
+    for w, c in counts.items():
+        if w not in own:
+            mass[classes(w)] += c + lm_score.ALPHA
+    mass += lm_score.ALPHA
+    for r in sorted(rows, key=lambda r: len(r.text))[:25]:
+        w = split(r.text)
+        symbols = [own.get(x, len(own) + classes(x)) for x in w] + [vocabulary.size - 1]
+        total = 0.0
+        for k, s in enumerate(symbols):
+            before = [symbols[k - 1 - j] if k - 1 - j >= 0 else vocabulary.size for j in range(lm_score.CONTEXT)]
+            hidden = sum(model.c[j].astype(float) * model.r[c].astype(float) for j, c in enumerate(before))
+            score = model.q.astype(float) @ hidden + model.b
+            total += (score[s] - np.log(np.exp(score - score.max()).sum()) - score.max()) / math.log(10)
+            if k < len(w) and w[k] not in own:
+                total += math.log10((counts[w[k]] + lm_score.ALPHA) / mass[classes(w[k])])
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-4, abs=1e-3), r.doc_id
+
+
 def test_lm_learns_every_token(spark):
     """What follows what at places that no stride of 16 from 0 or 7 meets."""
     line = " ".join("x" if k in (0, 7) else f"u{k}" for k in range(16))
@@ -646,6 +710,65 @@ def test_query_equals_sql(name, spark, sf):
     assert mine == sorted(str([norm(r[k]) for k in order]) for r in relation.fetchall())
 
 
+def near_classes(rows):
+    """The least id of each class of (id, text) rows, over all pairs of different texts."""
+    parent = {t: t for _, t in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    bags = {t: weighted(t) for t in parent}
+    sizes = {t: sum(b.values()) for t, b in bags.items()}
+    names = sorted(parent)
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if min(sizes[x], sizes[y]) >= 0.8 * max(sizes[x], sizes[y]):
+                low = sum((bags[x] & bags[y]).values())
+                if low / (sizes[x] + sizes[y] - low) >= 0.8:
+                    parent[root(x)] = root(y)
+    least = {}
+    for i, t in rows:
+        least[root(t)] = min(least.get(root(t), i), i)
+    return {i: least[root(t)] for i, t in rows}
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    """Every stage in plain Python, over the rows that the stage before kept; the mix by its SQL."""
+    import corpus_pipeline
+
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.toxicity(docs_, labels, threshold=0.7).collect() if r.predicted}
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs_.collect() if r.doc_id not in toxic)
+    cut = [(i, uncut(t, shared_places(t, [x for k, x, _ in rows if k < i])), s) for i, t, s in rows]
+    classes = near_classes([(i, t) for i, t, _ in cut])
+    kept = [(i, t, s) for i, t, s in cut if classes[i] == i]
+    clean = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    left = []
+    items = [clean(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    runs = lambda w, n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)}
+    for i, t, s in kept:
+        w = clean(t)
+        found = False
+        for item in items:
+            n = min(len(item), decontaminate.SEED_WORDS)
+            if n and runs(item, n) & runs(w, n) and 2 * sum((collections.Counter(item) & collections.Counter(w)).values()) / (2 * len(item)) >= decontaminate.LEAK:
+                found = found or smith_waterman(item, w) / (2 * len(item)) >= decontaminate.LEAK
+        if not found:
+            left.append((i, t, s))
+    assert len(rows) > len(kept) >= len(left) > 50 and any(a[1] != b[1] for a, b in zip(rows, cut))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in left], "text": [r[1] for r in left], "source": [r[2] for r in left]}))
+    relation = con.execute(queries.ORACLE["op8_mixing"])
+    names = [d[0] for d in relation.description]
+    tidy = lambda v: round(v, 9) if isinstance(v, float) else v
+    want = sorted(str([tidy(r[names.index(c)]) for c in sorted(names)]) for r in relation.fetchall())
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(str([tidy(r[c]) for c in sorted(got.columns)]) for r in got.collect()) == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
