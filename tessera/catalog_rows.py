@@ -14,7 +14,7 @@ from tessera.catalog import _NORM, _SEARCH_SQL, _TOK, _found, _jobs, postings
 from tessera.functions import arrays, fuzzy, numeric, text
 from tessera.operators import align, benchmark, clean_courses, embed, explore, extract, rules, scope, search
 from tessera.registry import Tables, query
-from tessera.sources import readers, shared, writers
+from tessera.sources import charts, readers, shared, writers
 
 
 def pick(values: list, key: str):
@@ -198,6 +198,31 @@ def rule_table_written(t):
     return rules.read(t.spark, path).withColumn("patterns", F.array_join("patterns", ","))
 
 
+@query("SELECT n_nationkey, n_name, 'lines' AS kept FROM nation UNION ALL SELECT n_nationkey, n_name, 'parquet' FROM nation")
+def saved_tables(t):
+    """A table saved as Parquet, and one of which only the JSON lines are left."""
+    schema, rows = "n_nationkey int, n_name string", t.nation.select("n_nationkey", "n_name")
+    one, other = shared.new_path(t.spark, "saved") + ".parquet", shared.new_path(t.spark, "saved")
+    rows.write.parquet(one)
+    rows.write.json(other + ".jsonl")
+    both = [(readers.saved_table(t.spark, one, schema), "parquet"), (readers.saved_table(t.spark, other + ".parquet", schema), "lines")]
+    parts = [df.withColumn("kept", F.lit(kind)) for df, kind in both]
+    return parts[0].unionAll(parts[1])
+
+
+@query("WITH c AS (SELECT o_orderstatus AS source, o_orderpriority AS target, count(*) AS value FROM orders GROUP BY 1, 2) SELECT *, CAST(coalesce(sum(value) OVER (PARTITION BY source ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS source_offset, CAST(coalesce(sum(value) OVER (PARTITION BY target ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS target_offset FROM c")
+def flow_bands(t):
+    return scope.flow_bands(t.orders.groupBy(F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("target")).agg(F.count("*").alias("value")))
+
+
+@query()
+def charts_drawn(t):
+    """Bars of order priorities and the flow from status to priority, as SVG."""
+    counts = explore.value_counts(t.orders, "o_orderpriority")
+    edges = t.orders.groupBy(F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("target")).agg(F.count("*").alias("value"))
+    return t.spark.createDataFrame([("bars", charts.bars(counts, "o_orderpriority", "cnt")), ("flows", charts.flows(edges))], "kind string, svg string")
+
+
 # ---------------------------------------------------------------- exports and filters
 
 _LOWERED = "array_to_string(list_filter([lower(lang), trim(lower(' Two  Words ')) , ''], lambda v: v <> ''), ',')"

@@ -62,11 +62,13 @@ def scaled_salaries(jobs: DataFrame, low: str = "salary_minimum", high: str = "s
     return out.where(~F.coalesce((F.col(low) < 10) | (F.col(high) < 10), F.lit(False)))
 
 
-def outliers_to_median(rows: DataFrame, value: str, group: str, least_rows: int = 10, reach: float = 1.5) -> DataFrame:
+def outliers_to_median(rows: DataFrame, value: str, group: str, least_rows: int = 10, reach: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """In groups of ``least_rows`` or more, values outside the quartiles by ``reach`` ranges become the
-    group's median, and so do nulls.  Quartiles are exact, so they are aggregated once per group
-    and joined back rather than computed over every row's window."""
-    stats = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.percentile(value, F.lit(0.25)).alias("_q1"), F.percentile(value, F.lit(0.75)).alias("_q3"), F.median(value).alias("_m"))
+    group's median, and so do nulls.  Quartiles are aggregated once per group and joined back rather than
+    computed over every row's window.  They are exact, for which a group's distinct values must fit one
+    task; with ``accuracy`` they are approximate, from sketches of bounded size."""
+    q = (lambda p: F.percentile(value, F.lit(p))) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
+    stats = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), q(0.25).alias("_q1"), q(0.75).alias("_q3"), q(0.5).alias("_m"))
     both = rows.join(stats, F.col(group).eqNullSafe(F.col("_g")))
     span = (F.col("_q3") - F.col("_q1")) * reach
     inside = F.coalesce(F.col(value).between(F.col("_q1") - span, F.col("_q3") + span), F.lit(False))

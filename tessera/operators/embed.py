@@ -119,10 +119,11 @@ def centroids(rows: DataFrame, vector: str, by: str) -> DataFrame:
 
 def arg_max(rows: DataFrame, prototypes: DataFrame, vector: str, key: str, label: str, prototype: str = "centroid", least: float | None = None) -> DataFrame:
     """(key, label, score): the prototype with the highest inner product, of equals the least label;
-    below ``least`` the label is null.  Prototypes are few (one per class) and broadcast."""
+    below ``least`` the label is null.  Prototypes are few (one per class); Spark broadcasts them if their
+    size allows."""
     from tessera.functions.arrays import dot
 
-    scored = rows.select(key, vector).crossJoin(F.broadcast(prototypes)).select(key, label, F.round(dot(vector, prototype), 6).alias("score"))
+    scored = rows.select(key, vector).crossJoin(prototypes).select(key, label, F.round(dot(vector, prototype), 6).alias("score"))
     best = scored.groupBy(key).agg(F.min_by(F.struct(label, "score"), F.struct(-F.col("score"), F.col(label))).alias("b")).select(key, "b.*")
     return best if least is None else best.withColumn(label, F.when(F.col("score") >= least, F.col(label)))
 

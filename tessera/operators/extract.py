@@ -186,9 +186,12 @@ def consensus(votes: DataFrame, key: str, least: int = 2, n: int = 10) -> DataFr
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("place")
 
 
-def phrase_clusters(phrases: DataFrame, phrase: str, weight: str, vector: str, limit: float = 0.32) -> DataFrame:
+def phrase_clusters(phrases: DataFrame, phrase: str, weight: str, vector: str, limit: float = 0.32, most: int = 5000) -> DataFrame:
     """(cluster, phrase, support): phrases in clusters by average cosine distance.  Made for the few
-    hundred seed phrases of a rule set; they are one group on purpose."""
+    hundred seed phrases of a rule set; they are one group on purpose, and more than ``most`` are refused
+    (group those with ``rules.grouped_by_skill``, which is distributed)."""
+    if phrases.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} phrases to cluster")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(phrase, kind="stable")

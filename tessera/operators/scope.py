@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import values
@@ -169,6 +169,13 @@ def flow_edges(rows: DataFrame, step: str = "path") -> DataFrame:
     return counts.select("n", F.inline(edges)).groupBy("source", "target").agg(F.sum("n").alias("value"))
 
 
+def flow_bands(edges: DataFrame) -> DataFrame:
+    """Edges with where their bands begin at both nodes: the running sums of the values of a node's
+    edges, by the name of the node at the other end."""
+    at = lambda node, other: F.coalesce(F.sum("value").over(Window.partitionBy(node).orderBy(other).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return edges.withColumns({"source_offset": at("source", "target"), "target_offset": at("target", "source")})
+
+
 def path_counts(rows: DataFrame, step: str = "path") -> DataFrame:
     """One row: modules at every step, and those that enter the later ones."""
     n = lambda *paths: F.count_if(F.col(step).isin(*paths))

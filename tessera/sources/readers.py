@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from itertools import count
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def json_rows(spark: SparkSession, path: str, schema: str, array: bool = False)
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", array).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def saved_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved table: Parquet at ``path``, or where there is none the JSON lines beside it, under the same
+    name with ``.jsonl``."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path.removesuffix(".parquet") + ".jsonl")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files, lines counted from 1 in each file.  Files are read in blocks; a
     line's number is its place in its block and the lines of the blocks before, so no file is one task."""
