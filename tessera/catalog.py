@@ -560,7 +560,7 @@ def consensus_merge(t):
 e AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase FROM g WHERE len(w) >= n),
 c AS (SELECT phrase, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM e GROUP BY 1) SELECT phrase, freq, docs, round(freq * (1 + ln(1 + len(string_split(phrase, ' ')))), 6) AS specificity FROM c WHERE freq >= 5 AND docs <= 0.12 * (SELECT count(*) FROM documents)""")
 def seed_phrases(t):
-    counts = rules.phrase_counts(t.documents, "doc_id", F.split(text.search_key("text"), " "), 1, 2)
+    counts = rules.phrase_counts(t.documents, F.split(text.search_key("text"), " "), 1, 2)
     return rules.seeds(counts, t.documents)
 
 

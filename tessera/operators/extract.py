@@ -25,11 +25,24 @@ def skill_like(x: Column | str, labels: Sequence[str] = values.ACADEMIC_LABELS,
 
 def keyword_hits(rows: DataFrame, key: str, body: str, vocabulary: Sequence[str], n: int = 5) -> DataFrame:
     """(key, skill, hits, rank): the chunks of a text that name each skill; the n best by hits, words
-    and length.  Vocabularies are lists of fixed size, held as a literal."""
-    parts = rows.select(key, F.explode(text.chunks(F.lower(body))).alias("chunk"))
-    named = [F.when(F.col("chunk").rlike(f"(^|[^a-z0-9]){re.escape(v)}([^a-z0-9]|$)"), F.lit(v)) for v in sorted({v.lower() for v in vocabulary})]  # patterns compiled once
-    found = parts.select(key, F.explode(F.array_compact(F.array(*named))).alias("skill"))
-    counts = found.groupBy(key, "skill").agg(F.count("*").alias("hits"))
+    and length.  Vocabularies are lists of fixed size, held as a literal.
+
+    Skills of plain words are found among a chunk's runs of words by hash, and those of several words
+    then by their exact spelling; skills with other characters by a pattern each.
+    """
+    skills = sorted({v.lower() for v in vocabulary})
+    plain = [v for v in skills if re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", v)]
+    chunk, none = F.col("chunk"), F.array().cast("array<string>")
+    found = none
+    if plain:
+        longest = max(len(v.split(" ")) for v in plain)
+        runs = F.flatten(F.array(*[text.grams("_words", k) for k in range(1, longest + 1)]))
+        found = F.filter(F.array_intersect(runs, F.lit(plain)), lambda v: ~F.contains(v, F.lit(" ")) | F.rlike(chunk, F.concat(F.lit("(^|[^a-z0-9])"), v, F.lit("([^a-z0-9]|$)"))))
+    marked = [F.when(chunk.rlike(f"(^|[^a-z0-9]){re.escape(v)}([^a-z0-9]|$)"), F.lit(v)) for v in skills if v not in plain]
+    if marked:
+        found = F.concat(found, F.array_compact(F.array(*marked)))
+    parts = rows.select(key, F.explode(text.chunks(F.lower(body))).alias("chunk")).select(key, "chunk", F.split("chunk", "[^a-z0-9]+").alias("_words"))
+    counts = parts.select(key, F.explode(found).alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("hits"))
     order = Window.partitionBy(key).orderBy(F.desc("hits"), F.desc(F.size(F.split("skill", " "))), F.desc(F.length("skill")), "skill")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

@@ -32,12 +32,17 @@ def valid_phrase(
     return F.coalesce(fine & F.exists(words, lambda w: ~w.isin(*stop)) & ~first.isin(*actions) & ~one_short, F.lit(False))
 
 
-def phrase_counts(rows: DataFrame, key: str, words: Column | str, low: int = 1, high: int = 3) -> DataFrame:
-    """(phrase, freq, docs) of all n-grams of a text's words."""
-    rows = rows.select(key, text.col(words).alias("_words"))  # inside a lambda it would be made anew for every n-gram
-    grams = F.flatten(F.array(*[text.grams("_words", n) for n in range(low, high + 1)]))
-    each = rows.select(key, F.explode(grams).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("n"))
-    return each.groupBy("phrase").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"))
+def phrase_counts(rows: DataFrame, words: Column | str, low: int = 1, high: int = 3) -> DataFrame:
+    """(phrase, freq, docs) of all n-grams of the words of ``rows``, each row a document.
+
+    A document's n-grams and its distinct ones go into one aggregation by phrase, so what is shuffled is
+    a row for each phrase of a task, not for each phrase of a document.
+    """
+    rows = rows.select(text.col(words).alias("_words"))  # inside a lambda it would be made anew for every n-gram
+    grams = rows.select(F.flatten(F.array(*[text.grams("_words", n) for n in range(low, high + 1)])).alias("_grams"))
+    every = grams.select(F.explode("_grams").alias("phrase"), F.lit(1).alias("n"), F.lit(0).alias("d"))
+    once = grams.select(F.explode(F.array_distinct("_grams")).alias("phrase"), F.lit(0).alias("n"), F.lit(1).alias("d"))
+    return every.unionAll(once).groupBy("phrase").agg(F.sum("n").alias("freq"), F.sum("d").alias("docs"))
 
 
 def seeds(counts: DataFrame, rows: int | DataFrame, least: int = 5, most_share: float = 0.12) -> DataFrame:
