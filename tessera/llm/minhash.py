@@ -48,12 +48,13 @@ def bag_minhash(text: np.ndarray, gram: np.ndarray, times: np.ndarray, n_texts:
     """BagMinHash signatures, one row of m arrival times for each text.
 
     Every shingle owns Poisson processes of rate 1 on its weight axis.  The axis is cut into the dyadic
-    intervals (0,1], (1,2], (2,4], ...; each is one process of rate equal to its length whose points
-    carry a weight coordinate, a register and an arrival time.  A point counts for a text whose weight
-    reaches its coordinate, and a register keeps its earliest point, so equal registers of two texts
-    have the probability of their weighted Jaccard similarity.  Points come in ascending time and end
-    at the text's limit, by which all registers are full but rarely; texts with an empty register
-    are drawn again up to twice the limit.
+    intervals (0,1], (1,2], (2,4], ...; each is one process of rate equal to its length, and the process
+    of an interval is the sum of those of its halves down to single weights: every bit of a point's
+    draw sends it into one half, until its weight is known.  Points carry that weight, a register and
+    an arrival time.  A point counts for a text whose weight reaches the point's, and a register keeps
+    its earliest point, so equal registers of two texts have the probability of their weighted Jaccard
+    similarity.  Points come in ascending time and end at the text's limit, by which all registers are
+    full but rarely; texts with an empty register are drawn again up to twice the limit.
     """
     out = np.full(n_texts * m, np.inf)
     total = np.bincount(text, times, n_texts)
