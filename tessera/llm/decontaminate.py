@@ -143,12 +143,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words"))
     total = items.agg(F.sum(F.length("words"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // (2 * block_words)))
-    out = None
-    for b in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b) if n_blocks > 1 else items
+
+    def found(block: DataFrame) -> DataFrame:
         rows = block.toArrow()
-        part = _pass(docs, item_block(rows["item"].to_pylist(), rows["words"].to_pylist(), seed_words), id_col, text_col, threshold, seed_words)
-        out = part if out is None else out.unionAll(part)
+        return _pass(docs, item_block(rows["item"].to_pylist(), rows["words"].to_pylist(), seed_words), id_col, text_col, threshold, seed_words)
+
+    if n_blocks == 1:
+        out = found(items)
+    else:  # a pass adds to one table, so no plan grows with the benchmark
+        path = work.new_path(docs.sparkSession, "found")
+        for b in range(n_blocks):
+            with work.scratch():
+                part = found(items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b))
+                part.write.mode("append").parquet(path)
+        out = docs.sparkSession.read.schema(part.schema).parquet(path)
     kind = benchmark.schema[item_col].dataType
     return out.select(F.col("id").alias(id_col), F.col("item").cast(kind).alias(item_col), "score", "begin", "end")
 
