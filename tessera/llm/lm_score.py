@@ -29,8 +29,8 @@ SHARD_TOKENS = 4_000_000
 SENT_WORDS = 1 << 16
 #: Smoothing of the base model and inside classes.
 ALPHA = 0.1
-#: Texts scored as one group: bytes of text in it.
-GROUP_BYTES = 8 << 20
+#: Bytes of text that are counted, and that are learnt from or scored, at once.
+COUNT_BYTES, LEARN_BYTES = 8 << 20, 4 << 20
 
 END = "\n"  # no word holds white space
 
@@ -196,7 +196,7 @@ def word_counts(docs: DataFrame, text_col: str, training: Column) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in kernel.blocks(batch.column(0), 4 * kernel.BLOCK_BYTES):
+            for a, b in kernel.blocks(batch.column(0), COUNT_BYTES):
                 coded = kernel.words(batch.column(0).slice(a, b - a)).arrow().dictionary_encode()
                 n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                 words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])])
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, training: Column, vocabular
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * chunk), pa.array(flat))
                 return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists], ["i", "x"])
 
-            for shard, texts in _texts(batches, 2 * kernel.BLOCK_BYTES):
+            for shard, texts in _texts(batches, LEARN_BYTES):
                 if shard != now:
                     if now is not None:
                         yield parts()
@@ -334,7 +334,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         n_words = len(vocabulary.words)
         ends = vocabulary.counts[-1]
         for batch in batches:
-            for a, b in kernel.blocks(batch.column(1), 2 * kernel.BLOCK_BYTES):
+            for a, b in kernel.blocks(batch.column(1), LEARN_BYTES):
                 symbol, first, distinct, word, place = encode(batch.column(1).slice(a, b - a), vocabulary)
                 size = b - a
                 p = model.token_log_probs(contexts(symbol, first, vocabulary.size), symbol) / np.log(10)
