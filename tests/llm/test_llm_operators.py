@@ -680,6 +680,39 @@ def test_near_duplicates(spark, edge):
     assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_results_are_alike_beyond_every_size(spark, monkeypatch):
+    """With the bounds of broadcasts, chunks and sent words lowered, the other arms give the same rows."""
+    rng = random.Random(12)
+    rows = []
+    for group in range(6):
+        base = prose(rng, 90, 5000).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randint(0, 7)):
+                w[rng.randrange(len(w))] = f"new{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(w), "s"))
+    rows += [(500 + i, rows[0][1], "s") for i in range(9)]
+    d = docs(spark, rows)
+    items = spark.createDataFrame([(1, " ".join(rows[0][1].split()[:25])), (2, " ".join(rows[20][1].split()[10:40]))], "item_id bigint, text string")
+    pages = spark.createDataFrame([(i, "u", t) for i, t, _ in rows], "page_id bigint, url string, html string")
+    tidy = lambda df: sorted(str([round(x, 4) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    runs = {
+        "near": lambda: tidy(minhash.near_duplicates(d)),
+        "kept": lambda: tidy(minhash.keep_one(d)),
+        "clean": lambda: tidy(decontaminate.keep_clean(d, items)),
+        "warc": lambda: tidy(warc.round_trip(pages)),
+        "lm": lambda: tidy(lm_score.lm_scores(d).drop("score")),
+    }
+    want = {name: run() for name, run in runs.items()}
+    assert len(want["kept"]) < len(rows) and len(want["clean"]) < len(rows)
+    for module, name, value in ((minhash, "BROADCAST_ROWS", -1), (minhash, "LOOSE_ROWS", -1), (minhash, "CHUNK", 3), (decontaminate, "BROADCAST_ROWS", -1), (warc, "BROADCAST_ROWS", -1), (lm_score, "SENT_WORDS", 5)):
+        assert hasattr(module, name)
+        monkeypatch.setattr(module, name, value)
+    counts = lm_score.vocabulary_of
+    monkeypatch.setattr(lm_score, "vocabulary_of", lambda c: counts(c, sent=5))
+    assert {name: run() for name, run in runs.items()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [(f"m{rng.randint(0, 80)}", f"m{rng.randint(0, 80)}") for _ in range(50)]
