@@ -164,6 +164,8 @@ def test_extraction(spark):
     df = spark.createDataFrame([(1, "SQL and c++ here. More sql; data mining.")], "id int, body string")
     hits = {r.skill: r.hits for r in extract.keyword_hits(df, "id", "body", ["sql", "c++", "mining"]).collect()}
     assert hits == {"sql": 2, "c++": 1, "mining": 1}
+    more = spark.createDataFrame([(1, "data  mining; Data Mining, R&D. datamining; data-mining here")], "id int, body string")
+    assert {r.skill: r.hits for r in extract.keyword_hits(more, "id", "body", ["data mining", "r&d", "data", "here r"]).collect()} == {"data mining": 1, "r&d": 1, "data": 3}
     got = df.select(extract.rule_hits("body", [(["c++"], ["C++"]), (["java"], ["Java"])]).alias("x")).first().x
     assert got == ["C++"]
     like = df.select(*[extract.skill_like(F.lit(s)).alias(s) for s in ("economics", "course design", "SQL", "x")]).first()
