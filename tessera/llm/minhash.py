@@ -145,13 +145,15 @@ def _similar(pairs: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", _overlap("ga", "gb", least).alias("similar"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root): the least node that each node of the links (a, b) is connected to.
 
     Labels spread over the links and jump to their label's label until nothing changes; each round is
-    a written table, and only the number of changes reaches the driver.
+    a written table, and only whether something changed reaches the driver.  ``rows``: a bound of the
+    links' number, counted if it is not given.
     """
-    both = work.written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    rows = 2 * (links.count() if rows is None else rows)
+    both = work.written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows=rows)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     while True:
         start = labels
@@ -161,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
             jump = spread.select(F.col("node").alias("j"), F.col("next").alias("jump"))
             labels = spread.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("root"))
         was = start.select(F.col("node").alias("w"), F.col("root").alias("was"))
-        moved = work.written(labels.join(was, F.col("node") == F.col("w")).select("node", "root", "was"), "labels")
+        moved = work.written(labels.join(was, F.col("node") == F.col("w")).select("node", "root", "was"), "labels", rows=rows)
         labels = moved.select("node", "root")
         if moved.where(F.col("root") != F.col("was")).isEmpty():
             return labels
@@ -201,9 +203,10 @@ def _classes(docs: DataFrame, rows: DataFrame, key: Column, text_col: str, least
     nodes = signed.select("text_key", F.posexplode("bands").alias("band", "h"))
     buckets = nodes.groupBy("band", "h").agg(F.min("text_key").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("hb"), F.col("h").alias("hh"), "head")
     members = work.written(nodes.join(buckets, (F.col("band") == F.col("hb")) & (F.col("h") == F.col("hh"))).select("text_key", "band", "h", "head"), "members")
+    n = members.count()  # from the table's footers; no table of links has more rows
 
-    stars = work.written(members.where(F.col("text_key") != F.col("head")).select(F.col("head").alias("a"), F.col("text_key").alias("b")).distinct(), "stars")
-    busy = work.written(stars.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "busy")
+    stars = work.written(members.where(F.col("text_key") != F.col("head")).select(F.col("head").alias("a"), F.col("text_key").alias("b")).distinct(), "stars", rows=n)
+    busy = work.written(stars.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "busy", rows=2 * n)
     one = lambda t: t.groupBy("text_key").agg(F.first("text").alias("text"))
     is_busy = F.col("text_key") == F.col("k")
     if busy.count() <= BROADCAST_ROWS:  # else copies are folded before the join, so no key is hot in it
@@ -214,13 +217,13 @@ def _classes(docs: DataFrame, rows: DataFrame, key: Column, text_col: str, least
 
     done = work.written(_similar(stars, wanted, least), "verified")
     links = done.where("similar").select("a", "b")
-    roots = components(links)
+    roots = components(links, n)
     # members that differ from a head meet the other members of that bucket
-    failed = work.written(_apart(done.where("not similar").select("a", "b"), roots), "failed")
+    failed = work.written(_apart(done.where("not similar").select("a", "b"), roots), "failed", rows=n)
     if not failed.isEmpty():
         met = work.written(_meet(members, failed, roots, wanted, least), "met")
         if not met.isEmpty():
-            roots = components(links.unionAll(met))
+            roots = components(links.unionAll(met), n + met.count())
 
     copies = rows.where(F.col("text_key").isNotNull()).groupBy("text_key").agg(F.count("*").alias("n_copies"), F.min("id").alias("least_id"))
     classed = copies.join(roots, F.col("text_key") == F.col("node"), "left").select(F.col("text_key").alias("c_key"), "n_copies", "least_id", F.coalesce("root", "text_key").alias("root"))
@@ -237,11 +240,11 @@ def _meet(members: DataFrame, failed: DataFrame, roots: DataFrame, wanted: DataF
     pair holds between two components one comes out.
     """
     odd = members.join(failed, (F.col("head") == F.col("a")) & (F.col("text_key") == F.col("b"))).select("text_key", "band", "h")
-    odd = work.written(odd, "odd")
+    odd = work.written(odd, "odd", rows=members.count())
     size = odd.groupBy(F.col("band").alias("zb"), F.col("h").alias("zh")).agg(F.count("*").alias("n_odd"))
     here = (F.col("band") == F.col("zb")) & (F.col("h") == F.col("zh"))
     full = members.join(size, here).groupBy("zb", "zh").agg(F.count("*").alias("n_all"), F.first("n_odd").alias("n_odd"))
-    full = work.written(full.select("zb", "zh", F.ceil(F.col("n_odd") / CHUNK).cast("int").alias("cx"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("cy")), "buckets")
+    full = work.written(full.select("zb", "zh", F.ceil(F.col("n_odd") / CHUNK).cast("int").alias("cx"), F.ceil(F.col("n_all") / CHUNK).cast("int").alias("cy")), "buckets", rows=members.count())
 
     def side(rows: DataFrame, own: str, other: str, is_odd: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("text_key"), F.col(own))

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Short rows (links, labels) of a file.
+FILE_ROWS = 1 << 16
+
 _PATHS: list[tuple[SparkSession, str]] = []
 _KEPT: set[str] = set()
 
@@ -53,11 +56,14 @@ def exists(spark: SparkSession, path: str, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: later steps survive lost executors
-    and see one fixed version of it.  ``keep`` lets it outlive the scratch it is written in."""
+    and see one fixed version of it.  ``keep`` lets it outlive the scratch it is written in.  ``rows``,
+    a bound of its rows where these are short, keeps it from falling into more files than they need."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     if keep:
         _KEPT.add(path)
