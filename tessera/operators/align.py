@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, ratio
+from tessera.sources import shared
 
 
 @dataclass(frozen=True)
@@ -90,7 +91,7 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
     pairs = left.join(right, ["skill", *also]).groupBy(key, *also, "code").agg(
         F.count("*").alias("overlap_count"),
         *([F.array_sort(F.collect_list("skill")).alias("overlap")] if lists else []),
-        F.sum(F.least("mw", "fw")).alias("shared"),
+        F.sum(F.least("mw", "fw")).alias("common"),
         F.sum(F.col("mw") * F.col("fw")).alias("dot"),
         F.sum(F.when(F.col("rk") <= k, 1).otherwise(0)).alias("hits"),
         F.sum(F.when(F.col("rk") <= k, F.col("cnt")).otherwise(0)).alias("hit_cnt"),
@@ -100,7 +101,7 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
         F.first("top_cnt").alias("top_cnt"),
     )
     coverage = F.col("hits") / F.col("top_n")
-    jaccard = F.col("shared") / (2 - F.col("shared"))  # both sides' weights sum to 1
+    jaccard = F.col("common") / (2 - F.col("common"))  # both sides' weights sum to 1
     cosine = F.col("dot") / F.sqrt(F.col("m_norm") * F.col("f_norm"))
     gap = 1 - F.col("hit_cnt") / F.col("top_cnt")
     return pairs.select(key, *also, "code", "overlap_count", *(["overlap"] if lists else []), coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
@@ -118,9 +119,11 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), "code")
     columns = ["code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
     best = scored.join(families, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    # shared skills are listed for the matches only, not for every pair that was scored
-    shared = best.select(key, "code").join(mine.select(key, "skill"), key).join(theirs.select("code", "skill"), ["code", "skill"]).groupBy(key, "code").agg(F.array_sort(F.collect_list("skill")).alias("overlap"))
-    best = best.join(shared, [key, "code"])
+    # shared skills are listed for the matches only, not for every pair that was scored; as the matches are
+    # read twice, and Spark would score all pairs again for the second time, they are kept
+    best = shared.kept(best)
+    common = best.select(key, "code").join(mine.select(key, "skill"), key).join(theirs.select("code", "skill"), ["code", "skill"]).groupBy(key, "code").agg(F.array_sort(F.collect_list("skill")).alias("overlap"))
+    best = best.join(common, [key, "code"])
     matched = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("m")))), lambda s: s["m"]).alias("m"))
 
     # what is missing to n comes from the largest families; n - 1 of them at most are matched already
