@@ -353,6 +353,23 @@ def tagless_text(t):
     return t.part.select("p_partkey", fuzzy.tagless_text(html).alias("t"))
 
 
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' & co ' || p_brand AS t FROM part")
+def page_text(t):
+    """Pages parsed: scripts, styles and comments say nothing, entities are decoded."""
+    html = F.concat(F.lit("<html><head><style>p {x: y}</style></head><body><!-- no --><h1>"), "p_name", F.lit("</h1>\n<p>"), "p_type", F.lit(" &amp;&nbsp; co<br></p><script>var a = '<p>b</p>';</script>"), "p_brand", F.lit("</body></html>"))
+    return t.part.select("p_partkey", fuzzy.html_text(html).alias("t"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'LD ' || p_name ELSE p_name || ' page' END AS title, 'H ' || p_name AS heading, CASE WHEN p_size % 2 = 0 THEN 'told by data' ELSE p_type || ' one two' END AS description, p_brand AS credits, p_type AS terms FROM part""")
+def page_fields(t):
+    """Course pages to records: linked data before the page's own words, paragraphs once each up to the
+    prerequisites, tables of two cells; credits and tags are no description."""
+    data = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "Course", "name": "LD '), "p_name", F.lit('", "description": "told by data"}</script>'))).otherwise('<script type="application/ld+json">{"@type": "Place", "name": "x"}</script><script type="application/ld+json">{broken</script>')
+    html = F.concat(F.lit("<title>"), "p_name", F.lit(" page</title>"), data, F.lit("<h1>H "), "p_name", F.lit("</h1><p>"), "p_type", F.lit("</p><p>one two</p><p>one  two</p><p>Number of credits: 4</p><p>Tags: a</p><table><tr><td>Credits</td><td>"), "p_brand", F.lit("</td></tr><tr><td>7</td><td>x</td></tr><tr><td>a</td><td>b</td><td>c</td></tr><tr><th>Terms</th><td>"), "p_type", F.lit("</td></tr></table><h2>Prerequisites</h2><p>none</p>"))
+    rows = readers.page_records(t.part.select("p_partkey", html.alias("html")), "p_partkey")
+    return rows.select("p_partkey", "title", "heading", "description", F.col("details")["Credits"].alias("credits"), F.col("details")["Terms"].alias("terms"))
+
+
 @query("""WITH v AS (SELECT event_id, TRY_CAST(CASE WHEN event_id % 4 = 0 THEN 'n/a' WHEN event_id % 4 = 1 THEN value || '' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS a, CASE WHEN event_id % 3 > 0 THEN value * 2 END AS b FROM events)
 SELECT event_id, a, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 6) AS mean FROM v""")
 def numbers_and_means(t):
@@ -553,6 +570,13 @@ def gated_skills(t):
     return extract.gated_skills(_described(t), "p_partkey", "body", "phrases", _vocabulary(t), embed.HashingEmbedder(), least_map=0.4, least_text=0.2)
 
 
+@query()
+def ranked_phrases(t):
+    """The phrases of whole texts most like the text, by likeness alone."""
+    rows = extract.candidates(t.documents, "doc_id", "text", most_chars=None, keep=("text",))
+    return extract.ranked_candidates(rows, "doc_id", "text", "candidates", embed.HashingEmbedder(128), n=30)
+
+
 @query()
 def grouped_phrases(t):
     phrases = t.part.groupBy(F.lower(F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), 1))).alias("phrase")).agg(F.count("*").alias("freq"))
