@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources import shared
+
 #: Short rows (links, labels) of a file.
 FILE_ROWS = 1 << 16
 
@@ -17,18 +18,6 @@ _PATHS: list[tuple[SparkSession, str]] = []
 _KEPT: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.  Only where it is unset (tests, local mode)
-    is a temporary folder of this machine made and used for the rest of the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer if ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}
@@ -38,7 +27,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     _PATHS.append((spark, path))
     return path
 
