@@ -214,6 +214,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A text scores as its most toxic window, so a long clean part hides nothing.  A null or empty text, or one of no words, gets the model's constant.
     """
     keep = keep or [id_col]
+    place_of_text = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known: dict[str, int] = {}  # place in the remembered table
         held = np.zeros((REMEMBERED, 2))
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(place_of_text)
             out = np.zeros(batch.num_rows)
             for a, b in kernel.blocks(column):
                 words, codes, first = split(column.slice(a, b - a))
@@ -240,7 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
             kernel.release()
 
-    chosen = docs.select(*keep, F.col(text_col).alias("_text"))
+    chosen = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return chosen.mapInArrow(run, f"{schema}, score double, predicted int")
 
