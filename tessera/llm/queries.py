@@ -13,13 +13,18 @@ from tessera.llm import line_dedup as _line_dedup
 from tessera.llm import lm_score as _lm
 from tessera.llm import minhash as _minhash
 from tessera.llm import mixing as _mixing
+from tessera.llm import piece_encoding as _pieces
+from tessera.llm import spelling as _spelling
 from tessera.llm import token_counts as _tokens
 from tessera.llm import topk as _topk
 from tessera.llm import toxicity as _toxicity
+from tessera.llm import vector_codes as _codes
 from tessera.llm import warc as _warc
 
 #: The vocabulary of op3, one of the public tokenizers' files.
 TOKENIZER = "byte_bpe_50k.json"
+#: The model of op12, another of them.
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +75,51 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op5_licenses, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes.vector_codes(_table(spark, sf_dir, "embeddings"), n_parts=16, n_entries=64, rounds=2, scale=256)
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = _pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_variants(_table(spark, sf_dir, "documents"), one_in=199, least_length=6, least_count=5, times=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_toxicity, op5_licenses, op6_warc, op7_lm_score, op8_mixing, op9_exact_topk, op10_minhash, op11_vector_codes, op12_piece_encoding, op13_spelling)}
+
+
+def _codes_sql() -> str:
+    """Two rounds of assignment and floored means, then the last assignment."""
+    steps = ["b0 AS MATERIALIZED (SELECT part, place AS entry, x FROM p WHERE place < 64)"]
+    for k in range(3):
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT p.place, p.part, any_value(p.x) AS x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) * 64 + b.entry) AS best"
+            f" FROM p JOIN b{k} b ON b.part = p.part GROUP BY 1, 2)"
+        )
+        if k < 2:
+            steps.append(
+                f"m{k} AS (SELECT part, best % 64 AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS c FROM a{k}, range(1, 65) AS t(i) WHERE i <= len(x) GROUP BY 1, 2, 3),\n"
+                f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(any_value(n.x), any_value(b.x)) AS x"
+                f" FROM b{k} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS x FROM m{k} GROUP BY 1, 2) n ON n.part = b.part AND n.entry = b.entry GROUP BY 1, 2)"
+            )
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+         row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS place
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT place, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM v, range(16) AS t(part)),
+{",\n".join(steps)},
+c AS (SELECT place, string_agg(printf('%02x', CAST(best % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM c JOIN v USING (place)
+"""
 
 
 def _license_sql() -> str:
@@ -156,6 +205,34 @@ SELECT t.doc_id, CASE WHEN t.text IS NULL THEN t.doc_id ELSE least(d.id, coalesc
 FROM documents t LEFT JOIN d ON d.text = t.text LEFT JOIN c ON c.node = d.id
 """,
     "op5_licenses": _license_sql(),
+    "op11_vector_codes": _codes_sql(),
+    "op13_spelling": """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_concat([4294967295], list_transform(range(strlen(s)), lambda i: CAST('0x' || substr(hex(s), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS h
+  FROM (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM d), t),
+r AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS MATERIALIZED (SELECT word, p, substr(word, 1, p) || substr(word, p + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS p FROM w)),
+e AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.less
+  UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.less),
+g AS (SELECT e.a AS word, count(*) AS n_near, max(w.n) AS most FROM e JOIN w ON w.word = e.b GROUP BY 1),
+b AS (SELECT g.word, min(w.word) AS near FROM g JOIN e ON e.a = g.word JOIN w ON w.word = e.b AND w.n = g.most GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT w.word, CASE WHEN most >= 5 * w.n THEN b.near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)),
+z AS (SELECT word, word AS at FROM w UNION ALL SELECT z.word, f.form FROM z JOIN f ON f.word = z.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, z.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN z USING (word) JOIN f l ON l.word = z.at WHERE l.form IS NULL
+""",
     "op8_mixing": """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
