@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from tessera.llm import kernel
 #: Bound of the labelled sample that training takes, of each label, and of the words it may hold.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 10 << 20
+#: Pieces in which a text too long for that bound is learnt from.
+PIECES = 16
 #: Features that fewer sampled windows hold are left at 0, as they could only be memorised.
 LEAST_TEXTS = 4
 #: Hash rows of the embedding table, its width, and the character n-grams of a word besides itself.
@@ -181,9 +184,19 @@ def learns(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1
 
 
+def level(sizes: np.ndarray, total: int) -> int:
+    """The size to which the largest come down so that all add up to ``total`` at most."""
+    ordered = np.sort(sizes)
+    left = total - (np.cumsum(ordered) - ordered)  # for each and all larger ones
+    return max(1, int((left // np.arange(len(sizes), 0, -1))[ordered * np.arange(len(sizes), 0, -1) > left].min(initial=total)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``sample_rows`` labelled texts of each label (those whose hashed ids are
-    smallest), and at most ``SAMPLE_BYTES`` of text.  Rows with a null label, text or id teach nothing."""
+    smallest), and at most about ``SAMPLE_BYTES`` of text.  Where these texts are longer together, the
+    longest are learnt from in part, ``PIECES`` pieces spread evenly over each, of one total length for
+    all of them, so no text keeps others out.  Rows with a null label, text or id teach nothing; a warning
+    says so if nothing is left to learn from, as every score is then the same."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learns(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     picked = None
     for y in (0, 1):
@@ -191,13 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         picked = some if picked is None else picked.unionAll(some)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("x"))
     both = texts.join(F.broadcast(picked), "k")  # at most 2 * sample_rows ids
-    size = F.octet_length("x").cast("long")
-    chosen = both.select("k", "y", size.alias("n")).orderBy(F.xxhash64("k"), "k", "n").limit(2 * sample_rows).toArrow()
+    chosen = both.select("k", F.octet_length("x").cast("long").alias("n")).orderBy(F.xxhash64("k"), "k", "n").limit(2 * sample_rows).toArrow()
     n = np.asarray(chosen["n"].combine_chunks() if chosen.num_rows else [], np.int64)
+    if not len(n):
+        warnings.warn("no labelled text to learn toxicity from: every score is the same", stacklevel=2)
     if n.sum() > SAMPLE_BYTES:
-        keep = chosen.slice(0, int(np.searchsorted(np.cumsum(n), SAMPLE_BYTES, "right")))
-        ids = docs.sparkSession.createDataFrame(keep.select(["k", "y"]).to_pandas(), picked.schema)
-        both = texts.join(F.broadcast(ids), "k")
+        most = level(n, SAMPLE_BYTES)
+        chars = F.floor(F.lit(float(most)) / PIECES * F.length("x") / F.octet_length("x")).cast("int")
+        start = lambda i: (i * (F.length("x") - chars) / (PIECES - 1)).cast("int") + 1
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("x"), start(i), chars))
+        both = both.withColumn("x", F.when(F.octet_length("x") > most, F.array_join(pieces, " ")).otherwise(F.col("x")))
     rows = both.select("k", "y", "x").limit(2 * sample_rows).toArrow()
     rows = rows.sort_by([("k", "ascending"), ("x", "ascending")])
     labels, texts = np.asarray(rows["y"].combine_chunks() if rows.num_rows else [], np.float64), rows["x"].to_pylist()
@@ -211,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """``keep`` columns (the id by default) with score (0 to 1) and predicted (1 from ``threshold``).
 
-    A text scores as its most toxic window, so a long clean part hides nothing.  A null or empty text, or one of no words, gets the model's constant.
+    A text scores as its most toxic window, so a long clean part hides nothing.  A null or empty text, or one of no words, gets the model's constant; repeated rows
+    and equal texts score alike.
     """
     keep = keep or [id_col]
     place_of_text = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
@@ -258,7 +275,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """The rows and columns of ``docs`` that score below ``threshold``."""
+    """The rows and columns of ``docs`` that score below ``threshold``; repeated rows stay or go together,
+    and columns may bear any names."""
     model = fit(docs, labels, id_col, text_col, label_col)
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # so that no column clashes with the score's
