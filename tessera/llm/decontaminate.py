@@ -242,11 +242,12 @@ def _pass(docs: DataFrame, items: Items, id_col: str, text_col: str, threshold:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark item is found.  A found leak takes all rows of
     its id with it; rows with a null id stay."""
-    found = leaks(docs, benchmark, id_col, **limits).select(F.col(id_col).alias("_leak")).where(F.col("_leak").isNotNull()).distinct()
+    name = work.free_name(docs, "_leak")
+    found = leaks(docs, benchmark, id_col, **limits).select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
     found = work.written(found, "leaks")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, F.col(id_col) == F.col("_leak"), "left_anti")
+    return docs.join(found, F.col(id_col) == F.col(name), "left_anti")
 
 
 def rare_pairs(items: Items, often: np.ndarray) -> np.ndarray:

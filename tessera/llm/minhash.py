@@ -319,8 +319,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``docs`` without near-duplicates: of each class the row with the least id stays (rows
     that repeat that id stay as they are).  Rows with a null id or null text all stay."""
     classes = near_duplicates(docs, id_col, text_col, **limits)
-    loose = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_loose")).distinct()
+    name = work.free_name(docs, "_loose")
+    loose = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(name)).distinct()
     loose = work.written(loose, "loose")
     if loose.count() <= LOOSE_ROWS:
         loose = F.broadcast(loose)
-    return docs.join(loose, F.col(id_col) == F.col("_loose"), "left_anti")
+    return docs.join(loose, F.col(id_col) == F.col(name), "left_anti")
