@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import values
 from tessera.functions import arrays, fuzzy, numeric, serial, text
-from tessera.operators import align, benchmark, clean_courses, clean_jobs, embed, enrich, explore, extract, mapping, rules, scope, search
+from tessera.operators import align, benchmark, clean_courses, clean_jobs, clusters, embed, enrich, explore, extract, mapping, patterns, rules, scope, search
 from tessera.registry import ORACLE, QUERIES, Tables, query  # noqa: F401
 from tessera.sources import readers, shared
 from tessera.streaming import families as streaming
@@ -18,8 +19,8 @@ from tessera.streaming import families as streaming
 # ---------------------------------------------------------------- alignment
 
 
-def order_skills(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat_ws(" ", "p_brand", "p_type").alias("skill"))
+def order_skills(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    lines = (t.lineitem if lines is None else lines).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.concat_ws(" ", "p_brand", "p_type").alias("skill"))
     return lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("skill").alias("skills"))
 
 
@@ -41,10 +42,9 @@ def modules(t: Tables) -> DataFrame:
 
 
 def _aligned(t: Tables, digits: int = 3, **how) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    # profiles and modules' skills are read several times in one plan, which Spark does not share by itself
-    m = shared.kept(modules(t))
-    families, theirs = (shared.kept(x) for x in align.family_profiles(postings(t), F.left("code5", F.lit(digits))))
-    mine = shared.kept(align.module_skills(m))
+    m = modules(t)
+    families, theirs = align.family_profiles(postings(t), F.left("code5", F.lit(digits)))
+    mine = align.module_skills(m)
     return m, mine, families, theirs, align.top_matches(m, mine, families, theirs, **how)
 
 
@@ -154,11 +154,25 @@ def programme_rollup(t):
     return align.rollup_counts(modules(t).withColumn("tags", F.array("department", "source")), "tags")
 
 
-@query(_align_sql() + ", b AS (SELECT 'all' AS run, * FROM one UNION ALL SELECT 'non_empty', * FROM one WHERE NOT empty), s AS (SELECT run, CAST(count(*) AS DOUBLE) AS module_count, round(round(avg(s1), 10), 4) AS average_top1_score FROM b GROUP BY 1) SELECT m.measure, m.first, m.second, round(m.second - m.first, 4) AS change FROM (SELECT 'module_count' AS measure, a.module_count AS first, c.module_count AS second FROM s a, s c WHERE a.run = 'all' AND c.run = 'non_empty' UNION ALL SELECT 'average_top1_score', a.average_top1_score, c.average_top1_score FROM s a, s c WHERE a.run = 'all' AND c.run = 'non_empty') m")
+def _run_sql(mine: str) -> str:
+    """The summary of a run whose modules have the skills of ``mine`` (k, skill)."""
+    sql = _align_sql().replace(_SKILLS, f"{_SKILLS}, sk2 AS ({mine})")
+    return sql.replace("FROM mods JOIN sk ON module_id = k", "FROM mods JOIN sk2 ON module_id = k").replace("module_id NOT IN (SELECT k FROM sk) AS empty", "module_id NOT IN (SELECT k FROM sk2) AS empty") + _SUMMARY
+
+
+_BULK = "SELECT DISTINCT l_orderkey AS k, p_brand || ' ' || p_type AS skill FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 25"
+_MEASURES = ("module_count", "empty_modules", "top1_positive_modules", "top1_overlap_modules", "top1_positive_rate", "top1_overlap_rate", "average_top1_score", "average_top1_good_job_pct", "average_top1_quality", "average_top3_pct", "job_group_count")
+
+
+@query(f"WITH a AS ({_run_sql('SELECT * FROM sk')}), b AS ({_run_sql(_BULK)}) " + " UNION ALL ".join(f"SELECT '{m}' AS measure, a.{m}::DOUBLE AS first, b.{m}::DOUBLE AS second, round(b.{m}::DOUBLE - a.{m}::DOUBLE, 4) AS change FROM a, b" for m in _MEASURES))
 def run_comparison(t):
-    metrics, families = _metrics(t)
-    kept = ("module_count", "average_top1_score")
-    return benchmark.compare(align.summary(metrics, families).select(*kept), align.summary(metrics, families, denominator="non_empty").select(*kept))
+    """Two alignments with the same jobs: modules with all their skills, and with those of another
+    extractor, which sees lines of 25 pieces or more only."""
+    m, _, families, theirs, top = _aligned(t)
+    bulk = order_skills(t, t.lineitem.where("l_quantity >= 25"))
+    m2 = m.drop("skills").join(bulk, F.col("module_id") == F.col("k"), "left").drop("k")
+    top2 = align.top_matches(m2, align.module_skills(m2), families, theirs)
+    return benchmark.compare(align.summary(align.module_metrics(m, top), families), align.summary(align.module_metrics(m2, top2), families))
 
 
 # ---------------------------------------------------------------- jobs
@@ -423,14 +437,16 @@ def json_props(t):
 
 # ---------------------------------------------------------------- extraction and mapping
 
-_VOCABULARY = ["the", "that", "with", "tion", "les", "und", "que", "for", "th", "of the"]
+_VOCABULARY = [*values.COURSE_HARD_SKILLS, *values.COURSE_SOFT_SKILLS, "the", "that", "with", "tion", "les", "und", "que", "for", "th", "of the"]
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(text), '[.;:]\\s+|\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS chunk FROM documents),
-v AS (SELECT unnest([""" + ", ".join(f"'{v}'" for v in sorted(_VOCABULARY)) + """]) AS skill), h AS (SELECT doc_id, skill, count(*) AS hits FROM c, v WHERE regexp_matches(chunk, '(^|[^a-z0-9])' || skill || '([^a-z0-9]|$)') GROUP BY 1, 2),
+v AS (SELECT DISTINCT unnest([""" + ", ".join(f"'{v}'" for v in _VOCABULARY) + """]) AS skill), w AS MATERIALIZED (SELECT doc_id, skill FROM documents, v WHERE contains(lower(text), skill)),
+h AS (SELECT doc_id, skill, count(*) AS hits FROM w JOIN c USING (doc_id) WHERE regexp_matches(chunk, '(^|[^a-z0-9])' || regexp_escape(skill) || '([^a-z0-9]|$)') GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, len(string_split(skill, ' ')) DESC, length(skill) DESC, skill) AS rank FROM h) SELECT doc_id, skill, hits, rank FROM r WHERE rank <= 5""")
 def keyword_skills(t):
-    return extract.keyword_hits(t.documents, "doc_id", "text", _VOCABULARY)
+    """The course vocabulary, and words that the texts are full of."""
+    return patterns.keyword_skills(t.documents, "doc_id", "text", t.spark.createDataFrame([(v,) for v in _VOCABULARY], "skill string"))
 
 
 _RULES = [(("the", "that"), ("English",)), (("und", "der"), ("German",)), (("les", "une"), ("French",)), (("los", "que"), ("Spanish", "Romance")), (("que", "les"), ("Romance",))]
@@ -465,41 +481,7 @@ def ngram_candidates(t):
     return out.where(F.size("candidates") > 0).select("doc_id", F.size("candidates").cast("long").alias("n"), F.md5(F.array_join("candidates", "|").cast("binary")).alias("c_md5"))
 
 
-_FRAMEWORK = {"Economy": ("domain", ["ECONOMY", "standard"]), "Brass Work": ("hard", ["brass", "Promo"]), "Regression": ("hard", ["standard"]), "Copper Work": ("tool", ["copper"])}
-_EXCLUDED = ["small"]
-
-
-def framework() -> mapping.Framework:
-    f = mapping.Framework(excluded=list(_EXCLUDED))
-    for skill, (kind, aliases) in _FRAMEWORK.items():
-        f.add(skill, kind, aliases)
-    return f
-
-
 _KEY_SQL = "regexp_replace(trim(regexp_replace(lower(x), '\\s+', ' ', 'g')), '^[^a-z0-9+#/]+|[^a-z0-9+#/]+$', '', 'g')"
-_ALIAS_SQL = ", ".join(f"('{a.lower()}', '{s}', '{k}', {i})" for i, (s, (k, al)) in enumerate(sorted(_FRAMEWORK.items())) for a in [s, *al])
-
-
-def _map_sql(excluded: bool) -> str:
-    out = "m.x IN ('small')" if excluded else "false"
-    return f"""WITH p AS (SELECT DISTINCT {_KEY_SQL} AS x FROM (SELECT unnest(string_split(p_name || ' ' || p_type || ' !!', ' ')) AS x FROM part)),
-a AS (SELECT * FROM (VALUES {_ALIAS_SQL}) AS v(alias, skill, kind, o)), e AS (SELECT alias, max_by(skill, o) AS skill, max_by(kind, o) AS kind FROM a GROUP BY 1), m AS (SELECT p.x, e.skill, e.kind FROM p LEFT JOIN e ON p.x = e.alias)
-SELECT x AS key, CASE WHEN x = '' OR {out} THEN '' ELSE coalesce(skill, x) END AS canonical_skill, CASE WHEN x = '' OR skill IS NULL OR {out} THEN '' ELSE kind END AS skill_type,
-CASE WHEN x = '' THEN 'empty' WHEN {out} THEN 'excluded' WHEN skill IS NOT NULL THEN 'exact' ELSE 'unmapped' END AS match_type, CASE WHEN x = '' THEN 0.0 WHEN {out} OR skill IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM m"""
-
-
-def _phrases(t: Tables) -> DataFrame:
-    return t.part.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", F.lit("!!")), " ")).alias("phrase"))
-
-
-@query(_map_sql(True))
-def alias_map_exact(t):
-    return mapping.map_phrases(_phrases(t), *framework().tables(t.spark))
-
-
-@query(_map_sql(False))
-def alias_map_batch(t):
-    return mapping.map_phrases(_phrases(t), *framework().tables(t.spark), exclusion="batch_compat")
 
 
 @query("""WITH p AS (SELECT DISTINCT lower(unnest([p_type, p_brand, split_part(p_name, ' ', 1)])) AS key FROM part),
@@ -517,11 +499,6 @@ def alias_collision(t):
     return mapped.join(n, F.col("key") == F.col("alias")).select("key", "canonical_skill", "n_skills")
 
 
-@query()
-def semantic_map(t):
-    return mapping.map_phrases(_phrases(t), *framework().tables(t.spark), embedder=embed.HashingEmbedder(), threshold=0.3)
-
-
 @query("SELECT p_type AS skill, count(*) AS cnt FROM part GROUP BY 1 ORDER BY cnt DESC, skill LIMIT 4")
 def frequent_vocabulary(t):
     return mapping.frequent_vocabulary(t.part.select(F.array("p_type").alias("skills")), n=4)
@@ -580,7 +557,7 @@ def mmr_phrases(t):
 @query()
 def phrase_clusters(t):
     seeds = t.part.groupBy(F.col("p_name").alias("phrase")).agg(F.count("*").alias("freq"))
-    return extract.phrase_clusters(embed.embed(seeds, "phrase", embed.HashingEmbedder()), "phrase", "freq", "vector")
+    return clusters.phrase_clusters(embed.vectors(seeds, "phrase", embed.HashingEmbedder()), "phrase", "freq", "v")
 
 
 # ---------------------------------------------------------------- scope

@@ -5,7 +5,6 @@ Sources and sinks write files made of the test tables into the shared folder and
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tessera.catalog import _NORM, _SEARCH_SQL, _TOK, _found, _jobs, postings
 from tessera.functions import arrays, fuzzy, numeric, text
 from tessera.operators import align, benchmark, clean_courses, embed, explore, extract, rules, scope, search
 from tessera.registry import Tables, query
-from tessera.sources import charts, readers, shared, writers
+from tessera.sources import charts, paged, readers, shared, writers
 
 
 def pick(values: list, key: str):
@@ -31,22 +30,34 @@ def listed(values: list[str]) -> str:
 
 @query("SELECT r_regionkey, r_name FROM region")
 def single_document(t):
-    rows = [r.asDict() for r in t.region.collect()]  # what a server would send: one small document
-    return readers.json_document(t.spark, shared.new_path(t.spark, "document"), "r_regionkey int, r_name string", lambda: json.dumps(rows))
+    """The table as one JSON document, read back."""
+    path = shared.new_path(t.spark, "document")
+    writers.document_file(t.region, path)
+    return readers.json_document(t.spark, path, "r_regionkey int, r_name string")
 
 
-@query("SELECT n_regionkey AS code, min(n_nationkey) AS first FROM nation GROUP BY 1")
+def _bodies(rows: DataFrame, page, order: str, whole: str = "{0}") -> DataFrame:
+    """(page, body): the rows of each page as a server would send them, made in Spark."""
+    records = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*rows.columns).alias("r"))))
+    out = rows.groupBy(page.alias("page")).agg(F.to_json(F.transform(records, lambda x: x["r"])).alias("records"))
+    return out.select("page", F.format_string(whole.replace("{0}", "%s"), "records").alias("body"))
+
+
+@query("SELECT c_nationkey AS code, min(c_custkey) AS first FROM customer GROUP BY 1")
 def paged_records(t):
-    """Pages of ten nations; the first of each region stays."""
-    rows = [{"code": r.n_regionkey, "first": r.n_nationkey} for r in t.nation.orderBy("n_nationkey").collect()]
-    page = lambda p: {"results": rows[10 * p - 10 : 10 * p], "next": 10 * p < len(rows)}
-    return t.spark.createDataFrame(readers.paged(page), "code int, first int")
+    """Pages of a hundred customers, the last of which says that none follows; the first of each nation stays."""
+    rows = t.customer.select(F.col("c_nationkey").cast("int").alias("code"), F.col("c_custkey").alias("first"))
+    pages = _bodies(rows, (F.floor(F.col("first") / 100) + 1).cast("bigint"), "first")
+    last = pages.agg(F.max("page").alias("last"))
+    pages = pages.crossJoin(F.broadcast(last)).select("page", F.concat(F.lit('{"results": '), "body", F.lit(', "next": '), (F.col("page") < F.col("last")).cast("string"), F.lit("}")).alias("body"))
+    return paged.listed_records(pages, "code int, first bigint")
 
 
-@query("SELECT r_regionkey AS code FROM region")
+@query("SELECT p_brand AS code, min(p_partkey) AS first FROM part WHERE p_partkey < (SELECT min(k) * 10 FROM (SELECT range AS k FROM range(1000000)) WHERE k NOT IN (SELECT p_partkey // 10 FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_brand))) GROUP BY 1")
 def pages_until_known(t):
-    rows = [{"code": r.r_regionkey} for r in t.region.orderBy("r_regionkey").collect()]
-    return t.spark.createDataFrame(readers.until_known(lambda p: rows[:p]), "code int")
+    """Pages of ten parts; reading ends with the first page that has no new brand."""
+    rows = t.part.select(F.col("p_brand").alias("code"), F.col("p_partkey").alias("first"))
+    return paged.records_until_known(_bodies(rows, (F.floor(F.col("first") / 10) + 1).cast("bigint"), "first"), "code string, first bigint")
 
 
 def _fetched(url: str) -> str:
@@ -171,8 +182,9 @@ def json_lines_written(t):
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
 def document_written(t):
     rows = t.nation.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: s["n_name"]).alias("names"))
-    got = json.loads(writers.document(rows))
-    return t.spark.createDataFrame([(r["n_regionkey"], ",".join(r["names"])) for r in got], "n_regionkey int, names string")
+    path = shared.new_path(t.spark, "document")
+    writers.document_file(rows, path)
+    return readers.json_document(t.spark, path, "n_regionkey int, names array<string>").select("n_regionkey", F.array_join("names", ",").alias("names"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
@@ -465,16 +477,6 @@ def scope_earlier_values(t):
     return rows.select("doc_id", bucket.alias("scope_bucket"), reason.alias("scope_reason"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, lower({listed(_TOPICS)}[CAST(doc_id % 9 AS INT) + 1] || CASE WHEN lang = 'de' THEN ', risk and brand; solar pv' ELSE '' END) AS t FROM documents),
-r AS (SELECT * FROM (VALUES (1, 'linear algebra|matrix algebra', 'Linear Algebra'), (2, 'probability theory|probability|stochastic', 'Probability'), (6, 'econometrics|regression|time series', 'Econometrics'), (7, 'econometrics|regression|time series', 'Regression Analysis'), (8, 'statistical inference|hypothesis testing|statistics|statistical', 'Statistical Analysis'), (9, 'data analysis|data analyses|analytical approach|analytics', 'Data Analysis'), (12, 'programming language|programming|coding', 'Programming'), (13, 'python', 'Python'),
-  (15, 'algorithm|algorithms', 'Algorithm Design'), (17, 'sql', 'SQL'), (21, 'financial stability|risk', 'Risk Analysis'), (28, 'solar photovoltaic|solar pv|solar cells', 'Solar PV'), (63, 'brand management|strong brand|brand', 'Brand Management')) AS v(i, p, skill))
-SELECT doc_id, coalesce((SELECT string_agg(skill, ',' ORDER BY i) FROM r WHERE regexp_matches(t, '(^|[^a-z0-9_])(' || p || ')([^a-z0-9_]|$)')), '') AS skills FROM t""")
-def module_rule_skills(t):
-    """The 70 rules over texts that speak of some of their topics; the SQL has the rules that can fire."""
-    body = F.concat(pick(_TOPICS, "doc_id"), F.when(F.col("lang") == "de", ", risk and brand; solar pv").otherwise(""))
-    return t.documents.select("doc_id", F.array_join(extract.rule_hits(body), ",").alias("skills"))
-
-
 # ---------------------------------------------------------------- search
 
 

@@ -26,9 +26,67 @@ def greedy_distinct(values: list[str], threshold: float = 0.8) -> list[str]:
     return kept
 
 
+def _letters(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts): how often each of 64 classes of characters stands in each value."""
+    size = np.array([len(v) for v in values], np.int64)
+    codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    row = np.repeat(np.arange(len(values)), size)
+    return size, np.bincount(row * 64 + codes, minlength=64 * len(values)).reshape(-1, 64).astype(np.int32)
+
+
+def distinct_lists(lists: list[list[str]], threshold: float = 0.8, most_pairs: int = 1 << 17) -> tuple[list[list[str]], int]:
+    """``greedy_distinct`` of each list, and how many pairs of values were really compared.
+
+    Two values' similarity is at most 2 * common / total of their characters, whatever their order, and
+    counting classes of characters only makes that bound larger.  The bounds of a whole batch's pairs are
+    computed at once; the few that pass the threshold are compared, equal pairs of values once.
+    """
+    names: dict[str, int] = {}
+    coded = [[names.setdefault(v, len(names)) for v in values] for values in lists]
+    texts = list(names)
+    size, counts = _letters(texts)
+    alike: dict[tuple[int, int], bool] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    room = most_pairs
+
+    def settle() -> None:
+        later, earlier = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        pair = np.unique(later * len(texts) + earlier)
+        for low in range(0, len(pair), most_pairs):
+            later, earlier = pair[low : low + most_pairs] // len(texts), pair[low : low + most_pairs] % len(texts)
+            common = np.minimum(counts[later], counts[earlier]).sum(axis=1)
+            total = size[later] + size[earlier]  # two empty values are equal
+            near = (2.0 * common / np.maximum(1, total) > threshold - 1e-12) | (total == 0)
+            for a, b in zip(later[near].tolist(), earlier[near].tolist()):
+                if (a, b) not in alike:
+                    alike[a, b] = a == b or ratio(texts[a], texts[b]) > threshold
+        held.clear()
+
+    for ids in coded:
+        at = np.array(ids, np.int64)
+        step = max(1, most_pairs // max(1, len(at)))
+        for low in range(0, len(at), step):  # pairs of a long list in parts
+            j, i = np.nonzero(np.arange(low, min(low + step, len(at)))[:, None] > np.arange(len(at))[None, :])
+            held.append((at[low + j], at[i]))
+            room -= len(j)
+            if room <= 0:
+                settle()
+                room = most_pairs
+    settle()
+    out = []
+    for ids in coded:
+        kept: list[int] = []
+        for a in ids:
+            if not any(alike.get((a, b), False) for b in kept):
+                kept.append(a)
+        out.append([texts[a] for a in kept])
+    return out, sum(a != b for a, b in alike)
+
+
 def near_distinct(lists: Column | str) -> Column:
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: [] if v is None else greedy_distinct([w for w in v if w is not None]))
+        found, _ = distinct_lists([[] if v is None else [w for w in v if w is not None] for v in x])
+        return pd.Series(found, index=x.index, dtype=object)
 
     return F.pandas_udf(run, "array<string>")(lists)
 
@@ -102,30 +160,3 @@ def mmr(query: np.ndarray, candidates: np.ndarray, k: int, diversity: float = 0.
         picked.append(int(np.argmax(score)))
         near = np.maximum(near, candidates @ candidates[picked[-1]])
     return picked
-
-
-def clusters(vectors: np.ndarray, limit: float = 0.32) -> np.ndarray:
-    """Agglomerative clustering by average cosine distance: the closest two clusters merge until none
-    are within ``limit``.  For the few hundred phrases that rules are made of."""
-    n = len(vectors)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norm > 0, norm, 1)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
-    while True:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > limit or not np.isfinite(d[i, j]):
-            return np.unique(label, return_inverse=True)[1]
-        i, j = min(i, j), max(i, j)
-        merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        merged[~alive] = np.inf
-        d[i, :] = d[:, i] = merged
-        d[i, i] = np.inf
-        d[j, :] = d[:, j] = np.inf
-        alive[j] = False
-        size[i] += size[j]
-        label[label == label[j]] = label[i]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,4 +155,10 @@ def grams(words: Text, n: int) -> Column:
 
 def ngrams(words: Text, low: int = 1, high: int = 3) -> Column:
     """Distinct n-grams of an array of words, sorted; they bridge words removed before."""
-    return F.sort_array(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in range(low, high + 1)]))))
+    from tessera.functions.grams import distinct_ngrams
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return distinct_ngrams(lists, low, high)
+
+    return run(col(words))

@@ -1,9 +1,9 @@
 """Alignment of modules with job families in skill space.
 
-Families and modules are long tables of weighted skills.  Scores are computed for pairs that share a
-skill, by one equi-join on skill and one aggregation; pairs that share none score exactly 0 and only
-fill up a module's list of matches, so they are drawn from the families' own ranking, never from a
-cross product.
+Families and modules are long tables of weighted skills.  The best families of a module are found among
+those that bounds cannot rule out (``candidate_pairs``), and only these are scored, by an equi-join on
+family and skill; pairs that share no skill score exactly 0 and only fill up a module's list of matches,
+so they are drawn from the families' own ranking, never from a cross product.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clamp, ratio
-from tessera.sources import shared
 
 
 @dataclass(frozen=True)
@@ -37,6 +36,8 @@ class Weights:
         return clamp(total) if self.clamped else total
 
 
+#: How many times longer a skill's list of families gets for those of which it is a top skill.
+MORE = 4
 #: Weights of the earlier scorer, which took 20 skills of a family and listed 10 matches.
 LEGACY = Weights(0.35, 0.35, 0.30, gain=0.0, loss=0.20, clamped=False)
 
@@ -74,6 +75,37 @@ def module_skills(modules: DataFrame, key: str = "module_id", skills: str = "ski
     return weighted(modules.select(key, F.explode(skills).alias("skill")).groupBy(key, "skill").agg(F.count("*").alias("cnt")), key)
 
 
+def _sums(k: int) -> dict[str, Column]:
+    """What the scores of a pair are made of, as sums over shared skills."""
+    top = F.col("rk") <= k
+    return {
+        "overlap_count": F.count("*"),
+        "common": F.sum(F.least("mw", "fw")),
+        "dot": F.sum(F.col("mw") * F.col("fw")),
+        "hits": F.sum(F.when(top, 1).otherwise(0)),
+        "hit_cnt": F.sum(F.when(top, F.col("cnt")).otherwise(0)),
+        **{c: F.first(c) for c in ("m_norm", "f_norm", "top_n", "top_cnt")},
+    }
+
+
+def _measures(weights: Weights) -> dict[str, Column]:
+    coverage = F.col("hits") / F.col("top_n")
+    jaccard = F.col("common") / (2 - F.col("common"))  # both sides' weights sum to 1
+    cosine = F.col("dot") / F.sqrt(F.col("m_norm") * F.col("f_norm"))
+    gap = 1 - F.col("hit_cnt") / F.col("top_cnt")
+    return {"coverage": coverage, "jaccard": jaccard, "cosine": cosine, "gap": gap, "score": weights.score(coverage, jaccard, cosine, gap)}
+
+
+def _module_side(mine: DataFrame, key: str) -> DataFrame:
+    norm = mine.groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("m_norm"))
+    return mine.join(norm, key).select(key, "skill", F.col("w").alias("mw"), "m_norm")
+
+
+def _family_side(theirs: DataFrame, k: int, also: list[str]) -> DataFrame:
+    top = theirs.groupBy("code").agg(F.sum(F.col("w") * F.col("w")).alias("f_norm"), F.least(F.count("*"), F.lit(k)).alias("top_n"), F.sum(F.when(F.col("rk") <= k, F.col("cnt"))).alias("top_cnt"))
+    return theirs.join(top, "code").select("code", "skill", *also, F.col("w").alias("fw"), "cnt", "rk", "f_norm", "top_n", "top_cnt")
+
+
 def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, weights: Weights = Weights(), inside: DataFrame | None = None, within: str | None = None, lists: bool = False) -> DataFrame:
     """Scores, unrounded, of the pairs that share a skill: coverage of the family's k top skills,
     weighted Jaccard, cosine, gap and the combined score.
@@ -81,30 +113,79 @@ def pair_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: i
     ``inside`` (key, within) restricts the pairs to those of which ``theirs`` has the same ``within``;
     it is part of the join's key, so other pairs are never made.  ``lists`` adds the shared skills.
     """
-    norm = lambda d, by, name: d.groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias(name))
-    left = mine.join(norm(mine, key, "m_norm"), key).select(key, "skill", F.col("w").alias("mw"), "m_norm")
-    top = theirs.groupBy("code").agg(F.sum(F.col("w") * F.col("w")).alias("f_norm"), F.least(F.count("*"), F.lit(k)).alias("top_n"), F.sum(F.when(F.col("rk") <= k, F.col("cnt"))).alias("top_cnt"))
     also = [within] if within else []
-    right = theirs.join(top, "code").select("code", "skill", *also, F.col("w").alias("fw"), "cnt", "rk", "f_norm", "top_n", "top_cnt")
+    left, right = _module_side(mine, key), _family_side(theirs, k, also)
     if inside is not None:
         left = left.join(inside, key)
-    pairs = left.join(right, ["skill", *also]).groupBy(key, *also, "code").agg(
-        F.count("*").alias("overlap_count"),
-        *([F.array_sort(F.collect_list("skill")).alias("overlap")] if lists else []),
-        F.sum(F.least("mw", "fw")).alias("common"),
-        F.sum(F.col("mw") * F.col("fw")).alias("dot"),
-        F.sum(F.when(F.col("rk") <= k, 1).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("rk") <= k, F.col("cnt")).otherwise(0)).alias("hit_cnt"),
-        F.first("m_norm").alias("m_norm"),
-        F.first("f_norm").alias("f_norm"),
-        F.first("top_n").alias("top_n"),
-        F.first("top_cnt").alias("top_cnt"),
-    )
-    coverage = F.col("hits") / F.col("top_n")
-    jaccard = F.col("common") / (2 - F.col("common"))  # both sides' weights sum to 1
-    cosine = F.col("dot") / F.sqrt(F.col("m_norm") * F.col("f_norm"))
-    gap = 1 - F.col("hit_cnt") / F.col("top_cnt")
-    return pairs.select(key, *also, "code", "overlap_count", *(["overlap"] if lists else []), coverage.alias("coverage"), jaccard.alias("jaccard"), cosine.alias("cosine"), gap.alias("gap"), weights.score(coverage, jaccard, cosine, gap).alias("score"))
+    shared = {"overlap": F.array_sort(F.collect_list("skill"))} if lists else {}
+    pairs = left.join(right, ["skill", *also]).groupBy(key, *also, "code").agg(*[c.alias(n) for n, c in (_sums(k) | shared).items()])
+    return pairs.select(key, *also, "code", "overlap_count", *shared, *[c.alias(n) for n, c in _measures(weights).items()])
+
+
+def candidate_pairs(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights(), head: int = 16, salts: int = 8) -> DataFrame:
+    """(key, codes): families among which each module's n best are; null codes mean any family.
+
+    Every term of a score grows with each shared skill.  Only the ``head`` families in which a skill counts
+    most (``MORE`` times as many, if it is one of their top skills) are joined with the modules that have
+    it; what any other family could add through the skill is
+    bounded by the greatest values behind the head.  The n-th best score by heads alone is a score that n
+    families reach at least; families whose bound stays below it, in the 4 places that matches are ranked
+    by, cannot be among the n best.  If even a family in no head could reach it, or fewer than n
+    families are known, all stay.  A skill's head is dealt over ``salts`` keys, so of the modules with
+    a hot skill one task joins no more than their share; a module's row never holds more than ``MORE *
+    head`` families for each of its skills.
+    """
+    right = _family_side(theirs, k, [])
+    gain, hit = weights.gain + weights.loss, F.when(F.col("rk") <= k, 1).otherwise(0)
+    covers, fills = hit / F.col("top_n"), hit * F.col("cnt") / F.col("top_cnt")
+    angle = F.col("fw") / F.sqrt("f_norm")
+    impact = covers * weights.coverage + fills * gain + F.col("fw") * weights.jaccard + angle * weights.cosine
+    place = F.row_number().over(Window.partitionBy("skill").orderBy(impact.desc(), "code"))
+    ahead = (F.col("place") <= head) | ((F.col("covers") > 0) & (F.col("place") <= MORE * head))
+    placed = right.select("code", "skill", "fw", covers.alias("covers"), fills.alias("fills"), angle.alias("angle"), place.alias("place")).withColumn("ahead", ahead)
+    behind = lambda c: F.max(F.when(F.col("ahead"), 0.0).otherwise(F.col(c)))
+    first = F.collect_list(F.when(F.col("ahead"), F.struct("code", "fw", "covers", "fills", "angle")))
+    heads = placed.groupBy("skill").agg(first.alias("first"), *[behind(c).alias(f"r_{c}") for c in ("fw", "covers", "fills", "angle")])
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def worth(covers: Column, fills: Column, fw: Column, angle: Column) -> Column:
+        """What one shared skill adds at most: a Jaccard of s / (2 - s) is never above s."""
+        return covers * weights.coverage + fills * gain + F.least(F.col("mw"), fw) * weights.jaccard + F.col("mw") / F.sqrt("m_norm") * angle * weights.cosine
+
+    left = _module_side(mine, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    rest = worth(F.col("r_covers"), F.col("r_fills"), F.col("r_fw"), F.col("r_angle"))
+    joined = left.join(heads, ["skill", "salt"]).select(key, "mw", "m_norm", rest.alias("rest"), "first")
+    # a row of its own (no code) carries the bound of a family that is in no head
+    rows = joined.select(key, "mw", "m_norm", "rest", F.explode(F.array_append("first", F.lit(None).cast(heads.schema["first"].dataType.elementType))).alias("f")).select(key, "mw", "m_norm", "rest", "f.*")
+    more = worth(F.col("covers"), F.col("fills"), F.col("fw"), F.col("angle"))
+    nil = F.lit(0.0)
+    known = rows.groupBy(key, "code").agg(
+        F.sum(F.coalesce("covers", nil)).alias("covers"), F.sum(F.coalesce("fills", nil)).alias("fills"), F.sum(F.coalesce(F.least("mw", "fw"), nil)).alias("common"),
+        F.sum(F.coalesce(F.col("mw") / F.sqrt("m_norm") * F.col("angle"), nil)).alias("cosine"), F.sum(F.coalesce(more, nil)).alias("most"), F.sum("rest").alias("rest"),
+    )
+    least = F.col("covers") * weights.coverage + F.col("fills") * gain + F.col("common") / (2 - F.col("common")) * weights.jaccard + F.col("cosine") * weights.cosine
+    listed = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", least.alias("least"), (F.col("most") - F.col("rest")).alias("most"))))
+    per = known.groupBy(key).agg(listed.alias("listed"), F.max(F.when(F.col("code").isNull(), F.col("rest"))).alias("rest"))
+    nth = F.when(F.size("listed") >= n, F.element_at(F.sort_array(F.transform("listed", lambda x: x["least"]), asc=False), n))
+    # sums in another order may differ in their last bits, and matches are ranked by 4 places
+    bar = nth - 1e-4
+    codes = F.transform(F.filter("listed", lambda x: x["most"] + F.col("rest") >= bar), lambda x: x["code"])
+    return per.select(key, F.when(F.col("rest") < bar, codes).alias("codes"))
+
+
+def top_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights(), head: int = 16, salts: int = 8) -> DataFrame:
+    """``pair_scores`` with the shared skills (``overlap``) of pairs among which are the n best of every
+    module: those of ``candidate_pairs``."""
+    found = candidate_pairs(mine, theirs, key, k, n, weights, head, salts)
+    # a list of all families (a thousand at most) where none can be ruled out
+    everything = theirs.agg(F.collect_set("code").alias("all"))
+    pairs = found.crossJoin(F.broadcast(everything)).select(key, F.explode(F.coalesce("codes", "all")).alias("code"))
+    deal = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    left = _module_side(mine, key).join(pairs, key).withColumn("salt", deal)
+    right = _family_side(theirs, k, []).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sums = [c.alias(name) for name, c in _sums(k).items()]
+    out = left.join(right, ["code", "skill", "salt"]).groupBy(key, "code").agg(*sums, F.array_sort(F.collect_list("skill")).alias("overlap"))
+    return out.select(key, "code", "overlap_count", "overlap", *[c.alias(name) for name, c in _measures(weights).items()])
 
 
 def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights()) -> DataFrame:
@@ -114,16 +195,12 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     below that), as every family does for a module without skills; such families follow by job count
     and code.
     """
-    scored = pair_scores(mine, theirs, key, k, weights)
-    scored = scored.select(key, "code", "overlap_count", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
+    scored = top_scores(mine, theirs, key, k, n, weights)
+    scored = scored.select(key, "code", "overlap_count", "overlap", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), "code")
     columns = ["code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
-    best = scored.join(families, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    # shared skills are listed for the matches only, not for every pair that was scored; as the matches are
-    # read twice, and Spark would score all pairs again for the second time, they are kept
-    best = shared.kept(best)
-    common = best.select(key, "code").join(mine.select(key, "skill"), key).join(theirs.select("code", "skill"), ["code", "skill"]).groupBy(key, "code").agg(F.array_sort(F.collect_list("skill")).alias("overlap"))
-    best = best.join(common, [key, "code"])
+    # families are a thousand at most
+    best = scored.join(F.broadcast(families), "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     matched = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("m")))), lambda s: s["m"]).alias("m"))
 
     # what is missing to n comes from the largest families; n - 1 of them at most are matched already

@@ -11,6 +11,7 @@ from tessera.functions import text
 from tessera.functions.arrays import by_position, by_priority, sorted_set
 from tessera.functions.fuzzy import near_distinct
 from tessera.functions.numeric import hourly_to_weekly, mean_of
+from tessera.operators.quantiles import quantiles
 
 # What marks internships and postgraduate posts, and the types of contract and work.
 INTERN = "\\bintern(?:ship)?s?\\b"
@@ -64,11 +65,14 @@ def scaled_salaries(jobs: DataFrame, low: str = "salary_minimum", high: str = "s
 
 def outliers_to_median(rows: DataFrame, value: str, group: str, least_rows: int = 10, reach: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """In groups of ``least_rows`` or more, values outside the quartiles by ``reach`` ranges become the
-    group's median, and so do nulls.  Quartiles are aggregated once per group and joined back rather than
-    computed over every row's window.  They are exact, for which a group's distinct values must fit one
-    task; with ``accuracy`` they are approximate, from sketches of bounded size."""
-    q = (lambda p: F.percentile(value, F.lit(p))) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
-    stats = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), q(0.25).alias("_q1"), q(0.75).alias("_q3"), q(0.5).alias("_m"))
+    group's median, and so do nulls.  Quartiles are computed once per group and joined back rather than
+    over every row's window.  They are exact and no task holds a large group (``quantiles``); with
+    ``accuracy`` they are approximate, from sketches of bounded size."""
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), *([] if accuracy is None else [F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("q")]))
+    if accuracy is None:
+        found = quantiles(rows, group, value, (0.25, 0.5, 0.75)).select("g", "q")
+        sizes = sizes.join(found, F.col("_g").eqNullSafe(F.col("g")), "left")
+    stats = sizes.select("_g", "_n", F.get("q", F.lit(0)).alias("_q1"), F.get("q", F.lit(1)).alias("_m"), F.get("q", F.lit(2)).alias("_q3"))
     both = rows.join(stats, F.col(group).eqNullSafe(F.col("_g")))
     span = (F.col("_q3") - F.col("_q1")) * reach
     inside = F.coalesce(F.col(value).between(F.col("_q1") - span, F.col("_q3") + span), F.lit(False))
@@ -81,9 +85,9 @@ def impute_work_type(rows: DataFrame, work: str, pay: str, group: str) -> DataFr
     part time by pay against the middle of the two medians, else unknown."""
     known = rows.where(F.col(work) != "Unknown")
     modes = known.groupBy(F.col(group).alias("_g")).agg(F.mode(work, True).alias("_mode"))
-    median = known.agg(F.median(F.when(F.col(work) == "Full Time", F.col(pay))).alias("ft"), F.median(F.when(F.col(work) == "Part Time", F.col(pay))).alias("pt"))
-    overall = rows.agg(F.median(pay).alias("all"))
-    cut = median.crossJoin(overall).select(F.coalesce((F.col("ft") + F.col("pt")) / 2, "all").alias("_cut"))
+    median = lambda part: quantiles(part, None, pay, (0.5,)).agg(F.max(F.get("q", F.lit(0))).alias("m"))
+    full, part, every = (median(x).withColumnRenamed("m", name) for x, name in ((known.where(F.col(work) == "Full Time"), "ft"), (known.where(F.col(work) == "Part Time"), "pt"), (rows, "all")))
+    cut = full.crossJoin(part).crossJoin(every).select(F.coalesce((F.col("ft") + F.col("pt")) / 2, "all").alias("_cut"))
     guess = F.coalesce("_mode", F.when(F.col(pay) >= F.col("_cut"), "Full Time").when(F.col(pay) < F.col("_cut"), "Part Time"), F.lit("Unknown"))
     both = rows.join(modes, F.col(group) == F.col("_g"), "left").crossJoin(F.broadcast(cut))
     return both.select(*[F.when(F.col(work) == "Unknown", guess).otherwise(F.col(work)).alias(c) if c == work else F.col(c) for c in rows.columns])
@@ -94,7 +98,8 @@ def job_score(rows: DataFrame, pay: str = "avg_salary", flexible: str = "has_fle
     The terms are not normalised first, so pay outweighs the rest."""
     score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in zip((flexible, permanent, vacancies), weights[1:])), F.col(pay) * weights[0])
     out = rows.withColumn("job_score", score)
-    span = out.agg(F.min("job_score").alias("_lo"), F.max("job_score").alias("_hi"), F.percentile("job_score", F.lit(quantile)).alias("_q"))
+    at = quantiles(out, None, "job_score", (quantile,)).agg(F.max(F.get("q", F.lit(0))).alias("_q"))
+    span = out.agg(F.min("job_score").alias("_lo"), F.max("job_score").alias("_hi")).crossJoin(at)
     both = out.crossJoin(F.broadcast(span))
     normal = (F.col("job_score") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return both.withColumn("job_score_normal", normal).withColumn("is_good_job", F.coalesce((F.col("job_score") >= F.col("_q")).cast("int"), F.lit(0))).drop("_lo", "_hi", "_q")

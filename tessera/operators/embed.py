@@ -7,11 +7,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Targets in one broadcast matrix; larger tables are worked off in blocks of this many.
-TARGET_BLOCK = 50_000
+#: Targets in one matrix; larger tables are dealt into blocks of about this many.  Texts embedded at once.
+TARGET_BLOCK, EMBED_ROWS = 50_000, 2048
 
 
 #: CRC-32 (that of zlib) of each byte.
@@ -81,32 +82,83 @@ def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector")
     return rows.withColumn(name, run(text))
 
 
+def vectors(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
+    """``rows`` with ``v``: each text's vector as packed 32-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(low, EMBED_ROWS)
+                made = np.ascontiguousarray(embedder([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]), np.float32)
+                yield part.append_column("v", pa.array([v.tobytes() for v in made], pa.binary()))
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", v binary")
+
+
+def matrix(packed: pa.Array) -> np.ndarray:
+    """Packed vectors as rows."""
+    if not len(packed):
+        return np.zeros((0, 0), np.float32)
+    return np.frombuffer(b"".join(packed.to_pylist()), np.float32).reshape(len(packed), -1)
+
+
+def _best(mine: np.ndarray, theirs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, target, score) of each row's k most similar targets; of equals the first."""
+    scores = mine @ theirs.T
+    k = min(k, len(theirs))
+    best = np.argmax(scores, axis=1)[:, None] if k == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(mine)), k), best.ravel(), np.take_along_axis(scores, best, 1).ravel().astype(np.float64)
+
+
 def nearest(phrases: DataFrame, targets: DataFrame, embedder: Embedder, phrase: str, target: str, label: str, k: int = 1, block: int = TARGET_BLOCK) -> DataFrame:
-    """(phrase, label, near): the k most similar targets of each distinct phrase; of equals the first
-    by name.  Target vectors go out in blocks of bounded size, each one pass over the phrases."""
-    listed = targets.select(target, label).orderBy(target, label)
+    """(phrase, label, near): the k most similar targets of each distinct phrase, exactly; of equals the
+    first by name.
+
+    Texts on both sides are embedded once each, by tasks.  Up to ``block`` targets, counted before,
+    their matrix is broadcast and phrases are not shuffled.  More targets are dealt into blocks by a
+    hash; every block of phrases meets every block of targets in a task that holds these two alone, and
+    the k best of each are merged: nothing passes through the driver.
+    """
+    spark = phrases.sparkSession
+    listed = targets.select(F.col(target).alias("t"), F.col(label).alias("l")).distinct()
     total = listed.count()
-    out = None
-    for low in range(0, max(1, total), block):
-        part = listed.offset(low).limit(block).toPandas() if total > block else listed.toPandas()
-        names, matrix = part[label].tolist(), embedder(part[target].tolist()).astype(np.float32)
-
-        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(names):
-                    continue
-                for s in range(0, len(pdf), 256):
-                    keys = pdf[phrase].iloc[s : s + 256].tolist()
-                    scores = embedder(keys).astype(np.float32) @ matrix.T
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({phrase: np.repeat(keys, best.shape[1]), label: [names[j] for j in best.ravel()], "near": np.take_along_axis(scores, best, 1).ravel().astype(float)})
-
-        found = phrases.select(phrase).mapInPandas(run, f"`{phrase}` string, `{label}` string, near double")
-        out = found if out is None else out.unionAll(found)
-    if total > block:
-        best = F.slice(F.sort_array(F.collect_list(F.struct("near", label)), asc=False), 1, k)
-        out = out.groupBy(phrase).agg(best.alias("b")).select(phrase, F.inline("b")).select(phrase, label, "near")
-    return out
+    kind = "`p` string, t string, l string, near double"
+    mine = phrases.select(F.col(phrase).alias("p")).distinct()
+    if total <= block:
+        table = vectors(listed, "t", embedder).toArrow().sort_by([("t", "ascending"), ("l", "ascending")])
+        sent = spark.sparkContext.broadcast((table["t"].to_pylist(), table["l"].to_pylist(), matrix(table["v"].combine_chunks()) if total else np.zeros((0, 0), np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, labels, theirs = sent.value
+            for batch in batches if names else ():
+                for low in range(0, batch.num_rows, 256):
+                    texts = batch.column(0).slice(low, 256).to_pylist()
+                    row, at, score = _best(np.ascontiguousarray(embedder([x or "" for x in texts]), np.float32), theirs, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in row], pa.string()), pa.array([names[j] for j in at], pa.string()), pa.array([labels[j] for j in at], pa.string()), pa.array(score)], ["p", "t", "l", "near"])
+
+        out = mine.mapInArrow(run, kind)
+    else:
+        n, m = -(-total // block), max(1, -(-mine.count() // block))
+        deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+        left = vectors(mine, "p", embedder).select(deal("p", m).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), "p", "v")
+        right = vectors(listed, "t", embedder).select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), deal("t", n).alias("j"), "t", "l", "v")
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            b = b.sort_by([("t", "ascending"), ("l", "ascending")])
+            out = [pa.table({c: pa.array([], t) for c, t in (("p", pa.string()), ("t", pa.string()), ("l", pa.string()), ("near", pa.float64()))})]
+            if a.num_rows and b.num_rows:
+                theirs = matrix(b["v"].combine_chunks())
+                for low in range(0, a.num_rows, 256):
+                    part = a.slice(low, 256)
+                    row, at, score = _best(matrix(part["v"].combine_chunks()), theirs, k)
+                    near = b.take(pa.array(at))
+                    out.append(pa.table({"p": part["p"].take(pa.array(row)).cast(pa.string()), "t": near["t"].cast(pa.string()), "l": near["l"].cast(pa.string()), "near": pa.array(score)}))
+            return pa.concat_tables(out)
+
+        out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, kind)
+        first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("far"), "t", "l"))), 1, k)
+        out = out.groupBy("p").agg(first.alias("b")).select("p", F.explode("b").alias("b")).select("p", "b.t", "b.l", (-F.col("b.far")).alias("near"))
+    return out.select(F.col("p").alias(phrase), F.col("l").alias(label), "near")
 
 
 def centroids(rows: DataFrame, vector: str, by: str) -> DataFrame:
@@ -117,13 +169,16 @@ def centroids(rows: DataFrame, vector: str, by: str) -> DataFrame:
     return lists.select(by, F.transform("c", lambda v: v / F.nullif(length, F.lit(0.0))).alias("centroid"))
 
 
-def arg_max(rows: DataFrame, prototypes: DataFrame, vector: str, key: str, label: str, prototype: str = "centroid", least: float | None = None) -> DataFrame:
+def arg_max(rows: DataFrame, prototypes: DataFrame, vector: str, key: str, label: str, prototype: str = "centroid", least: float | None = None, most: int = 1024) -> DataFrame:
     """(key, label, score): the prototype with the highest inner product, of equals the least label;
-    below ``least`` the label is null.  Prototypes are few (one per class); Spark broadcasts them if their
-    size allows."""
+    below ``least`` the label is null.  Every row meets every prototype, one for each class, so more than
+    ``most`` of them are refused."""
     from tessera.functions.arrays import dot
 
-    scored = rows.select(key, vector).crossJoin(prototypes).select(key, label, F.round(dot(vector, prototype), 6).alias("score"))
+    if prototypes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} prototypes: use nearest")
+
+    scored = rows.select(key, vector).crossJoin(F.broadcast(prototypes)).select(key, label, F.round(dot(vector, prototype), 6).alias("score"))
     best = scored.groupBy(key).agg(F.min_by(F.struct(label, "score"), F.struct(-F.col("score"), F.col(label))).alias("b")).select(key, "b.*")
     return best if least is None else best.withColumn(label, F.when(F.col("score") >= least, F.col(label)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera import values
 from tessera.functions import text
 from tessera.functions.arrays import first_by_key
-from tessera.functions.fuzzy import clusters, mmr
+from tessera.functions.fuzzy import mmr
 from tessera.operators.embed import Embedder, nearest
 
 
@@ -23,7 +23,7 @@ def skill_like(x: Column | str, labels: Sequence[str] = values.ACADEMIC_LABELS,
     return F.length(s).between(2, 80) & ~s.isin(*labels) & ~F.exists(F.lit(list(talk)), lambda t: F.contains(s, t))
 
 
-def keyword_hits(rows: DataFrame, key: str, body: str, vocabulary: Sequence[str], n: int = 5) -> DataFrame:
+def keyword_hits(rows: DataFrame, key: str, body: str, vocabulary: Sequence[str] = (*values.COURSE_HARD_SKILLS, *values.COURSE_SOFT_SKILLS), n: int = 5) -> DataFrame:
     """(key, skill, hits, rank): the chunks of a text that name each skill; the n best by hits, words
     and length.  Vocabularies are lists of fixed size, held as a literal.
 
@@ -197,19 +197,3 @@ def consensus(votes: DataFrame, key: str, least: int = 2, n: int = 10) -> DataFr
     counts = votes.groupBy(key, "skill").agg(F.countDistinct("extractor").alias("support"), F.min("pos").alias("place")).where(F.col("support") >= least)
     order = Window.partitionBy(key).orderBy(F.desc("support"), "place", "skill")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("place")
-
-
-def phrase_clusters(phrases: DataFrame, phrase: str, weight: str, vector: str, limit: float = 0.32, most: int = 5000) -> DataFrame:
-    """(cluster, phrase, support): phrases in clusters by average cosine distance.  Made for the few
-    hundred seed phrases of a rule set; they are one group on purpose, and more than ``most`` are refused
-    (group those with ``rules.grouped_by_skill``, which is distributed)."""
-    if phrases.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} phrases to cluster")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(phrase, kind="stable")
-        label = clusters(np.stack(pdf[vector].to_numpy()).astype(float), limit)
-        return pd.DataFrame({"cluster": label.astype("int64"), phrase: pdf[phrase].to_numpy(), "support": pd.Series(pdf[weight].to_numpy()).groupby(label).transform("sum").astype("int64")})
-
-    kind = phrases.schema[phrase].dataType.simpleString()
-    return phrases.select(phrase, weight, vector).withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, f"cluster bigint, `{phrase}` {kind}, support bigint")

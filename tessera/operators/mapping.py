@@ -45,13 +45,13 @@ def map_phrases(phrases: DataFrame, skills: DataFrame, aliases: DataFrame, exclu
     nearest.  Phrases that match nothing are their own label.  Each key is mapped once.
     """
     keys = phrases.select(phrase_key(phrase).alias("key")).distinct()
-    exact = aliases.groupBy(F.col("alias").alias("a_key")).agg(F.max_by("canonical_skill", "skill_order").alias("exact"))
+    exact = aliases.groupBy(F.col("alias").alias("a_key")).agg(F.max("canonical_skill").alias("exact"))
     out = keys.join(excluded.select(F.col("phrase").alias("x_key")).distinct(), F.col("key") == F.col("x_key"), "left").join(exact, F.col("key") == F.col("a_key"), "left")
     is_out = F.col("x_key").isNotNull() if exclusion == "documented" else F.lit(False)
     kind = F.when(F.col("key") == "", "empty").when(is_out, "excluded").when(F.col("exact").isNotNull(), "exact")
     out = out.select("key", "exact", kind.alias("match_type"))
     if embedder is not None:
-        targets = aliases.groupBy("alias").agg(F.min_by("canonical_skill", "skill_order").alias("target"))
+        targets = aliases.groupBy("alias").agg(F.min("canonical_skill").alias("target"))
         near = nearest(out.where(F.col("match_type").isNull()).select("key"), targets, embedder, "key", "alias", "target")
         out = out.join(near.withColumnRenamed("key", "n_key"), F.col("key") == F.col("n_key"), "left")
     else:
@@ -83,3 +83,25 @@ def frequent_vocabulary(jobs: DataFrame, skills: str = "skills", n: int = 8000)
     """The earlier mapper's canonical skills: the n most frequent job skills."""
     counts = jobs.select(F.explode(skills).alias("skill")).groupBy("skill").agg(F.count("*").alias("cnt"))
     return counts.orderBy(F.desc("cnt"), "skill").limit(n)
+
+
+def map_to_frequent(raw: DataFrame, jobs: DataFrame, phrase: str = "phrase", skills: str = "skills", embedder: Embedder | None = None, threshold: float = 0.62, n: int = 8000) -> DataFrame:
+    """The earlier mapper's audit rows (raw_skill, mapped_skill, match_type, similarity), one for each
+    distinct key of ``raw``: exact among the ``n`` most frequent job skills, else the nearest of these
+    from ``threshold`` on, else itself.  Empty keys are left out.  Without an embedder the rest is
+    ``unmapped_no_model``, without any job skill ``unmapped``."""
+    keyed = jobs.select(F.filter(F.transform(skills, lambda s: phrase_key(s)), lambda s: s != "").alias("skills"))
+    known = frequent_vocabulary(keyed, "skills", n).select(F.col("skill").alias("target"))
+    keys = raw.select(phrase_key(phrase).alias("raw_skill")).where("raw_skill <> ''").distinct()
+    out = keys.join(known, F.col("raw_skill") == F.col("target"), "left")
+    exact = out.where(F.col("target").isNotNull()).select("raw_skill", F.col("target").alias("mapped_skill"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("similarity"))
+    rest = out.where(F.col("target").isNull()).select("raw_skill")
+    if embedder is None:
+        none = known.agg((F.count("*") == 0).alias("none"))
+        left = rest.crossJoin(F.broadcast(none)).select("raw_skill", F.col("raw_skill").alias("mapped_skill"), F.when(F.col("none"), "unmapped").otherwise("unmapped_no_model").alias("match_type"), F.lit(0.0).alias("similarity"))
+        return exact.unionAll(left)
+    near = nearest(rest, known.select(F.col("target").alias("t"), F.col("target").alias("l")), embedder, "raw_skill", "t", "l")
+    met = rest.join(near.withColumnRenamed("raw_skill", "_r"), F.col("raw_skill") == F.col("_r"), "left")
+    hit = F.coalesce(F.col("near") >= threshold, F.lit(False))
+    kind = F.when(F.col("near").isNull(), "unmapped").when(hit, "semantic").otherwise("unmapped_below_threshold")
+    return exact.unionAll(met.select("raw_skill", F.when(hit, F.col("l")).otherwise(F.col("raw_skill")).alias("mapped_skill"), kind.alias("match_type"), F.round(F.coalesce("near", F.lit(0.0)), 6).alias("similarity")))

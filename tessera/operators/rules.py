@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import values
 from tessera.functions import text
+from tessera.functions.grams import counted
 from tessera.functions.numeric import specificity
 from tessera.operators.embed import Embedder, nearest
 
@@ -35,14 +37,15 @@ def valid_phrase(
 def phrase_counts(rows: DataFrame, words: Column | str, low: int = 1, high: int = 3) -> DataFrame:
     """(phrase, freq, docs) of all n-grams of the words of ``rows``, each row a document.
 
-    A document's n-grams and its distinct ones go into one aggregation by phrase, so what is shuffled is
-    a row for each phrase of a task, not for each phrase of a document.
+    Texts are read once.  A task counts blocks of documents and spells a phrase out once for each of them;
+    what is shuffled is a row for each phrase of a task.
     """
-    rows = rows.select(text.col(words).alias("_words"))  # inside a lambda it would be made anew for every n-gram
-    grams = rows.select(F.flatten(F.array(*[text.grams("_words", n) for n in range(low, high + 1)])).alias("_grams"))
-    every = grams.select(F.explode("_grams").alias("phrase"), F.lit(1).alias("n"), F.lit(0).alias("d"))
-    once = grams.select(F.explode(F.array_distinct("_grams")).alias("phrase"), F.lit(0).alias("n"), F.lit(1).alias("d"))
-    return every.unionAll(once).groupBy("phrase").agg(F.sum("n").alias("freq"), F.sum("d").alias("docs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from counted(batch.column(0), low, high)
+
+    found = rows.select(text.col(words).alias("w")).mapInArrow(run, "phrase string, freq bigint, docs bigint")
+    return found.groupBy("phrase").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs"))
 
 
 def seeds(counts: DataFrame, rows: int | DataFrame, least: int = 5, most_share: float = 0.12) -> DataFrame:

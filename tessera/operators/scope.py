@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import values
 from tessera.functions import text
 from tessera.functions.arrays import dot
+from tessera.operators.embed import Embedder
+
 
 def _hits(t: Column, patterns: Sequence[str]) -> Column:
     return sum((t.rlike(p).cast("int") for p in patterns[1:]), t.rlike(patterns[0]).cast("int")) if patterns else F.lit(0)
@@ -39,6 +43,54 @@ def reference_lists(rows: DataFrame, column: str, stem: Sequence[str], other: Se
     return values.where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct().select("value", bucket("value", stem, other if with_other else ()).alias("bucket"))
 
 
+def university_lists(courses: DataFrame, lists: Sequence[tuple] = values.SCOPE_LISTS, university: str = "university") -> DataFrame:
+    """(university, field, value, bucket): the distinct faculties and departments of each university's
+    courses, by the curated lists.  Each list tells the bucket of the values that it names and of those
+    that it does not; fields may be strings or lists; blanks and nulls are no values."""
+    parts = None
+    for name, field, rest, named, names in lists:
+        rows = courses.where(F.upper(F.trim(F.col(university))) == name.upper())
+        found = rows.select(F.explode(field) if rows.schema[field].dataType.typeName() == "array" else F.col(field)).toDF("value").select(F.trim("value").alias("value"))
+        inside = F.col("value").isin(*names) if names else F.lit(False)
+        part = found.where("value is not null and value <> ''").distinct().select(F.lit(name).alias("university"), F.lit(field).alias("field"), "value", F.when(inside, named).otherwise(rest).alias("bucket"))
+        parts = part if parts is None else parts.unionAll(part)
+    return parts
+
+
+def metadata_bucket(university: Column | str, department: Column | str, faculty: Column | str, lists: Sequence[tuple] = values.SCOPE_LISTS) -> Column:
+    """The bucket of a course by its university's lists: its department's where the lists say something
+    of it, else its faculty's; clear_stem of either wins; a missing value says nothing."""
+    u = F.upper(F.trim(text.col(university)))
+    said = {"department": F.trim(text.col(department)), "faculty": F.trim(text.col(faculty))}
+    stem = F.lit(False)
+    for name, field, rest, named, names in lists:
+        value = said[field]
+        inside = value.isin(*names) if names else F.lit(False)
+        hit = F.when(inside, F.lit(named)).otherwise(F.lit(rest)) == "clear_stem"
+        stem = stem | F.coalesce((u == name.upper()) & (value != "") & hit, F.lit(False))
+    return F.when(stem, "clear_stem").otherwise("unclear_or_mixed")
+
+
+def prototype_margin(rows: DataFrame, body: str, embedder: Embedder, one: Sequence[str] = values.STEM_SENTENCES, other: Sequence[str] = values.OTHER_SENTENCES) -> DataFrame:
+    """``rows`` with stem_similarity, non_stem_similarity and margin: a text's vector against the mean
+    vectors, of unit length, of the sentences for the scope and against it.  A null text is empty."""
+    def centre(sentences: Sequence[str]) -> np.ndarray:
+        mean = np.asarray(embedder(list(sentences)), np.float64).mean(axis=0)
+        return mean / (np.linalg.norm(mean) or 1.0)
+
+    centres = np.stack([centre(one), centre(other)], axis=1)
+
+    @F.arrow_udf("struct<one: double, other: double>")
+    def near(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), 2))
+        for low in range(0, len(texts), 1024):
+            out[low : low + 1024] = np.asarray(embedder([x or "" for x in texts.slice(low, 1024).to_pylist()]), np.float64) @ centres
+        return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["one", "other"])
+
+    both = rows.withColumn("_near", near(F.col(body)))
+    return both.withColumns({"stem_similarity": F.col("_near.one"), "non_stem_similarity": F.col("_near.other"), "margin": F.col("_near.one") - F.col("_near.other")}).drop("_near")
+
+
 def earlier_cascade(
     base: Column | str,
     base_reason: Column | str,

@@ -6,7 +6,6 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from itertools import count
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -151,31 +150,6 @@ def course_blocks(lines: DataFrame, doc: str, no: str, line: str, head: str = "^
     ).drop("_block")
 
 
-def paged(fetch: Callable[[int], dict | None], key: str = "code") -> list[dict]:
-    """Pages 1, 2, ... until one has no results or no next; the first record of each key, in key order."""
-    found: dict = {}
-    for page in count(1):
-        got = fetch(page)
-        if not got or not got.get("results"):
-            break
-        for r in got["results"]:
-            found.setdefault(r.get(key), r)
-        if not got.get("next"):
-            break
-    return [found[k] for k in sorted(found, key=str)]
-
-
-def until_known(fetch: Callable[[int], list[dict]], key: str = "code") -> list[dict]:
-    """Pages until one adds no new key."""
-    found: dict = {}
-    for page in count(1):
-        new = [r for r in fetch(page) if r.get(key) not in found]
-        if not new:
-            break
-        found.update((r.get(key), r) for r in new)
-    return list(found.values())
-
-
 def details(urls: DataFrame, fetch: Callable[[str], str], url: str = "url") -> DataFrame:
     """(url, body, error): pages fetched in parallel by the tasks; a failure becomes a row."""
 

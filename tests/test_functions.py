@@ -89,7 +89,6 @@ def test_fuzzy(spark):
     assert fuzzy.page_text("<p>a &amp; b<script>x</script></p>") == "a & b"
     df = spark.createDataFrame([(["ab", "xyz", None],), (None,)], "v array<string>")
     assert [r.x for r in df.select(fuzzy.near_distinct("v").alias("x")).collect()] == [["ab", "xyz"], []]
-    assert list(fuzzy.clusters(np.array([[1, 0], [0.99, 0.1], [0, 1]]))) == [0, 0, 1]
     assert fuzzy.mmr(np.array([1.0, 0]), np.array([[1.0, 0], [0.99, 0.14], [0.6, 0.8]]), 2, 0.8) == [0, 2]
 
 

@@ -185,9 +185,6 @@ def test_sources(spark, tmp_path):
     lines = [(1, i, s) for i, s in enumerate(["CORE", "50.001 Algebra", "Term: 1", "Credits: 12", "50.002 Sets"])]
     got = readers.course_blocks(spark.createDataFrame(lines, "d int, n int, l string"), "d", "n", "l").orderBy("code").collect()
     assert [(r.code, r.title, r.course_type, r.credits) for r in got] == [("50.001", "Algebra", "CORE", 12), ("50.002", "Sets", "Credits: 12", None)]
-    pages = {1: {"results": [{"code": "b"}, {"code": "a"}], "next": 2}, 2: {"results": [{"code": "b", "x": 1}]}}
-    assert readers.paged(pages.get) == [{"code": "a"}, {"code": "b"}]
-    assert readers.until_known(lambda p: [{"code": min(p, 3)}]) == [{"code": 1}, {"code": 2}, {"code": 3}]
     title, heading, body, details = readers.page_record('<title>t</title><h1>H</h1><p>one</p><p>one</p><h2>Prerequisites</h2><p>no</p><tr><td>k</td><td>v</td></tr><script type="application/ld+json">{"@type":"Course","name":"N"}</script>')
     assert (title, heading, body, details) == ("N", "H", "one", {"k": "v"})
     assert writers.document(spark.createDataFrame([(["é"],)], "x array<string>")) == '[{"x": ["é"]}]'

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera import catalog, catalog_rows, registry  # noqa: F401
+from tessera import catalog, catalog_rows, catalog_skills, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -54,11 +54,6 @@ def test_charts(spark):
     assert "<svg" in charts.flows(edges.limit(0)) and "<svg" in charts.bars(edges.limit(0), "target", "value")
 
 
-def test_clustering_is_bounded(spark):
-    with pytest.raises(ValueError):
-        extract.phrase_clusters(spark.range(11).select(F.col("id").cast("string").alias("p"), F.lit(1).alias("w"), F.array(F.lit(1.0)).alias("v")), "p", "w", "v", most=10)
-
-
 def test_approximate_quartiles(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in [*range(1, 100), 1000]] + [("a", None)], "g string, v double")
     got = [r.v for r in clean_jobs.outliers_to_median(rows, "v", "g", accuracy=1000).collect()]
