@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources import shared
+from tessera.sources.shared import new_path, scratch  # noqa: F401  (one register of paths for the whole library)
 
 #: Short rows (links, labels) of a file.
 FILE_ROWS = 1 << 16
 
-_PATHS: list[tuple[SparkSession, str]] = []
-_KEPT: set[str] = set()
-
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer if ``df`` has a column of that name."""
@@ -26,22 +19,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared.folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _PATHS.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def exists(spark: SparkSession, path: str, pattern: str) -> bool:
     """Whether a file in ``path`` fits ``pattern``."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    where, files = shared.files(spark, f"{path}/{pattern}")
+    found = files.globStatus(where)
     return found is not None and len(found) > 0
 
 
@@ -55,30 +36,5 @@ def written(df: DataFrame, name: str, keep: bool = False, rows: int | None = Non
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     if keep:
-        _KEPT.add(path)
+        shared.lasting(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch() -> Iterator[None]:
-    """Tables written inside are removed at the end, but for those to keep: whatever is still to be read
-    then must be computed from those alone."""
-    before = len(_PATHS)
-    yield
-    mine = _PATHS[before:]
-    del _PATHS[before:]
-    for spark, path in mine:
-        if path in _KEPT:
-            _KEPT.discard(path)
-            _PATHS.append((spark, path))
-        else:
-            remove(spark, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _PATHS:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended: nothing is left to ask
-            return
