@@ -13,7 +13,7 @@ from tessera.catalog import _NORM, _SEARCH_SQL, _TOK, _found, _jobs, postings
 from tessera.functions import arrays, fuzzy, numeric, text
 from tessera.operators import align, benchmark, clean_courses, embed, explore, extract, rules, scope, search
 from tessera.registry import Tables, query
-from tessera.sources import charts, paged, readers, shared, writers
+from tessera.sources import charts, listing, paged, readers, shared, writers
 
 
 def pick(values: list, key: str):
@@ -71,14 +71,28 @@ def parallel_details(t):
     return readers.details(t.supplier.select(F.col("s_name").alias("url")), _fetched)
 
 
-@query("""SELECT s_nationkey AS page, lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_name AS title, 'Type ' || s_nationkey AS course_type,
-CAST(s_suppkey % 4 AS VARCHAR) AS terms, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 13 AS INT) END AS credits FROM supplier""")
-def course_listing(t):
+_LISTING_SQL = """SELECT s_nationkey AS page, lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, s_name AS title, 'Type ' || s_nationkey AS course_type,
+CAST(s_suppkey % 4 AS VARCHAR) AS terms, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 13 AS INT) END AS credits FROM supplier"""
+
+
+def _listing(t):
     """Lines of a listing, four a course: type, code and title, term, credits (some without)."""
     code = F.concat_ws(".", F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"))
     lines = F.array(F.concat(F.lit("Type "), "s_nationkey"), F.concat_ws(" ", code, "s_name"), F.concat(F.lit("Term: "), F.col("s_suppkey") % 4), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("Credits: "), F.col("s_suppkey") % 13)).otherwise("no credits"))
     rows = t.supplier.select(F.col("s_nationkey").alias("page"), "s_suppkey", F.posexplode(lines).alias("i", "line"))
-    return readers.course_blocks(rows.withColumn("no", F.col("s_suppkey") * 10 + F.col("i")), "page", "no", "line")
+    return rows.withColumn("no", F.col("s_suppkey") * 10 + F.col("i"))
+
+
+@query(_LISTING_SQL)
+def course_listing(t):
+    """By windows."""
+    return readers.course_blocks(_listing(t), "page", "no", "line")
+
+
+@query(_LISTING_SQL)
+def course_listing_walk(t):
+    """By a table function that walks each document's lines."""
+    return listing.course_records(_listing(t), "page", "no", "line")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -534,3 +534,18 @@ def test_frequent_mapping(spark):
     none = mapping.map_to_frequent(raw, jobs.limit(0))
     assert {r.match_type for r in none.collect()} == {"unmapped"}
     assert {r.match_type for r in mapping.map_to_frequent(raw, jobs.limit(0), embedder=embed.HashingEmbedder()).collect()} == {"unmapped"}
+
+
+def test_listing_by_walk(spark):
+    """The table function against the windows, documents of their own side by side."""
+    from tessera.sources import listing, readers
+
+    rng = random.Random(3)
+    kinds = ["CORE", "50.00{} Algebra {}", "Term: {} {}", "Credits: {} {}", "credits", "terms", "", None, "tags"]
+    rows = [(d, n, None if (k := rng.choice(kinds)) is None else k.format(rng.randint(0, 9), rng.randint(0, 9))) for d in range(12) for n in range(rng.randint(0, 40))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "d int, n int, l string").repartition(5)
+    pick = lambda x: sorted(str(tuple(r)) for r in x.select("d", "code", "title", "course_type", "terms", "credits").collect())
+    got = pick(listing.course_records(df, "d", "n", "l"))
+    assert got == pick(readers.course_blocks(df, "d", "n", "l")) and len(got) > 20
+    assert listing.course_records(df.limit(0), "d", "n", "l").count() == 0
