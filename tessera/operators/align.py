@@ -174,8 +174,7 @@ def candidate_pairs(mine: DataFrame, theirs: DataFrame, key: str = "module_id",
 
 
 def top_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights(), head: int = 16, salts: int = 8) -> DataFrame:
-    """``pair_scores`` with the shared skills (``overlap``) of pairs among which are the n best of every
-    module: those of ``candidate_pairs``."""
+    """``pair_scores`` of pairs among which are the n best of every module: those of ``candidate_pairs``."""
     found = candidate_pairs(mine, theirs, key, k, n, weights, head, salts)
     # a list of all families (a thousand at most) where none can be ruled out
     everything = theirs.agg(F.collect_set("code").alias("all"))
@@ -184,8 +183,8 @@ def top_scores(mine: DataFrame, theirs: DataFrame, key: str = "module_id", k: in
     left = _module_side(mine, key).join(pairs, key).withColumn("salt", deal)
     right = _family_side(theirs, k, []).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sums = [c.alias(name) for name, c in _sums(k).items()]
-    out = left.join(right, ["code", "skill", "salt"]).groupBy(key, "code").agg(*sums, F.array_sort(F.collect_list("skill")).alias("overlap"))
-    return out.select(key, "code", "overlap_count", "overlap", *[c.alias(name) for name, c in _measures(weights).items()])
+    out = left.join(right, ["code", "skill", "salt"]).groupBy(key, "code").agg(*sums)
+    return out.select(key, "code", "overlap_count", *[c.alias(name) for name, c in _measures(weights).items()])
 
 
 def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs: DataFrame, key: str = "module_id", k: int = 10, n: int = 5, weights: Weights = Weights()) -> DataFrame:
@@ -196,11 +195,15 @@ def top_matches(modules: DataFrame, mine: DataFrame, families: DataFrame, theirs
     and code.
     """
     scored = top_scores(mine, theirs, key, k, n, weights)
-    scored = scored.select(key, "code", "overlap_count", "overlap", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
+    scored = scored.select(key, "code", "overlap_count", *[rounded(c).alias(c) for c in ("coverage", "jaccard", "cosine", "gap")], rounded("score").alias("score"), F.col("score").alias("raw"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("overlap_count"), F.desc("job_count"), "code")
     columns = ["code", "title", "job_count", "good_job_count", "good_job_pct", "overlap_count", "overlap", "coverage", "jaccard", "cosine", "gap", "score", "raw"]
     # families are a thousand at most
     best = scored.join(F.broadcast(families), "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # shared skills are listed for the matches only, not for every pair that was scored
+    own = mine.groupBy(key).agg(F.array_sort(F.collect_list("skill")).alias("_own"))
+    known = theirs.groupBy("code").agg(F.collect_list("skill").alias("_known"))
+    best = best.join(own, key).join(known, "code").withColumn("overlap", F.array_intersect("_own", "_known"))
     matched = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*columns).alias("m")))), lambda s: s["m"]).alias("m"))
 
     # what is missing to n comes from the largest families; n - 1 of them at most are matched already
