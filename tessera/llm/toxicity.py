@@ -187,8 +187,9 @@ def learns(id_col: str) -> Column:
 def level(sizes: np.ndarray, total: int) -> int:
     """The size to which the largest come down so that all add up to ``total`` at most."""
     ordered = np.sort(sizes)
-    left = total - (np.cumsum(ordered) - ordered)  # for each and all larger ones
-    return max(1, int((left // np.arange(len(sizes), 0, -1))[ordered * np.arange(len(sizes), 0, -1) > left].min(initial=total)))
+    left, k = total - (np.cumsum(ordered) - ordered), np.arange(len(sizes), 0, -1)  # for each and all larger ones
+    over = np.flatnonzero(ordered * k > left)  # from the first on all come down
+    return max(1, int(left[over[0]] // k[over[0]])) if len(over) else total
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -62,3 +62,22 @@ def test_columns_with_the_operators_names(spark):
     items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(10, 60)))], "item_id bigint, text string")
     clean = decontaminate.keep_clean(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id or 0 for r in clean.collect()) == [0, 3]
+
+
+def test_levels_of_many_long_texts():
+    """Several texts above the level: it is the largest that fits, not what the last of them leaves."""
+    import numpy as np
+
+    rng = random.Random(3)
+    for sizes, total in [([10, 100, 100, 100], 100), ([90, 60, 60], 120)] + [([rng.randint(1, 60) for _ in range(rng.randint(1, 30))], rng.randint(60, 400)) for _ in range(200)]:
+        fits = [k for k in range(1, total + 1) if np.minimum(sizes, k).sum() <= total]
+        assert toxicity.level(np.array(sizes), total) == max(fits)
+
+
+def test_many_long_texts_still_teach(spark, marked, monkeypatch):
+    rows, _ = marked
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", sum(len(t) for _, t, _ in rows) // 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
+    assert min(scores[i] for i, _, y in rows if y and i in scores) > max(scores[i] for i, _, y in rows if not y and i in scores)
