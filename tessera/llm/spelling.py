@@ -22,6 +22,8 @@ RUN = "[A-Za-z\\u00C0-\\u00FF]"
 #: Bits of the set for each word of the vocabulary, and the least and most bits (as powers of 2): beyond
 #: the most, more candidates that are no words are shuffled, and results stay the same.
 BITS_PER_WORD, LEAST_BITS, MOST_BITS = 32, 16, 29
+#: Words of 64 bits that a task packs into one row of the set.
+PACKED = 1 << 13
 #: Candidates generated at once.
 BLOCK_CANDIDATES = 1 << 20
 
@@ -71,7 +73,9 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bit_set(words: DataFrame, n_words: int) -> np.ndarray:
-    """The bit set of the words' hashes, as bytes; tasks set bits by words of 64, which are joined by OR."""
+    """The bit set of the words' hashes, as bytes; tasks set bits by words of 64, which are joined by OR and
+    packed into rows of ``PACKED``.  The driver takes one partition of these at a time and puts it in place,
+    so it holds little more than the set itself."""
     bits = min(MOST_BITS, max(LEAST_BITS, (n_words * BITS_PER_WORD - 1).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +86,17 @@ def bit_set(words: DataFrame, n_words: int) -> np.ndarray:
             mask = np.bitwise_or.reduceat(np.uint64(1) << (slot & np.uint64(63)), first) if len(slot) else slot
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6))[first].astype(np.int64)), pa.array(mask.view(np.int64))], ["place", "mask"])
 
-    marked = words.select("word").mapInArrow(mark, "place bigint, mask bigint").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[np.asarray(marked["place"])] = np.asarray(marked["mask"]).view(np.uint64)
-    return out.view(np.uint8)
+    def pack(rows: pa.Table) -> pa.Table:
+        place = np.asarray(rows["place"])
+        packed = np.zeros(min(PACKED, 1 << (bits - 6)), np.int64)
+        packed[place % PACKED] = np.asarray(rows["mask"])
+        return pa.table({"at": pa.array([int(place[0]) // PACKED], pa.int64()), "packed": pa.array([packed.tobytes()], pa.binary())})
+
+    marked = words.select("word").mapInArrow(mark, "place bigint, mask bigint").groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in marked.groupBy(F.floor(F.col("place") / PACKED)).applyInArrow(pack, "at bigint, packed binary").toLocalIterator():
+        out[row.at * PACKED * 8 :][: len(row.packed)] = np.frombuffer(row.packed, np.uint8)
+    return out
 
 
 def _neighbourhood(codes: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

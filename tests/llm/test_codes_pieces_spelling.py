@@ -256,3 +256,17 @@ def test_neighbourhoods_are_whole_and_distinct():
         assert len(found) == len(set(found.tolist())) == len(want)
         codes_of = lambda x: int(spelling._hashes(np.array([[ord(c) for c in x]], np.uint64))[0]) if x else 0
         assert set(found.tolist()) == {codes_of(x) for x in want}
+
+
+def test_bit_set_is_packed_by_tasks(spark, monkeypatch):
+    """The set is right over many packed rows, and what reaches the driver is no row for each of its places."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(spelling, "PACKED", 1 << 6)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: pytest.fail("the whole set at once"))
+    words = [f"word{i}" for i in range(5000)]
+    held = spelling.bit_set(spark.createDataFrame([(w,) for w in words], "word string").repartition(7), len(words))
+    want = np.zeros(8 * len(held), bool)
+    for _, codes in spelling._by_length(words):
+        want[spelling._slots(spelling._hashes(codes), len(want).bit_length() - 1)] = True
+    assert (np.unpackbits(held, bitorder="little") == want).all()
