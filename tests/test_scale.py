@@ -188,6 +188,38 @@ def test_bounds_leave_fewer_pairs(spark):
     assert scored < 0.15 * 60 * 100
 
 
+@pytest.mark.parametrize(("weights", "cells", "shared", "seed"), [(align.Weights(), 1, 1, 1), (align.Weights(), 60, 7, 2), (align.LEGACY, 1 << 20, 1 << 21, 3)])
+def test_best_families_in_blocks(spark, monkeypatch, weights, cells, shared, seed):
+    """Every module meets all families in blocks of any size; pairs are never rows, and modules without a
+    shared skill get the largest families."""
+    from tessera.operators import ranking
+
+    for name, value in (("CELLS", cells), ("SHARED", shared), ("CHUNKS", 3)):
+        monkeypatch.setattr(ranking, name, value)
+    rng = random.Random(seed)
+    skills = [f"s{i}" for i in range(12)]
+    jobs = [(f"c{rng.randint(0, 19)}", "t", 1, rng.choices(skills, k=rng.randint(1, 4))) for _ in range(60)]
+    modules = [(i, rng.choices([*skills, "none"], k=rng.randint(0, 4))) for i in range(40)] + [(40, [None, "s1"]), (41, None)]
+    families, theirs = align.family_profiles(spark.createDataFrame(jobs, "code string, title string, is_good_job int, skills array<string>"))
+    m = spark.createDataFrame(modules, "module_id int, skills array<string>")
+    top = align.top_matches(m, align.module_skills(m), families, theirs, k=3, n=4, weights=weights)
+    got = collections.defaultdict(list)
+    for r in top.orderBy("module_id", "rank").collect():
+        got[r.module_id].append(r.code)
+        assert len(r.overlap) == r.overlap_count and r.overlap == sorted(set(r.overlap) & set(dict(modules)[r.module_id])) if r.overlap else r.score <= 0
+    largest = [f.code for f in sorted(families.collect(), key=lambda f: (-f.job_count, f.code))]
+    best = aligned([(i, s) for i, s in modules if s], families.collect(), theirs.collect(), 3, 4, weights)
+    assert dict(got) == {i: (b := best.get(i, [])) + [c for c in largest if c not in b][: 4 - len(b)] for i, _ in modules}
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(module_id#\d+L?, code#", plan)
+    lack = {(r.module_id, r.code): r.missing for r in align.missing_skills(top, theirs, n=2).collect()}
+    by = collections.defaultdict(list)
+    for r in theirs.orderBy("code", "rk").collect():
+        by[r.code].append(r.skill)
+    want = {(i, c): [s for s in by[c] if s not in (dict(modules)[i] or [])][:2] for i in got for c in got[i]}
+    assert lack == {p: x for p, x in want.items() if x}
+
+
 def test_alignment_is_lazy(spark):
     """Building a plan of matches starts no job and writes no table."""
     m = spark.createDataFrame([(1, ["a"])], "module_id int, skills array<string>")
