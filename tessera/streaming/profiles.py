@@ -1,73 +1,41 @@
 """Family profiles kept up over a stream of postings that come late, twice and corrected.
 
-State holds the last version of every posting; a newer version gives the changes that undo the old one and
-add itself.  Changes add up to the batch profile of the last versions, whatever the order of the input.
+State holds the last version of every posting, as the greatest one that came; each batch appends the postings
+it changed, and the profile counts the last version of each, whatever the order of the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tessera.operators.align import weighted
-
-CHANGES = "code string, skill string, jobs bigint, good bigint"
-STATE = "version bigint, code string, good bigint, skills array<string>"
-
-
-def _told(code: str | None, good: int, skills: list[str], sign: int) -> Iterator[tuple]:
-    """Changes of a posting: of its family (no skill), and of each of its skills."""
-    if code and skills:
-        yield code, None, sign, sign * good
-        for s in skills:
-            yield code, s, sign, 0
-
 
-def _newer(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.get if state.exists else None
-    best = None
-    for pdf in parts:
-        # of one version that says different things the greatest counts, so that order does not
-        for row in zip(pdf["version"], pdf["code"], pdf["good"], pdf["skills"]):
-            made = (int(row[0]), row[1] if isinstance(row[1], str) else None, int(row[2]), sorted({s for s in row[3] if s is not None}) if row[3] is not None else [])
-            rank = (made[0], made[1] or "", made[2], made[3])
-            if best is None or rank > best[0]:
-                best = rank, made
-    if best is None or old is not None and best[0] <= (old[0], old[1] or "", old[2], list(old[3])):
-        return
-    out = [] if old is None else list(_told(old[1], old[2], list(old[3]), -1))
-    out += _told(*best[1][1:], 1)
-    state.update(best[1])
-    if out:
-        yield pd.DataFrame(out, columns=["code", "skill", "jobs", "good"])
+from tessera.operators.align import family_profiles
 
 
 def changes(stream: DataFrame, key: str, version: str, code: str, good: str, skills: str) -> DataFrame:
-    """(code, skill, jobs, good): changes of counts, from a stream of versions of postings.  A null version
-    counts as 0, a null ``good`` too; postings without a code or skills count nowhere."""
-    rows = stream.select(F.col(key).alias("key"), F.coalesce(F.col(version).cast("long"), F.lit(0)).alias("version"), F.col(code).alias("code"), F.coalesce(F.col(good).cast("long"), F.lit(0)).alias("good"), F.col(skills).alias("skills"))
-    return rows.groupBy("key").applyInPandasWithState(_newer, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    """(key, last): the last version (version, code, good, skills) of every posting, from a stream of
+    versions.  A null version counts as 0, a null ``good`` too; of one version that says different things the
+    greatest counts, so that order does not."""
+    listed = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(skills), F.array().cast("array<string>")), lambda s: s.isNotNull())))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    made = F.struct(number(version).alias("version"), F.coalesce(F.col(code), F.lit("")).alias("code"), number(good).alias("good"), listed.alias("skills"))
+    return stream.select(F.col(key).alias("key"), made.alias("last")).groupBy("key").agg(F.max("last").alias("last"))
 
 
 def kept_profile(stream_of_changes: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """(families, skills) as ``align.family_profiles`` has them (titles aside), after the stream has run to the
     end of its input.
 
-    Every batch adds up its own changes and appends them to the table under ``path``; a batch that is run
-    again replaces itself.  A family or skill whose counts are back at 0 is gone.
+    Every batch appends the postings it changed to the table under ``path``; a batch that is run again
+    replaces itself.  Postings without a code or skills count nowhere.
     """
-    spark = stream_of_changes.sparkSession
+    spark, schema = stream_of_changes.sparkSession, stream_of_changes.schema
 
     def append(rows: DataFrame, batch: int) -> None:
-        rows.groupBy("code", "skill").agg(F.sum("jobs").alias("jobs"), F.sum("good").alias("good")).write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
 
-    run = stream_of_changes.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(append).start()
+    run = stream_of_changes.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(append).start()
     run.awaitTermination()
-    total = spark.read.schema(CHANGES).parquet(f"{path}/changes/batch=*").groupBy("code", "skill").agg(F.sum("jobs").alias("jobs"), F.sum("good").alias("good")).where("jobs > 0")
-    families = total.where("skill is null").select("code", F.col("jobs").alias("job_count"), F.col("good").alias("good_job_count"))
-    families = families.withColumn("good_job_pct", F.round(F.col("good_job_count") / F.col("job_count"), 4))
-    return families, weighted(total.where("skill is not null").select("code", "skill", F.col("jobs").alias("cnt")), "code")
+    last = spark.read.schema(schema).parquet(f"{path}/changes/batch=*").groupBy("key").agg(F.max("last").alias("last")).select("last.*")
+    families, skills = family_profiles(last.withColumn("title", F.lit("")), good="good")
+    return families.drop("title"), skills

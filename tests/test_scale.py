@@ -532,6 +532,14 @@ def test_profiles_whatever_the_order(spark, tmp_path, seed):
         assert pick(got, *cols) == pick(want, *cols)
 
 
+def test_versions_never_leave_the_jvm(spark):
+    """The last version of a posting is an aggregate of the engine's own: no row goes through Python."""
+    rows = spark.createDataFrame([(1, 1, "a", 1, ["x"]), (1, 2, "b", None, ["y", "x", None]), (1, None, "c", 1, [])], "k int, version int, code string, good int, skills array<string>")
+    last = profiles.changes(rows, "k", "version", "code", "good", "skills")
+    assert "Python" not in (plan := last._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
+    assert [tuple(r.last) for r in last.collect()] == [(2, "b", 0, ["x", "y"])]
+
+
 # ---------------------------------------------------------------- curated values
 
 
