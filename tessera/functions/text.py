@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from re import _constants, _parser
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -100,14 +102,51 @@ def tokens(x: Text, stop: Sequence[str] = values.STOP_WORDS) -> Column:
 
 def contains_phrase(text: Text, phrase: str, compat: bool = False) -> Column:
     """``phrase`` bounded by non-word characters.  ``compat`` uses plain word boundaries, by which a
-    phrase that ends in a symbol is not found before a space."""
+    phrase that ends in a symbol is not found before a space.  The pattern is only tried on texts that
+    hold the phrase at all."""
     p = re.escape(phrase)
-    return col(text).rlike(f"\\b{p}\\b" if compat else f"(?<!\\w){p}(?!\\w)")
+    return F.contains(col(text), F.lit(phrase)) & col(text).rlike(f"\\b{p}\\b" if compat else f"(?<!\\w){p}(?!\\w)")
+
+
+def _needed(parts) -> list[str]:
+    """Strings of which every match of a parsed pattern holds one; none if that is not known."""
+    found, run = [], ""
+    for op, arg in [*parts, (None, None)]:
+        if op is _constants.LITERAL:
+            run += chr(arg)
+            continue
+        found.append([run] if run else [])
+        run = ""
+        if op is _constants.SUBPATTERN and not (arg[1] or arg[2]):
+            found.append(_needed(arg[3]))
+        elif op is _constants.BRANCH:
+            ways = [_needed(way) for way in arg[1]]
+            found.append(sum(ways, []) if all(ways) else [])
+    return max(found, key=lambda strings: min(map(len, strings), default=0))
+
+
+def needed(pattern: str) -> list[str]:
+    """``_needed`` of a pattern; one with flags or in a syntax of Java's own needs nothing."""
+    try:
+        parsed = _parser.parse(pattern)
+    except (re.error, OverflowError):
+        return []
+    return [] if parsed.state.flags & ~re.UNICODE else _needed(parsed)
+
+
+def finds(x: Text, *patterns: str) -> Column:
+    """Whether one of the patterns matches.  Texts without a string that a match needs are not searched."""
+    hit, strings = col(x).rlike("|".join(patterns)), [needed(p) for p in patterns]
+    if not all(strings):
+        return hit
+    some = [F.contains(col(x), F.lit(s)) for s in dict.fromkeys(sum(strings, []))]
+    return reduce(lambda a, b: a | b, some) & hit
 
 
 def any_phrase(text: Text, phrases: Sequence[str]) -> Column:
     """Whether one of ``phrases`` stands in the text between word bounds."""
-    return col(text).rlike("(?<!\\w)(?:" + "|".join(re.escape(p) for p in phrases) + ")(?!\\w)")
+    held = [F.contains(col(text), F.lit(p)) for p in phrases] or [F.lit(True)]
+    return reduce(lambda a, b: a | b, held) & col(text).rlike("(?<!\\w)(?:" + "|".join(re.escape(p) for p in phrases) + ")(?!\\w)")
 
 
 def soft_equal(a: Text, b: Text, least: int = 5, prefix: int = 6) -> Column:

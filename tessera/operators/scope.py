@@ -17,11 +17,11 @@ from tessera.operators.embed import Embedder
 
 
 def _hits(t: Column, patterns: Sequence[str]) -> Column:
-    return sum((t.rlike(p).cast("int") for p in patterns[1:]), t.rlike(patterns[0]).cast("int")) if patterns else F.lit(0)
+    return sum((text.finds(t, p).cast("int") for p in patterns[1:]), text.finds(t, patterns[0]).cast("int")) if patterns else F.lit(0)
 
 
 def _any(t: Column, patterns: Sequence[str]) -> Column:
-    return t.rlike("|".join(patterns)) if patterns else F.lit(False)
+    return text.finds(t, *patterns) if patterns else F.lit(False)
 
 
 def keyword_signal(x: Column | str, strong: Sequence[str] = values.STEM_STRONG, weak: Sequence[str] = values.STEM_WEAK, blocked: Sequence[str] = values.STEM_BLOCKED) -> Column:
@@ -118,7 +118,8 @@ def earlier_cascade(
     note = F.when(first == "clear_non_stem", "quant_semantic_override_non_stem").otherwise("quant_semantic_override_unclear")
     whole, out, left_out = F.concat_ws(" ", t, d), F.lit(False), F.lit(None).cast("string")
     for name, pattern in reversed(excluded):
-        out, left_out = out | whole.rlike(pattern), F.when(whole.rlike(pattern), name).otherwise(left_out)
+        hit = text.finds(whole, pattern)
+        out, left_out = out | hit, F.when(hit, name).otherwise(left_out)
     return F.when(out, "clear_non_stem").when(quant, "quant_non_stem").otherwise(first), F.when(out, left_out).when(quant, note).otherwise(reason)
 
 
