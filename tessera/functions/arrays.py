@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,12 +17,19 @@ def sorted_set(x: Array) -> Column:
     return F.array_sort(F.array_distinct(F.filter(col(x), lambda v: v.isNotNull() & (v != ""))))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def first_by_key(*arrays: Array) -> Column:
     """All values of the arrays in order; of those equal but for case and blanks the first stays."""
     flat = F.filter(F.flatten(F.array(*[F.coalesce(col(a), F.array().cast("array<string>")) for a in arrays])), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    keys = F.transform(flat, lambda v: F.lower(F.trim(v)))
-    kept = F.filter(F.transform(flat, lambda v, i: F.struct(F.trim(v).alias("v"), (F.array_position(keys, F.lower(F.trim(v))) == i + 1).alias("k"))), lambda s: s["k"])
-    return F.transform(kept, lambda s: s["v"])
+
+    def first(values: Column, keys: Column) -> Column:
+        return F.transform(F.filter(values, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1), lambda v: F.trim(v))
+
+    return once(flat, lambda values: once(F.transform(values, lambda v: F.lower(F.trim(v))), lambda keys: first(values, keys)))
 
 
 def named_values(items: Array, *keys: str) -> Column:
