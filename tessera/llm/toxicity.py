@@ -197,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     smallest), and at most about ``SAMPLE_BYTES`` of text.  Where these texts are longer together, the
     longest are learnt from in part, ``PIECES`` pieces spread evenly over each, of one total length for
     all of them, so no text keeps others out.  Rows with a null label, text or id teach nothing; a warning
-    says so if nothing is left to learn from, as every score is then the same."""
+    says so if nothing is left to learn from, as every score is then the same.  The sample is learnt from in
+    a task: only its texts' lengths and the model reach the driver."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learns(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     picked = None
     for y in (0, 1):
@@ -215,14 +216,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         start = lambda i: (i * (F.length("x") - chars) / (PIECES - 1)).cast("int") + 1
         pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col("x"), start(i), chars))
         both = both.withColumn("x", F.when(F.octet_length("x") > most, F.array_join(pieces, " ")).otherwise(F.col("x")))
-    rows = both.select("k", "y", "x").limit(2 * sample_rows).toArrow()
-    rows = rows.sort_by([("k", "ascending"), ("x", "ascending")])
-    labels, texts = np.asarray(rows["y"].combine_chunks() if rows.num_rows else [], np.float64), rows["x"].to_pylist()
-    del rows
-    model = train(texts, labels)
-    del texts
-    kernel.release()
-    return model
+    if not len(n):
+        return train([], n)
+    rows = both.select("k", "y", "x").limit(2 * sample_rows)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([*batches]).sort_by([("k", "ascending"), ("x", "ascending")])
+        labels, texts = np.asarray(rows["y"].combine_chunks(), np.float64), rows["x"].to_pylist()
+        del rows
+        model = train(texts, labels)
+        del texts
+        yield pa.RecordBatch.from_arrays([pa.array([model.margin.tobytes()], pa.binary()), pa.array([model.bias])], ["margin", "bias"])
+        kernel.release()
+
+    model = rows.coalesce(1).mapInArrow(learn, "margin binary, bias double").first()
+    return Model(np.frombuffer(model["margin"], np.float32), model["bias"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:

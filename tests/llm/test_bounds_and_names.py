@@ -1,8 +1,11 @@
 """Bounds of samples, and columns that bear the operators' own names."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash, toxicity
@@ -81,3 +84,16 @@ def test_many_long_texts_still_teach(spark, marked, monkeypatch):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
     scores = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
     assert min(scores[i] for i, _, y in rows if y and i in scores) > max(scores[i] for i, _, y in rows if not y and i in scores)
+
+
+def test_sampled_texts_stay_off_the_driver(spark, marked, monkeypatch):
+    """The sample is learnt from in a task, to the same model as here."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words of text {i % 7} stand here", i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    arrow = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: pytest.fail("texts at the driver") if "x" in df.columns else arrow(df))
+    model = toxicity.fit(docs, labels)
+    here = toxicity.train([r[1] for r in taught], np.array([r[2] for r in taught]))
+    assert model.bias == here.bias and np.array_equal(model.margin, here.margin) and model.margin.any()
