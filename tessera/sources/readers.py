@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas, values
 from tessera.functions import text
+from tessera.sources import shared
 from tessera.functions.arrays import mapped_first, named_values
 from tessera.operators.clean_courses import undergraduate, undergraduate_code
 
@@ -242,7 +243,7 @@ def page_records(pages: DataFrame, key: str = "page_id", html: str = "html") ->
             yield out
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, title string, heading string, description string, details map<string,string>")
+    return shared.dealt(pages.select(key, html), key).mapInPandas(run, f"`{key}` {kind}, title string, heading string, description string, details map<string,string>")
 
 
 def course_url(base: str, code: str, title: str, discovered: str | None = None):
