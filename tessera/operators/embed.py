@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import shared
+
 #: Targets in one matrix; larger tables are dealt into blocks of about this many.  Texts embedded at once.
 TARGET_BLOCK, EMBED_ROWS = 50_000, 2048
 
@@ -136,7 +138,7 @@ def nearest(phrases: DataFrame, targets: DataFrame, embedder: Embedder, phrase:
                     row, at, score = _best(np.ascontiguousarray(embedder([x or "" for x in texts]), np.float32), theirs, k)
                     yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in row], pa.string()), pa.array([names[j] for j in at], pa.string()), pa.array([labels[j] for j in at], pa.string()), pa.array(score)], ["p", "t", "l", "near"])
 
-        out = mine.mapInArrow(run, kind)
+        out = shared.dealt(mine, "p").mapInArrow(run, kind)
     else:
         n, m = -(-total // block), max(1, -(-mine.count() // block))
         deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import values
-from tessera.functions import text
-from tessera.functions.arrays import first_by_key
+from tessera.functions import grams, text
+from tessera.functions.arrays import first_by_key, once
 from tessera.functions.fuzzy import mmr
 from tessera.operators.embed import Embedder, nearest
 
@@ -125,14 +126,24 @@ def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedde
     return rows.select(key, body, listed).mapInPandas(run, f"`{key}` {kind}, phrases array<string>")
 
 
+def _ranked(rows: DataFrame, key: str, phrase: str, found: DataFrame, least: float, n: int, same: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """(key, skill, near, rank): the n nearest of the skills found for a key's phrases, each once by its best
+    similarity; of skills that are the ``same`` the nearest, then the last by name.  A phrase's skills meet
+    its rows as one list, so no row is made for a skill of a row before the n best are known."""
+    each = F.struct(same(F.col("skill")).alias("s"), "near", "skill")
+    lists = found.where(F.col("near") >= least).groupBy(phrase).agg(F.collect_list(each).alias("_l"))
+    met = rows.join(lists, phrase).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("_l"))).alias("_l"))
+    last = once(F.col("_l"), lambda x: F.filter(x, lambda v, i: F.coalesce(F.get(x, i + 1)["s"] != v["s"], F.lit(True))))
+    best = F.slice(F.array_sort(F.transform(last, lambda v: F.struct((-v["near"]).alias("far"), v["skill"].alias("skill")))), 1, n)
+    return met.select(key, F.posexplode(best).alias("_i", "_b")).select(key, F.col("_b.skill").alias("skill"), (-F.col("_b.far")).alias("near"), (F.col("_i") + 1).alias("rank"))
+
+
 def chunk_similarity(rows: DataFrame, key: str, body: str, vocabulary: DataFrame, embedder: Embedder, least: float = 0.30, n: int = 5) -> DataFrame:
     """(key, skill, near, rank): skills by the highest similarity of any chunk.  Distinct chunks are
     embedded once."""
     parts = rows.select(key, F.explode(F.array_distinct(text.chunks(body))).alias("chunk"))
     found = nearest(parts.select("chunk").distinct(), vocabulary.select(F.col("skill").alias("v"), "skill"), embedder, "chunk", "v", "skill", k=2 * n)
-    best = parts.join(found, "chunk").groupBy(key, "skill").agg(F.max("near").alias("near")).where(F.col("near") >= least)
-    order = Window.partitionBy(key).orderBy(F.desc("near"), "skill")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return _ranked(parts, key, "chunk", found, least, n)
 
 
 def near_skills(phrases: DataFrame, key: str, phrase: str, vocabulary: DataFrame, embedder: Embedder, least: float = 0.62, n: int = 3) -> DataFrame:
@@ -167,9 +178,7 @@ def direct_skills(rows: DataFrame, key: str, body: str, vocabulary: DataFrame, e
     fetched, as spellings that differ by case alone count once."""
     texts = rows.select(key, F.trim(F.coalesce(text.col(body), F.lit(""))).alias("_t")).where("_t <> ''")
     found = nearest(texts.select("_t").distinct(), vocabulary.select(F.col("skill").alias("v"), "skill"), embedder, "_t", "v", "skill", k=over * n)
-    near = texts.join(found.where(F.col("near") >= least), "_t").groupBy(key, F.lower("skill").alias("_s")).agg(F.max_by("skill", F.struct("near", "skill")).alias("skill"), F.max("near").alias("near"))
-    order = Window.partitionBy(key).orderBy(F.desc("near"), "skill")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_s")
+    return _ranked(texts, key, "_t", found, least, n, F.lower)
 
 
 def gated_skills(rows: DataFrame, key: str, body: str, phrases: str, vocabulary: DataFrame, embedder: Embedder, least_map: float = 0.46, least_text: float = 0.36, top: int = 300, n: int = 10) -> DataFrame:
