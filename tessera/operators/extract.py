@@ -89,7 +89,18 @@ def candidates(rows: DataFrame, key: str, body: str, stop: Sequence[str] = value
     characters (None: all of them), stop words left out before."""
     part = F.col(body) if most_chars is None else F.left(F.col(body), F.lit(most_chars))
     words = F.filter(F.split(text.search_key(part), " "), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
-    return rows.select(key, *keep, words.alias("_words")).select(key, *keep, text.ngrams("_words").alias("candidates"))
+    listed = rows.select(key, *keep, words.alias("_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = 0
+            for lists in grams.blocks(batch.column(batch.num_columns - 1)):
+                part = batch.slice(low, len(lists))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], grams.distinct_ngrams(lists, 1, 3)], [*part.schema.names[:-1], "candidates"])
+                low += len(lists)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema[:-1])
+    return listed.mapInArrow(run, f"{kept}, candidates array<string>")
 
 
 def _parts(pdf: pd.DataFrame, listed: str, most: int = 4096) -> Iterator[pd.DataFrame]:
