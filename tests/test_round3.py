@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import registry, values
 from tessera.functions import text
+from tessera.operators import align, embed, extract, ranking
+from tessera.sources import readers
 
 
 def test_needed_strings(spark):
@@ -30,3 +32,59 @@ def test_patterns_are_searched_once(spark, sf, name, most):
     """Lists of found skills are not computed anew wherever they are named."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("RLIKE") <= most and plan.count("Contains(") >= plan.count("RLIKE")
+
+
+def test_listings_of_equal_skills_and_many_blocks(spark, monkeypatch):
+    """Listings ranked in blocks, folded where their skills are equal, as pairs give them; pairs are no rows."""
+    monkeypatch.setattr(ranking, "LISTINGS", 7)
+    monkeypatch.setattr(ranking, "MODULES", 5)
+    rng = random.Random(8)
+    some = lambda most: rng.sample([f"s{i}" for i in range(9)], rng.randint(0, most))
+    jobs = [(i, f"f{rng.randint(0, 2)}", some(3)) for i in range(90)]
+    mods = [(i, some(4)) for i in range(25)]
+    listings = spark.createDataFrame(jobs, "job_id long, code string, skills array<string>")
+    mine = align.module_skills(spark.createDataFrame(mods, "module_id long, skills array<string>"))
+    matches = spark.createDataFrame([(m, f"f{f}", f + 1) for m, _ in mods for f in range(3) if (m + f) % 4], "module_id long, code string, rank int")
+    out = align.rerank_listings(matches, mine, listings, families=2, n=5)
+    assert not re.search(r"Join \[skill", out._jdf.queryExecution().executedPlan().toString())
+    inside = matches.where("rank <= 2").select("module_id", F.col("code").alias("family"))
+    each = listings.where("size(skills) > 0").select(F.col("job_id").alias("code"), F.col("code").alias("family"), F.explode("skills").alias("skill"), F.lit(1).cast("long").alias("cnt"))
+    scored = align.pair_scores(mine, align.weighted(each, "code"), k=20, weights=align.LEGACY, inside=inside, within="family")
+    want = {}
+    for r in scored.select("module_id", "family", "code", "overlap_count", align.rounded("score").alias("score")).collect():
+        want.setdefault(r.module_id, []).append((-r.score, -r.overlap_count, r.code, r.family))
+    want = {(m, i + 1, f, j, -o, -s) for m, x in want.items() for i, (s, o, j, f) in enumerate(sorted(x)[:5])}
+    assert {(r.module_id, r["rank"], r.family, r.job_id, r.overlap_count, r.score) for r in out.collect()} == want and len(want) > 80
+
+
+def test_costly_rows_are_dealt(spark):
+    """One file of few bytes is not one task."""
+    pages = spark.range(200).coalesce(1).select(F.col("id").alias("page_id"), F.lit("<title>a</title>").alias("html"))
+    assert readers.page_records(pages).rdd.getNumPartitions() > 4
+
+
+def test_skills_meet_rows_as_lists(spark):
+    """The best similarity of any chunk, without a row for each skill of a chunk; repeated keys are one."""
+    rows = spark.createDataFrame([(1, "red tea. green tea"), (1, "black tea"), (2, "green tea; red tea"), (3, "")], "k long, body string")
+    names = ["red tea", "Green Tea", "green tea", "black tea", "coffee"]
+    vocabulary = spark.createDataFrame([(x,) for x in names], "skill string")
+    e = embed.HashingEmbedder()
+    out = extract.chunk_similarity(rows, "k", "body", vocabulary, e, least=0.0, n=3)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    chunks = {1: ["red tea", "green tea", "black tea"], 2: ["green tea", "red tea"]}
+    got = {(r.k, r["rank"]): (r.skill, round(r.near, 5)) for r in out.collect()}
+    for k, parts in chunks.items():
+        near = (e(parts) @ e(names).T).max(axis=0)
+        want = sorted(zip(names, near.tolist()), key=lambda x: (-round(x[1], 5), x[0]))[:3]
+        assert [got[k, i + 1] for i in range(3)] == [(s, round(x, 5)) for s, x in want]
+    assert len(got) == 6
+
+
+def test_ngrams_leave_in_blocks(spark, monkeypatch):
+    """Many texts in one batch come out as several."""
+    from tessera.functions import grams
+
+    made = extract.candidates(spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(40)], "k long, t string"), "k", "t", most_chars=None)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.candidates for r in made.collect()}[7] == sorted(["alpha", "beta7", "gamma", "alpha beta7", "beta7 gamma", "alpha beta7 gamma"])
+    assert grams.BLOCK_WORDS <= 1 << 18
