@@ -213,7 +213,8 @@ def first_source(*lists: Column | str) -> Column:
 
 def consensus(votes: DataFrame, key: str, least: int = 2, n: int = 10) -> DataFrame:
     """(key, skill, support, rank) from (key, skill, extractor, pos): skills that ``least`` extractors
-    name, by support, best place and name."""
-    counts = votes.groupBy(key, "skill").agg(F.countDistinct("extractor").alias("support"), F.min("pos").alias("place")).where(F.col("support") >= least)
+    name, by support, best place and name.  Votes are shuffled once, by their key."""
+    each = votes.repartition(key).groupBy(key, "skill", "extractor").agg(F.min("pos").alias("pos"))
+    counts = each.groupBy(key, "skill").agg(F.count("extractor").alias("support"), F.min("pos").alias("place")).where(F.col("support") >= least)
     order = Window.partitionBy(key).orderBy(F.desc("support"), "place", "skill")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("place")

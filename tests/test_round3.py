@@ -88,3 +88,10 @@ def test_ngrams_leave_in_blocks(spark, monkeypatch):
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert {r.k: r.candidates for r in made.collect()}[7] == sorted(["alpha", "beta7", "gamma", "alpha beta7", "beta7 gamma", "alpha beta7 gamma"])
     assert grams.BLOCK_WORDS <= 1 << 18
+
+
+def test_votes_are_shuffled_once(spark):
+    votes = spark.createDataFrame([(1, "a", "x", 3), (1, "a", "y", 1), (1, "a", "y", 0), (1, "b", "x", 0), (1, "b", None, 0), (2, "a", "x", 0), (2, "a", "z", 5)], "k long, skill string, extractor string, pos int")
+    out = extract.consensus(votes, "k")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.select("k", "skill", "support", "rank").collect())) == [(1, "a", 2, 1), (2, "a", 2, 1)]
