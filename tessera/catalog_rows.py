@@ -589,8 +589,7 @@ def gated_skills(t):
 @query()
 def ranked_phrases(t):
     """The phrases of whole texts most like the text, by likeness alone."""
-    rows = extract.candidates(t.documents, "doc_id", "text", most_chars=None, keep=("text",))
-    return extract.ranked_candidates(rows, "doc_id", "text", "candidates", embed.HashingEmbedder(128), n=30)
+    return extract.ranked_ngrams(t.documents, "doc_id", "text", embed.HashingEmbedder(128), n=30, most_chars=None)
 
 
 @query()

@@ -148,14 +148,15 @@ def html_text(pages: Column | str) -> Column:
 
 
 def mmr(query: np.ndarray, candidates: np.ndarray, k: int, diversity: float = 0.8) -> list[int]:
-    """Maximal marginal relevance: picks weigh likeness to the query against likeness to earlier picks."""
+    """Maximal marginal relevance: picks weigh likeness to the query against likeness to earlier picks; of
+    equals, to 10 places, the first."""
     if not len(candidates):
         return []
-    to_query = candidates @ query
+    to_query = np.round(candidates @ query, 10)
     picked = [int(np.argmax(to_query))]
     near = candidates @ candidates[picked[0]]  # to the nearest picked one: linear in the candidates
     while len(picked) < min(k, len(candidates)):
-        score = (1 - diversity) * to_query - diversity * near
+        score = np.round((1 - diversity) * to_query - diversity * near, 10)
         score[picked] = -np.inf
         picked.append(int(np.argmax(score)))
         near = np.maximum(near, candidates @ candidates[picked[-1]])

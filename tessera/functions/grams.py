@@ -12,14 +12,20 @@ import pyarrow.compute as pc
 BLOCK_WORDS = 1 << 18
 
 
+def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of neighbours whose sizes add up to ``most`` or less, or of one that is larger."""
+    total = np.r_[0, np.cumsum(sizes)]
+    low = 0
+    while low < len(sizes):
+        high = min(len(sizes), max(low + 1, int(np.searchsorted(total, total[low] + most, "right")) - 1))
+        yield low, high
+        low = high
+
+
 def blocks(lists: pa.Array, most: int = BLOCK_WORDS) -> Iterator[pa.Array]:
     """Slices of lists that hold at most ``most`` words, or one list."""
-    total = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))]
-    low = 0
-    while low < len(lists):
-        high = min(len(lists), max(low + 1, int(np.searchsorted(total, total[low] + most, "right")) - 1))
+    for low, high in spans(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64), most):
         yield lists.slice(low, high - low)
-        low = high
 
 
 def _runs(lists: pa.Array, n: int) -> tuple[pa.Array, np.ndarray]:

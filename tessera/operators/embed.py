@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.grams import spans
 from tessera.sources import shared
 
-#: Targets in one matrix; larger tables are dealt into blocks of about this many.  Texts embedded at once.
-TARGET_BLOCK, EMBED_ROWS = 50_000, 2048
+#: Targets in one matrix; larger tables are dealt into blocks of about this many.  Texts embedded at once; characters hashed at once.
+TARGET_BLOCK, EMBED_ROWS, SUM_CHARS = 50_000, 2048, 1 << 16
 
 
 #: CRC-32 (that of zlib) of each byte.
@@ -23,6 +24,10 @@ for _ in range(8):
     _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
 
 
+def _crc(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(h ^ byte) & 0xFF] ^ (h >> 8)
+
+
 class Embedder(Protocol):
     """Turns texts into rows of unit length.  Any model fits that is loaded inside ``__call__``."""
 
@@ -37,42 +42,69 @@ class HashingEmbedder:
         self.width, self.grams = width, grams
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        from zlib import crc32
-
-        out = np.zeros((len(texts), self.width))
-        plain = [i for i, text in enumerate(texts) if text.isascii()]
-        step = 8192
-        for low in range(0, len(plain), step):
-            part = plain[low : low + step]
-            out[part] = self._plain([texts[i] for i in part])
-        for i, text in enumerate(texts):
-            if text.isascii():
-                continue
-            padded = f" {text} "
-            for n in self.grams:
-                for k in range(len(padded) - n + 1):
-                    h = crc32(padded[k : k + n].encode())
-                    out[i, h % self.width] += 1 if h >> 16 & 1 else -1
+        out = self.sums(texts)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
-    def _plain(self, texts: list[str]) -> np.ndarray:
-        """Sums of ASCII texts' grams, where a character is a byte: CRC-32 of all grams at once."""
-        data = np.frombuffer("".join(f" {t} " for t in texts).encode(), np.uint8)
-        row = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-        out = np.zeros(len(texts) * self.width)
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """The vectors before they are scaled, in whole numbers: those of many texts at once, a long one by pieces."""
+        out = np.zeros((len(texts), self.width))
+        reach = max(self.grams) - 1
+        sizes = np.array([len(t) + 2 for t in texts], np.int64)
+        for low, high in spans(np.maximum(sizes, SUM_CHARS // 1024), SUM_CHARS):
+            part = [f" {t} " for t in texts[low:high]]
+            if len(part[0]) <= SUM_CHARS:
+                out[low:high] = self._sums(part)
+            else:
+                for at in range(0, len(part[0]), SUM_CHARS):
+                    out[low] += self._sums([part[0][at : at + SUM_CHARS + reach]], SUM_CHARS)[0]
+        return out
+
+    def _sums(self, texts: list[str], most: int | None = None) -> np.ndarray:
+        """Sums of the texts' grams (``most``: those that begin before), CRC-32 of all of one length at once."""
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        begin = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        size = np.diff(begin, append=len(data))
+        more = [(j, np.flatnonzero(size > j)) for j in range(1, int(size.max(initial=1)))]
+        first, at = data[begin], []
+        h = np.full(len(begin), 0xFFFFFFFF, np.uint32)
+        for k in range(min(max(self.grams), len(begin))):
+            h = _crc(h[: len(begin) - k], first[k:])
+            for j, long in more:
+                i = long[np.searchsorted(long, k) :]
+                h[i - k] = _crc(h[i - k], data[begin[i] + j])
+            if k + 1 in self.grams:
+                inside = row[: len(h)][:most] == row[k:][:most]
+                at.append((row[: len(h)][:most] * (2 * self.width) + self._places(h[:most]))[inside])
+        count = np.bincount(np.concatenate(at) if at else np.zeros(0, np.int64), minlength=len(texts) * self.width * 2).reshape(len(texts), self.width, 2)
+        return (count[:, :, 1] - count[:, :, 0]).astype(np.float64)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Twice the dimension of each gram, and 1 more where it adds there."""
+        h = ~h
+        return h % np.uint32(self.width) * 2 + (h >> 16 & 1)
+
+    @property
+    def adds_up(self) -> bool:
+        """Whether the sums of a run of words, each of two ASCII characters or more, are those of its words and ``gaps``."""
+        return max(self.grams) <= 5
+
+    def gaps(self, words: list[str], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(dimensions, signs) of the grams over the blank between each left and right word, given by their places in ``words``."""
+        k = max(max(self.grams) - 2, 0)
+        cut = lambda ends: np.frombuffer("".join(ends).encode(), np.uint8).reshape(len(words), k)
+        tails, heads = cut([f" {w}"[-k:] if k else "" for w in words]), cut([f"{w} "[:k] for w in words])
+        letters = np.concatenate([tails[left], np.full((len(left), 1), 32, np.uint8), heads[right]], axis=1)
+        found = [np.zeros((len(left), 0), np.int64)]
         for n in self.grams:
-            size = len(data) - n + 1
-            if size <= 0:
-                continue
-            h = np.full(size, 0xFFFFFFFF, np.uint32)
-            for k in range(n):
-                h = _CRC[(h ^ data[k : k + size]) & 0xFF] ^ (h >> 8)
-            h = ~h
-            inside = row[:size] == row[n - 1 :]
-            sign = np.where(h >> 16 & 1, 1.0, -1.0)[inside]
-            out += np.bincount(row[:size][inside] * self.width + (h % self.width)[inside], sign, len(out))
-        return out.reshape(len(texts), self.width)
+            for low in range(k - n + 2, k):
+                h = np.full(len(left), 0xFFFFFFFF, np.uint32)
+                for j in range(n):
+                    h = _crc(h, letters[:, low + j])
+                found.append(self._places(h)[:, None].astype(np.int64))
+        at = np.concatenate(found, axis=1)
+        return at >> 1, (2 * (at & 1) - 1).astype(np.float64)
 
 
 def embed(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector") -> DataFrame:

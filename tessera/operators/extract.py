@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,12 @@ from tessera import values
 from tessera.functions import grams, text
 from tessera.functions.arrays import first_by_key, once
 from tessera.functions.fuzzy import mmr
-from tessera.operators.embed import Embedder, nearest
+from tessera.functions.runs import Runs
+from tessera.operators.embed import EMBED_ROWS, Embedder, HashingEmbedder, nearest
+from tessera.sources import shared
+
+#: Bytes of the texts whose n-grams are ranked at once, or one text if longer.
+TEXT_BYTES = 1 << 21
 
 
 def skill_like(x: Column | str, labels: Sequence[str] = values.ACADEMIC_LABELS, talk: Sequence[str] = values.COURSE_TALK) -> Column:
@@ -129,7 +135,7 @@ def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedde
                     out.append([])
                     continue
                 vectors = known[[seen[p] for p in phrases]]
-                order = np.argsort(-(vectors @ query), kind="stable")[:n] if diversity is None else mmr(query, vectors, n, diversity)
+                order = np.argsort(-np.round(vectors @ query, 10), kind="stable")[:n] if diversity is None else mmr(query, vectors, n, diversity)
                 out.append([phrases[i] for i in order])
             yield pd.DataFrame({key: pdf[key], "phrases": out})
 
@@ -137,6 +143,65 @@ def ranked_candidates(rows: DataFrame, key: str, body: str, listed: str, embedde
     return rows.select(key, body, listed).mapInPandas(run, f"`{key}` {kind}, phrases array<string>")
 
 
+def ranked_ngrams(rows: DataFrame, key: str, body: str, embedder: Embedder, n: int = 30, diversity: float | None = None, stop: Sequence[str] = values.STOP_WORDS, most_chars: int | None = 2500) -> DataFrame:
+    """(key, phrases): what ``ranked_candidates`` finds among the ``candidates`` of a text's first ``most_chars``
+    characters (None: all of them), compared with these.
+
+    Vectors that add up (``HashingEmbedder``) are made of a text's words alone: an n-gram's likeness is a sum
+    over its words and the gaps between them, and only the best become strings.  Any other embedder is
+    given every n-gram.
+    """
+    part = F.col(body) if most_chars is None else F.left(F.col(body), F.lit(most_chars))
+    rows = shared.dealt(rows.select(key, part.alias(body)), key)
+    if type(embedder) is not HashingEmbedder or not embedder.adds_up:
+        return ranked_candidates(candidates(rows, key, body, stop, None, keep=(body,)), key, body, "candidates", embedder, n, diversity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out = pa.array(stop, pa.string())
+        for batch in batches:
+            for low, high in grams.spans(np.asarray(pc.binary_length(batch.column(2)), np.int64), TEXT_BYTES):
+                keys, texts, lists = batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pc.split_pattern(batch.column(2).slice(low, high - low), " ")
+                found = pa.array(_best_ngrams(texts.to_pylist(), lists, left_out, embedder, n, diversity), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([keys, found], [key, "phrases"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, body, text.search_key(body)).mapInArrow(run, f"`{key}` {kind}, phrases array<string>")
+
+
+def _small(embedder: HashingEmbedder, names: list[str], most: int) -> np.ndarray:
+    """The sums of words as 8-bit numbers, if none is beyond ``most``."""
+    out = np.zeros((len(names), embedder.width), np.int8)
+    for low in range(0, len(names), EMBED_ROWS):
+        part = embedder.sums(names[low : low + EMBED_ROWS])
+        if np.abs(part).max() > most:
+            return embedder.sums(names)
+        out[low : low + len(part)] = part
+    return out
+
+
+def _best_ngrams(texts: list[str | None], lists: pa.Array, left_out: pa.Array, embedder: HashingEmbedder, n: int, diversity: float | None) -> Iterator[list[str]]:
+    """The best n-grams of each text, from the lists of their words."""
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary
+    fits = pc.and_(pc.greater(pc.utf8_length(names), 1), pc.invert(pc.is_in(names, left_out)))
+    kept = pc.indices_nonzero(fits).take(pc.sort_indices(names.filter(fits)))
+    place = np.full(len(names), -1)
+    place[np.asarray(kept)] = np.arange(len(kept))
+    words = place[np.asarray(coded.indices)]
+    ends = np.r_[0, np.cumsum(words >= 0)][np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))]]
+    words, names = words[words >= 0], names.take(kept).to_pylist()
+    dims, signs = embedder.gaps(names, words[:-1], words[1:])
+    known = _small(embedder, names, (127 - 2 * dims.shape[1]) // 3)
+    signs = signs.astype(known.dtype)
+    queries = embedder.sums([b or "" for b in texts])
+    for query, low, high in zip(queries, ends, ends[1:]):
+        if low == high:
+            yield []
+            continue
+        found = Runs(words[low:high], known, dims[low : high - 1], signs[low : high - 1])
+        yield found.phrases(found.best(found.likeness(query), n) if diversity is None else found.picked(query, n, diversity), names)
+
+
 def _ranked(rows: DataFrame, key: str, phrase: str, found: DataFrame, least: float, n: int, same: Callable[[Column], Column] = lambda s: s) -> DataFrame:
     """(key, skill, near, rank): the n nearest of the skills found for a key's phrases, each once by its best
     similarity; of skills that are the ``same`` the nearest, then the last by name.  A phrase's skills meet
