@@ -550,8 +550,7 @@ def rule_build(t):
 
 @query()
 def mmr_phrases(t):
-    rows = extract.candidates(t.documents, "doc_id", "text", most_chars=None, keep=("text",))
-    return extract.ranked_candidates(rows, "doc_id", "text", "candidates", embed.HashingEmbedder(128), n=5, diversity=0.8)
+    return extract.ranked_ngrams(t.documents, "doc_id", "text", embed.HashingEmbedder(128), n=5, diversity=0.8, most_chars=None)
 
 
 @query()

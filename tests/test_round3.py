@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import registry, values
+from tessera import catalog, catalog_rows, registry, values  # noqa: F401  (the catalogues fill the register)
 from tessera.functions import runs, text
 from tessera.operators import align, embed, extract, ranking
 from tessera.sources import readers
@@ -175,7 +175,7 @@ def test_long_words_are_summed_exactly():
     assert got == [_plain_phrases(texts[0], 6)]
 
 
-@pytest.mark.parametrize("name", ["ranked_phrases"])
+@pytest.mark.parametrize("name", ["ranked_phrases", "mmr_phrases"])
 def test_phrase_queries_take_words(spark, sf, name):
     """No n-gram leaves a task but the best."""
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
