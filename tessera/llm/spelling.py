@@ -150,12 +150,18 @@ def candidates(words: DataFrame, alphabet: str, bits: np.ndarray) -> DataFrame:
     return words.select("word", "n").mapInArrow(emit, "candidate string, word string, n bigint")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: Spark takes it for as small as the file it is
+    computed from, and the driver would hold all of it."""
+    return df.hint("merge")
+
+
 def roots(forms: DataFrame, steps: int) -> DataFrame:
     """(word, root) from (word, form): forms followed to the last, doubling the way in each round."""
     way = work.written(forms.select("word", F.col("form").alias("root")), "forms")
     for _ in range(max(0, math.ceil(math.log2(max(1, steps))))):
         on = way.select(F.col("word").alias("at"), F.col("root").alias("further"))
-        way = work.written(way.join(on, way["root"] == on["at"], "left").select("word", F.coalesce("further", "root").alias("root")), "forms")
+        way = work.written(way.join(_shuffled(on), way["root"] == on["at"], "left").select("word", F.coalesce("further", "root").alias("root")), "forms")
     return way
 
 
@@ -166,7 +172,8 @@ def variants(found: DataFrame, least_length: int = 6, least_count: int = 5, time
     form is its near word (one code point inserted, deleted or replaced) of largest n, ties to the
     smallest by code points, if that is at least ``times`` the word's own n, else null; its root is where
     forms lead, itself if it has none.  Null words and other columns take no part; repeated rows count
-    each; no words give an empty result.  The driver holds the alphabet and the bit set only.  A word has
+    each; no words give an empty result.  The driver holds the alphabet and the bit set only, and no join
+    is a broadcast.  A word has
     at most as many near words as candidates (twice its length times the alphabet), so no group is larger.
     """
     counted = found.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
@@ -177,13 +184,13 @@ def variants(found: DataFrame, least_length: int = 6, least_count: int = 5, time
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("word").alias("form"))).alias("best")
     )
     linked = -F.col("best.less") >= times * F.col("n")
-    out = words.join(near, words["word"] == near["candidate"], "left").select(
+    out = words.join(_shuffled(near), words["word"] == near["candidate"], "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(linked, F.col("best.form")).alias("form"), F.when(linked, -F.col("best.less")).alias("form_n")
     )
     out = work.written(out, "near")
     steps = 1 + math.floor(math.log(max(1, (about["most"] or 1) / least_count), times) + 1e-9)
     ends = roots(out.where(F.col("form").isNotNull()), steps).withColumnRenamed("word", "of")
-    return out.join(ends, out["word"] == ends["of"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(_shuffled(ends), out["word"] == ends["of"], "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 199, least_length: int = 6, least_count: int = 5, times: int = 5) -> DataFrame:
