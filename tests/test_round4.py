@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera import catalog, registry  # noqa: F401  (the catalogue fills the register)
 from tessera.operators import align, ranking
 
 
@@ -39,3 +40,9 @@ def test_equal_modules_are_ranked_once_and_only_where_they_share(spark, weights)
         key = lambda c: (-round(pairs.get((kind, c), (0, zero))[1], 4), -pairs.get((kind, c), (0, 0))[0], -jobs[c], c)
         want = sorted(jobs, key=key)[:6]
         assert all([r.code for r in sorted((r for r in got if r.module_id == i), key=lambda r: r["rank"])] == want for i in (kind, kind + 13 * len(kinds)))
+
+
+def test_best_families_are_found_once_for_listings(spark, sf):
+    """What ranks listings reads the modules' families from a table, not from a plan repeated for each use."""
+    plan = registry.QUERIES["align_listing_rerank"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
